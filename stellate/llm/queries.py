@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, pii, topk
+from . import decontaminate, packing, pii, topk, toxicity
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
     "op2_pack_documents": packing.op2_pack_documents,
     "op3_pii_spans": pii.op3_pii_spans,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_toxicity": toxicity.op6_toxicity,
 }
 ORACLE = {"op1_exact_top_k": topk.SQL}
