@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, packing, pii, topk, toxicity
+from . import decontaminate, html_text, licenses, packing, pii, revisits, topk, toxicity
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_pii_spans": pii.op3_pii_spans,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_license_scan": licenses.op7_license_scan,
+    "op8_revisits": revisits.op8_revisits,
     "op9_main_text": html_text.op9_main_text,
 }
-ORACLE = {"op1_exact_top_k": topk.SQL}
+ORACLE = {"op1_exact_top_k": topk.SQL, "op8_revisits": revisits.SQL}
