@@ -56,14 +56,20 @@ def _anchors(known: list[tuple[str, list[str]]], slack: float) -> list[str]:
     them; words are chosen, those in most bigrams first, until so many of each template's bigrams hold one."""
     chosen: set[str] = set()
     for _, grams in sorted(known, key=lambda k: len(k[1])):
-        open_grams = [g.split() for g in grams if not chosen & set(g.split())]
+        open_grams = [g.split() for g in grams if not chosen & {g, *g.split()}]
         need = len(grams) - math.ceil(len(grams) / slack) + 1 - (len(grams) - len(open_grams))
         while need > 0:
             counts = Counter(w for g in open_grams for w in set(g))
             word = max(counts, key=lambda w: (len(w) > 4, counts[w], len(w), w))
-            chosen.add(word)
-            need -= counts[word]
-            open_grams = [g for g in open_grams if word not in g]
+            if len(word) > 4:
+                chosen.add(word)
+                need -= counts[word]
+                open_grams = [g for g in open_grams if word not in g]
+            else:  # short words stand in too many texts, so the bigram itself
+                gram = max(open_grams, key=lambda g: (len("".join(g)), g))
+                chosen.add(" ".join(gram))
+                need -= 1
+                open_grams.remove(gram)
     return sorted(chosen)
 
 
@@ -82,7 +88,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     most = 2 * max(sizes) * slack + 1
     text = F.coalesce(F.col("text"), F.lit(""))
     words = _anchors(known, slack)
-    anchored = lambda u: reduce(or_, [F.contains(u, F.lit(w)) for w in words])
+    phrases = "|".join(w.replace(" ", "[^a-z0-9]+") for w in words if " " in w)
+    anchored = lambda u: reduce(or_, [F.contains(u, F.lit(w)) for w in words if " " not in w], u.rlike(phrases) if phrases else F.lit(False))
     # by length alone first: two letters and a space for each word at least, 40 at most on the mean
     fits = lambda u: (F.length(u) >= 3 * least) & (F.length(u) <= 40 * most) & anchored(u)
     some = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.lower(text).alias("_text")).where(anchored(F.col("_text")))
