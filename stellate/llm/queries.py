@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, licenses, packing, pii, revisits, topk, toxicity
+from . import decontaminate, html_text, licenses, ngram_join, packing, pii, revisits, topk, toxicity
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_license_scan": licenses.op7_license_scan,
     "op8_revisits": revisits.op8_revisits,
     "op9_main_text": html_text.op9_main_text,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 ORACLE = {"op1_exact_top_k": topk.SQL, "op8_revisits": revisits.SQL}
