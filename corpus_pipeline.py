@@ -3,9 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stellate.llm import packing, pii
-from stellate.llm.common import importable, written
+from stellate.llm import decontaminate, ngram_join, packing, pii, toxicity
+from stellate.llm.common import importable, table, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the model learns from the labels' training fold."""
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.where(F.col("toxicity") < toxicity.THRESHOLD).drop("toxicity")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document of the smallest doc_id stays."""
+    importable(spark)
+    return ngram_join.without_copies(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose tiles cover half of a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("pii", mask_personal_data), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_copies), ("decontamination", drop_contaminated), ("pii", mask_personal_data), ("packing", pack)]
 #: Packing takes a byte-pair tokenizer, which SQL doesn't have.
 ORACLE_SQL = None
 
@@ -28,5 +46,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over documents, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(chr(32), chr(45))}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -48,5 +48,15 @@ def held_out(doc_id: Column | str, folds: int, fold: int = 1) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+#: Ids that are broadcast at most (8 MB); more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """ids (one long column), with a broadcast hint if there are few; they are written first, so that they are counted once."""
+    ids = written(ids, "ids")
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

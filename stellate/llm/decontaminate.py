@@ -102,58 +102,84 @@ def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[in
     return tiles
 
 
-def _scan(batches: Iterator[pa.RecordBatch], items: list[tuple[int, list[str]]], seed: int, least: float) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
-    coded = [(item_id, np.array([known.setdefault(w, len(known) + 1) for w in words], np.uint64)) for item_id, words in items]
-    by_length: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-    for n, (_, ids) in enumerate(coded):
-        size = min(seed, len(ids))
-        for h in rolling(ids, size).tolist():
-            by_length[size][h].add(n)
-    seeds = {n: (hashes, np.sort(np.fromiter(hashes, np.uint64, len(hashes)))) for n, hashes in by_length.items()}
-    code = known.get
-    for batch in batches:
-        out = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = tokens(text) if text else []
-            ids = np.fromiter(map(code, words, repeat(0)), np.uint64, len(words))
-            if not ids.any():
+class Tiler:
+    """Benchmark items with their seeds, and the pairs of a text with them."""
+
+    def __init__(self, items: list[tuple[int, list[str]]], seed: int, least: float):
+        self.least, self.seed = least, seed
+        known: dict[str, int] = {}
+        self.coded = [(item_id, np.array([known.setdefault(w, len(known) + 1) for w in words], np.uint64)) for item_id, words in items]
+        by_length: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        for n, (_, ids) in enumerate(self.coded):
+            size = min(seed, len(ids))
+            for h in rolling(ids, size).tolist():
+                by_length[size][h].add(n)
+        self.seeds = {n: (hashes, np.sort(np.fromiter(hashes, np.uint64, len(hashes)))) for n, hashes in by_length.items()}
+        self.code = known.get
+
+    def pairs(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
+        """item_id, tokens covered, tokens of the item, tiles and coverage of each item that is covered enough."""
+        words = tokens(text) if text else []
+        ids = np.fromiter(map(self.code, words, repeat(0)), np.uint64, len(words))
+        if not ids.any():
+            return []
+        candidates: set[int] = set()
+        zeros = np.concatenate([[0], np.cumsum(ids == 0)])
+        for n, (hashes, ordered) in self.seeds.items():
+            if len(ids) < n:
                 continue
-            candidates: set[int] = set()
-            zeros = np.concatenate([[0], np.cumsum(ids == 0)])
-            for n, (hashes, ordered) in seeds.items():
-                if len(ids) < n:
-                    continue
-                all_known = zeros[n:] == zeros[:-n]
-                own = rolling(ids, n)[all_known]
-                at = np.minimum(np.searchsorted(ordered, own), len(ordered) - 1)
-                for h in np.unique(own[ordered[at] == own]).tolist():
-                    candidates |= hashes[h]
-            for n in sorted(candidates):
-                item_id, item = coded[n]
-                tiles = greedy_tiles(ids, item, min(seed, len(item)))
-                covered = sum(t[2] for t in tiles)
-                if covered and covered >= least * len(item):
-                    out.append((doc_id, item_id, covered, len(item), len(tiles), round(covered / len(item), 6)))
+            own = rolling(ids, n)[zeros[n:] == zeros[:-n]]
+            at = np.minimum(np.searchsorted(ordered, own), len(ordered) - 1)
+            for h in np.unique(own[ordered[at] == own]).tolist():
+                candidates |= hashes[h]
+        out = []
+        for n in sorted(candidates):
+            item_id, item = self.coded[n]
+            tiles = greedy_tiles(ids, item, min(self.seed, len(item)))
+            covered = sum(t[2] for t in tiles)
+            if covered and covered >= self.least * len(item):
+                out.append((item_id, covered, len(item), len(tiles), round(covered / len(item), 6)))
+        return out
+
+
+def _scan(batches: Iterator[pa.RecordBatch], tiler: Tiler) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [(doc_id, *pair) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for pair in tiler.pairs(text)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 6, [pa.int64()] * 5 + [pa.float64()], strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
-    """A row for each pair of document and item whose tiles cover at least that share of the item."""
-    spark = docs.sparkSession
+def _clean(batches: Iterator[pa.RecordBatch], tiler: Tiler) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array([not tiler.pairs(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], pa.bool_()))
+
+
+def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
+    """Items with their tokens, about BLOCK_TOKENS of them at a time."""
     size = F.size(F.split(F.col("text"), r"\W+")).cast("long")
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(size)).first()[0] or 0
-    blocks = -(-total // BLOCK_TOKENS) or 1
-    out = None
+    blocks = -(-(items.agg(F.sum(size)).first()[0] or 0) // BLOCK_TOKENS) or 1
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        rows = [(r.item_id, words) for r in own.toLocalIterator() if (words := tokens(r.text))]
-        sent = spark.sparkContext.broadcast(rows)
-        part = docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(lambda batches, sent=sent: _scan(batches, sent.value, seed, coverage), SCHEMA)
+        yield [(r.item_id, words) for r in own.toLocalIterator() if (words := tokens(r.text))]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
+    """A row for each pair of document and item whose tiles cover at least that share of the item."""
+    out = None
+    for rows in _item_blocks(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(rows)
+        part = docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(lambda batches, sent=sent: _scan(batches, Tiler(sent.value, seed, coverage)), SCHEMA)
         out = part if out is None else out.union(part)
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
+    """docs (all columns) without the rows that hold an item; each block of items is a pass over what is left, without a shuffle."""
+    for rows in _item_blocks(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(rows)
+        docs = docs.mapInArrow(lambda batches, sent=sent: _clean(batches, Tiler(sent.value, seed, coverage)), docs.schema)
+    return docs
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

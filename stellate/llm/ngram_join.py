@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parallelism, table, written
+from .common import parallelism, sized, table, written
 
 #: Words of a gram and the threshold in percent.
 WORDS, PERCENT = 4, 85
@@ -249,8 +249,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of pairs (a, b) that link. Sets are made anew from the texts of one document for each node that is in a pair."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = nodes.join(needed, "node", "left_semi").select("node", "doc_id")
-    texts = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = written(nodes.join(needed, "node", "left_semi").select("node", "doc_id"), "needed")
+    texts = docs.join(sized(ids.select("doc_id").distinct()), "doc_id", "left_semi")
     sets = written(texts.mapInArrow(_sets, "node long, grams binary").join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     with_a = pairs.join(sets.withColumnsRenamed({"node": "a", "grams": "grams_a"}), "a")
     with_both = with_a.join(sets.withColumnsRenamed({"node": "b", "grams": "grams_b"}), "b")
@@ -311,5 +311,19 @@ def join_components(docs: DataFrame) -> DataFrame:
     return listed.join(of_node, "node", "left").select("doc_id", F.col("size").alias("n_grams"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """docs without all documents of a component but the one of the smallest doc_id, and with repeated rows of it once.
+
+    Rows without doc_id stay. Rows of one doc_id with different texts stay or go as each one's component says only
+    if they go all; otherwise all of them stay."""
+    groups = written(join_components(docs), "components")
+    keep = F.max(F.col("doc_id") == F.col("component_id"))
+    gone = sized(groups.where("doc_id is not null").groupBy("doc_id").agg(keep.alias("keep")).where(~F.col("keep")).select("doc_id"))
+    repeated = sized(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    once = left.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).union(once)
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents")).withColumnRenamed("n_grams", "n_shingles")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, licenses, ngram_join, packing, pii, revisits, topk, toxicity
+from . import decontaminate, html_text, licenses, ngram_join, packing, pii, pitman_yor, revisits, topk, toxicity
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
     "op2_pack_documents": packing.op2_pack_documents,
     "op3_pii_spans": pii.op3_pii_spans,
+    "op4_pitman_yor": pitman_yor.op4_pitman_yor,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_license_scan": licenses.op7_license_scan,
