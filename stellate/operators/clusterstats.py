@@ -56,7 +56,7 @@ def size_density_diameter(points: DataFrame) -> DataFrame:
     """label, size, density, diameter. The density weighs the shares of members within m tenths of the radius, the inner ones most;
     the farthest pair lies on the convex hull, so only hulls are compared."""
     rows = _with_radius(points)
-    share = lambda m: F.avg((F.col("r") / F.col("radius") <= m / 10).cast("double"))
+    share = lambda m: F.avg((F.try_divide(F.col("r"), F.col("radius")) <= m / 10).cast("double"))
     weighted = sum(((11 - m) * share(m) for m in range(1, 11)), F.lit(0.0)) / 55.0
     density = F.when((F.count(F.lit(1)) == 1) | (F.max("radius") < EPS), 1.0).otherwise(weighted)
     stats = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size"), density.alias("density"))

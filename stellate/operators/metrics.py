@@ -78,7 +78,7 @@ def ari(rows: DataFrame, true: str = "label_true", pred: str = "label_pred") ->
     joint = contingency(rows, true, pred)
     pairs = lambda df, c, out: df.agg(F.sum(F.col(c) * (F.col(c) - 1) / 2.0).alias(out))
     both = pairs(joint, "n", "s").join(pairs(joint.groupBy("pred").agg(F.sum("n").alias("a")), "a", "sa")).join(pairs(joint.groupBy("true").agg(F.sum("n").alias("b")), "b", "sb")).join(joint.agg(F.sum("n").alias("t")))
-    expected = F.col("sa") * F.col("sb") / (F.col("t") * (F.col("t") - 1) / 2.0)
+    expected = F.coalesce(F.try_divide(F.col("sa") * F.col("sb"), F.col("t") * (F.col("t") - 1) / 2.0), F.lit(0.0))
     mean = (F.col("sa") + F.col("sb")) / 2
     return both.select(F.when(mean == expected, 1.0).otherwise((F.col("s") - expected) / (mean - expected)).alias("ari"))
 
@@ -95,23 +95,23 @@ def _by_score(rows: DataFrame, positive: str, score: str) -> DataFrame:
 
 
 def roc_auc(rows: DataFrame, positive: str = "positive", score: str = "score") -> DataFrame:
-    """Area under the ROC curve; ties count half."""
+    """Area under the ROC curve; ties count half; null if one class is empty."""
     by = _by_score(rows, positive, score)
     wins = F.sum(F.col("n") * (F.col("tp") - F.col("p")) + F.col("n") * F.col("p") / 2.0)
-    return by.agg((wins / (F.sum("p") * F.sum("n"))).alias("auc"))
+    return by.agg(F.try_divide(wins, (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
 
 
 def average_precision(rows: DataFrame, positive: str = "positive", score: str = "score") -> DataFrame:
-    """Sum over distinct thresholds of the recall gained times the precision there."""
+    """Sum over distinct thresholds of the recall gained times the precision there; null without positives."""
     by = _by_score(rows, positive, score)
-    return by.agg((F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("p")).alias("average_precision"))
+    return by.agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("p").cast("double")).alias("average_precision"))
 
 
 def top_z(rows: DataFrame, z: int, positive: str = "positive", score: str = "score") -> DataFrame:
     """precision, recall, f1 of the z highest scores (ties to the higher id) as the predicted positives."""
     best = rows.orderBy(F.desc(score), F.desc("id")).limit(z).agg(F.sum(F.col(positive).cast("long")).alias("hit"))
     total = rows.agg(F.sum(F.col(positive).cast("long")).alias("all"))
-    p, r = F.col("hit") / F.lit(float(z)), F.col("hit") / F.col("all")
+    p, r = F.col("hit") / F.lit(float(z)), F.coalesce(F.try_divide(F.col("hit").cast("double"), F.col("all").cast("double")), F.lit(0.0))
     return best.join(total).select(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
 
 

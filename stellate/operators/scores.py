@@ -58,11 +58,11 @@ def core_points(points: DataFrame, centres: list[tuple[int, float, float]], q_co
 
 
 def aspect_ratio(points: DataFrame) -> DataFrame:
-    """The largest over the smallest distance between two points: the one from the convex hull, the other from a neighbour join."""
+    """The largest over the smallest distance between two points: the one from the convex hull, the other from a neighbour join; null if points coincide."""
     from .clusterstats import _diameter
     from .neighbors import nearest, outer_layers
 
     hull = outer_layers(points.select(F.lit(0).cast("long").alias("g"), "id", "x", "y"), 1)
     far = hull.groupBy("g").applyInPandas(_diameter, "label long, diameter double").select("diameter").first()[0]
     close = nearest(points, points, 1).agg(F.min("d").alias("least"))
-    return close.select((F.lit(far) / F.col("least")).alias("aspect_ratio"))
+    return close.select(F.try_divide(F.lit(far), F.col("least")).alias("aspect_ratio"))

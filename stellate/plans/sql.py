@@ -127,7 +127,7 @@ ORACLE: dict[str, str] = {
     "variable_eps_dbscan": _q(*_BASE, _D, "nr AS (SELECT i, j FROM d JOIN p a ON a.id = i WHERE d <= 0.03 + 0.005 * a.label)", "co AS (SELECT i AS id FROM nr GROUP BY i HAVING count(*) >= 5)", "ce AS (SELECT i, j FROM nr WHERE i IN (SELECT id FROM co) AND j IN (SELECT id FROM co))",
         "rc(id, root) AS (SELECT id, id FROM co UNION SELECT ce.j, rc.root FROM rc JOIN ce ON ce.i = rc.id)", "rt AS (SELECT id, min(root) AS root FROM rc GROUP BY id)", "bo AS (SELECT nr.j AS id, min(rt.root) AS root FROM nr JOIN rt ON rt.id = nr.i WHERE nr.j NOT IN (SELECT id FROM co) AND (rt.root < nr.j OR rt.root = nr.i) GROUP BY nr.j)",
         "al AS (SELECT * FROM rt UNION ALL SELECT * FROM bo)", "nu AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS n FROM (SELECT DISTINCT root FROM rt))", "SELECT p.id, CAST(coalesce(n, -1) AS INTEGER) AS cluster FROM p LEFT JOIN al ON al.id = p.id LEFT JOIN nu ON nu.root = al.root", recursive=True),
-    "density_peaks": _p(_D, _UP, "od AS (SELECT list(coalesce(delta, 1e18) ORDER BY coalesce(delta, 1e18)) AS l, (1 - 5.0 / count(*)) * (count(*) - 1) AS at FROM up), th AS (SELECT l[CAST(floor(at) AS BIGINT) + 1] + (at - floor(at)) * (l[CAST(floor(at) AS BIGINT) + 2] - l[CAST(floor(at) AS BIGINT) + 1]) AS t FROM od), ce AS (SELECT id FROM up, th WHERE coalesce(delta, 1e18) > t), tr(id, root) AS (SELECT id, id FROM ce UNION ALL SELECT up.id, tr.root FROM tr JOIN up ON up.higher = tr.id WHERE up.id NOT IN (SELECT id FROM ce)), nu AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM ce) SELECT up.id, up.rho, CAST(coalesce(n, -1) AS INTEGER) AS cluster FROM up LEFT JOIN tr ON tr.id = up.id LEFT JOIN nu ON nu.id = tr.root", recursive=True),
+    "density_peaks": _p(_D, _UP, "od AS (SELECT list(coalesce(delta, 1e18) ORDER BY coalesce(delta, 1e18)) AS l, (1 - 5.0 / count(*)) * (count(*) - 1) AS pos FROM up), th AS (SELECT l[CAST(floor(pos) AS BIGINT) + 1] + (pos - floor(pos)) * (l[CAST(floor(pos) AS BIGINT) + 2] - l[CAST(floor(pos) AS BIGINT) + 1]) AS t FROM od), ce AS (SELECT id FROM up, th WHERE coalesce(delta, 1e18) > t), tr(id, root) AS (SELECT id, id FROM ce UNION ALL SELECT up.id, tr.root FROM tr JOIN up ON up.higher = tr.id WHERE up.id NOT IN (SELECT id FROM ce)), nu AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM ce) SELECT up.id, up.rho, CAST(coalesce(n, -1) AS INTEGER) AS cluster FROM up LEFT JOIN tr ON tr.id = up.id LEFT JOIN nu ON nu.id = tr.root", recursive=True),
     "k_center_greedy": _greedy("SELECT id, x, y FROM p", 5, "SELECT CAST(s AS INTEGER) AS step, id, (SELECT round(max(d), 6) FROM g WHERE step = 4) AS radius FROM (SELECT 0 AS s, min(id) AS id FROM t UNION ALL SELECT step + 1, arg_max(id, (d, -id)) FROM g WHERE step < 4 GROUP BY step)"),
     "top_score_farthest": _greedy("SELECT id, x, y FROM p ORDER BY p.x DESC, id DESC LIMIT 15", 5, "SELECT CAST(s AS INTEGER) AS step, id FROM (SELECT 0 AS s, min(id) AS id FROM t UNION ALL SELECT step + 1, arg_max(id, (d, -id)) FROM g WHERE step < 4 GROUP BY step)"),
     "coverage": _q(*_BASE, "g(step, id, x, y, r, cluster) AS (SELECT 0, id, x, y, 0.1 + x / 10, -1 FROM p UNION ALL SELECT step + 1, id, x, y, r, CASE WHEN cluster = -1 AND free AND (x - fx) * (x - fx) + (y - fy) * (y - fy) <= fr * fr THEN step ELSE cluster END FROM (SELECT *, first_value(x) OVER o AS fx, first_value(y) OVER o AS fy, first_value(r) OVER o AS fr, first_value(cluster) OVER o = -1 AS free FROM g WHERE step < 4 WINDOW o AS (ORDER BY CASE WHEN cluster = -1 THEN 0 ELSE 1 END, r DESC, id)))", "SELECT id, cluster FROM g WHERE step = 4", recursive=True),
