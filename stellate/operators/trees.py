@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import written
 from .neighbors import gap_adjacency
 
 
@@ -223,6 +224,28 @@ def structural_entropy(points: DataFrame, ne: int = 5, gap: float = 0.2, depth:
     return level_entropy(encoding_trees(edges, depth), depth).groupBy("graph_id", F.col("point_id").alias("id")).agg(F.sum("entropy").alias("score"))
 
 
+def divided_trees(points: DataFrame, edges: DataFrame, block: int, depth: int = 2, seed: int = 0) -> DataFrame:
+    """tree_nodes of blocks of about `block` points (graph_id 0 and up) and of the graph of blocks (graph_id -1).
+
+    Blocks are k-means clusters; the weight between two blocks is the sum of their edges. Blocks are built in parallel, and each needs its own points and edges only."""
+    from .centres import k_means
+
+    k = max(2, -(-points.count() // block))
+    of = written(k_means(points, ["x", "y"], k, seed)[0].select("id", F.col("cluster").cast("long").alias("block")), "blocks")
+    both = written(edges.join(of.select(F.col("id").alias("i"), F.col("block").alias("bi")), "i").join(of.select(F.col("id").alias("j"), F.col("block").alias("bj")), "j"), "block-edges")
+    inner = both.where("bi = bj").select(F.col("bi").alias("graph_id"), "i", "j", "w")
+    outer = both.groupBy(F.col("bi").alias("i"), F.col("bj").alias("j")).agg(F.sum("w").alias("w")).select(F.lit(-1).cast("long").alias("graph_id"), "i", "j", "w")
+    return encoding_trees(inner.union(outer), depth)
+
+
+def up_dimension(points: DataFrame, ne: int = 5, gap: float = 0.2, depth: int = 3) -> DataFrame:
+    """id, x, y, z: the points with their structural entropy as a third coordinate, all scaled to 0..1."""
+    from .scaling import min_max
+
+    score = structural_entropy(points, ne, gap, depth).select("id", F.col("score").alias("z"))
+    return min_max(written(points.join(score, "id").select("id", "x", "y", "z"), "dimension"), ["x", "y", "z"])
+
+
 def outlier_scores(levels: DataFrame) -> DataFrame:
     """graph_id, point_id, score: the entropy of the highest level where it exceeds 1e-9, 1 if none, scaled to 0..1 in each graph."""
     found = levels.groupBy("graph_id", "point_id").agg(F.coalesce(F.max_by("entropy", F.when(F.col("entropy") > 1e-9, F.col("level"))), F.lit(1.0)).alias("raw"))

@@ -16,6 +16,7 @@ from ..operators import metrics as me
 from ..operators import neighbors as nb
 from ..operators import outliers as ol
 from ..operators import routes as ro
+from ..operators import sampling as sa
 from ..operators import scaling as sc
 from ..operators import scores as so
 from ..operators import trees as tr
@@ -443,6 +444,35 @@ def edge_rank(s: SparkSession, d: str) -> DataFrame:
     return r6(me.edge_rank(edges), "mean_rank")
 
 
+def batch_ids(s: SparkSession, d: str) -> DataFrame:
+    return sa.batches(points(s, d), 125).select("id", "batch")
+
+
+def swap_tuples(s: SparkSession, d: str) -> DataFrame:
+    return sa.subsets(points(s, d), "label", 3)
+
+
+def weighted_sample(s: SparkSession, d: str) -> DataFrame:
+    return sa.weighted_sample(points(s, d), 20, "x", seed=1).select("id")
+
+
+def poisson_sample(s: SparkSession, d: str) -> DataFrame:
+    return sa.poisson_sample(points(s, d), 20, "x", seed=1).select("id")
+
+
+def d2_seeding(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame(sa.d2_seeding(points(s, d), 5, seed=1), "centre int, x double, y double")
+
+
+def divided_trees(s: SparkSession, d: str) -> DataFrame:
+    p = points(s, d)
+    return tr.divided_trees(p, _graph(p), 100)
+
+
+def up_dimension(s: SparkSession, d: str) -> DataFrame:
+    return r6(tr.up_dimension(points(s, d)), "x", "y", "z")
+
+
 def generated_points(s: SparkSession, d: str) -> DataFrame:
     """Counts of generated points by distribution and label."""
     importable(s)
@@ -475,5 +505,5 @@ QUERIES = {f.__name__: f for f in (
     top_z, zone_accuracy, class_weights, graph_volumes, cut_volumes, partition_entropy, point_level_entropy, combine_deltas, structural_entropy, outlier_score, encoding_tree, dbscan, adaptive_dbscan,
     variable_eps_dbscan, density_peaks, k_center_greedy, top_score_farthest, coverage, k_medoids, lloyd, k_means_cost, swap_costs, local_search, multi_swap_search, regularised_k_means, feature_grid,
     best_features, coreset, outlier_pipeline, noisy_points, route_distances, route_features, subproblem_features, route_neighbors, route_clusters, angular_split, capacity_split, packed_routes,
-    cyclic_neighbors, rotated_stops, edge_rank, generated_points, generated_instances, graph_network,
+    cyclic_neighbors, rotated_stops, edge_rank, batch_ids, swap_tuples, weighted_sample, poisson_sample, d2_seeding, divided_trees, up_dimension, generated_points, generated_instances, graph_network,
 )}
