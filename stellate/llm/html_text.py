@@ -102,7 +102,6 @@ class Page:
             if closing:
                 for n in range(len(stack) - 1, 0, -1):
                     if stack[n][0] == tag:
-                        flush()
                         del stack[n:]
                         break
                     if tag not in BLOCKS and stack[n][0] in BLOCKS:
