@@ -38,7 +38,7 @@ FOR = frozenset("article body content entry hentry main post story text prose".s
 _TAG = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|data-state)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-GROUPS = {t: g for g, tags in enumerate(("article main", "section div body center", "nav menu", "header hgroup", "footer", "aside", "form fieldset button label select option legend dialog", "p blockquote pre figcaption", "h1", "h2 h3 h4 h5 h6", "ul ol dl dir", "li dt dd", "table tbody thead tfoot tr td th caption", "figure details summary address")) for t in tags.split()}
+GROUPS = {t: g for g, tags in enumerate(("article main", "section div body center", "nav menu", "header hgroup", "footer", "aside", "form fieldset button label select option legend dialog", "p blockquote pre figcaption", "h1", "h2 h3 h4 h5 h6", "ul dl dir", "ol", "li dt dd", "table tbody thead tfoot tr td th caption", "figure details summary address")) for t in tags.split()}
 N_GROUPS = len(set(GROUPS.values())) + 1
 
 
@@ -146,7 +146,7 @@ class Page:
         return (against, for_), int(state) if state and state.isdigit() and int(state) < 3 else None
 
     def features(self) -> list[tuple[int, ...]]:
-        """Of each block: its tag's group, its hints, link density and length of its whole text, and its own text's length and ending."""
+        """Of each block: its tag's group with the link density of its whole text, its hints, and its own text's length and ending."""
         n = len(self.tags)
         own: list[list[str]] = [[] for _ in range(n)]
         for at, text in self.segments:
@@ -162,14 +162,15 @@ class Page:
             length = 0 if not words else 1 if words < 4 else 2 if words < 12 else 3 if words < 40 else 4
             ending = 2 if not words else int(any(t[-1] in ".!?:;\"”»" for t in own[at]))
             against, for_ = self.hints[at]
-            out.append((GROUPS.get(self.tags[at], N_GROUPS - 1), against + 2 * for_, density, length, ending))
+            group = GROUPS.get(self.tags[at], N_GROUPS - 1)
+            out.append((group * 5 + density, against + 2 * for_, length, ending))
         return out
 
 
 class Model:
     """Log potentials: node[feature][value][state], edge[kind of child][parent's state][child's state], root[state]."""
 
-    SIZES = (N_GROUPS, 4, 5, 5, 3)
+    SIZES = (N_GROUPS * 5, 4, 5, 3)
 
     def __init__(self, pages: list[Page]):
         node = [[[0.5] * 3 for _ in range(s)] for s in self.SIZES]
@@ -201,7 +202,7 @@ class Model:
     @staticmethod
     def kind(values: tuple[int, ...]) -> int:
         """1 for children that are a part of the page, 0 for those that hold text only."""
-        return int(values[0] < 7 or values[0] == 10)
+        return int(values[0] // 5 < 7 or values[0] // 5 in (10, 11))
 
     def marginals(self, page: Page) -> list[list[float]]:
         """P(state) of each block, by messages from the leaves to the root and back."""
@@ -252,26 +253,26 @@ def labelled_page(rng: random.Random) -> str:
     link = lambda: f'<a href="/{word()}">{words(1, 3)}</a>'
 
     def el(tag: str, state: int, inner: str, name: str = "") -> str:
-        named = f' {rng.choice(("class", "class", "id"))}="{name}"' if name else ""
+        named = f' {rng.choice(("class", "class", "class", "id", "id", "role"))}="{name}"' if name else ""
         return f'<{tag}{named} data-state="{state}">{inner}</{tag}>'
 
     def links(state: int, tag: str = "ul") -> str:
         return el(tag, state, "".join(el("li", state, link()) for _ in range(rng.randint(3, 8)))) if rng.random() < 0.8 else " | ".join(link() for _ in range(rng.randint(2, 6)))
 
     def content() -> str:
-        parts = []
+        parts, block = [], rng.choice(("p", "p", "p", "p", "p", "div"))
         if rng.random() < 0.8:
             parts.append(el("h1", CONTENT, words(2, 12)))
         for _ in range(rng.choice((1, 2, 3, 5, 8, 12))):
             kind = rng.random()
             if kind < 0.72:
                 text = prose() if rng.random() < 0.85 else words(1, 6) + rng.choice((".", ""))
-                parts.append(el("p", CONTENT, text if rng.random() < 0.7 else f"{text} {link()} {prose()}"))
-            elif kind < 0.8:
+                parts.append(el(block, CONTENT, text if rng.random() < 0.7 else f"{text} {link()} {prose()}"))
+            elif kind < 0.79:
                 parts.append(el(rng.choice(("h2", "h3")), CONTENT, words(1, 8)))
-            elif kind < 0.86:
-                parts.append(el(rng.choice(("ul", "ol")), CONTENT, "".join(el("li", CONTENT, rng.choice((words(2, 9), sentence(), link() + " " + words(3, 9)))) for _ in range(rng.randint(2, 5)))))
-            elif kind < 0.9:
+            elif kind < 0.88:
+                parts.append(el(rng.choice(("ul", "ol")), CONTENT, "".join(el("li", CONTENT, rng.choice((words(2, 9), words(1, 3), sentence(), prose(1, 2), link() + " " + words(3, 9)))) for _ in range(rng.randint(2, 5)))))
+            elif kind < 0.91:
                 parts.append(el("blockquote", CONTENT, el("p", CONTENT, prose(1, 3))))
             elif kind < 0.93:
                 parts.append(el("table", CONTENT, "".join(el("tr", CONTENT, "".join(el("td", CONTENT, words(1, 4)) for _ in range(3))) for _ in range(3))))
@@ -292,6 +293,8 @@ def labelled_page(rng: random.Random) -> str:
         return el(rng.choice(("div", "section", "ul", "aside")), BOILERPLATE, (el("h3", BOILERPLATE, words(1, 3)) if rng.random() < 0.6 else "") + inner, rng.choice(("comments", "comment-list", "reader-comments", "discussion", "replies")))
 
     def notice() -> str:
+        if rng.random() < 0.2:
+            return el("p", BOILERPLATE, prose(1, 2), rng.choice(("notice", "cookie-notice", "alert", "disclaimer")))
         return el(rng.choice(("div", "section", "aside", "dialog")), BOILERPLATE, rng.choice((prose(1, 2), el("p", BOILERPLATE, prose(1, 2)))) + (el("button", BOILERPLATE, words(1, 2)) if rng.random() < 0.6 else ""), rng.choice(("cookie-notice", "cookie", "consent", "notice", "gdpr-banner", "alert", "privacy-popup")))
 
     def form() -> str:
@@ -306,7 +309,7 @@ def labelled_page(rng: random.Random) -> str:
         return el("div", BOILERPLATE, links(BOILERPLATE), rng.choice(("share", "social", "breadcrumbs", "pagination", "tags", "related-posts")))
 
     def wrapped(inner: str, state: int) -> str:
-        tag, name = rng.choice((("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article-body"), ("div", "post-content"), ("div", "entry"), ("section", "story"), ("section", ""), ("div", "")))
+        tag, name = rng.choice((("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article-body"), ("div", "post-content"), ("div", "entry"), ("div", "post"), ("section", "story"), ("section", ""), ("div", "")))
         return el(tag, state, inner, name)
 
     main = content()
@@ -318,7 +321,7 @@ def labelled_page(rng: random.Random) -> str:
         body = wrapped(main, CONTENT) if rng.random() < 0.9 else main
     if rng.random() < 0.3:
         body = el(rng.choice(("main", "div", "div")), MIXED if inside or "data-state=\"0\"" in body else CONTENT, body, rng.choice(("", "main", "page", "container")))
-    before = [f() for f, p in ((lambda: el("nav", BOILERPLATE, links(BOILERPLATE), rng.choice(("", "menu"))), 0.6), (lambda: el("header", BOILERPLATE, rng.choice((el("h1", BOILERPLATE, words(1, 3)), el("p", BOILERPLATE, sentence()), words(1, 4), el("div", BOILERPLATE, words(1, 3), "logo"))) + (links(BOILERPLATE) if rng.random() < 0.5 else ""), rng.choice(("", "site-header"))), 0.5), (lambda: el("div", BOILERPLATE, links(BOILERPLATE), rng.choice(("menu", "navbar", "nav", "topbar", "header"))), 0.3), (notice, 0.25), (ad, 0.4), (sidebar, 0.2)) if rng.random() < p]
+    before = [f() for f, p in ((lambda: el("nav", BOILERPLATE, links(BOILERPLATE), rng.choice(("", "menu"))), 0.6), (lambda: el("header", BOILERPLATE, rng.choice((el("h1", BOILERPLATE, words(1, 3)), el("p", BOILERPLATE, sentence()), words(1, 4), el("div", BOILERPLATE, words(1, 3), "logo"))) + (links(BOILERPLATE) if rng.random() < 0.5 else ""), rng.choice(("", "site-header"))), 0.5), (lambda: el("div", BOILERPLATE, links(BOILERPLATE), rng.choice(("menu", "navbar", "nav", "topbar", "header"))), 0.3), (lambda: el("div", BOILERPLATE, el("div", BOILERPLATE, words(1, 4)), rng.choice(("topbar", "header", "masthead"))), 0.15), (notice, 0.25), (ad, 0.4), (sidebar, 0.2)) if rng.random() < p]
     after = [f() for f, p in ((sidebar, 0.35), (comments, 0.35), (form, 0.25), (ad, 0.25), (notice, 0.2), (lambda: el("footer", BOILERPLATE, rng.choice((f"&copy; {words(1, 3)} {sentence()}", el("p", BOILERPLATE, prose(1, 2)), links(BOILERPLATE), words(1, 5)))), 0.7), (lambda: el("div", BOILERPLATE, rng.choice((prose(1, 2), links(BOILERPLATE))), rng.choice(("footer", "copyright", "legal"))), 0.25)) if rng.random() < p]
     rng.shuffle(before)
     return f'<html><head><title>{words(2, 6)}</title></head><body data-state="{MIXED if before or after or inside or chr(34) + "0" + chr(34) in body else CONTENT}">{"".join(before)}{body}{"".join(inside)}{"".join(after)}</body></html>'
