@@ -2,44 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def importable(spark: SparkSession) -> SparkSession:
-    """Python workers find this package where the driver has it, also if the driver was started without PYTHONPATH."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
-    return spark
+from ..plans.storage import importable, shared_folder, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a new local one that is then kept in the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def held_out(doc_id: Column | str, folds: int, fold: int = 1) -> Column:
