@@ -84,14 +84,13 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     slack = (2 - threshold) / threshold
     sizes = [len(b) for _, b in known]
     least = min(sizes) / slack
-    # a unit of w words has w - 1 bigrams at most; templates that repeat none have as many, others allow for as many repeats
-    most = 2 * max(sizes) * slack + 1
+    most = max(sizes) * slack
     text = F.coalesce(F.col("text"), F.lit(""))
     words = _anchors(known, slack)
     phrases = "|".join(w.replace(" ", "[^a-z0-9]+") for w in words if " " in w)
     anchored = lambda u: reduce(or_, [F.contains(u, F.lit(w)) for w in words if " " not in w], u.rlike(phrases) if phrases else F.lit(False))
-    # by length alone first: two letters and a space for each word at least, 40 at most on the mean
-    fits = lambda u: (F.length(u) >= 3 * least) & (F.length(u) <= 40 * most) & anchored(u)
+    # n bigrams take n + 1 words of a letter at least, and the spaces between
+    fits = lambda u: (F.length(u) >= 2 * least + 1) & anchored(u)
     some = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.lower(text).alias("_text")).where(anchored(F.col("_text")))
     units = F.array_distinct(F.concat(F.split("_text", "\n", -1), F.split("_text", r"\n[ \t]*\n", -1), F.array("_text")))
     grams = some.select("_row", "doc_id", F.explode(F.filter(units, fits)).alias("_unit")).select("_row", "doc_id", _bigrams(F.col("_unit")).alias("_grams")).where(F.size("_grams").between(least, most))
@@ -104,3 +103,20 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    quoted = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in TEMPLATES)
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+WITH t(license, w) AS (SELECT l, regexp_extract_all(lower(x), '[a-z0-9]+') FROM (VALUES {quoted}) v(l, x)), tg AS (SELECT license, {grams} AS grams FROM t),
+d AS (SELECT row_number() OVER () AS n, doc_id, lower(text) AS text FROM documents WHERE text IS NOT NULL),
+u AS (SELECT n, doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t]*\n'), [text]))) AS unit FROM d),
+g AS (SELECT n, doc_id, unit, {grams} AS grams FROM (SELECT n, doc_id, unit, regexp_extract_all(unit, '[a-z0-9]+') AS w FROM u) WHERE len(w) > 1),
+s AS (SELECT n, doc_id, unit, license, 2.0 * len(list_intersect(g.grams, tg.grams)) / (len(g.grams) + len(tg.grams)) AS dice FROM g, tg WHERE len(g.grams) BETWEEN len(tg.grams) / 1.5 AND len(tg.grams) * 1.5),
+b AS (SELECT *, row_number() OVER (PARTITION BY n, unit ORDER BY dice DESC, license) AS place FROM s WHERE dice >= {THRESHOLD})
+SELECT license, doc_id, round(max(dice), 6) AS dice, count(*) AS units FROM b WHERE place = 1 GROUP BY n, doc_id, license
+"""
+
+
+SQL = _sql()

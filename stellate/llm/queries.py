@@ -16,4 +16,4 @@ QUERIES = {
     "op9_main_text": html_text.op9_main_text,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
-ORACLE = {"op1_exact_top_k": topk.SQL, "op8_revisits": revisits.SQL}
+ORACLE = {"op1_exact_top_k": topk.SQL, "op7_license_scan": licenses.SQL, "op8_revisits": revisits.SQL}
