@@ -7,7 +7,7 @@ frequent grams are kept in a table of fixed size, all others rank first), then b
 between 1 and `LONGEST`: the one whose prefix costs least, by the estimated posting entries to scan and the candidates that
 would remain to be verified; a pair must share as many prefix grams as the smaller of its two l.
 
-Pairs are never expanded within groups of copies: first each posting list links its nodes to one hub, verified links
+Pairs are never expanded within groups of copies: first each posting list links its nodes to a few hubs, verified links
 are contracted to components, and only pairs of nodes in different components, of lists that still hold several, are
 generated and verified after that. Such pairs must pass the length and the position filter before they count.
 
@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import parallelism, sized, table, written
@@ -36,6 +36,8 @@ from .common import parallelism, sized, table, written
 WORDS, PERCENT = 4, 85
 #: Longest extra prefix; cost of verifying a candidate in posting entries.
 LONGEST, VERIFY_COST = 4, 16.0
+#: Nodes of a posting list that all of its others are held against before pairs are generated.
+HUBS = 4
 #: Words whose hashes a task remembers; grams that it gathers before it sends them on.
 REMEMBERED, CHUNK = 400_000, 2_000_000
 #: Bytes of the table of classes; frequent grams that it is filled from at most; grams count as frequent from here on.
@@ -286,12 +288,13 @@ def join_components(docs: DataFrame) -> DataFrame:
     live = rows.where("token >= 0").drop("doc_id")
     nodes = listed.where("doc_id is not null and size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
-    # each posting list's nodes and its hub, the smallest node of similar size
-    band = F.floor(F.log("size") / F.log(F.lit(100 / PERCENT)))
-    banded = live.withColumn("band", band)
-    hubs = banded.groupBy("token", "band").agg(F.min(F.struct("node", "size", "place", "l")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "band", "hub.*")
+    # each posting list's nodes and its hubs: the nodes of similar size that have fewest rarer grams, so the least changed copies
+    banded = live.withColumn("band", F.floor(F.log("size") / F.log(F.lit(100 / PERCENT))))
+    most_central = Window.partitionBy("token", "band").orderBy("place", "node")
+    hubs = banded.withColumn("n", F.row_number().over(most_central)).where(F.col("n") <= HUBS).drop("n")
     near = banded.alias("x").join(hubs.alias("h"), ["token", "band"]).where("x.node <> h.node").where(_may_link("x", "h"))
-    first = near.groupBy(F.col("h.node").alias("a"), F.col("x.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x.l", "h.l")).alias("l")).where("shared >= l").select("a", "b")
+    one_way = near.groupBy(F.col("h.node").alias("h"), F.col("x.node").alias("x")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x.l", "h.l")).alias("l")).where("shared >= l")
+    first = one_way.select(F.least("h", "x").alias("a"), F.greatest("h", "x").alias("b")).distinct()
     links = written(verified(first, docs, nodes), "links")
     known = components(links)
 
