@@ -39,7 +39,7 @@ LONGEST, VERIFY_COST = 4, 16.0
 #: Nodes of a posting list that all of its others are held against before pairs are generated.
 HUBS = 4
 #: Words whose hashes a task remembers; grams that it gathers before it sends them on.
-REMEMBERED, CHUNK = 400_000, 2_000_000
+REMEMBERED, CHUNK = 150_000, 1_000_000
 #: Bytes of the table of classes; frequent grams that it is filled from at most; grams count as frequent from here on.
 TABLE, FREQUENT, LEAST_FREQUENT = 1 << 22, 1 << 19, 8
 #: Bits of a gram's hash that posting lists go by (verification takes all 64).
