@@ -27,7 +27,7 @@ from .common import table
 
 CAPACITY, END_ID, LINEAR = 1024, 0, 1.0
 #: Documents that a task packs together, and words whose ids a task remembers.
-BLOCK_DOCS, REMEMBERED = 2048, 400_000
+BLOCK_DOCS, REMEMBERED = 2048, 200_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 _SPACE = "\\s\\x1c-\\x1f\\x85"
 _CUT_UNSAFE = re.compile(f"[{_SPACE}] | [{_SPACE}]|^ | $")
