@@ -10,8 +10,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a batch between the JVM and Python, instead of Spark's default of 10,000: texts are long, and both sides hold a batch.
+BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
 def importable(spark: SparkSession) -> SparkSession:
-    """Python workers find this package where the driver has it, also if the driver was started without PYTHONPATH."""
+    """Python workers find this package where the driver has it, also if the driver was started without PYTHONPATH.
+
+    Arrow batches are made smaller where the session has Spark's default."""
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
