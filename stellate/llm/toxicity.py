@@ -12,8 +12,8 @@ from a bounded sample of labelled training rows (`SAMPLE` rows, by hash order of
 calibration. Labels of held-out rows, lang, source and doc_id never enter a score.
 
 Defined results: null and empty texts score as texts without any match; repeated rows score alike; a null doc_id
-counts as the empty text in the fold; without labelled rows of both kinds the lexicon is empty and every score is
-the same; an empty table gives an empty result; extra columns are ignored.
+counts as the empty text in the fold; without labelled rows of both kinds the lexicon is empty and only threats
+raise a score; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,13 +94,11 @@ class Lexicon:
     def __init__(self, words: dict[str, float], beginnings: dict[str, float]):
         self.words, self.beginnings = words, beginnings
         self.sizes = sorted({len(b) for b in beginnings}, reverse=True)
-        self.stems = sorted({w for w in words} | set(beginnings))
+        self.stems = sorted({*words, *beginnings, *THREAT})
         self.finder = None
 
     def may_match(self, text: str) -> bool:
-        """Whether any entry stands anywhere in the (lower-case) text: most texts need no more than this."""
-        if not self.stems:
-            return False
+        """Whether any entry or threat stands anywhere in the (lower-case) text; all others score 0, and most texts need no more than this."""
         if self.finder is None:
             import ahocorasick
 

@@ -216,6 +216,19 @@ def test_toxicity(spark, edge, empty):
     assert toxicity.score(edge, none).count() == len(EDGE) and toxicity.score(empty, model).count() == 0
 
 
+def test_threats_score_without_insults(spark):
+    for lexicon in (toxicity.Lexicon({}, {}), toxicity.Lexicon({"idiot": 3.0}, {"vequ": 3.0})):
+        raw = lambda t: toxicity.raw_score(t, lexicon)
+        assert raw("I will kill you") > 0 and raw("ich werde dich töten") > raw("ich werde töten") > raw("nicht töten") > 0
+        assert raw("I will kill you") == raw("I will kill you, idiotically") and raw("nothing here") == raw("skill and beaten you") == raw("") == raw(None) == 0
+        for t in ("we beat them", "you idiot", "vequant. not a word", "they said kill", "MATAR!", "plain words"):
+            assert raw(t) == math.log1p(sum(toxicity.clause_scores(t.lower(), lexicon)))
+    model = toxicity.Model(toxicity.Lexicon({"idiot": 3.0}, {}), 1.0, -2.0)
+    rows = [(1, "I will kill you"), (2, ""), (3, "plain words")]
+    got = {r.doc_id: r.toxicity for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1] > got[2] == got[3]
+
+
 def test_license_scan(spark, edge, empty):
     mit = dict(licenses.TEMPLATES[::-1])["MIT"]
     rows = [(1, "text\nReleased under the MIT License.\nmore"), (2, licenses._MIT.upper().replace(". ", ".\n")), (3, "licensed under cc by-nc 4.0"), (4, "under the license of nature we do as we like here"), (5, None)]
