@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from stellate.llm import decontaminate, ngram_join, packing, pii, toxicity
 from stellate.llm.common import importable, table, written
 
+#: Near duplicates share this percentage of their distinct word shingles of this size.
+SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the model learns from the labels' training fold."""
@@ -18,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document of the smallest doc_id stays."""
     importable(spark)
-    return ngram_join.without_copies(docs)
+    return ngram_join.without_copies(docs, SHINGLE_WORDS, SHINGLE_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

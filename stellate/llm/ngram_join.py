@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import parallelism, sized, table, written
 
-#: Words of a gram and the threshold in percent.
+#: Words of a gram and the threshold in percent, unless the caller gives others.
 WORDS, PERCENT = 4, 85
 #: Longest extra prefix; cost of verifying a candidate in posting entries.
 LONGEST, VERIFY_COST = 4, 16.0
@@ -76,17 +76,17 @@ def node_of(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def least_overlap(n):
+def least_overlap(n, percent: int = PERCENT):
     """Grams that a set of n shares at least with a set it links to."""
-    return (n * PERCENT + 99) // 100
+    return (n * percent + 99) // 100
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], n_words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     """(doc_id, grams) of about CHUNK grams at a time; texts come as bytes."""
     grams, held, size = Grams(), [], 0
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held.append((doc_id, grams.of(text)))
+            held.append((doc_id, grams.of(text, n_words)))
             size += len(held[-1][1])
             if size >= CHUNK:
                 yield held
@@ -100,9 +100,9 @@ def _buckets(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(tokens, (np.arange(buckets + 1, dtype=np.float64) * (2.0**BITS / buckets)).astype(np.uint64))
 
 
-def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], buckets: int, n_words: int) -> Iterator[pa.RecordBatch]:
     """Distinct shortened grams of each chunk with their counts, cut into buckets; differences of sorted hashes compress well."""
-    for docs in _chunks(batches):
+    for docs in _chunks(batches, n_words):
         tokens = np.concatenate([g for _, g in docs]) >> np.uint64(64 - BITS)
         tokens, counts = np.unique(tokens, return_counts=True)
         at = _buckets(tokens, buckets)
@@ -131,10 +131,10 @@ def _frequent(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["class", "n", "tokens"])
 
 
-def frequency_classes(docs: DataFrame) -> bytes:
+def frequency_classes(docs: DataFrame, n_words: int = WORDS) -> bytes:
     """A table of TABLE bytes: at a gram's hash (modulo TABLE) its frequency class, 0 for all that are rare."""
     buckets = parallelism(docs.sparkSession)
-    counted = docs.mapInArrow(lambda b: _count(b, buckets), "bucket int, first long, steps binary, counts binary")
+    counted = docs.mapInArrow(lambda b: _count(b, buckets, n_words), "bucket int, first long, steps binary, counts binary")
     classes = written(counted.groupBy("bucket").applyInPandas(_frequent, "class long, n long, tokens binary"), "classes")
     sizes = {r["class"]: r["n"] for r in classes.groupBy("class").agg(F.sum("n").alias("n")).collect()}
     out, total, cut = np.zeros(TABLE, np.uint8), 0, None
@@ -150,12 +150,12 @@ def frequency_classes(docs: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def prefix(grams: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, int]:
+def prefix(grams: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """The shortened grams of a set's adaptive prefix in the common order, and its l."""
     tokens = grams >> np.uint64(64 - BITS)
     own = classes[(tokens % np.uint64(TABLE)).astype(np.int64)]
     order = np.lexsort((grams, own))
-    n, need = len(grams), least_overlap(len(grams))
+    n, need = len(grams), least_overlap(len(grams), percent)
     longest = min(LONGEST, need)
     entries = np.cumsum(np.where(own[order] > 0, 2.0 ** own[order], 1.0) - 1.0)
     lengths = n - need + np.arange(1, longest + 1)
@@ -164,17 +164,17 @@ def prefix(grams: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, int]:
     return tokens[order[: lengths[at]]], at + 1
 
 
-def _post(batches: Iterator[pa.RecordBatch], table_of_classes: bytes, buckets: int) -> Iterator[pa.RecordBatch]:
+def _post(batches: Iterator[pa.RecordBatch], table_of_classes: bytes, buckets: int, n_words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Prefix postings of each chunk's nodes, and its documents with their nodes, cut into buckets."""
     classes = np.frombuffer(table_of_classes, np.uint8)
-    for docs in _chunks(batches):
+    for docs in _chunks(batches, n_words):
         own = {}  # node -> (size, l, prefix)
         listed = []
         for doc_id, grams in docs:
             node = node_of(grams)
             listed.append((doc_id, len(grams), node))
             if doc_id is not None and len(grams) and node not in own:
-                own[node] = (len(grams), *prefix(grams, classes)[::-1])
+                own[node] = (len(grams), *prefix(grams, classes, percent)[::-1])
         nodes = np.array([[k, n, size] for k, (n, size, _) in own.items()], np.int64).reshape(-1, 3)
         lengths = np.array([len(p) for _, _, p in own.values()], np.int64)
         tokens = np.concatenate([p for _, _, p in own.values()]) if own else np.empty(0, np.uint64)
@@ -224,39 +224,43 @@ def _live(frame: pd.DataFrame) -> pd.DataFrame:
     return out[["doc_id", "node", "size", "token", "place", "l"]]
 
 
-def _may_link(a: str, b: str) -> str:
+def _may_link(a: str, b: str, percent: int) -> str:
     """SQL for the length and the position filter of two postings of one gram: a linked pair's first l common grams pass."""
-    need = f"(({a}.size + {b}.size) * {PERCENT} + {100 + PERCENT - 1}) div {100 + PERCENT}"
-    return f"100 * least({a}.size, {b}.size) >= {PERCENT} * greatest({a}.size, {b}.size) and least({a}.size - {a}.place, {b}.size - {b}.place) + least({a}.l, {b}.l) - 1 >= {need}"
+    need = f"(({a}.size + {b}.size) * {percent} + {100 + percent - 1}) div {100 + percent}"
+    return f"100 * least({a}.size, {b}.size) >= {percent} * greatest({a}.size, {b}.size) and least({a}.size - {a}.place, {b}.size - {b}.place) + least({a}.l, {b}.l) - 1 >= {need}"
 
 
-def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
+def _linked(a: pd.Series, b: pd.Series, percent: int) -> pd.Series:
     def test(x: bytes, y: bytes) -> bool:
         x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
         both = np.concatenate([x, y])
         both.sort()
         shared = int((both[1:] == both[:-1]).sum())
-        return 100 * shared >= PERCENT * (len(both) - shared)
+        return 100 * shared >= percent * (len(both) - shared)
 
     return pd.Series([test(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], n_words: int) -> Iterator[pa.RecordBatch]:
     grams = Grams()
     for batch in batches:
-        own = [grams.of(t) for t in batch.column(1).to_pylist()]
+        own = [grams.of(t, n_words) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([node_of(g) for g in own], pa.int64()), pa.array([g.astype("<u8").tobytes() for g in own], pa.binary())], names=["node", "grams"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Those of pairs (a, b) that link. Sets are made anew from the texts of one document for each node that is in a pair."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = written(nodes.join(needed, "node", "left_semi").select("node", "doc_id"), "needed")
     texts = docs.join(sized(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(_sets, "node long, grams binary").join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = written(texts.mapInArrow(lambda b: _sets(b, n_words), "node long, grams binary").join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     with_a = pairs.join(sets.withColumnsRenamed({"node": "a", "grams": "grams_a"}), "a")
     with_both = with_a.join(sets.withColumnsRenamed({"node": "b", "grams": "grams_b"}), "b")
-    return with_both.where(F.pandas_udf(_linked, "boolean")("grams_a", "grams_b")).select("a", "b")
+
+    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+        return _linked(a, b, percent)
+
+    return with_both.where(F.pandas_udf(linked, "boolean")("grams_a", "grams_b")).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -276,26 +280,26 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0) if labels is None else labels
 
 
-def join_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_grams, component_id for each row of docs (doc_id, text)."""
+def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_grams, component_id for each row of docs (doc_id, text), by grams of `words` words (8 at most) and a Jaccard of `percent` hundredths."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     buckets = parallelism(spark)
-    sent = spark.sparkContext.broadcast(frequency_classes(docs))
-    posted = docs.mapInArrow(lambda b: _post(b, sent.value, buckets), "bucket int, low binary, high binary, local binary, place binary, nodes binary, doc_ids array<long>, docs binary")
+    sent = spark.sparkContext.broadcast(frequency_classes(docs, words))
+    posted = docs.mapInArrow(lambda b: _post(b, sent.value, buckets, words, percent), "bucket int, low binary, high binary, local binary, place binary, nodes binary, doc_ids array<long>, docs binary")
     rows = written(posted.groupBy("bucket").applyInPandas(_live, LIVE), "postings")
     listed = rows.where("token < 0").select("doc_id", "size", "node")
     live = rows.where("token >= 0").drop("doc_id")
     nodes = listed.where("doc_id is not null and size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     # each posting list's nodes and its hubs: the nodes of similar size that have fewest rarer grams, so the least changed copies
-    banded = live.withColumn("band", F.floor(F.log("size") / F.log(F.lit(100 / PERCENT))))
+    banded = live.withColumn("band", F.floor(F.log("size") / F.log(F.lit(100 / percent))))
     most_central = Window.partitionBy("token", "band").orderBy("place", "node")
     hubs = banded.withColumn("n", F.row_number().over(most_central)).where(F.col("n") <= HUBS).drop("n")
-    near = banded.alias("x").join(hubs.alias("h"), ["token", "band"]).where("x.node <> h.node").where(_may_link("x", "h"))
+    near = banded.alias("x").join(hubs.alias("h"), ["token", "band"]).where("x.node <> h.node").where(_may_link("x", "h", percent))
     one_way = near.groupBy(F.col("h.node").alias("h"), F.col("x.node").alias("x")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x.l", "h.l")).alias("l")).where("shared >= l")
     first = one_way.select(F.least("h", "x").alias("a"), F.greatest("h", "x").alias("b")).distinct()
-    links = written(verified(first, docs, nodes), "links")
+    links = written(verified(first, docs, nodes, words, percent), "links")
     known = components(links)
 
     # pairs between components, of lists that hold several; a list's largest component meets the others only
@@ -303,23 +307,23 @@ def join_components(docs: DataFrame) -> DataFrame:
     largest = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1").select("token", "largest")
     shared = labelled.join(largest, "token")
     few = shared.where("component <> largest")
-    between = few.alias("x").join(shared.alias("y"), F.col("x.token") == F.col("y.token")).where("x.component <> y.component and (y.component = y.largest or x.node < y.node)").where(_may_link("x", "y"))
+    between = few.alias("x").join(shared.alias("y"), F.col("x.token") == F.col("y.token")).where("x.component <> y.component and (y.component = y.largest or x.node < y.node)").where(_may_link("x", "y", percent))
     more = between.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x.l", "y.l")).alias("l")).where("shared >= l").select("a", "b")
     more = written(more, "candidates")
     if not more.isEmpty():
-        known = components(links.union(verified(more, docs, nodes)))
+        known = components(links.union(verified(more, docs, nodes, words, percent)))
     ids = nodes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_node = ids.join(smallest, "component").select("node", "component_id")
     return listed.join(of_node, "node", "left").select("doc_id", F.col("size").alias("n_grams"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
+def without_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without all documents of a component but the one of the smallest doc_id, and with repeated rows of it once.
 
     Rows without doc_id stay. Rows of one doc_id with different texts stay or go as each one's component says only
     if they go all; otherwise all of them stay."""
-    groups = written(join_components(docs), "components")
+    groups = written(join_components(docs, words, percent), "components")
     keep = F.max(F.col("doc_id") == F.col("component_id"))
     gone = sized(groups.where("doc_id is not null").groupBy("doc_id").agg(keep.alias("keep")).where(~F.col("keep")).select("doc_id"))
     repeated = sized(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
@@ -329,4 +333,4 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_components(table(spark, sf_dir, "documents")).withColumnRenamed("n_grams", "n_shingles")
+    return join_components(table(spark, sf_dir, "documents"), WORDS, PERCENT).withColumnRenamed("n_grams", "n_shingles")

@@ -1,5 +1,8 @@
 """The corpus pipeline, stage by stage on small tables."""
 
+import itertools
+import random
+
 import corpus_pipeline
 from stellate.llm import decontaminate, ngram_join, toxicity
 from stellate.llm.common import written
@@ -24,3 +27,43 @@ def test_stages_take_effect(spark, data):
     assert ids(kept["decontamination"]) == ids(inputs["decontamination"]) - ids(found)
     assert ids(kept["pii"]) == ids(inputs["pii"]) == ids(kept["packing"])
     assert kept["packing"].groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").isEmpty()
+
+
+def _kept_by_brute_force(texts, words=5, percent=80):
+    sets = {}
+    for d, t in texts:
+        w = t.lower().split()
+        sets[d] = {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {find(d) for d in sets}
+
+
+def test_near_duplicates_equal_brute_force(spark, data):
+    rng = random.Random(8)
+    fresh = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    base, other = fresh(1000), fresh(1000)
+    spread = [w if n % 50 != 25 else "changed" + str(n) for n, w in enumerate(other)]
+    texts = [base, base[:820], other, spread, base[:500]]
+    for _ in range(10):
+        own = fresh(rng.choice((5, 30, 120)))
+        for changes in (0, 1, 1, 2, 3):
+            w = list(own)
+            for _ in range(changes):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(10**6)}"
+            texts.append(w[: rng.randint(len(w) * 4 // 5, len(w))])
+    rows = [(n, " ".join(w)) for n, w in enumerate(texts)]
+    want = _kept_by_brute_force(rows)
+    assert 1 not in want and 3 not in want and 4 in want
+    assert want != _kept_by_brute_force(rows, 4, 85)
+    kept = corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), data)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
