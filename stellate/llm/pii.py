@@ -5,6 +5,7 @@ pattern: `regexp_extract_all` gives the matches, `split` the gaps between them,
 give exact code-point positions in time linear in the text. The patterns use possessive quantifiers and start
 only at the beginning of a run (or where the last match ended), so that they need no backtracking and no
 recursion on long runs, and match exactly what their plain forms match.
+An account number ends after as many characters as its country has, so words that follow it are not taken for its last groups.
 
 Defined results: a null text counts as empty; repeated rows and repeated doc_ids each give a row; a null
 doc_id is kept; an empty table gives an empty result; columns other than doc_id and text are ignored.
@@ -58,13 +59,27 @@ class Kind:
     raise_by: float = 0.3
 
 
+#: Characters of an IBAN by country: the registry's, and those in use without being registered.
+IBAN_LENGTHS = {
+    n: codes.split()
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+        28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+_KNOWN = "|".join(c for codes in IBAN_LENGTHS.values() for c in codes)
+# as many characters as the country has, whatever follows; or else a longest run that stops before another IBAN
+_IBAN = "|".join(rf"(?:{'|'.join(codes)})[0-9]{{2}}(?:\x20?+[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, codes in IBAN_LENGTHS.items())
+_IBAN = rf"(?<![A-Za-z0-9])(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20(?:{_KNOWN})[0-9]{{2}})\x20?+[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = (
     Kind("email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), lambda t: F.contains(t, F.lit("@")), 0.7, "mail|contact|correo|courriel|kontakt"),
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), lambda t: t.rlike(r"[0-9]\.[0-9]"), 0.6, r"\bip\b|server|host|address|adresse"),
     Kind("card", r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?+[0-9])++", _luhn, lambda t: t.rlike("[0-9][ -]?[0-9]"), 0.6, "card|visa|credit|carte|karte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), lambda t: F.contains(t, F.lit("+")), 0.6, "phone|tel|call|mobile|telefon"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", _mod97, lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), 0.7, "iban|account|konto|compte|cuenta"),
+    Kind("iban", _IBAN, _mod97, lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), 0.7, "iban|account|konto|compte|cuenta"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), lambda t: t.rlike("[0-9]-[0-9]{2}-[0-9]"), 0.3, r"\bssn\b|social security"),
 )
 #: Added spans below this score are left out; base spans always stay.

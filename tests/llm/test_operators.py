@@ -126,6 +126,23 @@ def test_personal_data_equals_regex(spark, docs, edge, empty):
     assert hashlib.sha256(b"").hexdigest() in {r.base_sha256 for r in queries.QUERIES["op3_pii_spans"](spark, "/root/testdata/sf0.001").limit(50).collect()}
 
 
+def test_account_numbers_before_words(spark):
+    german, british, norwegian, maltese = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    unknown = next(u for n in range(98) if int("".join(str(int(c, 36)) for c in "123456789012ZZ") + f"{n:02}") % 97 == 1 for u in [f"ZZ{n:02} 1234 5678 9012"])
+    texts = {}  # text -> its account numbers
+    for number in (german, british, norwegian, maltese, unknown):
+        for own in (number, number.replace(" ", "")):
+            texts |= {t.format(own): [own] for t in ("{} Bitte zahlen", "Konto {}", "an {}. Bitte", "{}, BIC X", "({}) A")}
+    for number in (german, british, norwegian, maltese):
+        for own in (number, number.replace(" ", "")):
+            texts |= {t.format(own): [own] for t in ("IBAN {} BIC DEUTDEFF", "{} A B C D", "{} 12 EUR", "REF AB12 3456 7890 1234 {} DANKE")}
+    texts |= {f"{german} {british} UND {norwegian}": [german, british, norwegian], f"{german[:-1]}1 Bitte {british}": [british], f"X{german} {german}7 Bitte": []}
+    got = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {t: [t[s.start : s.end] for s in r.spans if s.kind == "iban"] for r in got for t in [list(texts)[r.doc_id]]} == texts
+    row = spark.createDataFrame([(1, f"an {german} Bitte {british} BIC")], "doc_id long, text string")
+    assert pii.mask(row, tuple(k for k in pii.KINDS if k.name == "iban")).first().text == "an [IBAN] Bitte [IBAN] BIC"
+
+
 def test_masking_keeps_the_rest(spark):
     row = spark.createDataFrame([(1, "mail a@b.co now, ip 1.2.3.4; 300.1.1.1", 0)], "doc_id long, text string, n_chars long")
     assert pii.mask(row).first().asDict() == {"doc_id": 1, "text": "mail [EMAIL] now, ip [IP]; 300.1.1.1", "n_chars": 36}
