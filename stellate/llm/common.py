@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import importable, shared_folder, written  # noqa: F401
+from ..plans.storage import discard, importable, shared_folder, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +35,25 @@ def sized(ids: DataFrame) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def release() -> None:
+    """Gives memory that a task freed back to the system: Python workers are used again, and keep what they once had otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def lean(task: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A task's generator that gives its memory back when it ends."""
+
+    @functools.wraps(task)
+    def run(*args, **named) -> Iterator:
+        try:
+            yield from task(*args, **named)
+        finally:
+            release()
+
+    return run

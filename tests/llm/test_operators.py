@@ -357,3 +357,18 @@ def test_ngram_join_equals_brute_force(spark, edge, empty):
     assert ngram_join.join_components(empty).count() == 0
     kept = ngram_join.without_copies(edge)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6", "None"] and kept.columns == edge.columns
+
+
+def test_ngram_join_of_a_chain_of_copies(spark):
+    rng = random.Random(9)
+    words = [f"c{n}" for n in range(90)]
+    texts = [(n, f"d{n} e{n} f{n} g{n} h{n}") for n in range(40)]
+    for n in range(2000):  # every third text changes the last one's base for good, so that far ones don't link
+        w = list(words)
+        if rng.random() < 0.7:
+            w[rng.randrange(90)] = f"x{n}"
+        texts.append((len(texts), " ".join(w)))
+        if n % 3 == 0:
+            words[rng.randrange(90)] = f"y{n % 300}"
+    got = {r.doc_id: (r.n_grams, r.component_id) for r in ngram_join.join_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == _components(texts)
