@@ -9,7 +9,8 @@ last sequence of a task is cut at powers of two, where sequences need no padding
 
 Defined results: a null text counts as empty, and an empty text still has its end id; repeated rows are documents each;
 doc_id may be null; texts of any length are packed whole; columns other than doc_id and text are ignored; an
-empty table gives an empty result. Text that spells a special token is ordinary text.
+empty table gives an empty result. Where a text spells the vocabulary's special token, it gets that token's id, as the
+tokenizer has it.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import lean, table
 
 CAPACITY, END_ID, LINEAR = 1024, 0, 1.0
-#: Documents that a task packs together, and words whose ids a task remembers.
-BLOCK_DOCS, REMEMBERED = 2048, 200_000
+#: Documents, or tokens, that a task packs together, and words whose ids a task remembers.
+BLOCK_DOCS, BLOCK_TOKENS, REMEMBERED = 2048, 2_000_000, 150_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 _SPACE = "\\s\\x1c-\\x1f\\x85"
 _CUT_UNSAFE = re.compile(f"[{_SPACE}] | [{_SPACE}]|^ | $")
@@ -38,15 +39,12 @@ class WordIds(dict):
 
     Word by word gives the ids of the whole text then; texts with other runs of white space are encoded as one."""
 
-    def __init__(self, ranks_path: str | None = None):
-        import base64
-
+    def __init__(self, path: str | None = None):
         import public_tokenizers
-        import tiktoken
+        from tokenizers import Tokenizer
 
-        with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+        self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -131,8 +129,9 @@ def cut_at_powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, in
     return out
 
 
-def _packed(batches: Iterator[pa.RecordBatch], ranks_path: str | None, capacity: int) -> Iterator[pa.RecordBatch]:
-    words, end = WordIds(ranks_path), np.array([END_ID], "<u4").tobytes()
+@lean
+def _packed(batches: Iterator[pa.RecordBatch], tokenizer_path: str | None, capacity: int) -> Iterator[pa.RecordBatch]:
+    words, end = WordIds(tokenizer_path), np.array([END_ID], "<u4").tobytes()
     first, made = TaskContext.get().partitionId() << 40, 0
     unfilled: list[tuple] = []  # pieces: doc_id, start, ids as bytes, tokens of the document
 
@@ -158,12 +157,14 @@ def _packed(batches: Iterator[pa.RecordBatch], ranks_path: str | None, capacity:
         return rows(full)
 
     docs: list[tuple[int | None, bytes]] = []
+    size = 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            docs.append((doc_id, (words.ids(text) if text else b"") + end))
-            if len(docs) >= BLOCK_DOCS:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            docs.append((doc_id, (words.ids(text.as_py()) if text.is_valid else b"") + end))
+            size += len(docs[-1][1]) // 4
+            if len(docs) >= BLOCK_DOCS or size >= BLOCK_TOKENS:
                 yield block(docs)
-                docs = []
+                docs, size = [], 0
     if docs:
         yield block(docs)
     if unfilled:
@@ -171,12 +172,12 @@ def _packed(batches: Iterator[pa.RecordBatch], ranks_path: str | None, capacity:
         yield rows([[(unfilled[n][0], unfilled[n][1] + s, unfilled[n][2][4 * s : 4 * (s + size)], unfilled[n][3]) for n, s, size in seq] for seq in last])
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None) -> DataFrame:
     """A row for each piece of docs (doc_id, text): where it lies in its document and in its sequence.
 
-    ranks_path: the byte-level BPE's ranks; None takes the 50k vocabulary of public_tokenizers."""
+    tokenizer_path: a tokenizers file of a byte-level BPE; None takes the 50k vocabulary of public_tokenizers."""
     ids = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    return ids.mapInArrow(lambda batches: _packed(batches, ranks_path, capacity), SCHEMA)
+    return ids.mapInArrow(lambda batches: _packed(batches, tokenizer_path, capacity), SCHEMA)
 
 
 def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
