@@ -44,8 +44,14 @@ def test_top_k_edges(spark):
     nan = float("nan")
     rows = [(0, [0.5, 0.5]), (0, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [nan, 1.0]), (5, [1.0]), (None, [1.0, 1.0]), (6, [-0.0001, 0.0]), (7, [None, 1.0])]
     v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
-    got = topk.top_k(v, v.where("vec_id = 0").limit(1), 2).orderBy("rank").collect()
-    assert [(r.vec_id, r.score) for r in got] == [(1, 2 * 512 * 512), (2, 2 * 512 * 512)]
+    got = topk.top_k(v, v.where("vec_id = 0"), 2).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 2 * 512 * 512), (0, 2, 2, 2 * 512 * 512)]
+    large = spark.createDataFrame([(0, [5000.0, 3e5], "x"), (1, [-5000.0, 3e5], "x"), (2, [2.0**40, 1.0], "x"), (3, [3e38, 3e38], "x")], "vec_id long, embedding array<float>, v string")
+    v2 = topk.quantised(large, "vec_id", "embedding")
+    vectors = {r.vec_id: r.v for r in v2.collect()}
+    for r in topk.top_k(v2, v2, 3).collect():
+        assert r.score == max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(vectors[r.query_id], vectors[r.vec_id], strict=True))))
+    assert [r.vec_id for r in topk.top_k(v2, v2.where("vec_id = 0"), 3).orderBy("rank").collect()] == [2, 3, 1]
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
     assert topk.top_k(v, v.where("vec_id = 6"), 10).count() == 4
 
@@ -63,6 +69,19 @@ def test_pruned_search_equals_brute_force():
         assert [(-a, b) for a, b in zip(*best[n], strict=True)] == want
 
 
+def test_clusters_are_passed_over(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    m = np.floor(np.repeat(rng.normal(size=(16, 32)), 256, axis=0) * 1000 + rng.normal(size=(4096, 32)) * 30)
+    best = [(np.empty(0), np.empty(0, np.int64)) for _ in range(64)]
+    scored = topk.search_gathered(np.arange(64), m[:64], np.arange(4096), m, best, 10)
+    assert scored < 0.3 * 64 * 16
+    rows = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in enumerate(rng.normal(size=(200, 3)))], "vec_id long, embedding array<double>")
+    v = topk.quantised(rows, "vec_id", "embedding")
+    want = sorted(map(tuple, topk.top_k(v, v, 5).collect()))
+    monkeypatch.setattr(topk, "CHUNK_BYTES", 2000)
+    assert sorted(map(tuple, topk.top_k(v, v, 5).collect())) == want and len(want) == 1000
+
+
 def test_pack_covers_all_and_fills():
     rng = random.Random(1)
     for _ in range(50):
@@ -85,7 +104,6 @@ def test_packing_equals_the_tokenizer(spark, edge, docs, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     texts = [(1000 + k, t) for k, t in enumerate(["a  b", " a \n b", "x\n y", "tab\t z ", "don't 's <|endoftext|> é  ü", *docs.text[:30]])] + [r for r in EDGE if r[0] not in (2, None)]
     got = packing.pack_documents(spark.createDataFrame(texts, "doc_id long, text string")).toPandas()
     for doc_id, text in texts:
@@ -280,10 +298,14 @@ def test_revisits_equal_sql(spark, data):
 
 
 def test_revisit_rules(spark):
-    rows = [(1, "HTTP://www.A.com:80/x/?b=2&a=1&utm_source=q#f", 0, "response", '"1"', None, {"ETag": '"1"', "content-type": "t"}), (2, "https://a.com/x?a=1&b=2", 200_000, "revisit", 'W/"1"', None, {"date": "d", "server": "s"}), (3, "a.com/x?a=1&b=2", 300_000, "response", None, "lm", {}), (4, "a.com/x?a=1&b=2", 300_001, "revisit", None, "lm", None), (5, "a.com/x?a=1&b=2", 300_002, "revisit", None, None, {}), (6, None, 5, "revisit", '"1"', None, {})]
-    got = {r.record_id: r for r in revisits.resolve(spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>")).collect()}
+    SCHEMA = "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>"
+    rows = [(1, "HTTP://www.A.com:80/x/?b=2&a=1&utm_source=q#f", 0, "response", '"1"', None, {"ETag": '"1"', "content-type": "t"}), (2, "https://a.com/x?a=1&b=2", 200_000, "revisit", 'W/"1"', None, {"date": "d", "server": "s"}), (3, "a.com/x?a=1&b=2", 300_000, "response", None, "lm", {}), (4, "a.com/x?a=1&b=2", 300_001, "revisit", None, "lm", None), (5, "a.com/x?a=1&b=2", 300_002, "revisit", None, None, {}), (6, None, 5, "revisit", '"1"', None, {}), (7, None, 0, "response", '"1"', None, {}), (8, "", 6, "revisit", '"1"', None, {}), (9, "B.org", 10, "response", '"9"', None, {"Date": "old", "X-Own": "x", "ETag": '"9"'}), (10, "b.org/", 20, "revisit", '"9"', None, {"date": "new", "CACHE-control": "c", "x-own": "y"}), (11, "c.org", None, "response", '"3"', None, {"a": "b"}), (12, "c.org", 1, "revisit", '"3"', None, None), (12, "c.org", 1, "revisit", '"3"', None, None), (13, "c.org", 2, "metadata", '"3"', None, None)]
+    got = {r.record_id: r for r in revisits.resolve(spark.createDataFrame([(*r, "clash") for r in rows], f"{SCHEMA}, slice string")).collect()}
     assert got[2].url == "a.com/x?a=1&b=2" and got[2].target_id == 1 and got[2].valid and got[2].headers == {"ETag": '"1"', "content-type": "t", "date": "d"}
     assert got[4].target_id == 3 and got[4].valid and not got[5].valid and got[6].target_id is None and not got[6].valid
+    assert got[4].headers == {} and got[6].url is None and got[8].target_id is None and 13 not in got
+    assert got[10].headers == {"X-Own": "x", "ETag": '"9"', "date": "new", "CACHE-control": "c"} and got[12].headers == {"a": "b"}
+    assert revisits.resolve(spark.createDataFrame(rows, SCHEMA)).count() == 8 and revisits.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_main_text(spark, data):
