@@ -1,22 +1,25 @@
 """Benchmark decontamination by greedy string tiling.
 
 Shared runs of `seed` tokens are the seeds: every document's rolling hashes (Karp-Rabin) are held against those of
-the benchmark, and only pairs that share a seed are tiled. Tiling repeatedly marks the longest match of unmarked tokens
-between the pair, found by Karp-Rabin hashing of runs of the current length and confirmed token by
-token, so that passages whose parts were moved about are still covered. A pair counts as contaminated
-if its tiles cover `coverage` of the item's tokens.
-
-The benchmark is sent to the tasks in blocks of a fixed number of tokens, one scan of the documents for each block;
+the benchmark, and only pairs that share a seed are tiled. A tile of t tokens holds t - seed + 1 seeds, so covering `coverage` of an
+item takes a known number of its seeds, and only its rarest others (by the benchmark's own counts) need to be looked up. Tiling repeatedly
+marks the longest matches of unmarked tokens between the pair, found by Karp-Rabin hashing of runs of the current length
+and confirmed token by token, so that passages whose parts were moved about are still covered. Prefix sums
+give the hash of a run of any length in one step. A pair counts as contaminated if its tiles cover `coverage` of the item's
+tokens.
+
+The benchmark is sent to the tasks in blocks of a bounded number of bytes, one scan of the documents for each block;
 documents are never shuffled. A larger benchmark takes more scans, and no more memory.
 
 Defined results: null and empty texts (documents' or items') match nothing; an item shorter than a seed is matched as
-a whole; repeated rows give a row each; ids may be null; empty tables give an empty result; other columns are ignored.
+a whole; repeated rows (of either side) give a row each; ids may be null; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -25,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 SEED, COVERAGE = 5, 0.5
-#: Tokens of the benchmark that are sent at once; items are never split.
-BLOCK_TOKENS = 200_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of the benchmark's texts that are sent at once; items are never split.
+BLOCK_BYTES = 1 << 21
+_BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(r"\w+")
 SCHEMA = "doc_id long, item_id long, covered long, item_tokens long, tiles long, coverage double"
 
@@ -39,81 +42,120 @@ def tokens(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def rolling(ids: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hashes modulo 2**64 of all runs of n ids (uint64)."""
-    if len(ids) < n or n < 1:
-        return np.empty(0, np.uint64)
-    out = np.zeros(len(ids) - n + 1, np.uint64)
-    for k in range(n):
-        out = out * _BASE + ids[k : len(ids) - n + 1 + k]
-    return out ^ (out >> np.uint64(29))
+class Powers:
+    """Powers of the hash's base and of its inverse modulo 2**64, as many as were ever needed."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = max(n, 2 * len(self.up))
+            self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64), dtype=np.uint64)]) for b in (_BASE, pow(_BASE, -1, 2**64)))
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = Powers()
+
+
+class Runs:
+    """Polynomial hashes modulo 2**64 of all runs of some ids (uint64)."""
 
+    def __init__(self, ids: np.ndarray):
+        up, self.down = _POWERS.of(len(ids))
+        self.ids = ids
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(ids * up, dtype=np.uint64)])
 
-def _free_runs(marked: np.ndarray, n: int) -> np.ndarray:
-    """Starts of runs of n unmarked positions."""
-    if len(marked) < n:
-        return np.empty(0, np.int64)
-    sums = np.concatenate([[0], np.cumsum(marked)])
-    return np.flatnonzero(sums[n:] == sums[:-n])
+    def at(self, starts: np.ndarray, n: int) -> np.ndarray:
+        h = (self.sums[starts + n] - self.sums[starts]) * self.down[starts]
+        return h ^ (h >> np.uint64(29))
 
+    def all(self, n: int) -> np.ndarray:
+        return self.at(np.arange(max(0, len(self.ids) - n + 1)), n)
 
-def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+
+def _free(starts: np.ndarray, n: int, sums: np.ndarray) -> np.ndarray:
+    """Those starts of runs of n positions that lie inside and unmarked; sums: marked positions before each."""
+    starts = starts[starts + n < len(sums)]
+    return starts[sums[starts + n] == sums[starts]]
+
+
+def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
+def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int, runs: Runs | None = None) -> list[tuple[int, int, int]]:
     """Tiles (start in doc, start in item, length), longest first; no token of either side lies in two tiles.
 
-    The longest unmarked match is found by doubling and halving the length under which Karp-Rabin still finds one."""
+    The longest unmarked match is found by halving the lengths under which Karp-Rabin still finds one, and all matches of that
+    length are marked before shorter ones are looked for. Only starts whose first `least` tokens match can begin a longer one."""
+    if min(len(doc), len(item)) < least:
+        return []
+    theirs, own = runs or Runs(doc), Runs(item)
+    doc_starts, item_starts = np.arange(len(doc) - least + 1), np.arange(len(item) - least + 1)
+    doc_hashes, item_hashes = theirs.all(least), own.all(least)
+    doc_starts, item_starts = doc_starts[_among(doc_hashes, np.sort(item_hashes))], item_starts[_among(item_hashes, np.sort(doc_hashes))]
     doc_marked, item_marked = np.zeros(len(doc), bool), np.zeros(len(item), bool)
+    doc_sums, item_sums = np.zeros(len(doc) + 1, np.int64), np.zeros(len(item) + 1, np.int64)
     tiles: list[tuple[int, int, int]] = []
 
-    def match(n: int) -> tuple[int, int] | None:
-        own = _free_runs(item_marked, n)
-        theirs = _free_runs(doc_marked, n)
-        if not len(own) or not len(theirs):
-            return None
-        by_hash: dict[int, list[int]] = defaultdict(list)
-        for at, h in zip(own.tolist(), rolling(item, n)[own].tolist(), strict=True):
-            by_hash[h].append(at)
-        hashes = rolling(doc, n)[theirs]
-        for at in theirs[np.isin(hashes, np.fromiter(by_hash, np.uint64, len(by_hash)))].tolist():
-            for i in by_hash[int(rolling(doc[at : at + n], n)[0])]:
-                if np.array_equal(doc[at : at + n], item[i : i + n]):
-                    return at, i
-        return None
-
-    longest = min(len(item), len(doc))
-    while longest >= least:
-        low, found = 0, None
-        high = longest
-        if (found := match(high)) is None:
-            low, best = least, match(least)
-            if best is None:
-                break
-            found = best
-            while high - low > 1:  # a match of n tokens holds one of n - 1
-                mid = (low + high) // 2
-                if (m := match(mid)) is not None:
-                    low, found = mid, m
-                else:
-                    high = mid
-            longest = low
-        at, i = found
-        tiles.append((at, i, longest))
-        doc_marked[at : at + longest] = True
-        item_marked[i : i + longest] = True
+    def matches(n: int) -> Iterator[tuple[int, int]]:
+        """Matches of n tokens, by their starts."""
+        i, d = _free(item_starts, n, item_sums), _free(doc_starts, n, doc_sums)
+        if not len(i) or not len(d):
+            return
+        hashes = own.at(i, n)
+        order = np.argsort(hashes, kind="stable")
+        i, hashes = i[order], hashes[order]
+        wanted = theirs.at(d, n)
+        low = np.searchsorted(hashes, wanted)
+        for k in np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == wanted).tolist():
+            at, j = int(d[k]), int(low[k])
+            if doc_marked[at] or doc_marked[at + n - 1]:
+                continue
+            while j < len(i) and hashes[j] == wanted[k]:
+                start = int(i[j])
+                if not (item_marked[start] or item_marked[start + n - 1]) and np.array_equal(doc[at : at + n], item[start : start + n]):
+                    yield at, start
+                    break
+                j += 1
+
+    longest = min(len(item), len(doc)) + 1
+    while longest > least:
+        low, high = least - 1, longest  # some match of low tokens (or low is too short), none of high
+        while high - low > 1:  # a match of n tokens holds one of n - 1
+            mid = (low + high) // 2
+            if next(matches(mid), None) is not None:
+                low = mid
+            else:
+                high = mid
+        longest = low
+        if longest < least:
+            break
+        for at, start in matches(longest):
+            tiles.append((at, start, longest))
+            doc_marked[at : at + longest] = True
+            item_marked[start : start + longest] = True
+        doc_sums[1:], item_sums[1:] = np.cumsum(doc_marked), np.cumsum(item_marked)
     return tiles
 
 
 class Tiler:
-    """Benchmark items with their seeds, and the pairs of a text with them."""
+    """Benchmark items (item_id, tokens, copies) with the seeds to look them up by, and the pairs of a text with them."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], seed: int, least: float):
+    def __init__(self, items: list[tuple[int, list[str], int]], seed: int, least: float):
         self.least, self.seed = least, seed
         known: dict[str, int] = {}
-        self.coded = [(item_id, np.array([known.setdefault(w, len(known) + 1) for w in words], np.uint64)) for item_id, words in items]
-        by_length: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for n, (_, ids) in enumerate(self.coded):
-            size = min(seed, len(ids))
-            for h in rolling(ids, size).tolist():
-                by_length[size][h].add(n)
+        self.coded = [(item_id, np.array([known.setdefault(w, len(known) + 1) for w in words], np.uint64), copies) for item_id, words, copies in items]
+        own = [Runs(ids).all(min(seed, len(ids))) for _, ids, _ in self.coded]
+        counts = Counter(h for hashes in own for h in set(hashes.tolist()))
+        by_length: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for n, hashes in enumerate(own):
+            size = min(seed, len(self.coded[n][1]))
+            need = max(1, math.ceil(math.ceil(least * len(self.coded[n][1])) / size))
+            rarest = sorted(hashes.tolist(), key=lambda h: (counts[h], h))[: max(1, len(hashes) - need + 1)]
+            for h in set(rarest):
+                by_length[size][h].append(n)
         self.seeds = {n: (hashes, np.sort(np.fromiter(hashes, np.uint64, len(hashes)))) for n, hashes in by_length.items()}
         self.code = known.get
 
@@ -124,43 +166,43 @@ class Tiler:
         if not ids.any():
             return []
         candidates: set[int] = set()
-        zeros = np.concatenate([[0], np.cumsum(ids == 0)])
+        zeros, runs = np.concatenate([[0], np.cumsum(ids == 0)]), Runs(ids)
         for n, (hashes, ordered) in self.seeds.items():
             if len(ids) < n:
                 continue
-            own = rolling(ids, n)[zeros[n:] == zeros[:-n]]
-            at = np.minimum(np.searchsorted(ordered, own), len(ordered) - 1)
-            for h in np.unique(own[ordered[at] == own]).tolist():
-                candidates |= hashes[h]
+            own = runs.at(np.flatnonzero(zeros[n:] == zeros[:-n]), n)
+            for h in np.unique(own[_among(own, ordered)]).tolist():
+                candidates.update(hashes[h])
         out = []
         for n in sorted(candidates):
-            item_id, item = self.coded[n]
-            tiles = greedy_tiles(ids, item, min(self.seed, len(item)))
+            item_id, item, copies = self.coded[n]
+            tiles = greedy_tiles(ids, item, min(self.seed, len(item)), runs)
             covered = sum(t[2] for t in tiles)
             if covered and covered >= self.least * len(item):
-                out.append((item_id, covered, len(item), len(tiles), round(covered / len(item), 6)))
+                out += [(item_id, covered, len(item), len(tiles), round(covered / len(item), 6))] * copies
         return out
 
 
+@lean
 def _scan(batches: Iterator[pa.RecordBatch], tiler: Tiler) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [(doc_id, *pair) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for pair in tiler.pairs(text)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 6, [pa.int64()] * 5 + [pa.float64()], strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
+@lean
 def _clean(batches: Iterator[pa.RecordBatch], tiler: Tiler) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield batch.filter(pa.array([not tiler.pairs(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], pa.bool_()))
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
-    """Items with their tokens, about BLOCK_TOKENS of them at a time."""
-    size = F.size(F.split(F.col("text"), r"\W+")).cast("long")
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = -(-(items.agg(F.sum(size)).first()[0] or 0) // BLOCK_TOKENS) or 1
+def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[str], int]]]:
+    """Items with their tokens and how often their row is repeated, about BLOCK_BYTES of text at a time."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    blocks = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES) or 1
     for b in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        yield [(r.item_id, words) for r in own.toLocalIterator() if (words := tokens(r.text))]
+        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        yield [(r.item_id, words, r.copies) for r in own.toLocalIterator() if (words := tokens(r.text))]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:

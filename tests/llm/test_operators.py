@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -205,6 +206,8 @@ def test_tiling_covers_reordered_passages(spark, edge, empty):
     got = {(r.doc_id, r.item_id): (r.covered, r.tiles) for r in decontaminate.contaminated(d, bench).collect()}
     assert got == {(1, 0): (12, 2), (4, 3): (2, 1), (None, 0): (12, 1)}
     assert [r.doc_id for r in decontaminate.clean(d, bench).orderBy("doc_id").collect()] == [2, 3, 5]
+    twice = spark.createDataFrame([(0, item, "x"), (0, item, "x")], "item_id long, text string, doc_id string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(d.where("doc_id = 1"), twice).collect()] == [(1, 0), (1, 0)]
     assert decontaminate.contaminated(edge, bench).count() == 0 and decontaminate.contaminated(empty, bench.limit(0)).count() == 0
 
 
@@ -231,6 +234,35 @@ def test_greedy_tiles_equal_the_plain_definition():
         assert len(lengths) == len(got) and best < 3
 
 
+def test_seeds_lose_no_item():
+    rng = random.Random(12)
+    words = [f"t{n}" for n in range(60)]
+    items = [(n, [rng.choice(words) for _ in range(rng.choice((2, 5, 9, 40)))], 1) for n in range(60)]
+    tiler = decontaminate.Tiler(items, 5, 0.5)
+    for _ in range(200):
+        own = list(rng.choice(items)[1])
+        cut = rng.randrange(len(own))
+        text = [rng.choice(words) for _ in range(5)] + own[cut:] + ["other"] + own[: cut + rng.randrange(2)] + [rng.choice(words)]
+        coded = np.array([int(w[1:]) + 1 if w[0] == "t" else 0 for w in text], np.uint64)
+        want = []
+        for n, item, _ in items:
+            c = np.array([int(w[1:]) + 1 for w in item], np.uint64)
+            covered = sum(t[2] for t in decontaminate.greedy_tiles(coded, c, min(5, len(item))))
+            want += [n] * bool(covered and covered >= 0.5 * len(item))
+        assert [p[0] for p in tiler.pairs(" ".join(text))] == want
+
+
+def test_tiling_of_long_texts_is_fast():
+    rng = np.random.default_rng(5)
+    item = rng.integers(1, 3000, 10_000).astype(np.uint64)
+    doc = rng.integers(1, 3000, 100_000).astype(np.uint64)
+    for n, at in enumerate(range(0, 10_000, 100)):  # a hundred passages of different lengths, out of order
+        doc[(n * 37 % 100) * 1000 : (n * 37 % 100) * 1000 + 30 + n % 60] = item[at : at + 30 + n % 60]
+    began = time.perf_counter()
+    tiles = decontaminate.greedy_tiles(doc, item, 5)
+    assert time.perf_counter() - began < 2 and sum(t[2] for t in tiles) >= 5500
+
+
 def test_toxicity(spark, edge, empty):
     rng = random.Random(4)
     words = ["w" + str(n) for n in range(300)]
