@@ -7,7 +7,7 @@ of a block is kept if content is likelier than boilerplate. Both kinds of potent
 which a seeded generator composes from the usual parts of pages (`labelled_page`), with their states in an attribute.
 
 Defined results: null or empty html gives the empty text; repeated rows give a row each; ids and urls may be null; html of
-any length is read whole and broken markup never fails; an empty table gives an empty result; other columns are ignored.
+any length is read whole, in time that grows with its length only, and broken markup never fails; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,14 +16,14 @@ import html as html_lib
 import math
 import random
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import lean, table
 
 BOILERPLATE, CONTENT, MIXED = range(3)
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -35,13 +35,48 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 #: Words in class, id, role and aria-label that speak against or for content.
 AGAINST = frozenset("ad ads adv advert advertisement advertising aside banner bar breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer discussion disqus dialog footer form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup privacy promo promotion recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget alert contentinfo complementary teaser".split())
 FOR = frozenset("article body content entry hentry main post story text prose".split())
-_TAG = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>")
+_ZEROS, _TOO_LARGE = re.compile(r"(&#[xX]?)0{8,}"), re.compile(r"&#(?:0*[1-9][0-9]{7,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{7,});?")
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|data-state)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 GROUPS = {t: g for g, tags in enumerate(("article main", "section div body center", "nav menu", "header hgroup", "footer", "aside", "form fieldset button label select option legend dialog", "p blockquote pre figcaption", "h1", "h2 h3 h4 h5 h6", "ul dl dir", "ol", "li dt dd", "table tbody thead tfoot tr td th caption", "figure details summary address")) for t in tags.split()}
 N_GROUPS = len(set(GROUPS.values())) + 1
 
 
+def unescaped(text: str) -> str:
+    """Text with character references decoded; numbers beyond Unicode become U+FFFD, however long they are."""
+    return html_lib.unescape(_TOO_LARGE.sub("\ufffd", _ZEROS.sub(r"\g<1>0", text))) if "&" in text else text
+
+
+def markup(html: str) -> Iterator[tuple[str, str, bool, str, int]]:
+    """Text before a tag, the tag's name (empty for comments, declarations and the end), whether it closes, its attributes, and where it ends.
+
+    The receiver may send a position to go on from. One pass: a `<` that begins no tag is text; quotes may hold a `>`, until a
+    quote proves to have no end, from where on the next `>` ends a tag."""
+    at = start = 0
+    last, quotes = html.rfind(">"), True
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4) + 3
+            found = ("", False, "", end if end > 2 else len(html))
+        elif at > last:  # nothing can end a tag any more
+            at += 1
+            continue
+        elif html[at + 1] in "!?":
+            found = ("", False, "", html.find(">", at) + 1)
+        elif m := _NAME.match(html, at + 1):
+            if not (whole := quotes and _QUOTED.match(html, m.end())):
+                quotes = False
+            end = whole.end() if whole else html.find(">", m.end()) + 1
+            found = (m[2].lower(), bool(m[1]), html[m.end() : end - 1], end)
+        else:
+            at += 1
+            continue
+        at = start = (yield html[start:at], *found) or found[3]
+    yield html[start:], "", False, "", len(html)
+
+
 class Page:
     """Block elements in page order (parents first) and the text segments between their borders."""
 
@@ -52,41 +87,52 @@ class Page:
         self.segments: list[tuple[int, str]] = []
         self.linked, self.direct = [0], [0]  # characters in links, characters; both without those of inner blocks
         stack: list[tuple[str, int]] = [("body", 0)]  # open elements with their block
+        places: dict[str, list[int]] = defaultdict(list)  # of each tag's open elements in the stack, without the body
+        blocks = [0]  # places of open block elements
         buffer: list[str] = []
-        links, at, size = 0, 0, len(html)
+        endless: set[str] = set()
+        links, go_on = 0, None
 
         def flush() -> None:
             if buffer:
-                text = "".join(buffer)
+                text = unescaped("".join(buffer))
                 buffer.clear()
-                if "&" in text:
-                    text = html_lib.unescape(text)
                 if text := " ".join(text.split()):
                     self.segments.append((stack[-1][1], text))
 
-        while at < size:
-            m = _TAG.search(html, at)
-            text = html[at : m.start() if m else size]
+        def cut(n: int) -> None:
+            while len(stack) > n:
+                places[stack.pop()[0]].pop()
+            while blocks[-1] >= n:
+                blocks.pop()
+
+        def last(tags: set[str]) -> int:
+            return max((places[t][-1] for t in tags if places[t]), default=0)
+
+        pieces = markup(html)
+        while True:
+            try:
+                text, tag, closing, attributes, end = pieces.send(go_on)
+            except StopIteration:
+                break
+            go_on = None
             if text:
                 buffer.append(text)
                 n = len(text.strip())
                 self.direct[stack[-1][1]] += n
                 if links:
                     self.linked[stack[-1][1]] += n
-            if not m:
-                break
-            at = m.end()
-            tag = m[2] or m[5]
             if not tag:
                 continue
-            tag, closing = tag.lower(), bool(m[1] or m[4])
             if tag in UNSHOWN:
-                if not closing and not (m[3] or m[6] or "").endswith("/"):
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                    if end:
-                        at = end.end()
-                    elif tag != "head":
-                        at = size
+                if not closing and not attributes.endswith("/"):
+                    shown = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(html, end)
+                    if shown:
+                        go_on = shown.end()
+                    else:
+                        endless.add(tag)
+                        if tag != "head":
+                            break
                 continue
             if tag == "br":
                 buffer.append(" ")
@@ -97,35 +143,29 @@ class Page:
                 flush()
             if tag == "body" or tag == "html":
                 if tag == "body" and not closing:
-                    self.hints[0], self.states[0] = self._hints(m[3] or m[6] or "")
+                    self.hints[0], self.states[0] = self._hints(attributes)
                 continue
-            if closing:
-                for n in range(len(stack) - 1, 0, -1):
-                    if stack[n][0] == tag:
-                        del stack[n:]
-                        break
-                    if tag not in BLOCKS and stack[n][0] in BLOCKS:
-                        break
+            if closing:  # an inline element ends within its block only
+                if places[tag] and (tag in BLOCKS or places[tag][-1] > blocks[-1]):
+                    cut(places[tag][-1])
                 continue
             if tag in BLOCKS:
                 ended, fence = ENDS.get(tag, ({"p"}, {"td", "th", "li", "div", "button"}))
-                for n in range(len(stack) - 1, 0, -1):
-                    if stack[n][0] in ended:
-                        del stack[n:]
-                        break
-                    if stack[n][0] in fence:
-                        break
+                if (n := last(ended)) > last(fence):
+                    cut(n)
                 links = 0
             if tag in VOID:
                 continue
+            places[tag].append(len(stack))
             if tag in BLOCKS:
-                hints, state = self._hints(m[3] or m[6] or "")
+                hints, state = self._hints(attributes)
                 self.parents.append(stack[-1][1])
                 self.tags.append(tag)
                 self.hints.append(hints)
                 self.states.append(state)
                 self.linked.append(0)
                 self.direct.append(0)
+                blocks.append(len(stack))
                 stack.append((tag, len(self.tags) - 1))
             else:
                 stack.append((tag, stack[-1][1]))
@@ -339,10 +379,11 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html). One pass without a shuffle."""
     sent = pages.sparkSession.sparkContext.broadcast(model or trained())
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            texts = [own.text(h) for h in batch.column(2).to_pylist()]
+            texts = [own.text(h.as_py()) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.selectExpr("cast(page_id as long) as page_id", "cast(url as string) as url", "cast(html as string) as html").mapInArrow(scan, "page_id long, url string, text string, n_chars long")

@@ -353,8 +353,21 @@ def test_main_text(spark, data):
     html = '<html><head><title>t</title></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/b">About</a></li></ul></nav><article><h1>Title &amp; more</h1><p>First   paragraph of some\nlength, with a <a href="x">link</a> in it.<p>Second paragraph, which isn&#39;t closed.</article><div class="comments"><p>Nice post, thank you very much for it.</p></div><script>var x="</p>";</script><footer>&copy; me</footer></body></html>'
     assert model.text(html) == "Title & more\nFirst paragraph of some length, with a link in it.\nSecond paragraph, which isn't closed."
     odd = [(1, "u", None), (2, None, ""), (2, None, ""), (3, "u", "<p"), (4, "u", "<" * 5000), (5, "u", "plain words"), (6, "u", "<div>" * 3000 + "deep"), (7, "u", "<!-- open <p>x")]
-    got = html_text.extract(spark.createDataFrame(odd, "page_id long, url string, html string")).collect()
-    assert len(got) == len(odd) and all(r.n_chars == len(r.text) for r in got)
+    odd += [(8, "u", "a < b &amp; c <p>x &#65; &#0000000066; &#" + "9" * 6000 + "; &#" + "0" * 6000 + "67;"), (9, "u", "<p title='a>b'>one</p><p title=\"x>two<p>three")]
+    frame = spark.createDataFrame([(*r, "clash", 1) for r in odd], "page_id long, url string, html string, text string, n_chars int")
+    got = {(r.page_id, r.url): r.text for r in html_text.extract(frame).collect()}
+    assert html_text.extract(frame).count() == len(odd) and html_text.extract(frame.limit(0)).count() == 0
+    assert html_text.Page(odd[-2][2]).segments == [(0, "a < b & c"), (1, "x A B \ufffd C")]
+    assert [t for _, t in html_text.Page(odd[-1][2]).segments] == ["one", "two", "three"] and got[1, "u"] == got[2, None] == ""
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<span>", "</i>", "<section>", "<a '\">", "<head>", "<i><p><b>", "<script>x", "&#1", "<!-", "<p class='", "<td><p>", "</p><"])
+def test_parsing_is_linear(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.perf_counter()
+    html_text.Page(page)
+    html_text.Page("<i><p>" + "<span>" * 20_000 + "</i>" * 20_000)
+    assert time.perf_counter() - began < 6
 
 
 def test_marginals_equal_enumeration():
