@@ -6,9 +6,12 @@ give exact code-point positions in time linear in the text. The patterns use pos
 only at the beginning of a run (or where the last match ended), so that they need no backtracking and no
 recursion on long runs, and match exactly what their plain forms match.
 An account number ends after as many characters as its country has, so words that follow it are not taken for its last groups.
+Credentials count as personal data: values that stand behind the name of a credential and look random, keys of
+well-known formats, and user names with passwords in addresses.
 
-Defined results: a null text counts as empty; repeated rows and repeated doc_ids each give a row; a null
-doc_id is kept; an empty table gives an empty result; columns other than doc_id and text are ignored.
+Defined results of find_spans: a null text counts as empty; repeated rows and repeated doc_ids each give a row; a null
+doc_id is kept; an empty table gives an empty result; columns other than doc_id and text are ignored. Of mask: a null text
+stays null; every row and every other column stays, whatever its name.
 """
 
 from __future__ import annotations
@@ -36,6 +39,11 @@ def _luhn(m: Column) -> Column:
     return F.length(d).between(13, 19) & (total % 10 == 0)
 
 
+def _random(m: Column) -> Column:
+    """Letters and digits, of ten kinds at least: what people write as a word, a number or a place-holder has fewer."""
+    return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(m, ""))) >= 10)
+
+
 def _mod97(m: Column) -> Column:
     """ISO 7064 mod 97-10 of an IBAN: its first four characters go to the end, letters count from 10."""
     s = F.regexp_replace(m, " ", "")
@@ -73,6 +81,9 @@ _KNOWN = "|".join(c for codes in IBAN_LENGTHS.values() for c in codes)
 # as many characters as the country has, whatever follows; or else a longest run that stops before another IBAN
 _IBAN = "|".join(rf"(?:{'|'.join(codes)})[0-9]{{2}}(?:\x20?+[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, codes in IBAN_LENGTHS.items())
 _IBAN = rf"(?<![A-Za-z0-9])(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20(?:{_KNOWN})[0-9]{{2}})\x20?+[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))"
+_NAMES = "(?:api|access|secret|private|auth|client)[_-]?(?:key|token|secret)|secret|token|bearer|password|passwd|passwort|pwd"
+_SET = r"['\x22]?(?:\x20{0,2}[:=]\x20{0,2}|\x20)['\x22]?"  # between a name and its value
+_KEYS = r"AKIA[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36,}+|xox[baprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|-----BEGIN (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = (
     Kind("email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), lambda t: F.contains(t, F.lit("@")), 0.7, "mail|contact|correo|courriel|kontakt"),
@@ -81,6 +92,9 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), lambda t: F.contains(t, F.lit("+")), 0.6, "phone|tel|call|mobile|telefon"),
     Kind("iban", _IBAN, _mod97, lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), 0.7, "iban|account|konto|compte|cuenta"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), lambda t: t.rlike("[0-9]-[0-9]{2}-[0-9]"), 0.3, r"\bssn\b|social security"),
+    Kind("secret", rf"(?<=(?<![A-Za-z0-9])(?i:{_NAMES}){_SET})[A-Za-z0-9+/=_-]{{16,}}+", _random, lambda t: t.rlike(rf"(?i)(?:{_NAMES}){_SET}[A-Za-z0-9+/=_-]{{16}}"), 0.7, "token|key|secret"),
+    Kind("key", rf"(?<![A-Za-z0-9])(?:{_KEYS})", lambda m: F.lit(True), lambda t: t.rlike("AKIA|gh[pousr]_|xox[baprs]-|AIza|sk-[A-Za-z0-9]|eyJ|PRIVATE KEY"), 0.7, "token|key|secret"),
+    Kind("login", r"(?<=://)[^\s/:@]{1,64}+:[^\s/:@]{1,128}+(?=@)", lambda m: F.lit(True), lambda t: F.contains(t, F.lit("://")) & F.contains(t, F.lit("@")), 0.7, "http|ftp|sql"),
 )
 #: Added spans below this score are left out; base spans always stay.
 LEAST_SCORE = 0.5
@@ -127,15 +141,18 @@ def _replaced(k: Kind):
 
 
 def mask(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """docs with every confirmed match in text replaced by its kind in brackets, kind after kind, and n_chars set anew.
+    """docs with every confirmed match in text replaced by its kind in brackets, kind after kind from the last one on, and n_chars set anew.
 
     The gaps and the (replaced) matches are joined again, so no positions are needed. All other columns stay."""
-    text = F.col("text")
-    for i, k in enumerate(kinds):
-        docs = docs.withColumn("_spans", _proposed(text, k, i)).withColumn("_any", F.exists("_spans", _kept(k)))
-        parts = F.zip_with(F.split(text, k.pattern, -1), F.zip_with(F.regexp_extract_all(text, F.lit(k.pattern), 0), F.col("_spans"), _replaced(k)), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
-        docs = docs.withColumn("text", F.when(F.col("_any"), F.array_join(parts, "")).otherwise(text)).drop("_spans", "_any")
-    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+    columns, text = docs.columns, F.col("text")
+    spans, some = "_spans", "_any"
+    while {spans, some} & {c.lower() for c in columns}:
+        spans, some = f"_{spans}", f"_{some}"
+    for i, k in reversed(list(enumerate(kinds))):
+        docs = docs.withColumn(spans, _proposed(text, k, i)).withColumn(some, F.exists(spans, _kept(k)))
+        parts = F.zip_with(F.split(text, k.pattern, -1), F.zip_with(F.regexp_extract_all(text, F.lit(k.pattern), 0), F.col(spans), _replaced(k)), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
+        docs = docs.withColumn("text", F.when(F.col(some), F.array_join(parts, "")).otherwise(text)).drop(spans, some)
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else docs
 
 
 def _joined(spans: Column) -> Column:

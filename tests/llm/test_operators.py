@@ -167,6 +167,49 @@ def test_masking_keeps_the_rest(spark):
     assert pii.mask(row).first().asDict() == {"doc_id": 1, "text": "mail [EMAIL] now, ip [IP]; 300.1.1.1", "n_chars": 36}
 
 
+ADDED = {
+    "secret": r"(?<![A-Za-z0-9])(?i:(?:api|access|secret|private|auth|client)[_-]?(?:key|token|secret)|secret|token|bearer|password|passwd|passwort|pwd)['\"]?(?: {0,2}[:=] {0,2}| )['\"]?",
+    "login": r"://([^\s/:@]{1,64}:[^\s/:@]{1,128})@",
+}
+
+
+def test_credentials(spark):
+    rng = random.Random(11)
+    value = lambda n, alphabet="0123456789abcdef": "".join(rng.choice(alphabet) for _ in range(n))
+    texts = {}
+    for name in ("token", "API_KEY", "password", "client-secret"):
+        for form in ('{} = "{}" more', "x {}: {}", '"{}":"{}"', "{} {}."):
+            v = value(40)
+            texts[form.format(name, v)] = [("secret", v)]
+    key, jwt = "AKIA" + value(16, "ABCDEFGH234567"), f"eyJ{value(12)}.eyJ{value(20)}.{value(30)}"
+    texts |= {f"id {key} used": [("key", key)], f"see {jwt}": [("key", jwt)], "-----BEGIN RSA PRIVATE KEY-----\nabc": [("key", "-----BEGIN RSA PRIVATE KEY-----")], "go to ftp://me:s3cret@host.org/x": [("login", "me:s3cret")]}
+    texts |= {t: [] for t in ("token of appreciation", "password = aaaaaaaaaaaaaaaaaaaaaaaa", "the token verylongwordwithoutanydigits here", "xtoken=" + value(30), f"hash {value(40)}", "http://a.b/c:d@e", "AKIASHORT1")}
+    got = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    names = list(texts)
+    assert {names[r.doc_id]: [(s.kind, names[r.doc_id][s.start : s.end]) for s in r.spans if s.kind in ("secret", "key", "login")] for r in got} == texts
+    odd = ["".join(rng.choice(('token="', "pwd: ", "://", "u:p@", value(18), " ", "é", "secret ", value(5), "\n")) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind in ADDED] for r in pii.find_spans(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")).collect()}
+    for n, t in enumerate(odd):
+        want, at = [], 0
+        for m in re.finditer(r"[A-Za-z0-9+/=_-]{16,}", t):  # a value may begin inside a run that its name also lies in
+            starts = [m.start() + k for k in range(m.end() - m.start() - 15) if any(x.end() == m.start() + k for x in re.finditer(f"(?=({ADDED['secret']}))", t) for x in [re.compile(ADDED["secret"]).match(t, x.start())])]
+            if starts:
+                v = t[starts[0] : m.end()]
+                if re.search("[0-9]", v) and re.search("[A-Za-z]", v) and len(set(v)) >= 10:
+                    want.append(("secret", starts[0], m.end()))
+        want += [("login", *m.span(1)) for m in re.finditer(ADDED["login"], t)]
+        assert got[n] == want, t
+
+
+def test_masking_edges(spark):
+    rows = [(1, None, 0, "a", "b"), (2, "", 0, "a", "b"), (3, "mail x@y.zz " * 5000, 0, "a", "b"), (4, "token=0a1b2c3d4e5f60718293 4111111111111111", 0, "a", "b"), (4, "token=0a1b2c3d4e5f60718293 4111111111111111", 0, "a", "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _spans string, _any string")
+    got = pii.mask(frame)
+    assert got.columns == frame.columns and pii.mask(frame.limit(0)).count() == 0
+    out = [(r.doc_id, r.text, r.n_chars, r["_spans"], r["_any"]) for r in got.orderBy("doc_id").collect()]
+    assert out == [(1, None, None, "a", "b"), (2, "", 0, "a", "b"), (3, "mail [EMAIL] " * 5000, 65_000, "a", "b"), *[(4, "token=[SECRET] [CARD]", 21, "a", "b")] * 2]
+
+
 def test_language_model(spark, data, docs, edge, empty):
     got = pitman_yor.op4_pitman_yor(spark, data).toPandas().set_index("doc_id")
     tokens = {d: [*t.encode().lower().split(), b"\0"] for d, t in zip(docs.doc_id, docs.text, strict=True)}
