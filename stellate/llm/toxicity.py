@@ -1,27 +1,30 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Three small transducers are composed into one machine, which reads a clause's token classes and multiplies or adds
-weights: a lexical transducer turns tokens into the classes insult (with a learned weight), threat, target, negation
-and reported speech; a negation transducer damps what follows a negation within a few tokens; a
-reported-speech transducer damps what is only quoted; a target transducer raises insults and threats that are aimed
-at someone. A clause scores what the machine emits on its way, and a text's clauses are summed, squashed and
-calibrated.
+Small transducers are composed into one machine, which reads a clause's token classes and emits weights: a lexical
+transducer turns tokens into the classes insult (with a learned weight), threat, target, negation
+and reported speech; an aiming transducer raises insults and threats that follow a target, lets a target that follows them add to
+the clause, and halves threats that no target came before; a negation transducer damps what follows a negation within a few
+tokens; a reported-speech transducer damps what is only quoted. A clause scores what the machine emits on its way through
+it, and a text's clauses are summed, squashed and calibrated. An insult without a target is a pattern of its own, as
+labelled texts have them; a target, a negation or a report alone is none.
 
 The insults are learned: words and word beginnings that labelled toxic texts hold far more often than clean ones,
 from a bounded sample of labelled training rows (`SAMPLE` rows, by hash order of doc_id), as is the
-calibration. Labels of held-out rows, lang, source and doc_id never enter a score.
+calibration. Copies in the sample count once: texts of one label that share half of a sketch, the `SKETCH` least hashes of
+three words in a row. Labels of held-out rows, lang, source and doc_id never enter a score.
 
 Defined results: null and empty texts score as texts without any match; repeated rows score alike; a null doc_id
 counts as the empty text in the fold; without labelled rows of both kinds the lexicon is empty and only threats
-raise a score; an empty table gives an empty result; extra columns are ignored.
+raise a score; an empty table gives an empty result; score() keeps every other column, and replaces one of the name it is asked for.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,19 +34,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held_out, table
+from .common import held_out, lean, table
 
-#: Labelled training rows that are learned from at most, words and beginnings that are weighed at most, the threshold.
-SAMPLE, CANDIDATES, THRESHOLD = 20_000, 50_000, 0.7
+#: Labelled training rows that are learned from at most, the threshold, hashes of a sketch.
+SAMPLE, THRESHOLD, SKETCH = 20_000, 0.7, 16
 #: A learned entry needs so many toxic texts, this share of the toxic texts, and this log-odds at least.
 LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 4, 0.005, 4.0
 #: Or else, lower log-odds with this larger share. And the log-odds by which a longer entry must exceed a shorter one.
 OFTEN_SHARE, OFTEN_ODDS, REPLACED = 0.04, 2.0, 0.7
-NEGATION = frozenset("not no never isn't aren't wasn't don't nobody nor nicht kein keine nie pas jamais aucun no nunca ningún".split())
-REPORTED = frozenset("said says wrote reported quoted claimed called according sagte schrieb laut dit écrit selon dijo escribió según".split())
-TARGET = frozenset("you your you're they he she du dich ihr euch tu toi vous tú usted ustedes".split())
-THREAT = frozenset("kill hurt destroy beat shoot stab töten schlagen tuer frapper matar golpear".split())
-THREAT_WEIGHT = 0.5
+NEGATION = frozenset("not no never neither nor none nobody nothing without hardly isn't aren't wasn't weren't don't doesn't didn't won't wouldn't can't cannot couldn't shouldn't nicht kein keine keinen keiner keinem nie niemals niemand nichts ohne weder kaum pas jamais aucun aucune personne rien sans ni guère nunca jamás ningún ninguna ninguno nadie nada sin tampoco".split())
+REPORTED = frozenset("said say says told wrote writes reported reportedly quoted quote cited claimed claims called alleged allegedly stated according asked shouted sagte sagt sagten schrieb schreibt laut zitierte behauptete behauptet angeblich meinte rief dit disait écrit écrivait selon affirme affirmait déclaré prétend cité raconte dijo dice decía escribió según afirmó afirma declaró citó contó alegó".split())
+TARGET = frozenset("you your yours yourself yourselves you're you've u ur they them their he him his she her du dich dir dein deine deinen deiner ihr euch euer eure sie ihn ihm ihnen tu toi te ton ta tes vous votre vos lui elle eux leur leurs tú ti tus usted ustedes vosotros vosotras vuestro vuestra él ella ellos ellas".split())
+THREAT = frozenset("kill kills killed murder hurt hang destroy beat shoot stab strangle slaughter burn bury cripple punch smash slap poison töten töte umbringen ermorden erschießen erstechen verprügeln schlagen zerstören vernichten erwürgen aufhängen verbrennen tuer tuerai assassiner frapper détruire égorger étrangler pendre poignarder massacrer brûler matar mataré asesinar golpear destruir apuñalar estrangular degollar ahorcar quemar disparar".split())
+#: What a threat weighs, and a target that follows an insult or a threat.
+THREAT_WEIGHT, AIM_WEIGHT = 0.5, 0.5
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:\n|]+")
 _ENDS = ".!?;:\n|"
 
@@ -81,10 +85,18 @@ def _counting(trigger: str, reach: int, factor: float) -> Transducer:
     return Transducer(0, arcs, {n: n - 1 for n in range(1, reach + 1)})
 
 
+def _aiming(before: int, after: int) -> Transducer:
+    """States (tokens that a target still reaches, tokens that an insult or a threat still waits for its target)."""
+    states = [(t, w) for t in range(before + 1) for w in range(after + 1)]
+    arcs: dict = {((t, w), "target"): ((before, 0), 1.0 if w else 0.0) for t, w in states}
+    arcs |= {((t, w), c): ((max(0, t - 1), after), (1.25 if t else lone)) for t, w in states for c, lone in (("insult", 1.0), ("threat", 0.5))}
+    return Transducer((0, 0), arcs, {(t, w): (max(0, t - 1), max(0, w - 1)) for t, w in states})
+
+
 GRAMMAR = compose(
     _counting("negation", 3, 0.5),
     Transducer("own", {("own", "reported"): ("quoted", 1.0), ("quoted", "insult"): ("quoted", 0.6), ("quoted", "threat"): ("quoted", 0.6)}),
-    _counting("target", 4, 1.25),
+    _aiming(4, 3),
 )
 
 
@@ -126,8 +138,10 @@ def clause_scores(text: str, lexicon: Lexicon, grammar: Transducer = GRAMMAR) ->
             token_class = "insult"
         elif token in THREAT:
             token_class, weight = "threat", THREAT_WEIGHT
+        elif token in TARGET:
+            token_class, weight = "target", AIM_WEIGHT
         else:
-            token_class = "target" if token in TARGET else "negation" if token in NEGATION else "reported" if token in REPORTED else "word"
+            token_class = "negation" if token in NEGATION else "reported" if token in REPORTED else "word"
         state, factor = grammar.step(state, token_class)
         total += factor * weight
     yield total
@@ -148,16 +162,36 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.offset + self.slope * raw_score(text, self.lexicon)))))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The least hash of three words in a row: near copies mostly share it, other texts don't."""
+@lean
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The SKETCH least hashes of three words in a row."""
     for batch in batches:
         out = []
-        for text in batch.column(1).to_pylist():
-            words = (text or "").lower().split()
-            out.append(min(zlib.crc32(" ".join(words[n : n + 3]).encode()) for n in range(max(1, len(words) - 2))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["doc_id", "signature"])
-
-
+        for text in batch.column(1):
+            words = (text.as_py() or "").lower().split()
+            out.append(heapq.nsmallest(SKETCH, {zlib.crc32(" ".join(words[n : n + 3]).encode()) for n in range(max(1, len(words) - 2))}))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "sketch"])
+
+
+def without_copies(sketches: dict[int, list[int]], labels: dict[int, int]) -> list[int]:
+    """Ids without those whose sketch shares half with that of a smaller id of the same label.
+
+    Of a sketch of n hashes, only the n // 2 + 1 that fewest sketches hold are looked up: one of them is in every sketch that shares half of it."""
+    counts = Counter(h for s in sketches.values() for h in s)
+    leaders: dict[tuple[int, int], list[int]] = defaultdict(list)
+    kept = []
+    for d in sorted(sketches):
+        own = set(sketches[d])
+        rarest = sorted(own, key=lambda h: (counts[h], h))[: len(own) // 2 + 1]
+        met = {k for h in rarest for k in leaders[labels[d], h]}
+        if not any(2 * len(own & set(sketches[k])) >= max(len(own), len(sketches[k])) for k in met):
+            kept.append(d)
+            for h in rarest:
+                leaders[labels[d], h].append(d)
+    return kept
+
+
+@lean
 def _counts(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
     """Texts that hold each word, and each word beginning of 4 to 7 letters (with a star), counted for a whole task."""
     found: Counter[str] = Counter()
@@ -178,9 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     toxic = {r.doc_id: r.toxic for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
     ids = spark.createDataFrame([(int(d),) for d in toxic], "doc_id long")
     own = docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    # one text of each group of near copies, or their chance words would pass for insults
-    firsts = own.mapInArrow(_signatures, "doc_id long, signature long").groupBy("signature").agg(F.min("doc_id").alias("doc_id")).select("doc_id").collect()
-    toxic = {r.doc_id: toxic[r.doc_id] for r in firsts}
+    # one text of each group of near copies, or their chance words would pass for insults; at most `sample` sketches come to the driver
+    sketches = {r.doc_id: r.sketch for r in own.mapInArrow(_sketches, "doc_id long, sketch array<long>").collect()}
+    toxic = {d: toxic[d] for d in without_copies(sketches, toxic)}
     sent = spark.sparkContext.broadcast(toxic)
 
     def rows_of(label: int | None) -> DataFrame:
@@ -192,8 +226,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     n_toxic = max(1, sum(toxic.values()))
     n_clean = max(1, len(toxic) - n_toxic)
-    # entries that enough toxic texts hold, then how many clean texts hold those
-    often = {r.entry: r.n for r in counts(1, None).where(F.col("n") >= max(LEAST_TEXTS, LEAST_SHARE * n_toxic)).orderBy(F.desc("n"), "entry").limit(CANDIDATES).collect()}
+    # entries that enough toxic texts hold (each in so large a share of them that the sample bounds their number), then how many clean texts hold those
+    often = {r.entry: r.n for r in counts(1, None).where(F.col("n") >= max(LEAST_TEXTS, LEAST_SHARE * n_toxic)).collect()}
     clean = {r.entry: r.n for r in counts(0, frozenset(often)).collect()}
     found = []
     for entry, n in often.items():
@@ -211,6 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(lexicon, slope, offset)
 
 
+@lean
 def _sample_scores(batches: Iterator[pa.RecordBatch], toxic: dict[int, int], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = Counter((round(raw_score(t, lexicon), 2), toxic[d]) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
@@ -231,19 +266,20 @@ def _calibrated(rows: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
     return float(max(beta[0], 0.0)), float(beta[1])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column toxicity (0 to 1); one pass without a shuffle."""
+def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
+    """docs with a column of scores (0 to 1) at its end; one pass without a shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast((model.lexicon.words, model.lexicon.beginnings, model.slope, model.offset))
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, beginnings, slope, offset = sent.value
         own = Model(Lexicon(words, beginnings), slope, offset)
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([own.score(t) for t in batch.column(at).to_pylist()], pa.float64())], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([own.score(t.as_py()) for t in batch.column(at)], pa.float64())], names=[*batch.schema.names, column])
 
-    docs = docs.drop("toxicity")
-    return docs.mapInArrow(scan, StructType([*docs.schema, StructField("toxicity", DoubleType())]))
+    docs = docs.drop(column)
+    return docs.mapInArrow(scan, StructType([*docs.schema, StructField(column, DoubleType())]))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

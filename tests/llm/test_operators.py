@@ -339,6 +339,53 @@ def test_threats_score_without_insults(spark):
     assert got[1] > got[2] == got[3]
 
 
+def _clause_score(clause, lexicon):
+    """The grammar's rules, token by token with look-back."""
+    words = re.findall(r"[^\W_]+(?:['’][^\W_]+)*", clause)
+    kind = lambda w: "insult" if lexicon.weight(w) else next((k for k, ws in (("threat", toxicity.THREAT), ("target", toxicity.TARGET), ("negation", toxicity.NEGATION), ("reported", toxicity.REPORTED)) if w in ws), "word")
+    kinds, total = list(map(kind, words)), 0.0
+    for n, (w, k) in enumerate(zip(words, kinds, strict=True)):
+        if k in ("insult", "threat"):
+            weight = lexicon.weight(w) or toxicity.THREAT_WEIGHT
+            weight *= 0.5 if "negation" in kinds[max(0, n - 3) : n] else 1
+            weight *= 0.6 if "reported" in kinds[:n] else 1
+            total += weight * (1.25 if "target" in kinds[max(0, n - 4) : n] else 1 if k == "insult" else 0.5)
+        if k == "target":
+            since = [j for j in range(max(0, n - 3), n) if kinds[j] in ("insult", "threat")]
+            total += toxicity.AIM_WEIGHT * bool(since and "target" not in kinds[since[-1] + 1 : n])
+    return total
+
+
+def test_clauses_equal_the_plain_rules():
+    rng, lexicon = random.Random(13), toxicity.Lexicon({"idiot": 3.0}, {"vequ": 2.0})
+    words = ["idiot", "vequant", "kill", "you", "they", "not", "said", "a", "b", "töten"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) + rng.choice(("", "", "", ".", "!")) for _ in range(rng.randint(0, 14)))
+        want = sum(_clause_score(c, lexicon) for c in re.split("[.!]", text))
+        assert math.isclose(sum(toxicity.clause_scores(text, lexicon)), want, abs_tol=1e-9)
+
+
+def test_clauses_rank_as_they_should():
+    raw = lambda t: toxicity.raw_score(t, toxicity.Lexicon({"idiot": 3.0, "moron": 3.0}, {}))
+    for more, less in (("you are an idiot", "the word idiot stands here"), ("I will kill you", "kill the process"), ("kill you", "you may leave"), ("idiot, you moron", "idiot"), ("you idiot", "they said you idiot"), ("you are an idiot", "you are not an idiot"), ("you idiot. I will shoot you", "you idiot"), ("te voy a matar a ti", "matar el tiempo")):
+        assert raw(more) > raw(less), (more, less)
+    assert raw("you said no to them") == raw("nothing at all") == 0
+
+
+def test_copies_in_the_sample_count_once():
+    rng = random.Random(14)
+    sketches, labels = {}, {}
+    base = [rng.randrange(2**32) for _ in range(16)]
+    for d in range(300):
+        own = list(base) if d % 3 == 0 else [7, *(rng.randrange(2**32) for _ in range(15))]  # all share 7
+        if d % 3 == 0:
+            own[rng.randrange(16)] = rng.randrange(2**32)
+        sketches[d], labels[d] = own, int(d % 2)
+    kept = toxicity.without_copies(sketches, labels)
+    assert kept == [d for d in range(300) if d % 3 or d in (0, 3)]
+    assert toxicity.without_copies({5: [1], 4: [1], 3: [2]}, {3: 0, 4: 0, 5: 0}) == [3, 4]
+
+
 def test_license_scan(spark, edge, empty):
     mit = dict(licenses.TEMPLATES[::-1])["MIT"]
     rows = [(1, "text\nReleased under the MIT License.\nmore"), (2, licenses._MIT.upper().replace(". ", ".\n")), (3, "licensed under cc by-nc 4.0"), (4, "under the license of nature we do as we like here"), (5, None)]
