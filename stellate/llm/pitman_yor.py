@@ -1,17 +1,19 @@
-"""Hierarchical Pitman-Yor language model: restaurants of contexts under one parent restaurant, seated by Gibbs sampling.
+"""Hierarchical Pitman-Yor language model of three levels, its seating sampled by Gibbs.
 
-A token's context is the class of the token before it (by its last letters, which tell languages and endings
-apart). Every context has a restaurant over words; the tables of all of them are the customers of the parent restaurant, whose
-base is uniform over the V known words and one unknown word. A dish's customers leave together and are seated
-again one by one (a blocked Gibbs step), the parent's dishes after them, and predictive probabilities are averaged over
-the sweeps after burn-in. Discounts come from the counts of counts.
+Restaurants of contexts share parents: a token's context is the word before it, by a hash within the class of its
+ending (`SLOTS` restaurants for each of `CLASSES` classes, so frequent words mostly have one of their own, and rare words of one
+ending share); the tables of these are the customers of their class's restaurant, whose tables are the customers of the
+root, whose base is uniform over the V known words and one unknown word. A sweep takes the pairs of a dish and a context in groups: their
+customers leave, with the tables that go with them at every level, and sit down again one by one, given all others. Predictive
+probabilities are averaged over the sweeps after burn-in. Discounts come from the counts of counts.
 
 Counting, sampling and scoring are three shuffles. Tasks read chunks of texts and send their distinct (context, word)
-pairs with training counts, packed, to buckets of the hash space (1: counts). A bucket holds all of its words, so it
-samples their seating alone, given each restaurant's totals; those (a few numbers a context) are
-exchanged between the buckets through the driver. The buckets answer each chunk's pairs (2: answers), and meet the chunk's
+pairs with training counts, packed, to buckets of the hash space (1: counts). A bucket holds all pairs of its words at every level, so it
+samples their seating alone, given the numbers of customers and tables in the other buckets' restaurants; those
+totals (a few numbers a restaurant, so at most a few MB) are exchanged between the buckets through the driver, once before and once
+after the kept sweeps. The buckets answer each chunk's pairs (2: answers), and meet the chunk's
 tokens again (3). Chunks are made twice, by the same code from the same scan: docs must be a deterministic read,
-such as a table (a mismatch raises an error).
+such as a table (a mismatch in a chunk's documents or pairs raises an error).
 
 Defined results: null and empty texts hold the end token only; repeated rows are documents each; a null doc_id counts
 as the empty text in the fold; without training rows every score is that of the uniform base; an empty table gives an
@@ -20,9 +22,11 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,30 +37,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, parallelism, table, written
+from .common import held_out, lean, parallelism, release, table, written
 
-#: Classes of contexts, tokens of a chunk, words that a task remembers.
-CLASSES, CHUNK, REMEMBERED = 64, 1_000_000, 250_000
-#: Sweeps that are thrown away, sweeps that are averaged; concentrations of contexts and parent.
-BURN_IN, KEPT, THETA, PARENT_THETA, SEED = 1, 3, 1.0, 1.0, 11
+#: Classes of contexts, restaurants of each class, tokens of a chunk, words that a task remembers.
+CLASSES, SLOTS, CHUNK, REMEMBERED = 64, 1024, 1_000_000, 200_000
+CONTEXTS = CLASSES * SLOTS
+#: Sweeps that are thrown away, sweeps that are averaged, groups of a sweep; concentration of every restaurant.
+BURN_IN, KEPT, GROUPS, THETA, SEED = 2, 4, 8, 1.0, 11
 END = 0
 _PUNCTUATION = b".,;:!?*#$%&|\"'()[]"
 
 
 class Words(dict):
-    """Places of words (bytes) in `hashes` and `classes`; place 0 is the end token."""
+    """Places of words (bytes) in `hashes` and `contexts` (slot * CLASSES + class); place 0 is the end token."""
 
     def __init__(self):
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.hashes, self.classes = [END], [0]
+        self.hashes, self.contexts = [END], [0]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = at = len(self.hashes)
-        self.hashes.append(max(1, xxhash.xxh3_64_intdigest(word)))
-        self.classes.append(1 + zlib.crc32((word.rstrip(_PUNCTUATION) or word)[-2:]) % (CLASSES - 1))
+        self.hashes.append(h := max(1, xxhash.xxh3_64_intdigest(word)))
+        self.contexts.append((h >> 20) % SLOTS * CLASSES + 1 + zlib.crc32((word.rstrip(_PUNCTUATION) or word)[-2:]) % (CLASSES - 1))
         return at
 
 
@@ -90,22 +95,22 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         nonlocal made, ids, held, parts, size
         tokens = np.concatenate(parts)
         lengths = np.array([len(p) for p in parts], np.int64)
-        hashes, classes = np.array(words.hashes, np.uint64), np.array(words.classes, np.int64)
-        context = np.concatenate([[0], classes[tokens[:-1]]])  # the end token before each first one has class 0
+        hashes, contexts = np.array(words.hashes, np.uint64), np.array(words.contexts, np.int64)
+        context = np.concatenate([[0], contexts[tokens[:-1]]])  # the end token before each first one has context 0
         places, local = np.unique(tokens, return_inverse=True)
         order = np.argsort(hashes[places], kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        keys, token_pair = np.unique(rank[local] * CLASSES + context, return_inverse=True)
-        out = Chunk(first + made, ids, np.array(held, bool), lengths, hashes[places][order], keys // CLASSES, keys % CLASSES, token_pair)
+        keys, token_pair = np.unique(rank[local] * CONTEXTS + context, return_inverse=True)
+        out = Chunk(first + made, ids, np.array(held, bool), lengths, hashes[places][order], keys // CONTEXTS, keys % CONTEXTS, token_pair)
         ids, held, parts, size, made = [], [], [], 0, made + 1
         if len(words) > REMEMBERED:
             words.reset()
         return out
 
     for batch in batches:
-        for doc_id, text, is_held in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            split = text.lower().split() if text else []
+        for doc_id, text, is_held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            split = text.as_py().lower().split() if text.is_valid else []
             own = np.empty(len(split) + 1, np.int64)
             own[:-1] = np.fromiter(map(words.__getitem__, split), np.int64, len(split))
             own[-1] = 0
@@ -119,6 +124,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         yield close()
 
 
+@lean
 def _requests(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for c in chunks(batches):
         trained = np.repeat(~c.held, c.lengths)
@@ -128,11 +134,13 @@ def _requests(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         for b in range(buckets):
             if at[b] < at[b + 1]:
                 own = slice(pairs_at[b], pairs_at[b + 1])
-                rows.append((b, c.id, c.words[at[b] : at[b + 1]].astype("<u8").tobytes(), np.bincount(c.pair_word[own] - at[b], minlength=at[b + 1] - at[b]).astype("<u1").tobytes(), c.pair_context[own].astype("<u1").tobytes(), counts[own].astype("<u4").tobytes()))
+                rows.append((b, c.id, c.words[at[b] : at[b + 1]].astype("<u8").tobytes(), np.bincount(c.pair_word[own] - at[b], minlength=at[b + 1] - at[b]).astype("<u4").tobytes(), c.pair_context[own].astype("<u2").tobytes(), counts[own].astype("<u4").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(2, 6)]], names=["bucket", "chunk", "words", "spread", "contexts", "counts"])
 
 
-MERGED = "bucket int, spread binary, contexts binary, counts binary, chunks array<long>, places array<binary>, n_tokens long, n_words long, once long, twice long, by_context array<long>"
+MERGED = "bucket int, spread binary, contexts binary, counts binary, chunks array<long>, places array<binary>, n_tokens long, n_words long, once long, twice long"
+#: Sums over the buckets: number of a sweep (-1: customers, which stay), class, and the class's tables by slot, of the class itself, of the root.
+SUMS = "sweep int, class int, tables binary"
 
 
 def _merge(frame: pd.DataFrame) -> pd.DataFrame:
@@ -141,86 +149,222 @@ def _merge(frame: pd.DataFrame) -> pd.DataFrame:
     all_words = np.unique(np.concatenate(words))
     keys = []
     for w, spread, contexts in zip(words, frame["spread"], frame["contexts"], strict=True):
-        keys.append(np.repeat(np.searchsorted(all_words, w), np.frombuffer(spread, "<u1")) * CLASSES + np.frombuffer(contexts, "<u1"))
+        keys.append(np.repeat(np.searchsorted(all_words, w), np.frombuffer(spread, "<u4")) * CONTEXTS + np.frombuffer(contexts, "<u2"))
     pairs = np.unique(np.concatenate(keys))
     counts, places = np.zeros(len(pairs), np.int64), []
     for k, c in zip(keys, frame["counts"], strict=True):
         at = np.searchsorted(pairs, k)
         counts[at] += np.frombuffer(c, "<u4")  # a chunk names a pair once
-        places.append(at.astype("<u4").tobytes())
-    by_word = np.bincount(pairs // CLASSES, counts, len(all_words))
-    by_context = np.bincount(pairs % CLASSES, counts, CLASSES).astype(int)
-    row = (frame["bucket"].iloc[0], np.bincount(pairs // CLASSES, minlength=len(all_words)).astype("<u1").tobytes(), (pairs % CLASSES).astype("<u1").tobytes(), counts.astype("<u8").tobytes(), list(frame["chunk"]), places, int(counts.sum()), int((by_word > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum()), by_context.tolist())
+        places.append(np.diff(at, prepend=0).astype("<u4").tobytes())
+    by_word = np.bincount(pairs // CONTEXTS, counts, len(all_words))
+    row = (frame["bucket"].iloc[0], np.bincount(pairs // CONTEXTS, minlength=len(all_words)).astype("<u4").tobytes(), (pairs % CONTEXTS).astype("<u2").tobytes(), counts.astype("<u8").tobytes(), list(frame["chunk"]), places, int(counts.sum()), int((by_word > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum()))
+    release()
     return pd.DataFrame([row], columns=[c.split()[0] for c in MERGED.split(", ")])
 
 
-def seat(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after c customers of each dish have sat down one by one; weight: what a new table has, beside discount times the dish's own.
+#: A parent whose probability doesn't change: what it weighs, and what a customer adds.
+FIXED = (1e18, 0.0)
 
-    weight is an array of pairs (offset, factor): a new table weighs factor * (offset + discount * tables). Beyond 64
+
+def sit(seated: np.ndarray, tables: np.ndarray, more: np.ndarray, offset: np.ndarray, below: np.ndarray, discount: float, rng: np.random.Generator, parent: tuple = FIXED) -> np.ndarray:
+    """Tables of each dish after `more` customers have joined those seated, one by one.
+
+    A new table weighs (offset + discount * the tables opened since) times the parent's probability: `below` at first, and as a
+    table sends a customer to the parent, who weighs parent[0] without it and counts parent[1] for the dish, more with every table opened. Beyond 64
     customers they come in groups of a sixteenth of those seated, over which the chance of a new table hardly changes."""
-    offset, factor = weight
-    tables, seated = np.minimum(c, 1), np.minimum(c, 1)
-    active = np.flatnonzero(c > 1)
+    tables, n, left, opened = tables.copy(), seated.copy(), more.copy(), np.zeros(len(more), np.int64)
+    weight, gain = (np.broadcast_to(x, more.shape) for x in parent)
+    first = (n == 0) & (left > 0)
+    for x in (tables, n, opened):
+        x[first] += 1
+    left[first] -= 1
+    active = np.flatnonzero(left > 0)
     while len(active):
-        t, n = tables[active], seated[active]
-        m = np.minimum(np.maximum(n // 16, 1) if n[0] >= 64 else np.ones_like(n), c[active] - n)
-        new = factor[active] * (offset[active] + discount * t)
-        p = new / (new + n - discount * t)
-        drawn = (rng.random(len(active)) < p).astype(np.int64) if n[0] < 64 else rng.binomial(m, p)
-        tables[active], seated[active] = t + drawn, n + m
-        active = active[seated[active] < c[active]]
+        m = np.minimum(np.maximum(n[active] // 16 * (n[active] >= 64), 1), left[active])
+        o = opened[active]
+        new = (offset[active] + discount * o) * (below[active] * weight[active] + gain[active] * o) / (weight[active] + o)
+        p = new / (new + n[active] - discount * tables[active])
+        drawn = rng.random(len(active)) < p if (m == 1).all() else rng.binomial(m, p)
+        tables[active] += drawn
+        opened[active] += drawn
+        n[active] += m
+        left[active] -= m
+        active = active[left[active] > 0]
     return tables
 
 
+@lru_cache(4)
+def closing(discount: float, most: int = 64) -> np.ndarray:
+    """At [c, t]: the probability that one of c customers at t tables sits alone, by ratios of generalised Stirling numbers."""
+    out, s = np.zeros((most + 1, most + 1)), np.zeros(most + 2)
+    s[1] = out[1, 1] = 1.0
+    for c in range(1, most):
+        new = np.zeros(most + 2)
+        t = np.arange(1, c + 2)
+        new[t] = s[t - 1] + np.maximum(c - discount * t, 0) * s[t]
+        out[c + 1, t] = s[t - 1] / new[t]
+        s = new
+    return out
+
+
+def leave(seated: np.ndarray, tables: np.ndarray, fewer: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each dish after `fewer` of its customers, drawn at random, have left one by one (in groups of a sixteenth beyond 64, as they come).
+
+    About `discount` of many tables have a single customer, and 2 * tables - customers of them at least."""
+    t, n, left = np.where(fewer < seated, tables, 0), seated.copy(), np.where(fewer < seated, fewer, 0)
+    alone = closing(discount)
+    active = np.flatnonzero(left > 0)
+    while len(active):
+        c, own = n[active], t[active]
+        few = c < len(alone)
+        p = np.where(few, alone[np.where(few, c, 0), np.where(few, own, 0)], np.maximum(discount * own, 2 * own - c) / np.maximum(c, 1))
+        m = np.minimum(np.maximum(c // 16 * ~few, 1), left[active])
+        gone = rng.random(len(active)) < p if (m == 1).all() else rng.binomial(m, p)
+        t[active] = np.minimum(np.maximum(own - gone, 1), c - m)
+        n[active] -= m
+        left[active] -= m
+        active = active[left[active] > 0]
+    return t
+
+
 @dataclass
 class Totals:
-    """Of all restaurants: customers and tables by context, customers and tables of the parent."""
+    """Customers and tables of all restaurants: tables by context, of classes and of the root."""
+
+    contexts: np.ndarray
+    classes: np.ndarray
+    root: float
+
+    def __sub__(self, other: Totals) -> Totals:
+        return Totals(self.contexts - other.contexts, self.classes - other.classes, self.root - other.root)
+
+    def __add__(self, other: Totals) -> Totals:
+        return Totals(self.contexts + other.contexts, self.classes + other.classes, self.root + other.root)
+
+    def scaled(self, by: float) -> Totals:
+        return Totals(self.contexts * by, self.classes * by, self.root * by)
+
+    def class_customers(self) -> np.ndarray:
+        return self.contexts.reshape(SLOTS, CLASSES).sum(0)
 
-    tables: np.ndarray
-    parent_customers: float
-    parent_tables: float
+    def root_customers(self) -> float:
+        return self.classes.sum()
 
 
 @dataclass
-class Seating:
-    """The pairs of one bucket."""
+class View:
+    """What a dish meets in its restaurants: tables and customers of its classes, and of the root."""
 
-    contexts: np.ndarray
-    word_of: np.ndarray
-    counts: np.ndarray
-    n_words: int
+    class_tables: np.ndarray
+    class_customers: np.ndarray
+    root_tables: np.ndarray
+    root_customers: np.ndarray
+
+
+class Seating:
+    """The pairs (word, context) of one bucket, with tables at all levels. Pairs of a word lie together; `at_class` and `at_root` are their places one and two levels up."""
+
+    def __init__(self, spread: np.ndarray, contexts: np.ndarray, counts: np.ndarray):
+        self.contexts, self.counts, self.n_words = contexts.astype(np.int64), counts.astype(np.int64), len(spread)
+        self.word_of = np.repeat(np.arange(len(spread)), spread)
+        keys, self.at_class = np.unique(self.word_of * CLASSES + self.contexts % CLASSES, return_inverse=True)
+        self.at_root, self.classes = keys // CLASSES, keys % CLASSES
+        self.tables = np.minimum(self.counts, 1)
+        self.up()
+        self.class_tables = np.minimum(self.class_customers, 1)
+        self.root_customers = np.bincount(self.at_root, self.class_tables, self.n_words).astype(np.int64)
+        self.root_tables = np.minimum(self.root_customers, 1)
 
     @classmethod
     def of(cls, row) -> Seating:
-        spread = np.frombuffer(row.spread, "<u1")
-        return cls(np.frombuffer(row.contexts, "<u1"), np.repeat(np.arange(len(spread)), spread), np.frombuffer(row.counts, "<u8").astype(np.int64), len(spread))
+        return cls(np.frombuffer(row.spread, "<u4"), np.frombuffer(row.contexts, "<u2"), np.frombuffer(row.counts, "<u8"))
 
-    def parent_probability(self, tables: np.ndarray, parent: np.ndarray, totals: Totals, p: Settings) -> np.ndarray:
-        own = np.bincount(self.word_of, tables, self.n_words)
-        return (own - p.parent_discount * parent + (PARENT_THETA + p.parent_discount * totals.parent_tables) / (p.vocabulary + 1)) / (totals.parent_customers + PARENT_THETA)
+    def up(self) -> None:
+        self.class_customers = np.bincount(self.at_class, self.tables, len(self.at_root)).astype(np.int64)
 
-    def probability(self, tables: np.ndarray, parent: np.ndarray, totals: Totals, p: Settings) -> np.ndarray:
-        """Predictive probability of each pair's word in its context."""
-        shared = (THETA + p.discount * totals.tables)[self.contexts] * self.parent_probability(tables, parent, totals, p)[self.word_of]
-        return (self.counts - p.discount * tables + shared) / (p.customers[self.contexts] + THETA)
+    def totals(self) -> Totals:
+        return Totals(np.bincount(self.contexts, self.tables, CONTEXTS), np.bincount(self.classes, self.class_tables, CLASSES), float(self.root_tables.sum()))
+
+    def view(self, now: Totals, before: Seating | None = None) -> View:
+        """now, without what each dish itself has taken away since `before`."""
+        b = before or self
+        return View(
+            now.classes[self.classes] - (b.class_tables - self.class_tables), now.class_customers()[self.classes] - (b.class_customers - self.class_customers),
+            now.root - (b.root_tables - self.root_tables), now.root_customers() - (b.root_customers - self.root_customers),
+        )
+
+    def root_probability(self, v: View, p: Settings) -> np.ndarray:
+        return (self.root_customers - p.discount * self.root_tables + (THETA + p.discount * v.root_tables) / (p.vocabulary + 1)) / (v.root_customers + THETA)
+
+    def class_probability(self, v: View, p: Settings) -> np.ndarray:
+        new = (THETA + p.discount * v.class_tables) * self.root_probability(v, p)[self.at_root]
+        return (self.class_customers - p.discount * self.class_tables + new) / (v.class_customers + THETA)
 
-    def sweeps(self, bucket: int, p: Settings, totals: Totals | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Tables of pairs and of the parent's dishes, sweep after sweep. totals None: the bucket's own, scaled up."""
+    def probability(self, now: Totals, p: Settings) -> np.ndarray:
+        """Predictive probability of each pair's word in its context."""
+        weight = THETA + p.discount * now.contexts
+        return (self.counts - p.discount * self.tables + weight[self.contexts] * self.class_probability(self.view(now), p)[self.at_class]) / (p.customers + THETA)[self.contexts]
+
+    def sweep(self, others: Totals, p: Settings, rng: np.random.Generator) -> None:
+        """Seats all customers of pairs anew, a group of pairs after the other. Lone customers of a pair always have a table, so theirs don't move at the lowest level."""
+        movable = np.flatnonzero(self.counts > 1)
+        movable = movable[np.argsort(rng.random(len(movable)))]
+        movable = movable[np.argsort(self.word_of[movable], kind="stable")]  # a word's pairs in random order, dealt over the groups
+        first = np.searchsorted(self.word_of[movable], self.word_of[movable])
+        group = (np.arange(len(movable)) - first) % GROUPS
+        for g in range(GROUPS):
+            self.reseat(movable[group == g], others, p, rng)
+        self.reseat_upper(others, p, rng)
+
+    def reseat(self, pairs: np.ndarray, others: Totals, p: Settings, rng: np.random.Generator) -> None:
+        """A dish's group leaves and comes back given all other dishes as they are."""
+        if not len(pairs):
+            return
+        d, now, before = p.discount, others + self.totals(), copy.copy(self)
+        contexts, up = now.contexts[self.contexts[pairs]] - self.tables[pairs], self.at_class[pairs]
+        self._leave_class(np.bincount(up, self.tables[pairs], len(self.at_root)).astype(np.int64), d, rng)
+        self.tables = self.tables.copy()
+        v, zero = self.view(now, before), np.zeros(len(pairs), np.int64)
+        new = (THETA + d * v.class_tables) * self.root_probability(v, p)[self.at_root]
+        gain = 1 - d * new / (new + self.class_customers - d * self.class_tables)
+        self.tables[pairs] = sit(zero, zero, self.counts[pairs], THETA + d * contexts, self.class_probability(v, p)[up], d, rng, ((v.class_customers + THETA)[up], gain[up]))
+        self._join_class(np.bincount(up, self.tables[pairs], len(self.at_root)).astype(np.int64), v, p, rng)
+
+    def reseat_upper(self, others: Totals, p: Settings, rng: np.random.Generator) -> None:
+        """The customers of the class restaurants and of the root leave and come back, a dish's classes in turn."""
+        first = np.searchsorted(self.at_root, self.at_root)
+        turn = (np.arange(len(self.at_root)) - first) % GROUPS
+        for g in range(GROUPS):
+            now, before, gone = others + self.totals(), copy.copy(self), np.where(turn == g, self.class_customers, 0)
+            self._leave_class(gone, p.discount, rng)
+            self._join_class(gone, self.view(now, before), p, rng)
+        zero, tables = np.zeros(self.n_words, np.int64), (others + self.totals()).root - self.root_tables
+        self.root_tables = sit(zero, zero, self.root_customers, THETA + p.discount * tables, np.full(self.n_words, 1 / (p.vocabulary + 1)), p.discount, rng)
+
+    def _leave_class(self, gone: np.ndarray, discount: float, rng: np.random.Generator) -> None:
+        after = leave(self.class_customers, self.class_tables, gone, discount, rng)
+        up = np.bincount(self.at_root, self.class_tables - after, self.n_words).astype(np.int64)
+        self.class_customers, self.class_tables = self.class_customers - gone, after
+        self.root_tables = leave(self.root_customers, self.root_tables, up, discount, rng)
+        self.root_customers = self.root_customers - up
+
+    def _join_class(self, come: np.ndarray, v: View, p: Settings, rng: np.random.Generator) -> None:
+        d, base = p.discount, np.full(self.n_words, 1 / (p.vocabulary + 1))
+        new = (THETA + d * v.root_tables) * base
+        gain = 1 - d * new / (new + self.root_customers - d * self.root_tables)
+        after = sit(self.class_customers, self.class_tables, come, THETA + d * v.class_tables, self.root_probability(v, p)[self.at_root], d, rng, ((v.root_customers + THETA)[self.at_root], gain[self.at_root]))
+        up = np.bincount(self.at_root, after - self.class_tables, self.n_words).astype(np.int64)
+        self.class_customers, self.class_tables = self.class_customers + come, after
+        self.root_tables = sit(self.root_customers, self.root_tables, up, THETA + d * v.root_tables, base, d, rng)
+        self.root_customers = self.root_customers + up
+
+    def sweeps(self, bucket: int, p: Settings, others: Totals | None, n: int) -> Iterator[int]:
+        """n sweeps. others: the totals of the other buckets; None takes the bucket's own, scaled up."""
         rng = np.random.default_rng([SEED, int(bucket)])
-        tables = np.minimum(self.counts, 1)
-        parent = np.minimum(np.bincount(self.word_of, tables, self.n_words), 1).astype(np.int64)
-        for _ in range(BURN_IN + KEPT):
-            now = totals
-            if now is None:
-                scale = p.vocabulary / max(1, (parent > 0).sum())
-                now = Totals(np.bincount(self.contexts, tables, CLASSES) * scale, tables.sum() * scale, parent.sum() * scale)
-            below = self.parent_probability(tables, parent, now, p)[self.word_of]
-            # the dish's own tables are away while its customers are seated again
-            tables = seat(self.counts, (THETA + p.discount * np.maximum(now.tables[self.contexts] - tables, 0), below), p.discount, rng)
-            customers = np.bincount(self.word_of, tables, self.n_words).astype(np.int64)
-            parent = seat(customers, (PARENT_THETA + p.parent_discount * np.maximum(now.parent_tables - parent, 0), np.full(self.n_words, 1 / (p.vocabulary + 1))), p.parent_discount, rng)
-            yield tables, parent
+        for k in range(n):
+            scale = p.vocabulary / max(1, (self.root_tables > 0).sum()) - 1
+            self.sweep(self.totals().scaled(scale) if others is None else others, p, rng)
+            yield k
 
 
 @dataclass
@@ -229,39 +373,76 @@ class Settings:
     tokens: int
     customers: np.ndarray
     discount: float
-    parent_discount: float
 
 
-def _totals(frames: Iterator[pd.DataFrame], p: Settings, totals: Totals | None) -> Iterator[pd.DataFrame]:
+def _packed_totals(sweep: int, contexts: np.ndarray, classes: np.ndarray, root: float) -> Iterator[tuple[int, int, bytes]]:
+    by_class = contexts.reshape(SLOTS, CLASSES)
+    for k in range(CLASSES):
+        yield sweep, k, np.concatenate([by_class[:, k], [classes[k], root]]).astype("<f8").tobytes()
+
+
+@lean
+def _customers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for row in frame.itertuples():
+            counts = np.bincount(np.frombuffer(row.contexts, "<u2"), np.frombuffer(row.counts, "<u8"), CONTEXTS)
+            yield pd.DataFrame(_packed_totals(-1, counts, np.zeros(CLASSES), 0.0), columns=["sweep", "class", "tables"])
+
+
+@lean
+def _totals(frames: Iterator[pd.DataFrame], p: Settings, totals: Totals | None, n: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for row in frame.itertuples():
             own = Seating.of(row)
-            out = [(k, np.bincount(own.contexts, t, CLASSES).tolist(), float(t.sum()), float(parent.sum())) for k, (t, parent) in enumerate(own.sweeps(row.bucket, p, totals))]
-            yield pd.DataFrame(out, columns=["sweep", "tables", "customers", "parent_tables"])
+            others = None if totals is None else totals - _first_totals(row, p)
+            out = [x for k in own.sweeps(row.bucket, p, others, n) if totals is not None or k == n - 1 for t in [own.totals()] for x in _packed_totals(k, t.contexts, t.classes, t.root)]
+            yield pd.DataFrame(out, columns=["sweep", "class", "tables"])
+
 
+def _first_totals(row, p: Settings) -> Totals:
+    """What the bucket itself put into the first exchange."""
+    own = Seating.of(row)
+    for _ in own.sweeps(row.bucket, p, None, BURN_IN):
+        pass
+    return own.totals()
 
-def exchanged(merged: DataFrame, p: Settings, totals: Totals | None) -> list[Totals]:
-    """Totals after each sweep, summed over the buckets: CLASSES + 2 numbers a sweep reach the driver."""
-    own = merged.select("bucket", "spread", "contexts", "counts").mapInPandas(lambda f: _totals(f, p, totals), "sweep int, tables array<double>, customers double, parent_tables double")
-    sums = own.groupBy("sweep").agg(*[F.sum(F.col("tables")[k]).alias(f"t{k}") for k in range(CLASSES)], F.sum("customers").alias("customers"), F.sum("parent_tables").alias("parent_tables")).orderBy("sweep").collect()
-    return [Totals(np.array([r[f"t{k}"] for k in range(CLASSES)]), r["customers"], r["parent_tables"]) for r in sums]
 
+def _sum(frame: pd.DataFrame) -> pd.DataFrame:
+    out = np.zeros(SLOTS + 2)
+    for t in frame["tables"]:
+        out += np.frombuffer(t, "<f8")
+    return pd.DataFrame([(frame["sweep"].iloc[0], frame["class"].iloc[0], out.tobytes())], columns=["sweep", "class", "tables"])
 
-def _answers(frames: Iterator[pd.DataFrame], p: Settings, start: Totals, totals: list[Totals]) -> Iterator[pd.DataFrame]:
+
+def _collected(parts: DataFrame) -> dict[int, Totals]:
+    """Totals by sweep, summed over the buckets: CLASSES * (SLOTS + 2) numbers a sweep reach the driver."""
+    out: dict[int, Totals] = {}
+    for r in parts.groupBy("sweep", "class").applyInPandas(_sum, SUMS).collect():
+        t = out.setdefault(r["sweep"], Totals(np.zeros(CONTEXTS), np.zeros(CLASSES), 0.0))
+        tables = np.frombuffer(r["tables"], "<f8")
+        t.contexts.reshape(SLOTS, CLASSES)[:, r["class"]] = tables[:SLOTS]
+        t.classes[r["class"]], t.root = tables[SLOTS], tables[SLOTS + 1]
+    return out
+
+
+@lean
+def _answers(frames: Iterator[pd.DataFrame], p: Settings, start: Totals, totals: dict[int, Totals]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for row in frame.itertuples():
-            own = Seating.of(row)
+            own, others = Seating.of(row), start - _first_totals(row, p)
             mean = np.zeros(len(own.counts))
-            for k, (tables, parent) in enumerate(own.sweeps(row.bucket, p, start)):
+            for k in own.sweeps(row.bucket, p, others, BURN_IN + KEPT):
                 if k >= BURN_IN:
-                    mean += own.probability(tables, parent, totals[k], p) / KEPT
+                    mean += own.probability(totals[k], p) / KEPT
             logs = np.log10(np.maximum(mean, 1e-300)).astype("<f4")
             known = np.bincount(own.word_of, own.counts, own.n_words).astype("<u8")[own.word_of]
-            for chunk, places in zip(row.chunks, row.places, strict=True):
-                at = np.frombuffer(places, "<u4")
-                yield pd.DataFrame([(chunk, row.bucket, logs[at].tobytes(), known[at].astype("<u8").tobytes())], columns=["chunk", "bucket", "logs", "known"])
+            for chunk, steps in zip(row.chunks, row.places, strict=True):
+                at = np.cumsum(np.frombuffer(steps, "<u4"))
+                new = np.flatnonzero(np.diff(own.word_of[at], prepend=-1))  # a word's count is sent once
+                yield pd.DataFrame([(chunk, row.bucket, logs[at].tobytes(), known[at][new].astype("<u8").tobytes(), np.diff(new, append=len(at)).astype("<u4").tobytes())], columns=["chunk", "bucket", "logs", "known", "spread"])
 
 
+@lean
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     for c in chunks(batches):
@@ -270,14 +451,14 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c.id], pa.int64()), pa.array([c.doc_ids], pa.list_(pa.int64())), pa.array([c.held.tolist()], pa.list_(pa.bool_())), pa.array([c.lengths.tolist()], pa.list_(pa.int64())), pa.array([press.compress(low)], pa.binary()), pa.array([press.compress(high)], pa.binary()), pa.array([len(c.pair_word)], pa.int64())], names=["chunk", "doc_ids", "held", "lengths", "low", "high", "pairs"])
 
 
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
 def _scored(docs: pd.DataFrame, answers: pd.DataFrame, p: Settings) -> pd.DataFrame:
     open_ = zstandard.ZstdDecompressor()
     answers = answers.sort_values("bucket")
     logs = np.concatenate([np.frombuffer(x, "<f4") for x in answers["logs"]]).astype(np.float64) if len(answers) else np.empty(0)
-    counts = np.concatenate([np.frombuffer(x, "<u8") for x in answers["known"]]).astype(np.float64) if len(answers) else np.empty(0)
+    counts = np.concatenate([np.repeat(np.frombuffer(x, "<u8"), np.frombuffer(n, "<u4")) for x, n in zip(answers["known"], answers["spread"], strict=True)]).astype(np.float64) if len(answers) else np.empty(0)
     base = np.log10((counts + 0.5) / (p.tokens + 0.5 * (p.vocabulary + 1)))
     out = []
     for row in docs.itertuples():
@@ -287,7 +468,7 @@ def _scored(docs: pd.DataFrame, answers: pd.DataFrame, p: Settings) -> pd.DataFr
         lengths = np.asarray(row.lengths)
         starts = np.cumsum(lengths) - lengths
         sums = [np.add.reduceat(x[pairs], starts) for x in ((counts > 0).astype(np.int64), base, logs)]
-        out.append(pd.DataFrame({"doc_id": pd.array([None if d is None or d != d else int(d) for d in row.doc_ids], "Int64"), "held_out": np.asarray(row.held, bool), "n_tokens": lengths, "n_known": sums[0], "train_tokens": p.tokens, "base_score": sums[1], "score": sums[2]}))
+        out.append(pd.DataFrame({"doc_id": pd.array([None if d is None or d != d else int(d) for d in row.doc_ids], "Int64"), "held_out": np.asarray(row.held, bool), "n_tokens": lengths, "n_known": sums[0], "train_tokens": p.tokens, "base_score": sums[1], "score": sums[2], "perplexity": 10.0 ** (-sums[2] / lengths)}))
     return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in RESULT.split(", ")])
 
 
@@ -299,12 +480,15 @@ def score(docs: DataFrame, folds: int = 5) -> DataFrame:
     requests = rows.mapInArrow(lambda b: _requests(b, buckets), "bucket int, chunk long, words binary, spread binary, contexts binary, counts binary")
     merged = written(requests.groupBy("bucket").applyInPandas(_merge, MERGED), "merged")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    sums = merged.agg(*[total(c).alias(c) for c in ("n_tokens", "n_words", "once", "twice")], *[total(F.col("by_context")[k]).alias(f"c{k}") for k in range(CLASSES)]).first()
+    sums = merged.agg(*[total(c).alias(c) for c in ("n_tokens", "n_words", "once", "twice")]).first()
     discount = min(0.95, max(0.1, sums["once"] / max(1, sums["once"] + 2 * sums["twice"])))
-    p = Settings(sums["n_words"], sums["n_tokens"], np.array([sums[f"c{k}"] for k in range(CLASSES)], float), discount, discount)
-    start = (exchanged(merged, p, None) or [Totals(np.zeros(CLASSES), 0.0, 0.0)])[-1]
-    totals = exchanged(merged, p, start)
-    answers = merged.mapInPandas(lambda f: _answers(f, p, start, totals), "chunk long, bucket int, logs binary, known binary")
+    pairs, none = merged.select("bucket", "spread", "contexts", "counts"), Totals(np.zeros(CONTEXTS), np.zeros(CLASSES), 0.0)
+    p = Settings(sums["n_words"], sums["n_tokens"], _collected(pairs.mapInPandas(_customers, SUMS)).get(-1, none).contexts, discount)
+    start = _collected(pairs.mapInPandas(lambda f: _totals(f, p, None, BURN_IN), SUMS)).get(BURN_IN - 1, none)
+    sent = spark.sparkContext.broadcast((p, start))
+    totals = _collected(pairs.mapInPandas(lambda f: _totals(f, *sent.value, BURN_IN + KEPT), SUMS))
+    all_totals = spark.sparkContext.broadcast(totals)
+    answers = merged.mapInPandas(lambda f: _answers(f, *sent.value, all_totals.value), "chunk long, bucket int, logs binary, known binary, spread binary")
     tokens = rows.mapInArrow(_tokens, "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, low binary, high binary, pairs long")
     return tokens.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda d, a: _scored(d, a, p), RESULT)
 

@@ -222,23 +222,90 @@ def test_language_model(spark, data, docs, edge, empty):
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel_tol=1e-9)
     out = got[got.held_out]
     assert out.score.sum() > out.base_score.sum()
+    assert np.allclose(got.perplexity, 10 ** (-got.score / got.n_tokens))
     assert pitman_yor.score(edge).count() == len(EDGE) and pitman_yor.score(empty).count() == 0
 
 
-def test_predictive_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    words, classes = 50, pitman_yor.CLASSES
-    counts = rng.integers(0, 4, words * classes)
-    s = pitman_yor.Seating(np.tile(np.arange(classes), words), np.repeat(np.arange(words), classes), counts, words)
+def _seating(rng, words=30, contexts=40):
+    """A table of counts over contexts of three classes; every word has a pair with every context."""
+    own = np.sort(np.array([slot * pitman_yor.CLASSES + k for slot in range(contexts // 3) for k in (1, 2, 3)]))
+    counts = rng.integers(0, 4, words * len(own)) * rng.integers(0, 2, words * len(own))
+    s = pitman_yor.Seating(np.full(words, len(own)), np.tile(own, words), counts)
     known = int((np.bincount(s.word_of, counts) > 0).sum())
-    p = pitman_yor.Settings(known, int(counts.sum()), np.bincount(s.contexts, counts, classes), 0.6, 0.6)
-    for tables, parent in s.sweeps(0, p, None):
-        totals = pitman_yor.Totals(np.bincount(s.contexts, tables, classes).astype(float), float(tables.sum()), float(parent.sum()))
-        assert (tables <= counts).all() and (tables[counts > 0] > 0).all()
-        probs = s.probability(tables, parent, totals, p)
-        unknown = (pitman_yor.PARENT_THETA + p.parent_discount * totals.parent_tables) / (known + 1) / (totals.parent_customers + pitman_yor.PARENT_THETA)
-        shared = (pitman_yor.THETA + p.discount * totals.tables) / (p.customers + pitman_yor.THETA) * unknown
-        assert np.allclose(np.bincount(s.contexts, probs, classes) + shared, 1.0)
+    return s, pitman_yor.Settings(known, int(counts.sum()), np.bincount(s.contexts, counts, pitman_yor.CONTEXTS), 0.6)
+
+
+def test_predictive_probabilities_sum_to_one():
+    s, p = _seating(np.random.default_rng(0))
+    for _ in s.sweeps(0, p, None, 5):
+        now = s.totals()
+        assert (s.tables <= s.counts).all() and (s.tables[s.counts > 0] > 0).all()
+        assert (s.class_customers == np.bincount(s.at_class, s.tables)).all() and (s.root_customers == np.bincount(s.at_root, s.class_tables)).all()
+        assert (s.class_tables <= s.class_customers).all() and (s.class_tables[s.class_customers > 0] > 0).all() and ((s.root_tables > 0) == (s.root_customers > 0)).all()
+        d, theta, c = p.discount, pitman_yor.THETA, s.contexts[: len(s.contexts) // s.n_words]
+        unknown = (theta + d * now.root) / (p.vocabulary + 1) / (now.root_customers() + theta)
+        unknown *= ((theta + d * now.classes) / (now.class_customers() + theta))[c % pitman_yor.CLASSES]
+        unknown *= (theta + d * now.contexts[c]) / (p.customers[c] + theta)
+        assert np.allclose(s.probability(now, p).reshape(s.n_words, -1).sum(0) + unknown, 1.0)
+
+
+def _one_by_one(counts, words, contexts, p, sweeps, rng):
+    """Mean predictive probabilities by Gibbs steps of one customer at a time, tables kept one by one."""
+    theta, d = pitman_yor.THETA, p.discount
+    up = lambda r: ("class", r[1] % pitman_yor.CLASSES) if r[0] == "context" else ("root",) if r[0] == "class" else None
+    tables, sums = {}, {}  # (restaurant, word) -> sizes; restaurant -> [customers, tables]
+
+    def prob(r, w):
+        if r is None:
+            return 1 / (p.vocabulary + 1)
+        own, (n, t) = tables.get((r, w), []), sums.get(r, [0, 0])
+        return (sum(own) - d * len(own) + (theta + d * t) * prob(up(r), w)) / (n + theta)
+
+    def add(r, w):
+        own, total = tables.setdefault((r, w), []), sums.setdefault(r, [0, 0])
+        weights = [x - d for x in own] + [(theta + d * total[1]) * prob(up(r), w)]
+        k = rng.choices(range(len(weights)), weights)[0]
+        total[0] += 1
+        if k < len(own):
+            own[k] += 1
+            return
+        own.append(1)
+        total[1] += 1
+        if up(r):
+            add(up(r), w)
+
+    def remove(r, w):
+        own, total = tables[r, w], sums[r]
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        total[0] -= 1
+        if not own[k]:
+            own.pop(k)
+            total[1] -= 1
+            if up(r):
+                remove(up(r), w)
+
+    customers = [(("context", int(c)), int(w)) for c, w, n in zip(contexts, words, counts, strict=True) for _ in range(n)]
+    for x in customers:
+        add(*x)
+    mean = np.zeros(len(counts))
+    for k in range(sweeps):
+        for x in customers:
+            remove(*x)
+            add(*x)
+        if k >= sweeps // 4:
+            mean += [prob(("context", int(c)), int(w)) for c, w in zip(contexts, words, strict=True)]
+    return mean / (sweeps - sweeps // 4)
+
+
+def test_sampler_agrees_with_one_customer_at_a_time():
+    s, p = _seating(np.random.default_rng(2), 8, 6)
+    want = _one_by_one(s.counts, s.word_of, s.contexts, p, 300, random.Random(1))
+    mean = np.zeros(len(want))
+    for k in s.sweeps(0, p, None, 500):
+        if k >= 100:
+            mean += s.probability(s.totals(), p) / 400
+    assert np.abs(mean / want - 1).mean() < 0.05 and np.abs(mean / want - 1).max() < 0.2
 
 
 def test_tiling_covers_reordered_passages(spark, edge, empty):
