@@ -22,7 +22,6 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import copy
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,7 +42,7 @@ from .common import held_out, lean, parallelism, release, table, written
 CLASSES, SLOTS, CHUNK, REMEMBERED = 64, 1024, 1_000_000, 200_000
 CONTEXTS = CLASSES * SLOTS
 #: Sweeps that are thrown away, sweeps that are averaged, groups of a sweep; concentration of every restaurant.
-BURN_IN, KEPT, GROUPS, THETA, SEED = 2, 4, 8, 1.0, 11
+BURN_IN, KEPT, GROUPS, THETA, SEED = 1, 3, 4, 1.0, 11
 END = 0
 _PUNCTUATION = b".,;:!?*#$%&|\"'()[]"
 
@@ -251,6 +250,24 @@ class Totals:
         return self.classes.sum()
 
 
+@dataclass
+class Part:
+    """Some dishes of class restaurants, their words, and what both had."""
+
+    at: np.ndarray
+    words: np.ndarray
+    up: np.ndarray
+    class_tables: np.ndarray
+    class_customers: np.ndarray
+    root_tables: np.ndarray
+    root_customers: np.ndarray
+
+    @classmethod
+    def of(cls, s: Seating, at: np.ndarray) -> Part:
+        words, up = np.unique(s.at_root[at], return_inverse=True)
+        return cls(at, words, up, s.class_tables[at], s.class_customers[at], s.root_tables[words], s.root_customers[words])
+
+
 @dataclass
 class View:
     """What a dish meets in its restaurants: tables and customers of its classes, and of the root."""
@@ -285,25 +302,27 @@ class Seating:
     def totals(self) -> Totals:
         return Totals(np.bincount(self.contexts, self.tables, CONTEXTS), np.bincount(self.classes, self.class_tables, CLASSES), float(self.root_tables.sum()))
 
-    def view(self, now: Totals, before: Seating | None = None) -> View:
-        """now, without what each dish itself has taken away since `before`."""
-        b = before or self
+    def view(self, part: Part, now: Totals) -> View:
+        """now, without what each dish itself has taken away since the part was made."""
         return View(
-            now.classes[self.classes] - (b.class_tables - self.class_tables), now.class_customers()[self.classes] - (b.class_customers - self.class_customers),
-            now.root - (b.root_tables - self.root_tables), now.root_customers() - (b.root_customers - self.root_customers),
+            now.classes[self.classes[part.at]] - (part.class_tables - self.class_tables[part.at]), now.class_customers()[self.classes[part.at]] - (part.class_customers - self.class_customers[part.at]),
+            now.root - (part.root_tables - self.root_tables[part.words]), now.root_customers() - (part.root_customers - self.root_customers[part.words]),
         )
 
-    def root_probability(self, v: View, p: Settings) -> np.ndarray:
-        return (self.root_customers - p.discount * self.root_tables + (THETA + p.discount * v.root_tables) / (p.vocabulary + 1)) / (v.root_customers + THETA)
+    def root_probability(self, part: Part, v: View, p: Settings) -> np.ndarray:
+        own = self.root_customers[part.words] - p.discount * self.root_tables[part.words]
+        return (own + (THETA + p.discount * v.root_tables) / (p.vocabulary + 1)) / (v.root_customers + THETA)
 
-    def class_probability(self, v: View, p: Settings) -> np.ndarray:
-        new = (THETA + p.discount * v.class_tables) * self.root_probability(v, p)[self.at_root]
-        return (self.class_customers - p.discount * self.class_tables + new) / (v.class_customers + THETA)
+    def class_probability(self, part: Part, v: View, p: Settings) -> tuple[np.ndarray, np.ndarray]:
+        """Of each dish in its class, and what one more customer counts on average (less if it opens a table)."""
+        own = self.class_customers[part.at] - p.discount * self.class_tables[part.at]
+        new = (THETA + p.discount * v.class_tables) * self.root_probability(part, v, p)[part.up]
+        return (own + new) / (v.class_customers + THETA), 1 - p.discount * new / (own + new)
 
     def probability(self, now: Totals, p: Settings) -> np.ndarray:
         """Predictive probability of each pair's word in its context."""
-        weight = THETA + p.discount * now.contexts
-        return (self.counts - p.discount * self.tables + weight[self.contexts] * self.class_probability(self.view(now), p)[self.at_class]) / (p.customers + THETA)[self.contexts]
+        weight, everything = THETA + p.discount * now.contexts, Part.of(self, np.arange(len(self.at_root)))
+        return (self.counts - p.discount * self.tables + weight[self.contexts] * self.class_probability(everything, self.view(everything, now), p)[0][self.at_class]) / (p.customers + THETA)[self.contexts]
 
     def sweep(self, others: Totals, p: Settings, rng: np.random.Generator) -> None:
         """Seats all customers of pairs anew, a group of pairs after the other. Lone customers of a pair always have a table, so theirs don't move at the lowest level."""
@@ -320,43 +339,44 @@ class Seating:
         """A dish's group leaves and comes back given all other dishes as they are."""
         if not len(pairs):
             return
-        d, now, before = p.discount, others + self.totals(), copy.copy(self)
-        contexts, up = now.contexts[self.contexts[pairs]] - self.tables[pairs], self.at_class[pairs]
-        self._leave_class(np.bincount(up, self.tables[pairs], len(self.at_root)).astype(np.int64), d, rng)
-        self.tables = self.tables.copy()
-        v, zero = self.view(now, before), np.zeros(len(pairs), np.int64)
-        new = (THETA + d * v.class_tables) * self.root_probability(v, p)[self.at_root]
-        gain = 1 - d * new / (new + self.class_customers - d * self.class_tables)
-        self.tables[pairs] = sit(zero, zero, self.counts[pairs], THETA + d * contexts, self.class_probability(v, p)[up], d, rng, ((v.class_customers + THETA)[up], gain[up]))
-        self._join_class(np.bincount(up, self.tables[pairs], len(self.at_root)).astype(np.int64), v, p, rng)
+        now, own = others + self.totals(), self.tables[pairs]
+        at, up = np.unique(self.at_class[pairs], return_inverse=True)
+        part = Part.of(self, at)
+        self._leave_class(part, np.bincount(up, own, len(at)).astype(np.int64), p, rng)
+        v, zero = self.view(part, now), np.zeros(len(pairs), np.int64)
+        below, gain = self.class_probability(part, v, p)
+        self.tables[pairs] = sit(zero, zero, self.counts[pairs], THETA + p.discount * (now.contexts[self.contexts[pairs]] - own), below[up], p.discount, rng, ((v.class_customers + THETA)[up], gain[up]))
+        self._join_class(part, np.bincount(up, self.tables[pairs], len(at)).astype(np.int64), v, p, rng)
 
     def reseat_upper(self, others: Totals, p: Settings, rng: np.random.Generator) -> None:
         """The customers of the class restaurants and of the root leave and come back, a dish's classes in turn."""
-        first = np.searchsorted(self.at_root, self.at_root)
-        turn = (np.arange(len(self.at_root)) - first) % GROUPS
+        turn = (np.arange(len(self.at_root)) - np.searchsorted(self.at_root, self.at_root)) % GROUPS
         for g in range(GROUPS):
-            now, before, gone = others + self.totals(), copy.copy(self), np.where(turn == g, self.class_customers, 0)
-            self._leave_class(gone, p.discount, rng)
-            self._join_class(gone, self.view(now, before), p, rng)
-        zero, tables = np.zeros(self.n_words, np.int64), (others + self.totals()).root - self.root_tables
-        self.root_tables = sit(zero, zero, self.root_customers, THETA + p.discount * tables, np.full(self.n_words, 1 / (p.vocabulary + 1)), p.discount, rng)
-
-    def _leave_class(self, gone: np.ndarray, discount: float, rng: np.random.Generator) -> None:
-        after = leave(self.class_customers, self.class_tables, gone, discount, rng)
-        up = np.bincount(self.at_root, self.class_tables - after, self.n_words).astype(np.int64)
-        self.class_customers, self.class_tables = self.class_customers - gone, after
-        self.root_tables = leave(self.root_customers, self.root_tables, up, discount, rng)
-        self.root_customers = self.root_customers - up
-
-    def _join_class(self, come: np.ndarray, v: View, p: Settings, rng: np.random.Generator) -> None:
-        d, base = p.discount, np.full(self.n_words, 1 / (p.vocabulary + 1))
-        new = (THETA + d * v.root_tables) * base
-        gain = 1 - d * new / (new + self.root_customers - d * self.root_tables)
-        after = sit(self.class_customers, self.class_tables, come, THETA + d * v.class_tables, self.root_probability(v, p)[self.at_root], d, rng, ((v.root_customers + THETA)[self.at_root], gain[self.at_root]))
-        up = np.bincount(self.at_root, after - self.class_tables, self.n_words).astype(np.int64)
-        self.class_customers, self.class_tables = self.class_customers + come, after
-        self.root_tables = sit(self.root_customers, self.root_tables, up, THETA + d * v.root_tables, base, d, rng)
-        self.root_customers = self.root_customers + up
+            now, part = others + self.totals(), Part.of(self, np.flatnonzero((turn == g) & (self.class_customers > 1)))
+            gone = part.class_customers
+            self._leave_class(part, gone, p, rng)
+            self._join_class(part, gone, self.view(part, now), p, rng)
+        words = np.flatnonzero(self.root_customers > 1)
+        zero, tables = np.zeros(len(words), np.int64), (others + self.totals()).root - self.root_tables[words]
+        self.root_tables[words] = sit(zero, zero, self.root_customers[words], THETA + p.discount * tables, np.full(len(words), 1 / (p.vocabulary + 1)), p.discount, rng)
+
+    def _leave_class(self, part: Part, gone: np.ndarray, p: Settings, rng: np.random.Generator) -> None:
+        after = leave(part.class_customers, part.class_tables, gone, p.discount, rng)
+        up = np.bincount(part.up, part.class_tables - after, len(part.words)).astype(np.int64)
+        self.class_customers[part.at], self.class_tables[part.at] = part.class_customers - gone, after
+        self.root_tables[part.words] = leave(part.root_customers, part.root_tables, up, p.discount, rng)
+        self.root_customers[part.words] = part.root_customers - up
+
+    def _join_class(self, part: Part, come: np.ndarray, v: View, p: Settings, rng: np.random.Generator) -> None:
+        d, base = p.discount, np.full(len(part.words), 1 / (p.vocabulary + 1))
+        new, own = (THETA + d * v.root_tables) * base, self.root_customers[part.words] - d * self.root_tables[part.words]
+        gain, below, seated = 1 - d * new / (new + own), self.root_probability(part, v, p), self.class_tables[part.at]
+        after = sit(self.class_customers[part.at], seated, come, THETA + d * v.class_tables, below[part.up], d, rng, ((v.root_customers + THETA)[part.up], gain[part.up]))
+        up = np.bincount(part.up, after - seated, len(part.words)).astype(np.int64)
+        self.class_customers[part.at] += come
+        self.class_tables[part.at] = after
+        self.root_tables[part.words] = sit(self.root_customers[part.words], self.root_tables[part.words], up, THETA + d * v.root_tables, base, d, rng)
+        self.root_customers[part.words] += up
 
     def sweeps(self, bucket: int, p: Settings, others: Totals | None, n: int) -> Iterator[int]:
         """n sweeps. others: the totals of the other buckets; None takes the bucket's own, scaled up."""
