@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import held_out, lean, parallelism, release, table, written
 
 #: Classes of contexts, restaurants of each class, tokens of a chunk, words that a task remembers.
-CLASSES, SLOTS, CHUNK, REMEMBERED = 64, 1024, 1_000_000, 200_000
+CLASSES, SLOTS, CHUNK, REMEMBERED = 64, 1024, 750_000, 150_000
 CONTEXTS = CLASSES * SLOTS
 #: Sweeps that are thrown away, sweeps that are averaged, groups of a sweep; concentration of every restaurant.
 BURN_IN, KEPT, GROUPS, THETA, SEED = 1, 3, 4, 1.0, 11
@@ -496,7 +496,7 @@ def score(docs: DataFrame, folds: int = 5) -> DataFrame:
     """The columns of RESULT for each row of docs (doc_id, text); rows of fold 1 of `folds` are held out."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), held_out("doc_id", folds).alias("held"))
-    buckets = parallelism(spark)
+    buckets = 2 * parallelism(spark)  # a task holds one at a time
     requests = rows.mapInArrow(lambda b: _requests(b, buckets), "bucket int, chunk long, words binary, spread binary, contexts binary, counts binary")
     merged = written(requests.groupBy("bucket").applyInPandas(_merge, MERGED), "merged")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))

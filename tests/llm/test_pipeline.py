@@ -67,3 +67,20 @@ def test_near_duplicates_equal_brute_force(spark, data):
     assert want != _kept_by_brute_force(rows, 4, 85)
     kept = corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), data)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
+def test_stages_on_odd_rows(spark, data):
+    long = " ".join(f"w{n}" for n in range(30_000))
+    rows = [(1, None, "en", "a", None), (2, "", "en", "a", 0), (None, "no id at all", None, None, 12), (3, long, "en", "a", len(long)), (4, "mail x@y.zz now please", "en", "a", 22), (4, "mail x@y.zz now please", "en", "a", 22), (5, "one word", "en", "a", 8)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, toxicity double, _spans string, node long"
+    frame = spark.createDataFrame([(*r, 0.5, "s", 7) for r in rows], schema)
+    for docs in (frame, frame.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = written(stage(spark, docs, data), "test")
+            assert docs.columns == frame.columns, name
+        got = docs.collect()
+        assert sorted(str(r.doc_id) for r in got) == (["1", "2", "3", "4", "5", "None"] if got else [])
+        assert all((r.toxicity, r["_spans"], r.node) == (0.5, "s", 7) for r in got)
+        assert {r.doc_id: r.text for r in got}.get(4) in (None, "mail [EMAIL] now please")
+        pieces = corpus_pipeline.pack(spark, docs, data).collect()
+        assert len({r.doc_id for r in pieces}) == len(got)
