@@ -14,8 +14,11 @@ SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the model learns from the labels' training fold."""
-    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("toxicity") < toxicity.THRESHOLD).drop("toxicity")
+    column = "toxicity"
+    while column in {c.lower() for c in docs.columns}:
+        column += "_"
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), column)
+    return scored.where(F.col(column) < toxicity.THRESHOLD).drop(column)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
