@@ -17,6 +17,8 @@ stays null; every row and every other column stays, whatever its name.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,8 +94,8 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), lambda t: F.contains(t, F.lit("+")), 0.6, "phone|tel|call|mobile|telefon"),
     Kind("iban", _IBAN, _mod97, lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), 0.7, "iban|account|konto|compte|cuenta"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), lambda t: t.rlike("[0-9]-[0-9]{2}-[0-9]"), 0.3, r"\bssn\b|social security"),
-    Kind("secret", rf"(?<=(?<![A-Za-z0-9])(?i:{_NAMES}){_SET})[A-Za-z0-9+/=_-]{{16,}}+", _random, lambda t: t.rlike(rf"(?i)(?:{_NAMES}){_SET}[A-Za-z0-9+/=_-]{{16}}"), 0.7, "token|key|secret"),
-    Kind("key", rf"(?<![A-Za-z0-9])(?:{_KEYS})", lambda m: F.lit(True), lambda t: t.rlike("AKIA|gh[pousr]_|xox[baprs]-|AIza|sk-[A-Za-z0-9]|eyJ|PRIVATE KEY"), 0.7, "token|key|secret"),
+    Kind("secret", rf"(?<=(?<![A-Za-z0-9])(?i:{_NAMES}){_SET})[A-Za-z0-9+/=_-]{{16,}}+", _random, lambda t: F.lower(t).rlike("token|secret|passw|pwd|bearer|key") & t.rlike(rf"(?i)(?:{_NAMES}){_SET}[A-Za-z0-9+/=_-]{{16}}"), 0.7, "token|key|secret"),
+    Kind("key", rf"(?<![A-Za-z0-9])(?:{_KEYS})", lambda m: F.lit(True), lambda t: reduce(or_, [F.contains(t, F.lit(w)) for w in ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk-", "eyJ", "PRIVATE KEY")]), 0.7, "token|key|secret"),
     Kind("login", r"(?<=://)[^\s/:@]{1,64}+:[^\s/:@]{1,128}+(?=@)", lambda m: F.lit(True), lambda t: F.contains(t, F.lit("://")) & F.contains(t, F.lit("@")), 0.7, "http|ftp|sql"),
 )
 #: Added spans below this score are left out; base spans always stay.
