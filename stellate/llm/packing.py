@@ -51,8 +51,8 @@ class WordIds(dict):
         if not path:
             with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            ordinary, special = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-            self.encode = lambda text: self.encode_any(text) if any(t in text for t in special) else ordinary(text)
+            self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.special = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)")
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -63,6 +63,8 @@ class WordIds(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        if self.special.search(text):
+            return np.array(self.encode_any(text), "<u4").tobytes()
         if _CUT_UNSAFE.search(text):
             return np.array(self.encode(text), "<u4").tobytes()
         words = text.split(" ")
