@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.storage import written
 from .centres import k_center_greedy
 from .neighbors import nearest
+from .sampling import uniform
 from .scaling import standard
 from .trees import encoding_trees, graph_edges, level_entropy, outlier_scores
 
@@ -43,7 +44,7 @@ def coreset(points: DataFrame, z: int, alpha: float = 1.0, beta: float = 0.4, se
 def with_noise(points: DataFrame, z: int, spread: float, seed: int = 0) -> DataFrame:
     """Standardised points with is_outlier false, and z uniform ones in [-spread, spread] with ids below 0 and is_outlier true."""
     rows = standard(points, ["x", "y"]).select("id", "x", "y", F.lit(False).alias("is_outlier"))
-    u = lambda salt: (F.rand(seed * 2 + salt) * 2 - 1) * spread
+    u = lambda salt: (uniform(seed * 2 + salt, "id") * 2 - 1) * spread
     return rows.union(points.sparkSession.range(z).select((-F.col("id") - 1).alias("id"), u(0).alias("x"), u(1).alias("y"), F.lit(True)))
 
 

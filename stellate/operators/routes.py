@@ -91,13 +91,21 @@ def canonical_hash(routes: Column) -> Column:
     return F.md5(F.to_json(F.array_sort(turned)).cast("binary"))
 
 
-def rotated(stops: DataFrame, angle: float, flip: bool = False) -> DataFrame:
-    """stops turned around the origin, and mirrored on the diagonal if flip."""
+def rotated(stops: DataFrame, angle: float, flip: bool = False, noise: float = 0.0, seed: int = 0) -> DataFrame:
+    """stops turned around the origin, with y mirrored after that if flip.
+
+    Before that, stops other than the depot (node 0) are moved by normal noise of that deviation, drawn by node and seed."""
     import math
 
+    from .sampling import uniform
+
     c, s = math.cos(angle), math.sin(angle)
-    out = stops.withColumns({"x": F.col("x") * c - F.col("y") * s, "y": F.col("x") * s + F.col("y") * c})
-    return out.withColumns({"x": F.col("y"), "y": F.col("x")}) if flip else out
+    if noise:
+        radius = F.when(F.col("node") == 0, 0.0).otherwise(noise * F.sqrt(-2 * F.log(uniform(2 * seed, "node"))))
+        turn = 2 * math.pi * uniform(2 * seed + 1, "node")
+        stops = stops.withColumns({"x": F.col("x") + radius * F.cos(turn), "y": F.col("y") + radius * F.sin(turn)})
+    sign = -1.0 if flip else 1.0
+    return stops.withColumns({"x": F.col("x") * c - F.col("y") * s, "y": sign * (F.col("x") * s + F.col("y") * c)})
 
 
 def replaced(stops: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:

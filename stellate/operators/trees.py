@@ -215,12 +215,15 @@ def graph_edges(points: DataFrame, ne: int = 5, gap: float = 0.2, by: str | None
     return gap_adjacency(points, ne, gap * (both.agg(F.stddev_pop("v")).first()[0] or 0.0), by)
 
 
-def structural_entropy(points: DataFrame, ne: int = 5, gap: float = 0.2, depth: int = 3) -> DataFrame:
-    """graph_id, id, score: the sum over levels of each point's entropy; one tree for each graph_id of points."""
+def structural_entropy(points: DataFrame, ne: int = 5, gap: float = 0.2, depth: int = 3, threshold: float | None = None) -> DataFrame:
+    """graph_id, id, score: the sum over levels of each point's entropy; one tree for each graph_id of points.
+
+    threshold: the gap itself, in place of gap times the deviation of all coordinates."""
     if "graph_id" not in points.columns:
         points = points.withColumn("graph_id", F.lit(0).cast("long"))
     ids = points.select("graph_id", F.col("id").alias("i"))
-    edges = graph_edges(points, ne, gap, "graph_id").join(ids, "i")
+    adjacent = graph_edges(points, ne, gap, "graph_id") if threshold is None else gap_adjacency(points, ne, threshold, "graph_id")
+    edges = adjacent.join(ids, "i")
     return level_entropy(encoding_trees(edges, depth), depth).groupBy("graph_id", F.col("point_id").alias("id")).agg(F.sum("entropy").alias("score"))
 
 
@@ -238,11 +241,16 @@ def divided_trees(points: DataFrame, edges: DataFrame, block: int, depth: int =
     return encoding_trees(inner.union(outer), depth)
 
 
-def up_dimension(points: DataFrame, ne: int = 5, gap: float = 0.2, depth: int = 3) -> DataFrame:
-    """id, x, y, z: the points with their structural entropy as a third coordinate, all scaled to 0..1."""
+def up_dimension(points: DataFrame, k: int, ne: int = 5, gap: float = 0.2, depth: int = 3) -> DataFrame:
+    """id, x, y, z: the points with their structural entropy as a third coordinate, all scaled to 0..1.
+
+    The gap is in units of the root of the mean squared distance to the nearest of k k-means centres."""
+    from .centres import k_means
     from .scaling import min_max
 
-    score = structural_entropy(points, ne, gap, depth).select("id", F.col("score").alias("z"))
+    _, model = k_means(points, ["x", "y"], k)
+    threshold = gap * math.sqrt(model.summary.trainingCost / max(1, points.count()))
+    score = structural_entropy(points, ne, gap, depth, threshold).select("id", F.col("score").alias("z"))
     return min_max(written(points.join(score, "id").select("id", "x", "y", "z"), "dimension"), ["x", "y", "z"])
 
 

@@ -470,7 +470,7 @@ def divided_trees(s: SparkSession, d: str) -> DataFrame:
 
 
 def up_dimension(s: SparkSession, d: str) -> DataFrame:
-    return r6(tr.up_dimension(points(s, d)), "x", "y", "z")
+    return r6(tr.up_dimension(points(s, d), 10), "x", "y", "z")
 
 
 def generated_points(s: SparkSession, d: str) -> DataFrame:

@@ -149,7 +149,7 @@ ORACLE: dict[str, str] = {
     "capacity_split": _p(_STOPS, "o AS (SELECT route, seq, demand, row_number() OVER (PARTITION BY route ORDER BY seq) AS n FROM s)", _SPLIT, "SELECT route AS problem, seq, CAST(part AS INTEGER) AS route FROM f", recursive=True),
     "packed_routes": _p(_STOPS, "o AS (SELECT route, seq, demand, row_number() OVER (PARTITION BY route ORDER BY seq) AS n FROM s)", _SPLIT, "SELECT problem, string_agg(nodes || ',0', ',' ORDER BY part) AS packed FROM (SELECT route AS problem, part, string_agg(CAST(seq + 1 AS VARCHAR), ',' ORDER BY seq) AS nodes FROM f GROUP BY route, part) GROUP BY problem", recursive=True),
     "cyclic_neighbors": _p(_STOPS, "SELECT route, node, coalesce(lag(node) OVER o, last_value(node) OVER f) AS before, coalesce(lead(node) OVER o, first_value(node) OVER f) AS after FROM s WINDOW o AS (PARTITION BY route ORDER BY seq), f AS (PARTITION BY route ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
-    "rotated_stops": _p(_STOPS, "SELECT node, round(x * sin(0.5) + y * cos(0.5), 6) AS x, round(x * cos(0.5) - y * sin(0.5), 6) AS y FROM s"),
+    "rotated_stops": _p(_STOPS, "SELECT node, round(x * cos(0.5) - y * sin(0.5), 6) AS x, round(-(x * sin(0.5) + y * cos(0.5)), 6) AS y FROM s"),
     "batch_ids": _p("SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 125) AS BIGINT) AS batch FROM p"),
     "swap_tuples": _p("l AS (SELECT DISTINCT label FROM p) SELECT a.label AS c1, b.label AS c2, c.label AS c3 FROM l a JOIN l b ON b.label > a.label JOIN l c ON c.label > b.label"),
     "edge_rank": _p(_D, _KNN, "SELECT round(avg(n), 6) AS mean_rank FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY 1 - d DESC, j) AS n FROM k) WHERE (i + j) % 3 = 0"),

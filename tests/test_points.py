@@ -197,3 +197,15 @@ def test_generators_are_fixed_by_their_seed(spark):
     for kind in (*generators.DISTRIBUTIONS, *generators.SHAPES):
         a, b = (generators.points(spark, kind, 40, seed=5).orderBy("id").collect() for _ in range(2))
         assert a == b and len(a) == 40
+
+
+def test_flip_mirrors_after_turning(spark):
+    import math
+
+    from stellate.operators import routes
+
+    stops = spark.createDataFrame([(0, 1.0, 0.0), (1, 0.0, 2.0)], "node int, x double, y double")
+    got = {r.node: (r.x, r.y) for r in routes.rotated(stops, math.pi / 2, flip=True).collect()}
+    assert all(math.isclose(a, b, abs_tol=1e-12) for n, want in {0: (0, -1), 1: (-2, 0)}.items() for a, b in zip(got[n], want, strict=True))
+    moved = {r.node: (r.x, r.y) for r in routes.rotated(stops, 0.0, noise=0.1).collect()}
+    assert moved[0] == (1.0, 0.0) and moved[1] != (0.0, 2.0) and math.dist(moved[1], (0.0, 2.0)) < 1
