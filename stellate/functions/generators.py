@@ -7,24 +7,26 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.draws import normal, truncated, uniform
+
 DISTRIBUTIONS = ("uniform", "normal", "exponential", "student_t", "lognormal", "laplace", "cauchy", "ring", "gamma", "beta", "moons")
 SHAPES = ("smile", "spiral", "parabola", "squares")
 
 
 def _u(seed: int, salt: int) -> Column:
-    return F.greatest(F.rand(seed * 97 + salt), F.lit(1e-12))
+    return uniform(seed * 97 + salt, "id")
 
 
 def _z(seed: int, salt: int) -> Column:
-    return F.randn(seed * 97 + salt)
+    return normal(seed * 97 + salt, "id")
 
 
 def _value(kind: str, seed: int, axis: int) -> Column:
     s = 20 * axis
     if kind == "uniform":
         return _u(seed, s)
-    if kind == "normal":  # within three deviations, by the inverse of a squashed uniform draw
-        return F.greatest(F.least(_z(seed, s), F.lit(3.0)), F.lit(-3.0))
+    if kind == "normal":  # drawn again beyond three deviations
+        return truncated(lambda t: _z(seed, s + 200 * t), -3.0, 3.0, F.lit(0.0))
     if kind == "exponential":
         return -F.log(_u(seed, s))
     if kind == "student_t":  # three degrees of freedom
@@ -76,18 +78,24 @@ def points(spark: SparkSession, kind: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def mixture(spark: SparkSession, n: int, modes: int, spread: float, seed: int = 0, uniform_share: float = 0.0) -> DataFrame:
-    """id, x, y, label: Gaussian modes at hashed places of the unit square, kept inside it, and a share of uniform points (label -1)."""
-    place = lambda salt: F.pmod(F.xxhash64("label", F.lit(seed * 2 + salt)), F.lit(1 << 20)) / float(1 << 20)
+    """id, x, y, label: Gaussian modes at hashed places of the unit square, drawn again outside it, and a share of uniform points (label -1)."""
+    place = lambda salt: uniform(seed * 2 + salt, "label")
     rows = spark.range(n).withColumn("label", F.when(_u(seed, 71) < uniform_share, -1).otherwise(F.floor(_u(seed, 72) * modes)).cast("int"))
-    inside = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
-    at = lambda salt: F.when(F.col("label") < 0, _u(seed, 73 + salt)).otherwise(inside(place(salt) + spread * _z(seed, 75 + salt)))
+    rows = rows.withColumns({"_p0": place(0), "_p1": place(1)})
+    at = lambda k: F.when(F.col("label") < 0, _u(seed, 73 + k)).otherwise(truncated(lambda t: F.col(f"_p{k}") + spread * _z(seed, 75 + k + 100 * t), 0.0, 1.0, _u(seed, 73 + k)))
     return rows.select("id", at(0).alias("x"), at(1).alias("y"), "label")
 
 
 def instances(spark: SparkSession, count: int, nodes: int, seed: int = 0) -> DataFrame:
     """sample, i, x, y: many small instances, each with its own mixture of modes and spreads by sample % 10; node 0 is uniform."""
+    rows = spark.range(count * nodes).select("id", F.floor(F.col("id") / nodes).alias("sample"), (F.col("id") % nodes).cast("int").alias("i"))
+    rows = rows.withColumn("_m", F.floor(_u(seed, 81) * (1 + F.col("sample") % 10)))
+    rows = rows.withColumns({f"_p{k}": uniform(seed * 2 + k, "sample", "_m") for k in (0, 1)})
+    at = lambda k: F.when(F.col("i") == 0, _u(seed, 83 + k)).otherwise(truncated(lambda t: F.col(f"_p{k}") + (F.col("sample") % 10 + 1) / 100 * _z(seed, 85 + k + 100 * t), 0.0, 1.0, _u(seed, 83 + k)))
+    return rows.select("sample", "i", at(0).alias("x"), at(1).alias("y"))
+
+
+def tours(spark: SparkSession, count: int, nodes: int, seed: int = 0) -> DataFrame:
+    """sample, i, x, y: instances of uniform places in the unit square for round trips, drawn by sample, node and seed."""
     rows = spark.range(count * nodes).select(F.floor(F.col("id") / nodes).alias("sample"), (F.col("id") % nodes).cast("int").alias("i"))
-    mode = F.floor(_u(seed, 81) * (1 + F.col("sample") % 10))
-    place = lambda salt: F.pmod(F.xxhash64("sample", "_m", F.lit(seed * 2 + salt)), F.lit(1 << 20)) / float(1 << 20)
-    at = lambda salt: F.when(F.col("i") == 0, _u(seed, 83 + salt)).otherwise(F.least(F.greatest(place(salt) + (F.col("sample") % 10 + 1) / 100 * _z(seed, 85 + salt), F.lit(0.0)), F.lit(1.0)))
-    return rows.withColumn("_m", mode).select("sample", "i", at(0).alias("x"), at(1).alias("y"))
+    return rows.withColumns({"x": uniform(2 * seed, "sample", "i"), "y": uniform(2 * seed + 1, "sample", "i")})

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import written
-from .neighbors import nearest_centre
+from .draws import uniform
+from .neighbors import nearest_centre, snapped
 from .scaling import min_max
 
 Centre = tuple[int, float, float]
@@ -121,15 +122,15 @@ def swap_costs(points: DataFrame, centres: list[Centre], new: tuple[float, float
     return by.join(by.agg(F.sum("stay").alias("all"))).select(F.col("centre").alias("out"), (F.col("all") + F.col("more")).alias("cost"))
 
 
-def local_search(points: DataFrame, k: int, rounds: int = 10, seed: int = 0, steps: int = 2) -> tuple[list[Centre], float]:
+def local_search(points: DataFrame, k: int, rounds: int = 10, seed: int = 0, steps: int = 2, snap: bool = False) -> tuple[list[Centre], float]:
     """Centres and cost: from k farthest points, each round draws a point by squared distance (exponential keys on a hash of
-    id and seed), takes the best single swap if it saves enough, and Lloyd steps end it."""
+    id and seed), takes the best single swap if it saves enough, and Lloyd steps end it; snap then moves each centre to the nearest point."""
     rows = written(points.select("id", "x", "y"), "search")
     centres = [(n, x, y) for n, (_, x, y) in enumerate(k_center_greedy(rows, k)[0])]
     now = cost(rows, centres).first()[0] or 0.0
     for turn in range(rounds):
-        u = (F.pmod(F.xxhash64("id", F.lit(seed * 1_000_003 + turn)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
-        drawn = nearest_centre(rows, centres).where("d1 > 0").agg(F.min_by(F.struct("x", "y"), -F.log(u) / (F.col("d1") * F.col("d1"))).alias("p")).first().p
+        u = uniform(seed * 1_000_003 + turn, "id")
+        drawn = nearest_centre(rows, centres).where("d1 > 0").agg(F.min_by(F.struct("x", "y"), F.struct(-F.log(u) / (F.col("d1") * F.col("d1")), F.col("id"))).alias("p")).first().p
         if drawn is None:
             break
         best = swap_costs(rows, centres, (drawn.x, drawn.y)).orderBy("cost", "out").first()
@@ -137,6 +138,10 @@ def local_search(points: DataFrame, k: int, rounds: int = 10, seed: int = 0, ste
             centres = [(c, drawn.x, drawn.y) if c == best.out else (c, x, y) for c, x, y in centres]
             now = best.cost
     centres = lloyd(rows, centres, steps)
+    if snap and centres:
+        at = snapped(rows, rows.sparkSession.createDataFrame(centres, "id long, x double, y double"))
+        found = at.join(rows.select(F.col("id").alias("j"), "x", "y"), "j").select("i", "x", "y").collect()  # a row for each centre
+        centres = sorted((int(r.i), r.x, r.y) for r in found)
     return centres, cost(rows, centres).first()[0] or 0.0
 
 
@@ -148,7 +153,7 @@ def multi_swap_search(points: DataFrame, k: int, rounds: int = 4, candidates: in
     centres = [(n, x, y) for n, (_, x, y) in enumerate(k_center_greedy(rows, k)[0])]
     now, failed = cost(rows, centres, "weight").first()[0] or 0.0, 0
     for turn in range(rounds):
-        u = (F.pmod(F.xxhash64("id", F.lit(seed * 7_919 + turn)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+        u = uniform(seed * 7_919 + turn, "id")
         drawn = nearest_centre(rows, centres).where("d1 > 0").orderBy(-F.log(u) / (F.col("d1") * F.col("d1") * F.col("weight")), "id").limit(candidates).collect()
         gained = False
         for p in drawn:

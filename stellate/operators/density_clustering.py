@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import written
 from .neighbors import nearest, within, within_own
+from .sampling import numbered
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -35,8 +36,8 @@ def reachable_min(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _numbered(roots: DataFrame) -> DataFrame:
-    """id, cluster: roots numbered from 0 in their order; -1 where the root is null. The number of distinct roots bounds the window."""
-    numbers = roots.where("root is not null").select("root").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("root")) - 1).cast("int"))
+    """id, cluster: roots numbered from 0 in their order, by ranges; -1 where the root is null."""
+    numbers = numbered(written(roots.where("root is not null").select("root").distinct(), "roots"), "root", out="cluster")
     return roots.join(numbers, "root", "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 

@@ -13,7 +13,12 @@ def contingency(rows: DataFrame, true: str = "label_true", pred: str = "label_pr
 
 
 def assignment(weights: np.ndarray) -> float:
-    """The largest sum of one entry in each row and column of a square matrix (Hungarian method with potentials)."""
+    """The largest sum of one entry in each row and column of a square matrix."""
+    return float(sum(weights[a, b] for a, b in matched(weights)))
+
+
+def matched(weights: np.ndarray) -> list[tuple[int, int]]:
+    """The row and column of each entry of that sum (Hungarian method with potentials)."""
     cost = weights.max() - weights if weights.size else weights
     n = len(cost)
     u, v, match = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int)
@@ -38,7 +43,7 @@ def assignment(weights: np.ndarray) -> float:
         while j0:
             match[j0] = match[way[j0]]
             j0 = way[j0]
-    return float(sum(weights[match[j] - 1, j - 1] for j in range(1, n + 1)))
+    return [(int(match[j]) - 1, j - 1) for j in range(1, n + 1)]
 
 
 def accuracy(rows: DataFrame, true: str = "label_true", pred: str = "label_pred") -> DataFrame:
@@ -134,3 +139,22 @@ def edge_rank(edges: DataFrame, score: str = "p", positive: str = "is_tour") ->
     """The mean rank (from 1, best score first) of true edges among their node's."""
     w = Window.partitionBy("i").orderBy(F.desc(score), "j")
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col(positive)).agg(F.avg("rank").alias("mean_rank"))
+
+
+def top_k_agreement(points: DataFrame, k: int, score: str = "score", eps: float = 0.05, seed: int = 0) -> DataFrame:
+    """hit_ratio, accuracy of the k highest scores (ties to the higher id) as centres, against k-means with k clusters.
+
+    The hit ratio is the share of centres within eps of theirs, in the match of centres of least summed distance; the accuracy is that
+    of nearest centres against the k-means clusters. Only 2k centres leave the executors."""
+    from .centres import k_means
+    from .neighbors import nearest_centre
+
+    rows, model = k_means(points, ["x", "y"], k, seed, "label_true")
+    top = [(n, r.x, r.y) for n, r in enumerate(points.orderBy(F.desc(score), F.desc("id")).limit(k).select("x", "y").collect())]
+    theirs = [tuple(map(float, c)) for c in model.clusterCenters()]
+    apart = np.array([[float(np.hypot(x - a, y - b)) for a, b in theirs] for _, x, y in top])
+    n = max(apart.shape)
+    weights = np.zeros((n, n))
+    weights[: apart.shape[0], : apart.shape[1]] = apart.max() + 1 - apart
+    hits = sum(bool(apart[a, b] <= eps) for a, b in matched(weights) if a < apart.shape[0] and b < apart.shape[1])
+    return accuracy(nearest_centre(rows, top).select("label_true", F.col("centre").alias("label_pred"))).select(F.lit(hits / k).alias("hit_ratio"), "accuracy")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import written
 from .centres import k_center_greedy
+from .draws import uniform
 from .neighbors import nearest
-from .sampling import uniform
 from .scaling import standard
 from .trees import encoding_trees, graph_edges, level_entropy, outlier_scores
 
@@ -24,7 +24,7 @@ def coreset(points: DataFrame, z: int, alpha: float = 1.0, beta: float = 0.4, se
     reps, members, turn = None, None, 0
     while (n := left.count()) > max(z, 1):
         m = max(1, int(alpha * math.log(n)))
-        chosen = written(left.orderBy(F.xxhash64("id", F.lit(seed), F.lit(turn)), "id").limit(m), "chosen")
+        chosen = written(left.orderBy(uniform(seed * 1_009 + turn, "id"), "id").limit(m), "chosen")
         near = written(nearest(left, chosen, 1, "true"), "near")
         # the distance at rank ceil((n - 1) * beta)
         rank = math.ceil((n - 1) * beta)

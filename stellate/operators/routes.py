@@ -21,6 +21,17 @@ def route_features(stops: DataFrame, capacity: float, depot: tuple[float, float]
     return stats.join(route_distances(stops, depot), "route")
 
 
+def node_features(nodes: DataFrame, kind: str = "CVRP", counted: bool = True) -> DataFrame:
+    """problem, node, features of nodes (problem, node, x, y, demand, capacity; node 0 is the depot).
+
+    The features are x and y less the depot's, the demand over the capacity, then of the kind CVRPTW the window (window_start,
+    window_end) or of VRPMPD is_pickup, and last, if counted, how often the node was solved for (visits)."""
+    extra = {"CVRP": [], "CVRPTW": ["window_start", "window_end"], "VRPMPD": ["is_pickup"]}[kind] + (["visits"] if counted else [])
+    depot = nodes.where("node = 0").select("problem", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    v = [F.col("x") - F.col("_x"), F.col("y") - F.col("_y"), F.col("demand") / F.col("capacity"), *map(F.col, extra)]
+    return nodes.join(depot, "problem").select("problem", "node", F.array(*[c.cast("double") for c in v]).alias("features"))
+
+
 def subproblem_features(stops: DataFrame, depot: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """Of each route: size, centroid, deviations and bounds, mean, deviation and deciles of the distance to the depot and of that to
     the centroid, mean and deviation of the demand (population deviations)."""
@@ -31,11 +42,20 @@ def subproblem_features(stops: DataFrame, depot: tuple[float, float] = (0.0, 0.0
     return rows.groupBy("route").agg(F.count(F.lit(1)).alias("size"), F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.stddev_pop("x").alias("std_x"), F.stddev_pop("y").alias("std_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"), F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.avg("dd").alias("depot_mean"), F.stddev_pop("dd").alias("depot_std"), F.percentile("dd", tenths).alias("depot_deciles"), F.percentile("dc", tenths).alias("centre_deciles"), F.avg("demand").alias("demand_mean"), F.stddev_pop("demand").alias("demand_std"))
 
 
-def route_neighbors(stops: DataFrame) -> DataFrame:
-    """route, other, rank (from 0, a route itself first): routes by the distance of their centroids. Routes, not stops, are paired."""
-    c = stops.groupBy("route").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
+def city_block(a: str, b: str, cols: list[str]) -> Column:
+    """The sum of absolute differences between the columns of two aliased tables."""
+    return sum((F.abs(F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in cols), F.lit(0.0))
+
+
+def route_neighbors(stops: DataFrame, window: list[str] | None = None, window_scale: float = 0.0) -> DataFrame:
+    """route, other, rank (from 0, a route itself first): routes by the distance of their centroids. Routes, not stops, are paired.
+
+    With time windows (two columns) and a scale, the scaled city-block distance of the routes' mean windows is added."""
+    window = (window or []) if window_scale > 0 else []
+    c = stops.groupBy("route").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"), *[F.avg(w).alias(f"_{w}") for w in window])
     dx, dy = F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")
-    pairs = c.alias("a").join(c.alias("b")).select(F.col("a.route").alias("route"), F.col("b.route").alias("other"), F.sqrt(dx * dx + dy * dy).alias("d"), F.col("b.n").alias("n"))
+    apart = F.sqrt(dx * dx + dy * dy) + window_scale * city_block("a", "b", [f"_{w}" for w in window])
+    pairs = c.alias("a").join(c.alias("b")).select(F.col("a.route").alias("route"), F.col("b.route").alias("other"), apart.alias("d"), F.col("b.n").alias("n"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("route").orderBy("d", "other")) - 1)
 
 
@@ -71,6 +91,16 @@ def packed(routes: Column) -> Column:
     return F.flatten(F.transform(routes, lambda r: F.concat(r, F.array(F.lit(0)))))
 
 
+def padded(v: Column, length: Column | int, value: Column) -> Column:
+    """The array v with the value behind it up to a length; a longer one stays as it is."""
+    return F.concat(v, F.array_repeat(value, F.greatest(F.lit(0), length - F.size(v))))
+
+
+def padded_each(df: DataFrame, col: str, value: Column) -> DataFrame:
+    """df with all arrays of a column as long as the longest of them."""
+    return df.join(df.agg(F.max(F.size(col)).alias("_length"))).withColumn(col, padded(F.col(col), F.col("_length"), value)).drop("_length")
+
+
 def unpacked(nodes: DataFrame) -> DataFrame:
     """problem, route, nodes of zero-separated arrays (problem, packed)."""
     rows = nodes.select("problem", F.posexplode("packed").alias("pos", "node"))

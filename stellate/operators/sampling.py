@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .centres import Centre, nearest_centre
-
-
-def uniform(seed: int, *cols: str) -> Column:
-    """A number above 0, at most 1, that depends on the columns and the seed only."""
-    return (F.pmod(F.xxhash64(*[F.col(c) for c in cols], F.lit(seed)), F.lit(1 << 40)) + 1) / float(1 << 40)
+from .draws import uniform
 
 
 def weighted_sample(df: DataFrame, n: int, weight: str, seed: int = 0) -> DataFrame:
@@ -38,10 +34,10 @@ def d2_seeding(points: DataFrame, k: int, seed: int = 0, weight: str | None = No
     return centres
 
 
-def numbered(df: DataFrame, order: str, out: str = "n") -> DataFrame:
-    """df with global row numbers from 0 in an order: numbers within ranges, and offsets between them (a row for each range)."""
-    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+def numbered(df: DataFrame, *order: str, out: str = "n") -> DataFrame:
+    """df with global row numbers from 0 in an order of columns: numbers within ranges, and offsets between them (a row for each range)."""
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
     offsets = counts.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     return ranged.withColumn("_i", inner).join(F.broadcast(offsets), "_part").withColumn(out, (F.col("_i") + F.col("_o")).cast("long")).drop("_part", "_i", "_o")
@@ -49,7 +45,7 @@ def numbered(df: DataFrame, order: str, out: str = "n") -> DataFrame:
 
 def batches(df: DataFrame, size: int, order: str = "id") -> DataFrame:
     """df with batch: consecutive groups of so many rows."""
-    return numbered(df, order, "_n").withColumn("batch", F.floor(F.col("_n") / size)).drop("_n")
+    return numbered(df, order, out="_n").withColumn("batch", F.floor(F.col("_n") / size)).drop("_n")
 
 
 def subsets(df: DataFrame, col: str, size: int) -> DataFrame:

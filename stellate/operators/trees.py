@@ -2,7 +2,7 @@
 
 Measures over a given tree (tree_nodes: graph_id, node_id, parent_id, height, vol, g; members: graph_id, node_id,
 point_id) are joins and sums. Building a tree is greedy and sequential, so it runs for one graph in one group, and graphs in
-parallel; a large point set is first divided into blocks (`structural_entropy` takes blocks of a bounded size)."""
+parallel; the caller divides a large point set into blocks first (`divided_trees`) or takes a coreset."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import written
 from .neighbors import gap_adjacency
+from .sampling import numbered
 
 
 def volumes(edges: DataFrame) -> DataFrame:
@@ -194,6 +195,58 @@ def encoding_trees(edges: DataFrame, depth: int) -> DataFrame:
     return edges.groupBy("graph_id").applyInPandas(one, TREE)
 
 
+def renumbered(tree: DataFrame) -> DataFrame:
+    """tree with heights counted from the leaves up, and node ids from 0 in each graph by (height, old id).
+
+    A node's height is one more than its highest child's. One join a level; numbers are made by ranges, so a large tree needn't fit in one task."""
+    nodes = written(tree.select("graph_id", "node_id", "parent_id"), "nodes")
+    inner = nodes.where("parent_id is not null").select("graph_id", F.col("parent_id").alias("node_id")).distinct()
+    at = written(nodes.join(inner, ["graph_id", "node_id"], "left_anti"), "level")
+    found, height = at.select("graph_id", "node_id", F.lit(0).alias("h")), 0
+    while not at.isEmpty():
+        height += 1
+        at = written(nodes.join(at.where("parent_id is not null").select("graph_id", F.col("parent_id").alias("node_id")).distinct(), ["graph_id", "node_id"]), "level")
+        found = found.union(at.select("graph_id", "node_id", F.lit(height).alias("h")))
+    heights = found.groupBy("graph_id", "node_id").agg(F.max("h").alias("h"))
+    ids = written(numbered(heights, "graph_id", "h", "node_id"), "numbers")
+    ids = ids.join(ids.groupBy("graph_id").agg(F.min("n").alias("_least")), "graph_id").select("graph_id", "node_id", "h", (F.col("n") - F.col("_least")).alias("n"))
+    up = ids.select("graph_id", F.col("node_id").alias("parent_id"), F.col("n").alias("_up"))
+    rows = tree.join(ids, ["graph_id", "node_id"]).join(up, ["graph_id", "parent_id"], "left")
+    return rows.withColumns({"node_id": F.col("n"), "parent_id": F.col("_up"), "height": F.col("h")}).select(*tree.columns)
+
+
+def level_order(tree: DataFrame) -> DataFrame:
+    """graph_id, node_id, level (0 at the root), pos: breadth first, children by their parents' order and then by id. One join a level."""
+    nodes = written(tree.select("graph_id", "node_id", "parent_id"), "nodes")
+    at = nodes.where("parent_id is null").select("graph_id", "node_id", F.lit(0).alias("level"), F.lit(0).cast("long").alias("pos"))
+    out, level = None, 0
+    while True:
+        at = written(at, "level")
+        if at.isEmpty():
+            return out if out is not None else at
+        out, level = at if out is None else out.union(at), level + 1
+        below = nodes.join(at.select("graph_id", F.col("node_id").alias("parent_id"), F.col("pos").alias("_up")), ["graph_id", "parent_id"])
+        ranked = written(numbered(below, "graph_id", "_up", "node_id"), "ranked")
+        start = at.groupBy("graph_id").agg((F.max("pos") + 1).alias("_start")).join(ranked.groupBy("graph_id").agg(F.min("n").alias("_least")), "graph_id")
+        at = ranked.join(start, "graph_id").select("graph_id", "node_id", F.lit(level).alias("level"), (F.col("n") - F.col("_least") + F.col("_start")).alias("pos"))
+
+
+def weighted_edges(edges: DataFrame, weights: DataFrame) -> DataFrame:
+    """edges (i, j, w) with each weight times that of its first node (id, weight): the graph of a weighted coreset, no longer symmetric."""
+    return edges.join(weights.select(F.col("id").alias("i"), F.col("weight").alias("_w")), "i").select("i", "j", (F.col("w") * F.col("_w")).alias("w"))
+
+
+def block_edges(edges: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges within blocks (graph_id, i, j, w) and between blocks (i, j, w) of edges both ways and blocks (point_id, part).
+
+    Weight that leaves a block stays in its graph's volume, but not in any cut, as loops (i, i, w) of the nodes it leaves from."""
+    a, b = blocks.select(F.col("point_id").alias("i"), F.col("part").alias("a")), blocks.select(F.col("point_id").alias("j"), F.col("part").alias("b"))
+    both = edges.join(a, "i").join(b, "j")
+    inner = both.where("a = b").select(F.col("a").alias("graph_id"), "i", "j", "w")
+    extra = both.where("a <> b").groupBy(F.col("a").alias("graph_id"), "i").agg(F.sum("w").alias("w")).select("graph_id", "i", F.col("i").alias("j"), "w")
+    return inner.unionByName(extra), both.groupBy(F.col("a").alias("i"), F.col("b").alias("j")).agg(F.sum("w").alias("w"))
+
+
 def level_entropy(tree: DataFrame, depth: int) -> DataFrame:
     """graph_id, point_id, level (of the parent, 1 to depth), entropy of each leaf's ancestors below the root; one join a level."""
     up = tree.select("graph_id", F.col("node_id").alias("parent_id"), F.col("vol").alias("vol_p"))
@@ -235,10 +288,8 @@ def divided_trees(points: DataFrame, edges: DataFrame, block: int, depth: int =
 
     k = max(2, -(-points.count() // block))
     of = written(k_means(points, ["x", "y"], k, seed)[0].select("id", F.col("cluster").cast("long").alias("block")), "blocks")
-    both = written(edges.join(of.select(F.col("id").alias("i"), F.col("block").alias("bi")), "i").join(of.select(F.col("id").alias("j"), F.col("block").alias("bj")), "j"), "block-edges")
-    inner = both.where("bi = bj").select(F.col("bi").alias("graph_id"), "i", "j", "w")
-    outer = both.groupBy(F.col("bi").alias("i"), F.col("bj").alias("j")).agg(F.sum("w").alias("w")).select(F.lit(-1).cast("long").alias("graph_id"), "i", "j", "w")
-    return encoding_trees(inner.union(outer), depth)
+    inner, outer = block_edges(edges, of.select(F.col("id").alias("point_id"), F.col("block").alias("part")))
+    return encoding_trees(inner.unionByName(outer.select(F.lit(-1).cast("long").alias("graph_id"), "i", "j", "w")), depth)
 
 
 def up_dimension(points: DataFrame, k: int, ne: int = 5, gap: float = 0.2, depth: int = 3) -> DataFrame:

@@ -4,7 +4,9 @@ The points of most queries are the first two components of `embeddings`, scaled
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import generators
@@ -19,9 +21,12 @@ from ..operators import routes as ro
 from ..operators import sampling as sa
 from ..operators import scaling as sc
 from ..operators import scores as so
+from ..operators import search as sr
 from ..operators import trees as tr
+from ..sources import points as sources
+from ..sources import sinks
 from .sql import ORACLE  # noqa: F401
-from .storage import importable
+from .storage import importable, shared_folder
 
 
 def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -461,7 +466,7 @@ def poisson_sample(s: SparkSession, d: str) -> DataFrame:
 
 
 def d2_seeding(s: SparkSession, d: str) -> DataFrame:
-    return s.createDataFrame(sa.d2_seeding(points(s, d), 5, seed=1), "centre int, x double, y double")
+    return r6(s.createDataFrame(sa.d2_seeding(points(s, d), 5, seed=1), "centre int, x double, y double"), "x", "y")
 
 
 def divided_trees(s: SparkSession, d: str) -> DataFrame:
@@ -498,6 +503,100 @@ def graph_network(s: SparkSession, d: str) -> DataFrame:
     return found.select("id", *[F.round(F.col("h")[k], 6).alias(f"h{k}") for k in range(4)])
 
 
+def city_block_routes(s: SparkSession, d: str) -> DataFrame:
+    """Neighbours of routes with a window of [x, x + y] at each stop."""
+    stops = _stops(s, d).withColumns({"opens": F.col("x"), "closes": F.col("x") + F.col("y")})
+    return ro.route_neighbors(stops, ["opens", "closes"], 0.5).select("route", "other", "rank")
+
+
+def node_features(s: SparkSession, d: str) -> DataFrame:
+    """A problem for each label, its smallest id the depot, with windows."""
+    rows = points(s, d).withColumn("_d", F.min("id").over(Window.partitionBy("label")))
+    nodes = rows.select(F.col("label").alias("problem"), F.when(F.col("id") == F.col("_d"), 0).otherwise(F.col("id") + 1).alias("node"), "x", "y", (F.col("id") % 5 + 1).alias("demand"), F.lit(20).alias("capacity"), F.col("x").alias("window_start"), (F.col("x") + 0.5).alias("window_end"), (F.col("id") % 3).alias("visits"))
+    v = F.col("features")
+    return ro.node_features(nodes, "CVRPTW").select("problem", "node", *[F.round(v[n], 6).alias(f"f{n}") for n in range(6)])
+
+
+def padded_routes(s: SparkSession, d: str) -> DataFrame:
+    routes = capacity_split(s, d).groupBy("problem", "route").agg(F.array_sort(F.collect_list("seq")).alias("nodes"))
+    return ro.padded_each(routes, "nodes", F.lit(0).cast("long")).select("problem", "route", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"))
+
+
+def beam_top(s: SparkSession, d: str) -> DataFrame:
+    return sr.beam(points(s, d).select("id", "label", F.col("x").alias("cost")), 3, by="label").select("id", F.round("cost", 6).alias("cost"))
+
+
+def _orders(s: SparkSession, d: str) -> DataFrame:
+    return importable(s).read.parquet(f"{d}/orders.parquet")
+
+
+def search_replay(s: SparkSession, d: str) -> DataFrame:
+    """A log in which order n + 1 came from order n // 3, replayed for four steps."""
+    moves = _orders(s, d).select(F.floor(F.col("o_orderkey") / 3).alias("problem"), (F.col("o_orderkey") % 3).alias("action"), F.col("o_orderkey").alias("next")).where("next > 0")
+    return sr.replay(moves, 4).fillna(-1, ["parent", "action"])
+
+
+def action_labels(s: SparkSession, d: str) -> DataFrame:
+    """Orders as logged actions: problem by customer, action by order, a result for each clerk."""
+    o = _orders(s, d).select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 50).alias("problem"), (F.col("o_orderkey") % 7).alias("action"), (F.col("o_orderkey") % 11).alias("result"), F.col("o_totalprice").cast("double").alias("price"))
+    results = o.groupBy("result").agg(F.min("price").alias("distance"))
+    before = o.groupBy("problem", "action").agg(F.max("price").alias("distance"))
+    return r6(sr.action_labels(o, results, before), "label").select("problem", "action", "result", "label", "is_first")
+
+
+def trial_comparison(s: SparkSession, d: str) -> DataFrame:
+    """Trials by the logarithm of the order's number, against those of another solver."""
+    o = _orders(s, d).select((F.col("o_orderkey") % 120 + 1).alias("trial"), F.col("o_totalprice").cast("double").alias("objective"))
+    mine = o.withColumn("seconds", F.col("trial").cast("double"))
+    other = o.where("trial <= 60").select("trial", (F.col("objective") * 0.5).alias("objective"), (F.col("trial") * 2.0).alias("seconds"))
+    return r6(sr.compare_trials(mine, other, 5.0), "objective", "seconds", "other_objective", "other_seconds").select("rule", "trial", "objective", "seconds", "other_trial", "other_objective", "other_seconds")
+
+
+def _label_tree(s: SparkSession, d: str) -> DataFrame:
+    """Points below their labels below a root, with ids that aren't in order of height."""
+    p, big = points(s, d), F.lit(10_000_000).cast("long")
+    node = lambda i, up: (F.lit(0).cast("long").alias("graph_id"), i.cast("long").alias("node_id"), up.cast("long").alias("parent_id"), F.lit(0).alias("height"))
+    leaves = p.select(*node(F.col("id") + 1000, F.col("label") + 10))
+    return leaves.union(p.select("label").distinct().select(*node(F.col("label") + 10, big))).union(s.range(1).select(*node(big, F.lit(None))))
+
+
+def renumbered_tree(s: SparkSession, d: str) -> DataFrame:
+    return tr.renumbered(_label_tree(s, d)).fillna(-1, ["parent_id"])
+
+
+def level_order(s: SparkSession, d: str) -> DataFrame:
+    return tr.level_order(_label_tree(s, d))
+
+
+def weighted_graph(s: SparkSession, d: str) -> DataFrame:
+    p = points(s, d)
+    return r6(tr.weighted_edges(_graph(p), p.select("id", (F.col("label") + 1).alias("weight"))), "w")
+
+
+def block_graph(s: SparkSession, d: str) -> DataFrame:
+    """Edges within labels, with what leaves them as loops, and edges between labels as graph -1."""
+    p = points(s, d)
+    inner, outer = tr.block_edges(_graph(p), _parts(p).withColumn("part", F.col("part").cast("long")))
+    return r6(inner.unionByName(outer.select(F.lit(-1).cast("long").alias("graph_id"), "i", "j", "w")), "w")
+
+
+def top_k_agreement(s: SparkSession, d: str) -> DataFrame:
+    return me.top_k_agreement(points(s, d), 10, "x")
+
+
+def generated_tours(s: SparkSession, d: str) -> DataFrame:
+    return r6(generators.tours(importable(s), 20, 51, seed=1), "x", "y")
+
+
+def problem_files(s: SparkSession, d: str) -> DataFrame:
+    """Problems written as text and read again."""
+    ordered = _stops(s, d).withColumn("node", (F.row_number().over(Window.partitionBy("route").orderBy("seq")) - 1).cast("int"))
+    stops = ordered.groupBy("route").agg(F.collect_list(F.struct("node", "x", "y", "demand")).alias("stops")).select(F.concat(F.lit("p"), F.col("route").cast("string")).alias("name"), F.lit(20).alias("capacity"), "stops")
+    path = f"{shared_folder(importable(s))}/problems-{uuid.uuid4().hex}"
+    stops.select("name", sinks.problem_text("name", "capacity", "stops").alias("value")).write.partitionBy("name").text(path)
+    return sources.read_problem(s, path).groupBy("capacity", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("demand").alias("demand"))
+
+
 QUERIES = {f.__name__: f for f in (
     zone_histogram, min_max_scale, standard_scale, block_scale, guarded_log, softmax_by_label, knn_graph, inverse_edges, gap_adjacency, k_farthest, range_counts, own_range_counts, mutual_range_counts,
     nearest_centre, snapped_centroids, nearest_higher, centroids, radius_all, radius_at_centre, size_density_diameter, zones, true_zones, score_deciles, uniform_quantise, marked_points, top_per_label,
@@ -506,4 +605,5 @@ QUERIES = {f.__name__: f for f in (
     variable_eps_dbscan, density_peaks, k_center_greedy, top_score_farthest, coverage, k_medoids, lloyd, k_means_cost, swap_costs, local_search, multi_swap_search, regularised_k_means, feature_grid,
     best_features, coreset, outlier_pipeline, noisy_points, route_distances, route_features, subproblem_features, route_neighbors, route_clusters, angular_split, capacity_split, packed_routes,
     cyclic_neighbors, rotated_stops, edge_rank, batch_ids, swap_tuples, weighted_sample, poisson_sample, d2_seeding, divided_trees, up_dimension, generated_points, generated_instances, graph_network,
+    city_block_routes, node_features, padded_routes, beam_top, search_replay, action_labels, trial_comparison, renumbered_tree, level_order, weighted_graph, block_graph, top_k_agreement, generated_tours, problem_files,
 )}

@@ -51,6 +51,11 @@ def _dbscan(near: str, least: int) -> str:
 
 
 _UP = "rho AS (SELECT i AS id, count(*) - 1 AS rho FROM d WHERE d <= 0.1 GROUP BY i), up AS (SELECT a.id, a.rho, arg_min(c.id, (d, c.id)) AS higher, min(d) AS delta FROM rho a LEFT JOIN rho c ON c.rho > a.rho OR (c.rho = a.rho AND c.id < a.id) LEFT JOIN d ON d.i = a.id AND d.j = c.id GROUP BY a.id, a.rho)"
+def _draw(cols: str, seed: int) -> str:
+    """A number above 0, at most 1, from the md5 of columns and a seed."""
+    return f"((CAST('0x' || substr(md5(concat_ws(':', {cols}, '{seed}')), 1, 10) AS BIGINT) + 1) / 1099511627776.0)"
+
+
 _SPLIT = "f(route, seq, n, part, held) AS (SELECT route, seq, n, 0, demand FROM o WHERE n = 1 UNION ALL SELECT o.route, o.seq, o.n, CASE WHEN f.held + o.demand > 12 THEN f.part + 1 ELSE f.part END, CASE WHEN f.held + o.demand > 12 THEN o.demand ELSE f.held + o.demand END FROM f JOIN o ON o.route = f.route AND o.n = f.n + 1)"
 
 
@@ -153,4 +158,21 @@ ORACLE: dict[str, str] = {
     "batch_ids": _p("SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 125) AS BIGINT) AS batch FROM p"),
     "swap_tuples": _p("l AS (SELECT DISTINCT label FROM p) SELECT a.label AS c1, b.label AS c2, c.label AS c3 FROM l a JOIN l b ON b.label > a.label JOIN l c ON c.label > b.label"),
     "edge_rank": _p(_D, _KNN, "SELECT round(avg(n), 6) AS mean_rank FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY 1 - d DESC, j) AS n FROM k) WHERE (i + j) % 3 = 0"),
+    "city_block_routes": _p("c AS (SELECT label, avg(x) AS cx, avg(y) AS cy, avg(x) AS w0, avg(x + y) AS w1 FROM p GROUP BY label)", "SELECT route, other, CAST(row_number() OVER (PARTITION BY route ORDER BY d, other) - 1 AS INTEGER) AS rank FROM (SELECT a.label AS route, o.label AS other, sqrt((a.cx - o.cx) * (a.cx - o.cx) + (a.cy - o.cy) * (a.cy - o.cy)) + 0.5 * (abs(a.w0 - o.w0) + abs(a.w1 - o.w1)) AS d FROM c a, c o)"),
+    "node_features": _p("z AS (SELECT label, min(id) AS depot FROM p GROUP BY label)", "SELECT p.label AS problem, CASE WHEN p.id = depot THEN 0 ELSE p.id + 1 END AS node, round(p.x - o.x, 6) AS f0, round(p.y - o.y, 6) AS f1, round((p.id % 5 + 1) / 20, 6) AS f2, round(p.x, 6) AS f3, round(p.x + 0.5, 6) AS f4, round(CAST(p.id % 3 AS DOUBLE), 6) AS f5 FROM p JOIN z ON z.label = p.label JOIN p o ON o.id = depot"),
+    "padded_routes": _p(_STOPS, "o AS (SELECT route, seq, demand, row_number() OVER (PARTITION BY route ORDER BY seq) AS n FROM s)", _SPLIT, "g AS (SELECT route AS problem, part, list(seq ORDER BY seq) AS v FROM f GROUP BY route, part), m AS (SELECT max(len(v)) AS most FROM g) SELECT problem, CAST(part AS INTEGER) AS route, array_to_string(list_resize(v, most, 0), ',') AS nodes FROM g, m", recursive=True),
+    "beam_top": _p("SELECT id, round(x, 6) AS cost FROM (SELECT * FROM p ORDER BY p.x, id LIMIT 3)"),
+    "search_replay": "WITH RECURSIVE m AS (SELECT CAST(floor(o_orderkey / 3) AS BIGINT) AS p, CAST(o_orderkey % 3 AS BIGINT) AS a, CAST(o_orderkey AS BIGINT) AS n FROM orders WHERE o_orderkey > 0), t(problem, parent, action, depth) AS (SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), 0 UNION ALL SELECT n, p, a, depth + 1 FROM t JOIN m ON m.p = t.problem WHERE depth < 4) SELECT * FROM t",
+    "action_labels": "WITH o AS (SELECT o_orderkey AS seq, o_custkey % 50 AS problem, o_orderkey % 7 AS action, o_orderkey % 11 AS result, CAST(o_totalprice AS DOUBLE) AS price FROM orders), r AS (SELECT result, min(price) AS f FROM o GROUP BY result), b AS (SELECT problem, action, max(price) AS g, arg_max(result, seq) AS result FROM o GROUP BY problem, action) SELECT problem, action, result, round(f - g, 6) AS label, action = min(action) OVER (PARTITION BY problem, result) AS is_first FROM b JOIN r USING (result)",
+    "trial_comparison": "WITH o AS (SELECT o_orderkey % 120 + 1 AS trial, CAST(o_totalprice AS DOUBLE) AS v FROM orders), a AS (SELECT trial, avg(v) AS objective, sum(CAST(trial AS DOUBLE)) AS seconds FROM o GROUP BY trial), c AS (SELECT trial AS other_trial, avg(v * 0.5) AS other_objective, sum(trial * 2.0) + 5 AS other_seconds FROM o WHERE trial <= 60 GROUP BY trial), k AS (SELECT * FROM a WHERE trial IN (1, 10, 100)), z AS (SELECT max(other_trial) AS most FROM c), "
+        "y AS (SELECT 'trial' AS rule, k.*, least(trial, most) AS other_trial FROM k, z UNION ALL SELECT 'time', k.*, coalesce((SELECT min(other_trial) FROM c WHERE other_seconds >= k.seconds), most) FROM k, z) SELECT rule, trial, round(objective, 6) AS objective, round(seconds, 6) AS seconds, y.other_trial, round(other_objective, 6) AS other_objective, round(other_seconds, 6) AS other_seconds FROM y JOIN c ON c.other_trial = y.other_trial",
+    "renumbered_tree": _p("t AS (SELECT id + 1000 AS node, CAST(label + 10 AS BIGINT) AS up, 0 AS h FROM p UNION ALL SELECT DISTINCT label + 10, 10000000, 1 FROM p UNION ALL SELECT 10000000, NULL, 2), n AS (SELECT *, row_number() OVER (ORDER BY h, node) - 1 AS k FROM t) SELECT CAST(0 AS BIGINT) AS graph_id, n.k AS node_id, coalesce(u.k, -1) AS parent_id, n.h AS height FROM n LEFT JOIN n u ON u.node = n.up"),
+    "level_order": _p("SELECT CAST(0 AS BIGINT) AS graph_id, node AS node_id, level, row_number() OVER (ORDER BY level, up, node) - 1 AS pos FROM (SELECT CAST(10000000 AS BIGINT) AS node, 0 AS level, CAST(0 AS BIGINT) AS up UNION ALL SELECT DISTINCT CAST(label + 10 AS BIGINT), 1, 10000000 FROM p UNION ALL SELECT id + 1000, 2, label + 10 FROM p)"),
+    "weighted_graph": _p(_D, _KNN, _E, "SELECT i, j, round(w * (label + 1), 6) AS w FROM e JOIN p ON p.id = e.i"),
+    "block_graph": _p(_D, _KNN, _E, _PART, "SELECT CAST(pa AS BIGINT) AS graph_id, i, j, round(w, 6) AS w FROM ep WHERE pa = pb UNION ALL SELECT pa, i, i, round(sum(w), 6) FROM ep WHERE pa <> pb GROUP BY pa, i UNION ALL SELECT -1, pa, pb, round(sum(w), 6) FROM ep GROUP BY pa, pb"),
+    "generated_tours": f"WITH r AS (SELECT CAST(floor(id / 51) AS BIGINT) AS sample, CAST(id % 51 AS INTEGER) AS i FROM range(0, 1020) t(id)) SELECT sample, i, round({_draw('sample, i', 2)}, 6) AS x, round({_draw('sample, i', 3)}, 6) AS y FROM r",
+    "problem_files": _p(_STOPS, "f AS (SELECT row_number() OVER (PARTITION BY route ORDER BY seq) - 1 AS node, floor(x * 10000 + 0.5) AS x, floor(y * 10000 + 0.5) AS y, demand FROM s) SELECT 20 AS capacity, CAST(node AS INTEGER) AS node, count(*) AS n, sum(x) AS x, sum(y) AS y, CAST(sum(demand) AS BIGINT) AS demand FROM f GROUP BY node"),
+    "weighted_sample": _p(f"SELECT id FROM (SELECT id, -ln({_draw('id', 1)}) / x AS k FROM p WHERE x > 0) ORDER BY k, id LIMIT 20"),
+    "poisson_sample": _p(f"SELECT id FROM p WHERE {_draw('id', 1)} <= least(30 * x / (SELECT sum(x) FROM p), 1.0)"),
+    "d2_seeding": _p(f"c0 AS (SELECT 0 AS c, x, y FROM p ORDER BY -ln({_draw('id', 1)}), id LIMIT 1)", *[f"c{n} AS (SELECT * FROM c{n - 1} UNION ALL (SELECT {n}, x, y FROM (SELECT p.id, p.x, p.y, min((p.x - k.x) * (p.x - k.x) + (p.y - k.y) * (p.y - k.y)) AS m FROM p, c{n - 1} k GROUP BY ALL) WHERE m > 0 ORDER BY -ln({_draw('id', 1 + n)}) / m, id LIMIT 1))" for n in range(1, 5)], "SELECT c AS centre, round(x, 6) AS x, round(y, 6) AS y FROM c4"),
 }

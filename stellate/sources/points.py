@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import fields
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph_network import Layer
+from ..operators.routes import unpacked
+
 
 def _values(rows: DataFrame, separator: str) -> DataFrame:
     """Lines of numbers as dataset, v (all but the last), label (the last); ids count on in each file's order of reading."""
@@ -54,8 +58,8 @@ def read_bvecs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, n, value: numbered lines; a routing file is one small record, so its text is read whole and split."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    """file (its path), n, value: numbered lines; a routing file is one small record, so its text is read whole and split."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
 
 
@@ -106,3 +110,35 @@ def read_candidates(spark: SparkSession, path: str, scale: float = 1e6) -> DataF
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """file, id, score: one number on each line."""
     return _lines(spark, path).where(F.trim("value") != "").select("file", F.col("n").cast("long").alias("id"), F.trim("value").cast("double").alias("score"))
+
+
+def read_graph_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as sinks.write_graph_features() wrote them; a filter on its partition columns reads those folders only."""
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def read_outlier_sets(spark: SparkSession, path: str, most: int = 50_000) -> DataFrame:
+    """dataset, id, v, is_outlier (y is 1) of the Parquet rows (dataset, id, v, y); sets of more rows than `most` are passed over, as the sets' definition has it."""
+    rows = spark.read.parquet(path)
+    kept = rows.groupBy("dataset").count().where(F.col("count") <= most).select("dataset")
+    return rows.join(kept, "dataset", "left_semi").select("dataset", "id", "v", (F.col("y") == 1).alias("is_outlier"))
+
+
+def read_nested_problems(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (problem, node, x, y, demand, capacity, and extra columns of an entry a node) and routes (problem, route from 0, nodes, distance).
+
+    The Parquet rows are problems: problem, capacity, distances, routes (each closed by a 0) and arrays with an entry for each node: x, y, demand, others."""
+    rows = spark.read.parquet(path)
+    per_node = [f.name for f in rows.schema if f.dataType.typeName() == "array" and f.name not in ("routes", "distances")]
+    nodes = rows.select("problem", "capacity", F.posexplode(F.arrays_zip(*per_node)).alias("node", "_n")).select("problem", "node", "capacity", *[F.col(f"_n.{c}").alias(c) for c in per_node])
+    routes = unpacked(rows.select("problem", F.col("routes").alias("packed")))
+    distance = F.try_element_at("distances", (F.col("route") + 1).cast("int"))
+    return nodes, routes.join(rows.select("problem", "distances"), "problem").select("problem", "route", "nodes", distance.alias("distance"))
+
+
+def read_weights(spark: SparkSession, path: str) -> tuple[list[Layer], list[float]]:
+    """Layers and placeholder of a graph network as sinks.write_weights() wrote them."""
+    found = {(r.layer, r.part): r["values"] for r in spark.read.parquet(path).collect()}  # a few rows for each layer
+    parts = [f.name for f in fields(Layer)]
+    layers = [Layer(*[found[n, p] for p in parts]) for n in range(sum(p == parts[0] for _, p in found))]
+    return layers, found[-1, "placeholder"][0]

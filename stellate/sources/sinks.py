@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import fields
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph_network import Layer
+
 
 def write_graph_features(nodes: DataFrame, edges: DataFrame, path: str, by: list[str]) -> None:
     """Nodes and edges of graph samples, partitioned by columns that both have."""
@@ -35,3 +39,34 @@ def problem_text(name: Column | str, capacity: Column | str, stops: Column | str
 def write_problems(problems: DataFrame, path: str) -> None:
     """One text file part for each task, a problem (name, capacity, stops) after the other."""
     problems.select(problem_text("name", "capacity", "stops").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_search_log(transitions: DataFrame, actions: DataFrame, results: DataFrame, path: str) -> None:
+    """A search's transitions (problem, action, next), actions (seq, problem, action, result) and results (result, distance, nodes) in narrow types."""
+    narrow = lambda df, cols: df.select([F.col(c).cast("int") for c in cols])
+    narrow(transitions, ["problem", "action", "next"]).write.mode("overwrite").parquet(f"{path}/transitions")
+    narrow(actions, ["seq", "problem", "action", "result"]).write.mode("overwrite").parquet(f"{path}/actions")
+    results.select(F.col("result").cast("int"), F.col("distance").cast("float"), F.col("nodes").cast("array<int>")).write.mode("overwrite").parquet(f"{path}/results")
+
+
+def parameter_text(values: dict[str, Column | str]) -> Column:
+    """The text of a solver's parameter file, a line `NAME = value` for each entry."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{name} = "), v if isinstance(v, Column) else F.lit(v)) for name, v in values.items()])
+
+
+def tour_text(name: Column, nodes: Column) -> Column:
+    """The text of a tour file: nodes from 0 become numbers from 1, closed by -1."""
+    numbers = F.array_join(F.transform(nodes, lambda n: (n + 1).cast("string")), "\n")
+    return F.concat(F.lit("NAME : "), name, F.lit("\nTYPE : TOUR\nDIMENSION : "), F.size(nodes).cast("string"), F.lit("\nTOUR_SECTION\n"), numbers, F.lit("\n-1\nEOF"))
+
+
+def routes_text(routes: Column, cost: Column) -> Column:
+    """`Route #i: a b c` lines of an array of arrays, and the cost."""
+    lines = F.transform(routes, lambda r, n: F.concat(F.lit("Route #"), (n + 1).cast("string"), F.lit(": "), F.array_join(F.transform(r, lambda v: v.cast("string")), " ")))
+    return F.concat(F.array_join(lines, "\n"), F.lit("\nCost "), cost.cast("string"))
+
+
+def write_weights(spark: SparkSession, layers: list[Layer], placeholder: list[float], path: str) -> None:
+    """A graph network's weights as rows (layer, part, values)."""
+    rows = [(n, f.name, getattr(layer, f.name)) for n, layer in enumerate(layers) for f in fields(layer)]
+    spark.createDataFrame([*rows, (-1, "placeholder", [placeholder])], "layer int, part string, values array<array<double>>").coalesce(1).write.mode("overwrite").parquet(path)

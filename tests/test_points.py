@@ -209,3 +209,30 @@ def test_flip_mirrors_after_turning(spark):
     assert all(math.isclose(a, b, abs_tol=1e-12) for n, want in {0: (0, -1), 1: (-2, 0)}.items() for a, b in zip(got[n], want, strict=True))
     moved = {r.node: (r.x, r.y) for r in routes.rotated(stops, 0.0, noise=0.1).collect()}
     assert moved[0] == (1.0, 0.0) and moved[1] != (0.0, 2.0) and math.dist(moved[1], (0.0, 2.0)) < 1
+
+
+def test_agreement_of_top_scores(spark):
+    rows = [(n, (n % 3) * 1.0 + (n // 3) * 0.001, 0.0, float(n < 3)) for n in range(30)]
+    got = metrics.top_k_agreement(spark.createDataFrame(rows, "id long, x double, y double, score double"), 3).first()
+    assert (got.hit_ratio, got.accuracy) == (1.0, 1.0)
+
+
+def test_renumbered_uneven_tree(spark):
+    rows = [(0, 9, None), (0, 4, 9), (0, 7, 4), (0, 3, 9), (1, 5, None), (1, 2, 5)]
+    tree = spark.createDataFrame([(*r, 0) for r in rows], "graph_id long, node_id long, parent_id long, height int")
+    got = {(r.graph_id, r.node_id, r.parent_id, r.height) for r in trees.renumbered(tree).collect()}
+    assert got == {(0, 0, 3, 0), (0, 1, 2, 0), (0, 2, 3, 1), (0, 3, None, 2), (1, 0, 1, 0), (1, 1, None, 1)}
+    assert [(r.node_id, r.pos) for r in trees.level_order(tree).where("graph_id = 0").orderBy("pos").collect()] == [(9, 0), (3, 1), (4, 2), (7, 3)]
+    assert trees.renumbered(tree.limit(0)).isEmpty() and trees.level_order(tree.limit(0)).isEmpty()
+
+
+def test_snapped_local_search(spark):
+    pts = spark.createDataFrame([(n, float(n % 2) + n * 0.01, 0.0) for n in range(12)], "id long, x double, y double")
+    places = {(r.x, r.y) for r in pts.collect()}
+    assert all((x, y) in places for _, x, y in centres.local_search(pts, 2, rounds=2, snap=True)[0])
+
+
+def test_draws_stay_inside(spark):
+    rows = generators.mixture(spark, 500, 3, 0.4, seed=2)
+    assert rows.where("label >= 0 and (x in (0.0, 1.0) or y in (0.0, 1.0))").isEmpty() and rows.where("x < 0 or x > 1 or y < 0 or y > 1").isEmpty()
+    assert sorted(map(tuple, rows.repartition(7).collect())) == sorted(map(tuple, rows.collect()))

@@ -2,6 +2,9 @@
 
 import struct
 
+from pyspark.sql import functions as F
+
+from stellate.operators.graph_network import Layer
 from stellate.sources import points, sinks
 
 
@@ -43,3 +46,32 @@ def test_shards_and_scores(spark, tmp_path):
     assert points.read_shards(spark, str(tmp_path / "s" / "*"), "*.parquet").count() == 6
     sinks.write_scores(spark.sql("SELECT 0.12345D AS score"), str(tmp_path / "o"))
     assert spark.read.text(str(tmp_path / "o")).first()[0] == "0.1235" or spark.read.text(str(tmp_path / "o")).first()[0] == "0.1234"
+
+
+def test_nested_tables(spark, tmp_path):
+    spark.sql("SELECT 'a' AS dataset, id, array(double(id)) AS v, int(id % 2) AS y FROM range(4) UNION ALL SELECT 'b', id, array(0D), 0 FROM range(9)").write.parquet(str(tmp_path / "o"))
+    assert [(r.dataset, r.id, r.is_outlier) for r in points.read_outlier_sets(spark, str(tmp_path / "o"), 5).orderBy("id").collect()] == [("a", n, n % 2 == 1) for n in range(4)]
+    spark.sql("SELECT 1L AS problem, 9 AS capacity, array(0D, 1D, 2D) AS x, array(0D, 0D, 0D) AS y, array(0, 3, 4) AS demand, array(0, 1, 0) AS is_pickup, array(2D, 4D) AS distances, array(1, 0, 2, 0) AS routes").write.parquet(str(tmp_path / "p"))
+    nodes, routes = points.read_nested_problems(spark, str(tmp_path / "p"))
+    assert [(r.node, r.x, r.demand, r.is_pickup, r.capacity) for r in nodes.orderBy("node").collect()] == [(0, 0.0, 0, 0, 9), (1, 1.0, 3, 1, 9), (2, 2.0, 4, 0, 9)]
+    assert [(r.nodes, r.distance) for r in routes.orderBy("route").collect()] == [([1], 2.0), ([2], 4.0)]
+
+
+def test_logs_and_weights(spark, tmp_path):
+    moves = spark.sql("SELECT 0L AS problem, 2L AS action, 1L AS next")
+    logged = spark.sql("SELECT 0L AS seq, 0L AS problem, 2L AS action, 5L AS result")
+    sinks.write_search_log(moves, logged, spark.sql("SELECT 5L AS result, 1.5D AS distance, array(1L, 0L) AS nodes"), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log" / "results")).first() == (5, 1.5, [1, 0])
+    layers = [Layer(*[[[float(n + p)]] for p in range(6)]) for n in range(2)]
+    sinks.write_weights(spark, layers, [0.5], str(tmp_path / "w"))
+    assert points.read_weights(spark, str(tmp_path / "w")) == (layers, [0.5])
+    sinks.write_graph_features(spark.sql("SELECT 1 AS n, 0 AS i"), spark.sql("SELECT 1 AS n, 0 AS i, 0 AS j"), str(tmp_path / "g"), ["n"])
+    assert [df.count() for df in points.read_graph_features(spark, str(tmp_path / "g"))] == [1, 1]
+
+
+def test_solver_texts(spark, tmp_path):
+    text = spark.range(1).select(sinks.tour_text(F.lit("t"), F.array(F.lit(0), F.lit(2), F.lit(1))).alias("tour"), sinks.routes_text(F.array(F.array(F.lit(3), F.lit(1)), F.array(F.lit(2))), F.lit(10)).alias("routes"), sinks.parameter_text({"RUNS": F.lit("1")}).alias("p")).first()
+    (tmp_path / "t.tour").write_text(text.tour)
+    (tmp_path / "r.sol").write_text(text.routes)
+    assert [r.node for r in points.read_tour(spark, str(tmp_path / "t.tour"), 9).orderBy("pos").collect()] == [0, 2, 1]
+    assert [r.nodes for r in points.read_routes(spark, str(tmp_path / "r.sol")).orderBy("route").collect()] == [[3, 1], [2]] and text.p == "RUNS = 1"
