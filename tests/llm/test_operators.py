@@ -471,11 +471,37 @@ def test_license_anchors_lose_nothing(spark):
             for _ in range(rng.randint(0, max(1, len(w) // 8))):
                 w[rng.randrange(len(w))] = "zzz"
             texts.append(" ".join(w))
-    got = {r.doc_id: (r.license, r.dice) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    check_licenses(spark, texts)
+
+
+def check_licenses(spark, texts):
+    """scan() against every unit of every text."""
+    grams = lambda t: {f"{a} {b}" for a, b in itertools.pairwise(re.findall("[a-z0-9]+", t.lower()))}
+    known = [(name, grams(x)) for name, x in licenses.TEMPLATES]
+    want = {}
     for n, t in enumerate(texts):
-        own = grams(t)
-        best = min((-2 * len(own & grams(x)) / (len(own) + len(grams(x))), name) for name, x in licenses.TEMPLATES)
-        assert got.get(n) == ((best[1], round(-best[0], 6)) if -best[0] >= 0.8 else None)
+        pieces = re.sub(licenses.SENTENCE, lambda m: (m[1] or "") + "\x01", t).split("\x01")
+        runs = [" ".join(pieces[a:b]) for a in range(len(pieces)) for b in range(a + 1, min(a + licenses.RUN, len(pieces)) + 1)]
+        for unit in {t, *t.split("\n"), *re.split(r"\n[ \t]*\n", t), *runs}:
+            own = grams(unit)
+            less, name = min((-2 * len(own & g) / (len(own) + len(g)), name) for name, g in known)
+            if less <= -0.8:
+                want[n, name] = max(want.get((n, name), 0.0), round(-less, 6))
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license): r.dice for r in got} == want and len(got) == len(want)
+    return want
+
+
+def test_license_within_a_text(spark):
+    """Licences of several paragraphs, wrapped lines and notices in prose, within longer texts."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join(rng.choice(["river", "of the", "stone", "license", "in the", "warm.", "software", "and"]) for _ in range(n))
+    wrap = lambda t: "\n".join(" ".join(w[k : k + 11]) for w in [t.split()] for k in range(0, len(w), 11))
+    mit = wrap(licenses._MIT).replace("conditions:", "conditions:\n\n").replace("THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    bsd = dict(licenses.TEMPLATES)["BSD-3-Clause"].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n\n3. ")
+    texts = [f"{prose(300)}.\n\nCopyright (c) 2020\n\n{mit}\n\n{prose(400)}", f"{prose(50)}. Released under the MIT License. {prose(60)}", f"{prose(90)}.\n\n{bsd}\n\n{prose(300)}", f"It works. Licensed under\nCC BY 4.0. {prose(20)}", prose(500), "", "license " * 50]
+    want = check_licenses(spark, texts)
+    assert {(0, "MIT"), (1, "MIT"), (2, "BSD-3-Clause"), (3, "CC-BY-4.0")} <= set(want) and not {n for n, _ in want} & {4, 5, 6}
 
 
 def test_revisits_equal_sql(spark, data):
