@@ -1,7 +1,7 @@
 """Licence scan: normalised passages against licence templates by the Dice coefficient over word bigrams.
 
 A text's units are its lines, its paragraphs (parted by empty lines), the text as a whole, and every run of up to RUN
-sentences (which end at .!? before white space, or at an empty line), so that a notice within prose and a licence of several
+sentences (which end at .!? before white space, or at an empty line) whose first and last hold a bigram of a template, so that a notice within prose and a licence of several
 paragraphs within a longer text are units too. A unit of
 n distinct bigrams can reach a Dice coefficient of t with a template of m only if m * t / (2 - t) <= n <= m * (2 - t) / t;
 units outside all templates' bounds are dropped by their number of words alone, and a unit meets only the templates
@@ -111,13 +111,17 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     fits = lambda u: (F.length(u) >= 2 * least + 1) & anchored(u)
     some = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.lower(text).alias("_text")).where(anchored(F.col("_text")))
     pieces = F.split(F.regexp_replace("_text", SENTENCE, "$1\u0001"), "\u0001", -1)
+    held = sorted({b for _, grams in known for b in grams})
+    marked = F.transform(pieces, lambda p: F.struct(p.alias("t"), F.exists(_bigrams(p), lambda b: b.isin(held)).alias("ok")))
     # an array of one binds the pieces, so that they are cut once a text and not once a start
-    starts = F.transform(F.array(pieces), lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda n: F.slice(p, n, RUN)))[0]
-    runs = F.transform(F.sequence(F.lit(1), F.size("_run")), lambda n: F.array_join(F.slice("_run", F.lit(1), n), " "))
+    starts = F.transform(F.array(marked), lambda p: F.transform(F.filter(F.sequence(F.lit(1), F.size(p)), lambda n: F.get(p, n - 1)["ok"]), lambda n: F.slice(p, n, RUN)))[0]
+    joined = lambda run: F.array_join(F.transform(run, lambda p: p["t"]), " ")
+    runs = F.transform(F.filter(F.sequence(F.lit(1), F.size("_run")), lambda n: F.get("_run", n - 1)["ok"]), lambda n: joined(F.slice("_run", F.lit(1), n)))
     blocks = F.array_distinct(F.concat(F.split("_text", "\n", -1), F.split("_text", r"\n[ \t]*\n", -1), F.array("_text")))
     # blocks are runs of one piece
-    found = some.select("_row", "doc_id", F.explode(F.concat(F.transform(blocks, lambda u: F.array(u)), starts)).alias("_run"))
-    grams = found.where(anchored(F.array_join("_run", " "))).select("_row", "doc_id", F.explode(F.filter(runs, fits)).alias("_unit")).select("_row", "doc_id", _bigrams(F.col("_unit")).alias("_grams")).where(F.size("_grams").between(least, most))
+    single = F.transform(blocks, lambda u: F.array(F.struct(u.alias("t"), F.lit(True).alias("ok"))))
+    found = some.select("_row", "doc_id", F.explode(F.concat(single, starts)).alias("_run")).where(anchored(joined(F.col("_run"))))
+    grams = found.select("_row", "doc_id", F.explode(F.filter(runs, fits)).alias("_unit")).select("_row", "doc_id", _bigrams(F.col("_unit")).alias("_grams")).where(F.size("_grams").between(least, most))
     size = F.size("_grams")
     dice = lambda b: F.when(size.between(len(b) / slack, len(b) * slack), 2.0 * F.size(F.array_intersect("_grams", F.array(*map(F.lit, b)))) / (size + len(b)))
     best = F.array_min(F.filter(F.array(*[F.struct((-dice(b)).alias("less"), F.lit(n).alias("license")) for n, b in known]), lambda s: s["less"] <= -threshold))
@@ -136,8 +140,10 @@ def _sql() -> str:
 WITH t(license, w) AS (SELECT l, regexp_extract_all(lower(x), '[a-z0-9]+') FROM (VALUES {quoted}) v(l, x)), tg AS (SELECT license, {grams} AS grams FROM t),
 d AS (SELECT row_number() OVER () AS n, doc_id, lower(text) AS text FROM documents WHERE text IS NOT NULL),
 x AS (SELECT n, doc_id, text, string_split(regexp_replace(text, '{SENTENCE}', '\\1' || chr(1), 'g'), chr(1)) AS p FROM d),
+h AS (SELECT list(DISTINCT b) AS held FROM (SELECT unnest(grams) AS b FROM tg)),
+y AS (SELECT n, doc_id, list(s ORDER BY i) AS p, list(list_has_any({grams}, held) ORDER BY i) AS o FROM (SELECT *, regexp_extract_all(s, '[a-z0-9]+') AS w FROM (SELECT n, doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM x)), h GROUP BY n, doc_id),
 u AS (SELECT n, doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t]*\n'), [text]))) AS unit FROM x
-UNION ALL SELECT n, doc_id, array_to_string(p[i:i + k], ' ') FROM (SELECT n, doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM x), range({RUN}) r(k) WHERE i + k <= len(p)),
+UNION ALL SELECT n, doc_id, array_to_string(p[i:i + k], ' ') FROM (SELECT n, doc_id, p, o, unnest(range(1, len(p) + 1)) AS i FROM y), range({RUN}) r(k) WHERE i + k <= len(p) AND o[i] AND o[i + k]),
 g AS (SELECT n, doc_id, unit, {grams} AS grams FROM (SELECT n, doc_id, unit, regexp_extract_all(unit, '[a-z0-9]+') AS w FROM u) WHERE len(w) > 1),
 s AS (SELECT n, doc_id, unit, license, 2.0 * len(list_intersect(g.grams, tg.grams)) / (len(g.grams) + len(tg.grams)) AS dice FROM g, tg WHERE len(g.grams) BETWEEN len(tg.grams) / 1.5 AND len(tg.grams) * 1.5),
 b AS (SELECT *, row_number() OVER (PARTITION BY n, unit ORDER BY dice DESC, license) AS place FROM s WHERE dice >= {THRESHOLD})

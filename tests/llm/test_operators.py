@@ -478,10 +478,11 @@ def check_licenses(spark, texts):
     """scan() against every unit of every text."""
     grams = lambda t: {f"{a} {b}" for a, b in itertools.pairwise(re.findall("[a-z0-9]+", t.lower()))}
     known = [(name, grams(x)) for name, x in licenses.TEMPLATES]
+    held = set().union(*(g for _, g in known))
     want = {}
     for n, t in enumerate(texts):
         pieces = re.sub(licenses.SENTENCE, lambda m: (m[1] or "") + "\x01", t).split("\x01")
-        runs = [" ".join(pieces[a:b]) for a in range(len(pieces)) for b in range(a + 1, min(a + licenses.RUN, len(pieces)) + 1)]
+        runs = [" ".join(pieces[a:b]) for a in range(len(pieces)) for b in range(a + 1, min(a + licenses.RUN, len(pieces)) + 1) if grams(pieces[a]) & held and grams(pieces[b - 1]) & held]
         for unit in {t, *t.split("\n"), *re.split(r"\n[ \t]*\n", t), *runs}:
             own = grams(unit)
             less, name = min((-2 * len(own & g) / (len(own) + len(g)), name) for name, g in known)
