@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, licenses, ngram_join, packing, pii, pitman_yor, revisits, topk, toxicity
+from . import decontaminate, hard_negatives, html_text, licenses, ngram_join, packing, pii, pitman_yor, revisits, topk, toxicity
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_revisits": revisits.op8_revisits,
     "op9_main_text": html_text.op9_main_text,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
 }
-ORACLE = {"op1_exact_top_k": topk.SQL, "op7_license_scan": licenses.SQL, "op8_revisits": revisits.SQL}
+ORACLE = {"op1_exact_top_k": topk.SQL, "op7_license_scan": licenses.SQL, "op8_revisits": revisits.SQL, "op11_hard_negatives": hard_negatives.SQL}
