@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hard_negatives, html_text, licenses, ngram_join, packing, pii, pitman_yor, revisits, topk, toxicity
+from . import collocations, decontaminate, hard_negatives, html_text, licenses, mixing, ngram_join, packing, pii, pitman_yor, revisits, topk, toxicity
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
@@ -16,5 +16,7 @@ QUERIES = {
     "op9_main_text": html_text.op9_main_text,
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_mixed_sources": mixing.op12_mixed_sources,
+    "op13_collocations": collocations.op13_collocations,
 }
-ORACLE = {"op1_exact_top_k": topk.SQL, "op7_license_scan": licenses.SQL, "op8_revisits": revisits.SQL, "op11_hard_negatives": hard_negatives.SQL}
+ORACLE = {"op1_exact_top_k": topk.SQL, "op7_license_scan": licenses.SQL, "op8_revisits": revisits.SQL, "op11_hard_negatives": hard_negatives.SQL, "op13_collocations": collocations.SQL}
