@@ -10,8 +10,8 @@ sent only if it is a result or ties with one, and of ties a task sends no more t
 number, each with its own scans of the written table of integer vectors, so neither driver nor tasks hold what grows with
 the data. A vector that a third of the rows share is counted where it lies.
 
-Defined results: rows with a null id, a null label, a null vector or null or non-finite components take no part, neither do
-anchors whose vector has another length than a row's see that row; an anchor skips the rows of its own id; anchors
+Defined results: rows with a null id, a null label, a null vector or null or non-finite components take no part; an anchor sees only
+rows whose vectors have its length, and skips the rows of its own id; anchors
 that share an id ask once, with the least of their (label, vector); other repeated rows count each, but (anchor, positive, score) is mined once;
 ties go to the smaller id; windows of positives with a negative score are empty; scores beyond 2**62 - 1 either way count as that;
 an empty table gives an empty result; other columns are ignored.
@@ -132,7 +132,7 @@ def _histograms(frames: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.R
                 np.add.at(counts, (own[w], bucket), 1)
                 full = np.cumsum(counts[own], axis=1) >= block.want[own][:, None]
                 first = np.where(full.any(1), full.argmax(1), size - 1)
-                floor[own] = np.maximum(floor[own], block.high[own] - ((first + 1) << shift[own]) + 1)
+                floor[own] = np.maximum(floor[own], block.high[own] - (first << shift[own]) - ((np.int64(1) << shift[own]) - 1))
     before = np.cumsum(counts, axis=1) - counts
     w, bucket = np.nonzero((counts > 0) & (before < block.want[:, None]))
     yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(bucket, pa.int64()), pa.array(counts[w, bucket], pa.int64())], ["w", "bucket", "n"])
@@ -182,7 +182,7 @@ def selected(rows: DataFrame, block: Block) -> DataFrame:
         block.want[block.open & ~found] = -1  # fewer than wanted: all of the window
         block.open &= found
         high = block.high[w] - (bucket << shift[w])
-        block.low[w], block.high[w] = np.maximum(block.low[w], high - (1 << shift[w]) + 1), high
+        block.low[w], block.high[w] = np.maximum(block.low[w], high - ((np.int64(1) << shift[w]) - 1)), high
         block.want[w] -= above
         block.open &= block.high > block.low
     out, _ = over(_gathered, "w long, vec_id long, score long")

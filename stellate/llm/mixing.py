@@ -23,12 +23,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import parallelism, table, written
 
 #: Words of a block, slots of an output shard, rounds of the permutations, and cells of the table in which draws are looked up.
 LENGTH, SLOTS, ROUNDS, CELLS = 64, 1024, 16, 1024
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
+#: Sources whose figures are broadcast at most; those of more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
+
+
+def few(sources: DataFrame) -> DataFrame:
+    """A table with a row for each source, with a broadcast hint if it is small; written tables are counted by their footers."""
+    return F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
 
 
 def running(df: DataFrame, order: list[Column], values: dict[str, Column], name: str) -> DataFrame:
@@ -93,7 +100,7 @@ def assigned(spark: SparkSession, sources: DataFrame, seed: int = 0) -> DataFram
     drawn = written(running(drawn, order, {"before": F.col("n")}, "draws"), "draws")
     of = drawn.groupBy("idx").agg(F.min("before").alias("start"), F.sum("n").alias("total"))
     sources = written(sources.join(of, "idx", "left").select("idx", "slots", "start", F.coalesce("total", F.lit(0)).alias("total")), "drawn")
-    numbered = drawn.join(sources, "idx").select("idx", "shard", "n", "slots", (F.col("before") - F.col("start")).alias("i"))
+    numbered = drawn.repartition(parallelism(spark), "idx", "shard").join(few(sources), "idx").select("idx", "shard", "n", "slots", (F.col("before") - F.col("start")).alias("i"))
     held = F.greatest(F.lit(0), F.least("n", F.col("slots") - F.col("i")))
     kept = numbered.withColumn("held", held).where("held > 0").select("idx", "shard", F.explode(F.sequence("i", F.col("i") + F.col("held") - 1)).alias("i"))
     over = numbered.withColumn("n", F.col("n") - held).where("n > 0").select("idx", "shard", "n")
@@ -113,15 +120,15 @@ def mix(docs: DataFrame, length: int = LENGTH, seed: int = 0) -> tuple[DataFrame
     rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"))
     rows = written(rows, "sizes")
     sources = written(targets(rows), "targets")
-    indexed = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop("source")
+    indexed = rows.join(few(sources), rows["source"].eqNullSafe(sources["source"])).drop("source")
     order = [F.col(c) for c in ("idx", "h", "doc_id", "size")]
     placed = written(running(indexed, order, {"before": F.col("size")}, "places"), "places")
-    starts = placed.groupBy("idx").agg(F.min("before").alias("first"))
-    placed = placed.join(starts, "idx").withColumn("at", F.col("before") - F.col("first")).drop("before", "first", "h")
+    starts = written(placed.groupBy("idx").agg(F.min("before").alias("first")), "starts")
+    placed = placed.join(few(starts), "idx").withColumn("at", F.col("before") - F.col("first")).drop("before", "first", "h")
     blocks = F.ceil(F.col("source_size") / length)
     sources = sources.where("source_size > 0").select("idx", blocks.alias("blocks"), F.least(MOST * blocks, F.round(F.col("target") * blocks / F.col("source_size")).cast("long")).alias("slots"))
     sources = written(running(sources, [F.col("idx")], {"first": F.col("slots")}, "slots"), "slots")
-    turns = assigned(spark, sources.select("idx", "slots", "first"), seed).join(sources.select("idx", "blocks"), "idx")
+    turns = assigned(spark, sources.select("idx", "slots", "first"), seed).join(few(sources.select("idx", "blocks")), "idx")
     turn = F.floor(F.col("i") / F.col("blocks"))
     turns = turns.withColumn("block", permuted(F.pmod("i", "blocks"), F.col("blocks"), F.lit(seed), F.col("idx"), turn)).drop("blocks")
     end = F.col("at") + F.col("size")
