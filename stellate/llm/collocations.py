@@ -1,6 +1,6 @@
 """Phrase collocation mining: n-grams exploded into rows and counted per language, scored by their best-known cut, freed of parts of longer phrases.
 
-Tasks cut texts into pieces and words with Arrow kernels and emit (lang, phrase, n) rows of a batch's n-grams; Spark adds them up by
+Tasks cut texts into pieces and words as arrays of bytes and emit (lang, phrase, n) rows of a batch's n-grams; Spark adds them up by
 language and phrase. Words are counted first, then pairs, then all longer phrases: a phrase can't be more frequent than any part of
 it, so n-grams with a word or a pair below the least count can never become candidates nor a candidate's part, and aren't exploded.
 Which words and pairs are frequent travels as a bitmap of their hashes, of a fixed size whatever the corpus: a false hit makes a row that the exact
@@ -47,31 +47,46 @@ def _mixed(state: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _places(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-    """Where a phrase is in the bitmap of its size."""
+def _places(lang: np.ndarray, words: list[np.ndarray], bits: int) -> np.ndarray:
+    """Where a phrase is in a bitmap of so many bits."""
     x = lang
     for w in words:
         x = _mixed(x, w)
-    return (x >> np.uint64(7)) % np.uint64(BITS)
+    return (x >> np.uint64(7)) % np.uint64(bits)
 
 
-def _held(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _held(bitmap: np.ndarray, lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    at = _places(lang, words, 8 * len(bitmap))
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+#: What a byte of UTF-8 is: part of a word (0), a blank between words (1) or the end of a piece (2); and the byte with A-Z lower-cased.
+KIND, LOWER = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
+KIND[[*b" \t"]], KIND[[*b".,;:!?\n\x0b\x0c\r"]] = 1, 2
+LOWER[65:91] += 32
+
+
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """All words in order, the number of each one's piece, and of its text."""
-    pieces = pc.split_pattern_regex(pc.ascii_lower(texts), "[.,;:!?\n-\r]")
-    text_of = pc.list_parent_indices(pieces).to_numpy()
-    words = pc.split_pattern_regex(pc.list_flatten(pieces), "[ \t]+")
-    piece_of, words = pc.list_parent_indices(words).to_numpy(), pc.list_flatten(words)
-    full = pc.not_equal(words, pa.scalar("", words.type))
-    piece_of = piece_of[full.to_numpy(zero_copy_only=False)]
-    return words.filter(full), piece_of, text_of[piece_of]
-
-
-def _batches(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """lang and text by about TEXT_BYTES; a longer text comes alone."""
+    """All words in order, the number of each one's piece, and of its text (large strings without nulls)."""
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    begins = ends[:-1] - ends[0]
+    kind = KIND[raw]
+    word = kind == 0
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    begins_full = begins[begins < len(raw)]
+    first[begins_full] = word[begins_full]  # texts lie side by side
+    ended = (kind == 2).astype(np.int32)
+    ended[begins_full] += 1
+    at = np.flatnonzero(first)
+    offsets = np.append(np.flatnonzero(first[word]), int(word.sum())).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(LOWER[raw[word]])])
+    return words, np.cumsum(ended, dtype=np.int32)[at], np.searchsorted(begins, at, "right") - 1
+
+
+def _batches(frames: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """lang and text by about `size` bytes; a longer text comes alone."""
     for frame in frames:
         frame = frame.filter(pc.is_valid(frame["text"]))
         lang, text = pc.fill_null(frame["lang"], "und"), frame["text"].cast(pa.large_string())
@@ -79,27 +94,27 @@ def _batches(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Ar
         at = 0
         while at < len(text):
             done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + TEXT_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
             yield lang[at:to], text[at:to]
             at = to
 
 
 @lean
-def _exploded(frames: Iterator[pa.RecordBatch], sizes: range, words_known: np.ndarray | None, pairs_known: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _exploded(frames: Iterator[pa.RecordBatch], sizes: range, words_known: np.ndarray | None, pairs_known: np.ndarray | None, size: int) -> Iterator[pa.RecordBatch]:
     """n-grams of the sizes with their number in a batch of texts, but for those that hold an infrequent word or pair."""
-    for lang, text in _batches(frames):
+    for lang, text in _batches(frames, size):
         words, piece, of = words_of(text)
         if not len(words):
             continue
         langs = lang.dictionary_encode()
         lang_of = langs.indices.to_numpy()[of]
         h, seed = _hashes(words), _hashes(langs.dictionary)[lang_of]
-        one = np.ones(len(words), bool) if words_known is None else _held(words_known, _places(seed, [h]))
+        one = np.ones(len(words), bool) if words_known is None else _held(words_known, seed, [h])
         follows = np.zeros(len(words), bool)  # word n + 1 is in the same piece, and the pair may be frequent
         follows[:-1] = (piece[1:] == piece[:-1]) & one[1:] & one[:-1]
         if pairs_known is not None:
             at = np.flatnonzero(follows)
-            follows[at] = _held(pairs_known, _places(seed[at], [h[at], h[at + 1]]))
+            follows[at] = _held(pairs_known, seed[at], [h[at], h[at + 1]])
         for n in sizes:
             ok = one.copy()
             for k in range(n - 1):
@@ -114,29 +129,29 @@ def _exploded(frames: Iterator[pa.RecordBatch], sizes: range, words_known: np.nd
             yield from counted.to_batches(max_chunksize=1 << 16)
 
 
-def counts(docs: DataFrame, sizes: range, words_known: np.ndarray | None = None, pairs_known: np.ndarray | None = None) -> DataFrame:
+def counts(docs: DataFrame, sizes: range, words_known: np.ndarray | None = None, pairs_known: np.ndarray | None = None, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """lang, phrase, size, n: occurrences of the n-grams of some sizes; docs: lang, text."""
     sent = docs.sparkSession.sparkContext.broadcast((words_known, pairs_known))
-    rows = docs.select("lang", "text").mapInArrow(lambda f: _exploded(f, sizes, *sent.value), GRAMS)
+    rows = docs.select("lang", "text").mapInArrow(lambda f: _exploded(f, sizes, *sent.value, text_bytes), GRAMS)
     return rows.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
 
 
 @lean
-def _placed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _placed(frames: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for frame in frames:
         if frame.num_rows:
             words = pc.split_pattern(frame["phrase"], " ")
             flat, starts = _hashes(pc.list_flatten(words)), words.offsets.to_numpy()[:-1] - words.offsets.to_numpy()[0]
             size = len(flat) // frame.num_rows  # all phrases have as many words
-            yield pa.RecordBatch.from_arrays([pa.array(_places(_hashes(frame["lang"]), [flat[starts + k] for k in range(size)]).astype(np.int64))], ["at"])
+            yield pa.RecordBatch.from_arrays([pa.array(_places(_hashes(frame["lang"]), [flat[starts + k] for k in range(size)], bits).astype(np.int64))], ["at"])
 
 
-def bitmap(grams: DataFrame) -> np.ndarray:
-    """The bitmap of phrases of one size (lang, phrase): BITS / 8 bytes."""
-    at = grams.select("lang", "phrase").mapInArrow(_placed, "at long")
+def bitmap(grams: DataFrame, bits: int = BITS) -> np.ndarray:
+    """The bitmap of phrases of one size (lang, phrase): a byte for each 8 bits."""
+    at = grams.select("lang", "phrase").mapInArrow(lambda f: _placed(f, bits), "at long")
     row, bit = F.floor(F.col("at") / ROW_BITS), (F.col("at") % ROW_BITS).cast("long")
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in at.groupBy(row.alias("row")).agg(F.bitmap_construct_agg(bit).alias("bits")).toLocalIterator():  # at most BITS / ROW_BITS rows
+    out = np.zeros(bits // 8, np.uint8)
+    for r in at.groupBy(row.alias("row")).agg(F.bitmap_construct_agg(bit).alias("bits")).toLocalIterator():  # at most bits / ROW_BITS rows
         out[r.row * ROW_BITS // 8 : (r.row + 1) * ROW_BITS // 8] = np.frombuffer(r.bits, np.uint8)
     return out
 
@@ -154,15 +169,15 @@ def _scored(known: DataFrame) -> DataFrame:
     return cuts.groupBy("lang", "phrase", "size", "a").agg(best).select("lang", "phrase", "size", "a", "m.l", "m.r", "m.score")
 
 
-def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, explained: int = EXPLAINED, kept: int = KEPT) -> DataFrame:
+def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, explained: int = EXPLAINED, kept: int = KEPT, bits: int = BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of docs (lang, text)."""
     importable(docs.sparkSession)
     words = written(counts(docs, range(1, 2)), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))  # a row for each language
     frequent = words.where(F.col("n") >= least)
-    words_known = bitmap(frequent)
+    words_known = bitmap(frequent, bits)
     pairs = written(counts(docs, range(2, 3), words_known).where(F.col("n") >= least), "pairs")
-    longer = counts(docs, range(3, max_n + 1), words_known, bitmap(pairs)).where(F.col("n") >= least)
+    longer = counts(docs, range(3, max_n + 1), words_known, bitmap(pairs, bits)).where(F.col("n") >= least)
     known = written(frequent.unionByName(pairs).unionByName(longer) if max_n > 2 else frequent.unionByName(pairs), "phrases")
     discard(pairs)
     scored = _scored(known)
