@@ -29,7 +29,7 @@ from .common import discard, importable, lean, table, written
 #: Words of a phrase, occurrences of a candidate, percentage of occurrences that a longer phrase must explain, phrases of a language.
 MAX_N, LEAST, EXPLAINED, KEPT = 4, 30, 80, 2000
 #: Bits of a bitmap (8 MB), and bytes of the texts that a task cuts up at a time.
-BITS, TEXT_BYTES = 1 << 26, 4 << 20
+BITS, TEXT_BYTES = 1 << 26, 2 << 20
 #: Bits of one row of Spark's bitmap functions.
 ROW_BITS = 1 << 15
 GRAMS = "lang string, phrase string, size int, n long"
