@@ -58,7 +58,8 @@ class Block:
 
     same: whether rows of the anchor's own label are wanted, or those of others. floor and high bound what is still open; rows above high are taken."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[np.ndarray], at: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, same: bool):
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[np.ndarray], at: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, same: bool, bits: int = DIGIT_BITS):
+        self.bits = bits
         self.ids, self.labels, self.vectors, self.at, self.same, self.k = ids, labels, vectors, at, same, k
         self.low, self.top, self.high = low, high.copy(), high
         self.want = np.where(high >= low, k, 0).astype(np.int64)
@@ -68,7 +69,7 @@ class Block:
         """Bits below the digit that is counted next, for each window."""
         width = np.where(self.open, self.high - self.low, 0)
         bits = np.array([int(w).bit_length() for w in width], np.int64)
-        return np.maximum(bits - DIGIT_BITS, 0)
+        return np.maximum(bits - self.bits, 0)
 
 
 def _scored(frames: Iterator[pa.RecordBatch], block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -120,7 +121,7 @@ def _histograms(frames: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.R
     """w, bucket, n: scores of a task's rows by bucket below the top of each open window.
 
     Buckets below the one in which the task alone reaches the number wanted can't hold the kth score, and are left out."""
-    shift, turns, size = block.shift(), _windows_of(block), 1 << DIGIT_BITS
+    shift, turns, size = block.shift(), _windows_of(block), 1 << block.bits
     counts = np.zeros((len(block.at), size), np.int64)
     floor = np.where(block.open, block.low, block.high + 1)
     for mine, s, wanted, _ in _scored(frames, block):
@@ -197,28 +198,28 @@ def _bounds(rows: DataFrame, q: list[np.ndarray]) -> np.ndarray:
     return np.array([int(min(LARGEST, np.ceil(x * (1 + 1e-9)) + 1)) for x in np.sqrt(norms * most)], np.int64)
 
 
-def mine(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90) -> DataFrame:
+def mine(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, together: int = ANCHORS, bits: int = DIGIT_BITS) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score; rows and anchors as of quantised().
 
-    A negative n of a positive p has low * p <= 100 * n <= high * p."""
+    A negative n of a positive p has low * p <= 100 * n <= high * p. together: anchors of a block; bits: of a digit."""
     spark = importable(rows.sparkSession)
     rows = written(rows, "vectors")
     asked = written(anchors.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("m")).select("vec_id", "m.label", "m.v"), "anchors")
-    blocks, parts = max(1, -(-asked.count() // ANCHORS)), []
+    blocks, parts = max(1, -(-asked.count() // together)), []
     for b in range(blocks):
         own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        frame = own.toPandas()  # about ANCHORS rows
+        frame = own.toPandas()  # about `together` rows
         if not len(frame):
             continue
         ids, labels, vectors = frame["vec_id"].to_numpy(np.int64), frame["label"].to_numpy(np.int64), [np.asarray(v, np.int64) for v in frame["v"]]
         bound = _bounds(rows, vectors)
         every = np.arange(len(ids))
-        near = selected(rows, Block(ids, labels, vectors, every, -bound, bound.copy(), positives, True)).select("w", "vec_id", "score").distinct().toPandas()  # `positives` rows for each anchor
+        near = selected(rows, Block(ids, labels, vectors, every, -bound, bound.copy(), positives, True, bits)).select("w", "vec_id", "score").distinct().toPandas()  # `positives` rows for each anchor
         near = near.sort_values(["w", "score", "vec_id"], ascending=[True, False, True]).reset_index(drop=True)
         at, positive = near["w"].to_numpy(np.int64), near["score"].to_numpy(np.int64)
         bounds = [(-(-low * s // 100), high * s // 100) for s in map(int, positive)]  # in Python's integers, which don't overflow
         lows, highs = (np.array([x[n] for x in bounds], np.int64) for n in (0, 1))
-        found = selected(rows, Block(ids, labels, vectors, at, lows, highs, negatives, False))
+        found = selected(rows, Block(ids, labels, vectors, at, lows, highs, negatives, False, bits))
         windows = spark.createDataFrame(pd.DataFrame({"w": np.arange(len(at)), "anchor_id": ids[at], "positive_id": near["vec_id"].to_numpy(np.int64), "positive_score": positive}), "w long, anchor_id long, positive_id long, positive_score long")
         part = found.join(F.broadcast(windows), "w").select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
         parts.append(written(part, "negatives") if blocks > 1 else part)

@@ -1,5 +1,6 @@
 """Hard negatives, source mixing and collocations against brute force, and their edge cases."""
 
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -7,6 +8,7 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,17 +35,15 @@ def test_hard_negatives_equal_sql(spark, data):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_hard_negatives_equal_brute_force(spark, monkeypatch, seed):
+def test_hard_negatives_equal_brute_force(spark, seed):
     """Ties, repeated rows, a vector that a third of the rows share, two lengths, several blocks and digits of few bits."""
-    monkeypatch.setattr(hard_negatives, "ANCHORS", 7)
-    monkeypatch.setattr(hard_negatives, "DIGIT_BITS", 2)
     r = random.Random(seed)
     scale = 4 if seed == 1 else 2**20
     rows = [(n, r.randrange(3), [3 * scale, 4 * scale] if n % 3 == 0 else [r.randrange(-9, 10) * scale for _ in range(2 if n % 5 else 3)]) for n in range(300)]
     rows += [rows[5], rows[6], (7, 1, [2**40, 2**40])]
     frame = spark.createDataFrame(rows, "vec_id long, label long, v array<long>").repartition(5)
     anchors = frame.where("vec_id % 20 = 0")
-    got = hard_negatives.mine(frame, anchors, 3, 4)
+    got = hard_negatives.mine(frame, anchors, 3, 4, together=7, bits=2 if seed == 1 else 11)
     assert {tuple(x) for x in got.collect()} == _mined(rows, [x for x in rows if x[0] % 20 == 0], 3, 4)
 
 
@@ -109,7 +109,7 @@ def test_mix_holds_its_promises(spark, monkeypatch):
         blocks[m.idx][m.block, m.i] = 1
     assert max(slots.values()) <= 8
     shards = Counter(shard for shard, _, _ in slots)
-    assert sorted(shards.values())[:-1].count(16) == len(shards) - 1  # every shard but the last is full
+    assert sorted(shards.values())[1:].count(16) == len(shards) - 1  # every shard but the last is full
     for idx, (size, target) in by_idx.items():
         assert abs(taken[idx] - target) <= 8
         nums = sorted(i for _, n, i in slots if n == idx)
@@ -173,21 +173,29 @@ def _mined_phrases(rows, max_n=4, least=3, explained=80, kept=2000):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_collocations_equal_brute_force(spark, monkeypatch, seed):
-    monkeypatch.setattr(collocations, "TEXT_BYTES", 2000)
-    if seed == 3:
-        monkeypatch.setattr(collocations, "BITS", collocations.ROW_BITS)  # many false hits
+def test_collocations_equal_brute_force(spark, seed):
+    bits = collocations.ROW_BITS if seed == 3 else collocations.BITS  # few bits: many false hits
     r = random.Random(seed)
     vocabulary = [*"abcdefgh", "Ab", "É", "é", "x y", *[f"rare{n}" for n in range(200)]]
     text = lambda: "".join(r.choices(vocabulary, [9] * 12 + [1] * 200)[0] + r.choice([" ", " ", "  ", "\t", ". ", "\n", ",", "\x0b"]) for _ in range(r.choice((0, 1, 30, 400))))
     rows = [(r.choice(["en", "de", None, "und"]), text()) for _ in range(60)] + [("en", None), ("en", ""), ("fr", "..."), (None, "the same words here " * 50)] + [("en", "New York City Hall is here")] * 9
     docs = spark.createDataFrame(rows, "lang string, text string").withColumn("n", F.lit("clash")).repartition(3)
-    got = collocations.collocations(docs, least=3, kept=40).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    got = collocations.collocations(docs, least=3, kept=40, bits=bits).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
     assert sorted(tuple(x) for x in got.collect()) == _mined_phrases(rows, kept=40)
     longer = collocations.collocations(docs, max_n=6, least=8).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
     assert sorted(tuple(x) for x in longer.collect()) == _mined_phrases(rows, 6, 8)
 
 
+def test_words_of_batches():
+    texts = ["", "A b", "c", "", "d. e\x0bf", "É", " ", "Z"]
+    cut = [(w.as_py(), int(p), int(t)) for w, p, t in zip(*collocations.words_of(pa.array(["skipped", *texts], pa.large_string())[1:]), strict=True)]
+    assert [w for w, _, _ in cut] == ["a", "b", "c", "d", "e", "f", "É", "z"]
+    assert [t for _, _, t in cut] == [1, 1, 2, 4, 4, 4, 5, 7]
+    assert [n for n, (a, b) in enumerate(itertools.pairwise(cut)) if a[1] == b[1]] == [0]
+    frames = [pa.RecordBatch.from_pydict({"lang": pa.array(["en"] * len(texts)), "text": pa.array(texts)})]
+    assert sorted(x for b in collocations._exploded(iter(frames), range(1, 3), None, None, 3) for x in b["phrase"].to_pylist()) == sorted(["a", "b", "a b", "c", "d", "e", "f", "É", "z"])
+
+
 def test_collocations_equal_sql(spark, data):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
     cols = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
