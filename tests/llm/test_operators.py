@@ -13,6 +13,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stellate.llm import decontaminate, html_text, licenses, ngram_join, packing, pii, pitman_yor, queries, revisits, topk, toxicity
 
@@ -201,6 +202,41 @@ def test_credentials(spark):
         assert got[n] == want, t
 
 
+def test_masking_replaces_every_span(spark):
+    """Kinds that overlap, in odd texts; against intervals of find_spans() merged one by one."""
+    rng = random.Random(17)
+    bits = ["ftp://bob:secretpw@mail.example.com", "a@b.co", "1.2.3.4", "+1 988 555 2485", "4111 1111 1111 1111", "password: hunter2", "Password=Tr0ub4dor&3", "pwd='x1y2z3w4'", "token=0a1b2c3d4e5f60718293", "DE89 3704 0044 0532 0130 00", "123-45-6789", "://u:p@1.2.3.4", "é", "😀", " ", " ", ", ", "\n", "word", "\x01", "@", "+4111111111111111"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(500)] + bits
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    overlapping, now = 0, dict(enumerate(texts))
+
+    def spans_of(rows):
+        found = pii.find_spans(spark.createDataFrame(sorted(rows.items()), "doc_id long, text string"))
+        return {r.doc_id: sorted((s.start, s.order, s.end, s.kind) for s in r.spans) for r in found.collect()}
+
+    first = None
+    for _ in range(2):
+        spans = spans_of(now)
+        first = first or spans
+        for d, t in now.items():
+            merged = []
+            for start, _, end, kind in spans[d]:
+                if merged and start < merged[-1][1]:
+                    overlapping += 1
+                    merged[-1][1] = max(merged[-1][1], end)
+                else:
+                    merged.append([start, end, kind])
+            out, at = "", 0
+            for start, end, kind in merged:
+                out, at = out + t[at:start] + f"[{kind.upper()}]", end
+            now[d] = out + t[at:]
+    assert {r.doc_id: r.text for r in pii.mask(frame).collect()} == now
+    assert overlapping > 50
+    found = {texts[d]: {(k, texts[d][a:b]) for a, _, b, k in s} for d, s in first.items() if texts[d] in bits}
+    assert ("password", "hunter2") in found["password: hunter2"] and ("password", "Tr0ub4dor&3") in found["Password=Tr0ub4dor&3"] and ("password", "x1y2z3w4") in found["pwd='x1y2z3w4'"]
+    assert "secretpw" not in pii.mask(frame.where(F.col("text") == bits[0])).first().text
+
+
 def test_masking_edges(spark):
     rows = [(1, None, 0, "a", "b"), (2, "", 0, "a", "b"), (3, "mail x@y.zz " * 5000, 0, "a", "b"), (4, "token=0a1b2c3d4e5f60718293 4111111111111111", 0, "a", "b"), (4, "token=0a1b2c3d4e5f60718293 4111111111111111", 0, "a", "b")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _spans string, _any string")
@@ -393,47 +429,61 @@ def test_toxicity(spark, edge, empty):
     assert toxicity.score(edge, none).count() == len(EDGE) and toxicity.score(empty, model).count() == 0
 
 
-def test_threats_score_without_insults(spark):
+def test_threats_need_their_target(spark):
     for lexicon in (toxicity.Lexicon({}, {}), toxicity.Lexicon({"idiot": 3.0}, {"vequ": 3.0})):
-        raw = lambda t: toxicity.raw_score(t, lexicon)
-        assert raw("I will kill you") > 0 and raw("ich werde dich töten") > raw("ich werde töten") > raw("nicht töten") > 0
-        assert raw("I will kill you") == raw("I will kill you, idiotically") and raw("nothing here") == raw("skill and beaten you") == raw("") == raw(None) == 0
+        raw = lambda t: toxicity.raw_score(t, lexicon, 12.0)
+        aimed = ("I will kill you", "ich werde dich töten", "te voy a matar", "je vais vous tuer", "ich werde dich in Stücke schlagen", "I WILL SHOOT ALL OF YOU!")
+        assert len({raw(t) for t in aimed}) == 1 and raw(aimed[0]) == math.log1p(12.0)
+        for t in ("kill the process", "The update will kill performance, you know", "matar el tiempo", "you know, kill it", "die Zeit töten", "nothing here", "skill and beaten you", "", None):
+            assert raw(t) == 0, t
+        assert 0 < raw("I won't kill you") == raw("I won’t kill you") == raw("ich werde dich nicht töten") < raw("I will kill you")
+        assert 0 < raw("they said I will kill you") < raw("I will kill you")
         for t in ("we beat them", "you idiot", "vequant. not a word", "they said kill", "MATAR!", "plain words"):
-            assert raw(t) == math.log1p(sum(toxicity.clause_scores(t.lower(), lexicon)))
-    model = toxicity.Model(toxicity.Lexicon({"idiot": 3.0}, {}), 1.0, -2.0)
-    rows = [(1, "I will kill you"), (2, ""), (3, "plain words")]
+            assert raw(t) == math.log1p(sum(toxicity.clause_scores(t.lower(), lexicon, 12.0)))
+    model = toxicity.Model(toxicity.Lexicon({"idiot": 3.0}, {}), 2.9, -6.1)
+    rows = [(1, "I will kill you"), (2, ""), (3, "plain words"), (4, "the word idiot is in the dictionary"), (5, "kill the process")]
     got = {r.doc_id: r.toxicity for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
-    assert got[1] > got[2] == got[3]
+    assert got[1] == pytest.approx(toxicity.THREATENING) and got[2] == got[3] == got[5] < got[4] < 0.2
+    assert toxicity.Model(toxicity.Lexicon({}, {}), 0.0, -4.0).threat == 0
 
 
-def _clause_score(clause, lexicon):
+def _clause_score(clause, lexicon, threat):
     """The grammar's rules, token by token with look-back."""
     words = re.findall(r"[^\W_]+(?:['’][^\W_]+)*", clause)
-    kind = lambda w: "insult" if lexicon.weight(w) else next((k for k, ws in (("threat", toxicity.THREAT), ("target", toxicity.TARGET), ("negation", toxicity.NEGATION), ("reported", toxicity.REPORTED)) if w in ws), "word")
-    kinds, total = list(map(kind, words)), 0.0
+    lists = (("threat", toxicity.THREAT), ("verb", toxicity.VERB), ("object", toxicity.OBJECT), ("target", toxicity.TARGET), ("negation", toxicity.NEGATION), ("reported", toxicity.REPORTED))
+    kinds = ["insult" if lexicon.weight(w) else next((k for k, ws in lists if w in ws), "word") for w in words]
+    total, negated = 0.0, 0
+    aims = lambda k: k in ("target", "object")
     for n, (w, k) in enumerate(zip(words, kinds, strict=True)):
-        if k in ("insult", "threat"):
-            weight = lexicon.weight(w) or toxicity.THREAT_WEIGHT
-            weight *= 0.5 if "negation" in kinds[max(0, n - 3) : n] else 1
-            weight *= 0.6 if "reported" in kinds[:n] else 1
-            total += weight * (1.25 if "target" in kinds[max(0, n - 4) : n] else 1 if k == "insult" else 0.5)
-        if k == "target":
-            since = [j for j in range(max(0, n - 3), n) if kinds[j] in ("insult", "threat")]
-            total += toxicity.AIM_WEIGHT * bool(since and "target" not in kinds[since[-1] + 1 : n])
+        since = max([j for j in range(n) if aims(kinds[j])], default=-1)  # what waited before has had its target
+        said = [j for j in range(since + 1, n) if kinds[j] == "threat" or (kinds[j] == "verb" and "object" not in kinds[max(0, j - 4) : j])]
+        done = max([j for j in range(since + 1, n) if kinds[j] == "verb" and "object" in kinds[max(0, j - 4) : j]], default=-1)
+        waiting = [j for j in said if j >= n - 3 and j > done]
+        cursed = [j for j in range(max(since + 1, done + 1, n - 3), n) if kinds[j] == "insult" and not any(m >= j - 3 and m > done for m in said if m < j)]
+        emitted = 0.0
+        if k == "insult":
+            emitted = lexicon.weight(w) * (toxicity.NEAR if any(map(aims, kinds[max(0, n - 4) : n])) else toxicity.LONE)
+        elif k == "verb":
+            emitted = threat * ("object" in kinds[max(0, n - 4) : n])
+        elif aims(k):
+            # the one that began to wait last, unless a threat still waits
+            emitted = threat if waiting and not (cursed and cursed[-1] > waiting[-1]) else toxicity.AIM_WEIGHT if cursed else 0.0
+        total += emitted * (0.5 if negated else 1) * (0.6 if "reported" in kinds[:n] else 1)
+        negated = 3 if k == "negation" or (negated and k in ("threat", "verb")) else max(0, negated - 1)
     return total
 
 
 def test_clauses_equal_the_plain_rules():
     rng, lexicon = random.Random(13), toxicity.Lexicon({"idiot": 3.0}, {"vequ": 2.0})
-    words = ["idiot", "vequant", "kill", "you", "they", "not", "said", "a", "b", "töten"]
-    for _ in range(3000):
-        text = " ".join(rng.choice(words) + rng.choice(("", "", "", ".", "!")) for _ in range(rng.randint(0, 14)))
-        want = sum(_clause_score(c, lexicon) for c in re.split("[.!]", text))
-        assert math.isclose(sum(toxicity.clause_scores(text, lexicon)), want, abs_tol=1e-9)
+    words = ["idiot", "vequant", "kill", "you", "they", "not", "said", "a", "b", "töten", "dich"]
+    for _ in range(6000):
+        text = " ".join(rng.choice(words) + rng.choice(("", "", "", "", ".", ",")) for _ in range(rng.randint(0, 14)))
+        want = sum(_clause_score(c, lexicon, 12.0) for c in re.split("[.,]", text))
+        assert math.isclose(sum(toxicity.clause_scores(text, lexicon, 12.0)), want, abs_tol=1e-9), text
 
 
 def test_clauses_rank_as_they_should():
-    raw = lambda t: toxicity.raw_score(t, toxicity.Lexicon({"idiot": 3.0, "moron": 3.0}, {}))
+    raw = lambda t: toxicity.raw_score(t, toxicity.Lexicon({"idiot": 3.0, "moron": 3.0}, {}), 12.0)
     for more, less in (("you are an idiot", "the word idiot stands here"), ("I will kill you", "kill the process"), ("kill you", "you may leave"), ("idiot, you moron", "idiot"), ("you idiot", "they said you idiot"), ("you are an idiot", "you are not an idiot"), ("you idiot. I will shoot you", "you idiot"), ("te voy a matar a ti", "matar el tiempo")):
         assert raw(more) > raw(less), (more, less)
     assert raw("you said no to them") == raw("nothing at all") == 0
