@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, importable, lean, table, written
+from .common import discard, importable, lean, release, table, written
 
 #: Words of a phrase, occurrences of a candidate, percentage of occurrences that a longer phrase must explain, phrases of a language.
 MAX_N, LEAST, EXPLAINED, KEPT = 4, 30, 80, 2000
@@ -127,6 +127,8 @@ def _exploded(frames: Iterator[pa.RecordBatch], sizes: range, words_known: np.nd
             counted = pa.table({"lang": pa.array(lang_of[at]), "phrase": phrase}).group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")])
             counted = pa.table({"lang": langs.dictionary.take(counted["lang"].combine_chunks()), "phrase": counted["phrase"].cast(pa.string()), "size": pa.array(np.full(len(counted), n, np.int32)), "n": counted["count_all"]})
             yield from counted.to_batches(max_chunksize=1 << 16)
+        del words, piece, of, h, seed, one, follows, lang_of
+        release()
 
 
 def counts(docs: DataFrame, sizes: range, words_known: np.ndarray | None = None, pairs_known: np.ndarray | None = None, text_bytes: int = TEXT_BYTES) -> DataFrame:
