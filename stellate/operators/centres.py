@@ -1,4 +1,4 @@
-"""Choice of centres: Lloyd steps, medoids, farthest-first, coverage, regularised k-means and local search. The loops run on
+"""Choice of centres: Lloyd steps, medoids, farthest-first, coverage and regularised k-means. The loops run on
 the driver over a number of centres that is a parameter; every step is an aggregation over the points."""
 
 from __future__ import annotations
@@ -7,12 +7,11 @@ import math
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import written
-from .draws import uniform
-from .neighbors import nearest_centre, snapped
+from ..plans.storage import discard, written
+from .neighbors import nearest_centre
 from .scaling import min_max
 
 Centre = tuple[int, float, float]
@@ -95,24 +94,63 @@ def coverage(points: DataFrame, k: int, radius: str = "radius") -> DataFrame:
     return rows.select("id", cluster().cast("int").alias("cluster"))
 
 
-def k_medoids(points: DataFrame, k: int, score: str = "score", steps: int = 10, sample: int | None = None) -> tuple[DataFrame, list[Centre]]:
+def k_medoids(points: DataFrame, k: int, score: str = "score", steps: int = 10) -> tuple[DataFrame, list[Centre]]:
     """id, cluster and the medoids: from the k highest scores, every step moves each medoid to its cluster's point of the
-    least summed distance. The sums are exact; they pair a cluster's points, in chunks of its members against the others."""
+    least summed distance, until none moves."""
     centres = [(n, r.x, r.y) for n, r in enumerate(points.orderBy(F.desc(score), F.desc("id")).limit(k).collect())]
     for _ in range(steps):
         own = written(nearest_centre(points, centres).select("id", "x", "y", "centre"), "medoids")
-        pairs = own.alias("a").join(own.alias("b"), F.col("a.centre") == F.col("b.centre"))
-        dx, dy = F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")
-        sums = pairs.groupBy("a.centre", "a.id", "a.x", "a.y").agg(F.sum(F.sqrt(dx * dx + dy * dy)).alias("s"))
-        best = sums.groupBy("centre").agg(F.min_by(F.struct("x", "y"), F.struct(F.round("s", 9), "id")).alias("p")).collect()
-        moved = {r.centre: (r.p.x, r.p.y) for r in best}
+        moved = medoids(own)
         after = [(c, *moved.get(c, (x, y))) for c, x, y in centres]
+        discard(own)
         if after == centres:
             break
         centres = after
     return nearest_centre(points, centres).select("id", F.col("centre").alias("cluster")), centres
 
 
+#: Candidates of a cluster whose distances are summed exactly, and cells of a cluster's grid at most (a power of 4).
+CANDIDATES, GRID = 256, 4096
+
+
+def medoids(own: DataFrame) -> dict[int, tuple[float, float]]:
+    """Of each cluster (own: id, x, y, centre) the point of the least summed distance to all (to 9 digits, ties to the smaller id).
+
+    A cell's points are together at least as far away as their number times the distance to their mean, and at most the sum of
+    their own distances to the mean farther. Points whose lower bound exceeds the least upper bound go, on ever finer grids; the sums of those left are
+    exact, candidates in turns of a bounded number against all points of their cluster."""
+    b = own.groupBy("centre").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side"))
+    boxes = F.broadcast(written(b.withColumn("side", F.when(F.col("side") > 0, F.col("side")).otherwise(1.0)), "boxes"))  # a row a centre
+    left, per = own, 8
+    while True:
+        most = left.groupBy("centre").count().agg(F.max("count")).first()[0] or 0
+        if most <= CANDIDATES or per * per > GRID:
+            break
+        cell = lambda c, lo, per=per: F.least(F.floor((F.col(c) - F.col(lo)) / F.col("side") * per), F.lit(per - 1))
+        inner = own.join(boxes, "centre").withColumns({"cx": cell("x", "x1"), "cy": cell("y", "y1")})
+        means = written(inner.groupBy("centre", "cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my")), "means")
+        far = F.sqrt((F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx")) + (F.col("y") - F.col("my")) * (F.col("y") - F.col("my")))
+        spread = inner.join(means, ["centre", "cx", "cy"]).groupBy("centre").agg(F.sum(far).alias("spread"))
+        grids = means.groupBy("centre").agg(F.collect_list(F.struct("n", "mx", "my")).alias("grid")).join(spread, "centre")  # per * per cells a centre
+        to = lambda g: g["n"] * F.sqrt((F.col("x") - g["mx"]) * (F.col("x") - g["mx"]) + (F.col("y") - g["my"]) * (F.col("y") - g["my"]))
+        bounded = written(left.join(F.broadcast(written(grids, "grids")), "centre").select("id", "x", "y", "centre", "spread", F.aggregate("grid", F.lit(0.0), lambda a, g: a + to(g)).alias("least")), "bounded")
+        limit = bounded.groupBy("centre").agg((F.min("least") + F.first("spread")).alias("limit"))
+        left = written(bounded.join(F.broadcast(limit), "centre").where(F.col("least") <= F.col("limit") * (1 + 1e-9) + 1e-9).select("id", "x", "y", "centre"), "candidates")
+        per *= 2
+    turn = F.row_number().over(Window.partitionBy("centre", F.pmod(F.xxhash64("id"), F.lit(max(1, most // CANDIDATES)))).orderBy("id"))
+    groups = written(left.withColumn("_g", F.pmod(F.xxhash64("id"), F.lit(max(1, most // CANDIDATES)))).withColumn("_t", F.floor((turn - 1) / CANDIDATES)), "turns")
+    best: dict[int, tuple] = {}
+    for g, t in groups.select("_g", "_t").distinct().orderBy("_g", "_t").collect():
+        some = groups.where((F.col("_g") == g) & (F.col("_t") == t)).groupBy("centre").agg(F.collect_list(F.struct("id", F.col("x").alias("px"), F.col("y").alias("py"))).alias("c"))
+        pairs = own.select("x", "y", "centre").join(F.broadcast(some), "centre").select("centre", "x", "y", F.explode("c").alias("c"))
+        sums = pairs.groupBy("centre", "c").agg(F.sum(F.sqrt((F.col("x") - F.col("c.px")) * (F.col("x") - F.col("c.px")) + (F.col("y") - F.col("c.py")) * (F.col("y") - F.col("c.py")))).alias("s"))
+        for r in sums.groupBy("centre").agg(F.min(F.struct(F.round("s", 9).alias("s"), "c")).alias("m")).collect():
+            key = (r.m.s, r.m.c.id)
+            if r.centre not in best or key < best[r.centre][0]:
+                best[r.centre] = key, (r.m.c.px, r.m.c.py)
+    return {c: place for c, (_, place) in best.items()}
+
+
 def swap_costs(points: DataFrame, centres: list[Centre], new: tuple[float, float]) -> DataFrame:
     """out, cost: the k-means cost if centre `out` is swapped for a new point, for all of them in one aggregation over cached first and second distances."""
     rows = nearest_centre(points, centres)
@@ -122,56 +160,21 @@ def swap_costs(points: DataFrame, centres: list[Centre], new: tuple[float, float
     return by.join(by.agg(F.sum("stay").alias("all"))).select(F.col("centre").alias("out"), (F.col("all") + F.col("more")).alias("cost"))
 
 
-def local_search(points: DataFrame, k: int, rounds: int = 10, seed: int = 0, steps: int = 2, snap: bool = False) -> tuple[list[Centre], float]:
-    """Centres and cost: from k farthest points, each round draws a point by squared distance (exponential keys on a hash of
-    id and seed), takes the best single swap if it saves enough, and Lloyd steps end it; snap then moves each centre to the nearest point."""
-    rows = written(points.select("id", "x", "y"), "search")
-    centres = [(n, x, y) for n, (_, x, y) in enumerate(k_center_greedy(rows, k)[0])]
-    now = cost(rows, centres).first()[0] or 0.0
-    for turn in range(rounds):
-        u = uniform(seed * 1_000_003 + turn, "id")
-        drawn = nearest_centre(rows, centres).where("d1 > 0").agg(F.min_by(F.struct("x", "y"), F.struct(-F.log(u) / (F.col("d1") * F.col("d1")), F.col("id"))).alias("p")).first().p
-        if drawn is None:
-            break
-        best = swap_costs(rows, centres, (drawn.x, drawn.y)).orderBy("cost", "out").first()
-        if best.cost < (1 - 1 / (100 * k)) * now:
-            centres = [(c, drawn.x, drawn.y) if c == best.out else (c, x, y) for c, x, y in centres]
-            now = best.cost
-    centres = lloyd(rows, centres, steps)
-    if snap and centres:
-        at = snapped(rows, rows.sparkSession.createDataFrame(centres, "id long, x double, y double"))
-        found = at.join(rows.select(F.col("id").alias("j"), "x", "y"), "j").select("i", "x", "y").collect()  # a row for each centre
-        centres = sorted((int(r.i), r.x, r.y) for r in found)
-    return centres, cost(rows, centres).first()[0] or 0.0
-
-
-def multi_swap_search(points: DataFrame, k: int, rounds: int = 4, candidates: int = 4, patience: int = 2, seed: int = 0) -> tuple[list[Centre], float]:
-    """local_search() over weighted distinct places: each round tries several drawn candidates, takes swaps as long as they save, and stops after rounds without a gain."""
+def local_search(points: DataFrame, k: int, rounds: int = 400, seed: int = 0, steps: int = 2, snap: bool = True) -> tuple[list[Centre], float]:
+    """swaps.local_search() of points without weights; without snap, so many Lloyd steps end it and centres needn't be points."""
+    from . import swaps
+
+    rows = points.select("id", "x", "y", F.lit(1).cast("long").alias("weight"))
+    found, now = swaps.local_search(rows, k, rounds, seed)
+    if snap or not found:
+        return found, now
+    found = lloyd(rows, found, steps)
+    return found, cost(rows, found).first()[0] or 0.0
+
+
+def multi_swap_search(points: DataFrame, k: int, rounds: int = 400, patience: int = 5, seed: int = 0) -> tuple[list[Centre], float]:
+    """swaps.multi_swap_search() over the distinct places of points, weighted by their number."""
+    from . import swaps
     from .clusterstats import duplicates
 
-    rows = written(duplicates(points), "places")
-    centres = [(n, x, y) for n, (_, x, y) in enumerate(k_center_greedy(rows, k)[0])]
-    now, failed = cost(rows, centres, "weight").first()[0] or 0.0, 0
-    for turn in range(rounds):
-        u = uniform(seed * 7_919 + turn, "id")
-        drawn = nearest_centre(rows, centres).where("d1 > 0").orderBy(-F.log(u) / (F.col("d1") * F.col("d1") * F.col("weight")), "id").limit(candidates).collect()
-        gained = False
-        for p in drawn:
-            trials = [[(o, p.x, p.y) if o == c else (o, x, y) for o, x, y in centres] for c, _, _ in centres]
-            costs = [cost(rows, t, "weight").first()[0] for t in trials] if k <= 3 else None
-            if costs is None:
-                out = swap_costs(rows, centres, (p.x, p.y)).orderBy("cost", "out").first().out
-                trial = [(o, p.x, p.y) if o == out else (o, x, y) for o, x, y in centres]
-                best = (cost(rows, trial, "weight").first()[0], trial)
-            else:
-                best = min(zip(costs, trials, strict=True), key=lambda t: t[0])
-            if best[0] < now:
-                now, centres, gained = best[0], best[1], True
-        centres_after = lloyd(rows, centres, 1)
-        after = cost(rows, centres_after, "weight").first()[0] or 0.0
-        if after < now:
-            now, centres, gained = after, centres_after, True
-        failed = 0 if gained else failed + 1
-        if failed >= patience:
-            break
-    return centres, now
+    return swaps.multi_swap_search(duplicates(points), k, rounds, seed, patience=patience)

@@ -85,10 +85,6 @@ def duplicates(points: DataFrame) -> DataFrame:
     return points.groupBy("x", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
 
 
-def interpolated(col: str | Column, q: float) -> Column:
-    return F.percentile(col, F.lit(q))
-
-
 def smallest_gap(df: DataFrame, col: str) -> DataFrame:
     """The smallest difference above 0 between neighbouring values: sorted by range, with each range's last value carried on."""
     values = df.select(F.col(col).cast("double").alias("v")).distinct().repartitionByRange("v").select("v", F.spark_partition_id().alias("part"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import written
+from ..plans.storage import discard, written
 from .neighbors import nearest, within, within_own
+from .order import quantiles
 from .sampling import numbered
 
 
@@ -15,24 +16,47 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     labels = nodes.select("id", F.col("id").alias("root"))
     rest = written(edges.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct(), "edges")
     while not rest.isEmpty():
+        before = labels, rest
         both = rest.union(rest.select(F.col("j").alias("i"), F.col("i").alias("j")))
         step = written(both.groupBy("i").agg(F.least(F.min("j"), F.col("i")).alias("to")), "step")
         labels = written(labels.join(step, labels["root"] == step["i"], "left").select("id", F.coalesce("to", "root").alias("root")), "labels")
         moved = rest.join(step, "i").select(F.col("to").alias("a"), "j").join(step.withColumnsRenamed({"i": "j", "to": "b"}), "j")
         rest = written(moved.where("a <> b").select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct(), "edges")
+        discard(*before, step)
+    discard(rest)
     return labels
 
 
 def reachable_min(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, root: the smallest id from which each node can be reached over directed edges (itself included); iterates to the fixpoint."""
-    labels = written(nodes.select("id", F.col("id").alias("root")), "roots")
-    edges = written(edges.select("i", "j"), "edges")
+    """id, root: the smallest id from which each node can be reached over directed edges (itself included).
+
+    Nodes with edges both ways are contracted first. In the graph of parts each part points to the part of the smallest
+    root with an edge to it, and takes the least root on the way along pointers, which double their reach every step; then all edges offer their roots
+    again, until none is smaller. A chain is done in about as many steps as its length has bits."""
+    edges = written(edges.where("i <> j").select("i", "j").distinct(), "edges")
+    both = edges.where("i < j").join(edges.select(F.col("j").alias("i"), F.col("i").alias("j")), ["i", "j"])
+    parts = written(components(nodes.select("id"), both).select("id", F.col("root").alias("part")), "parts")
+    of = lambda c: parts.select(F.col("id").alias(c), F.col("part").alias(f"p{c}"))
+    links = written(edges.join(of("i"), "i").join(of("j"), "j").where("pi <> pj").select(F.col("pi").alias("i"), F.col("pj").alias("j")).distinct(), "links")
+    discard(edges)
+    labels = written(parts.select(F.col("part").alias("id")).distinct().withColumn("root", F.col("id")), "roots")
+    steps = max(1, labels.count().bit_length())
     while True:
-        offered = edges.join(labels.select(F.col("id").alias("i"), "root"), "i").groupBy(F.col("j").alias("id")).agg(F.min("root").alias("offer"))
-        moved = written(labels.join(offered, "id", "left").select("id", F.least("root", "offer").alias("new"), "root"), "roots")
-        if moved.where("new < root").isEmpty():
-            return labels
-        labels = moved.select("id", F.col("new").alias("root"))
+        offers = links.join(labels.select(F.col("id").alias("i"), "root"), "i").groupBy(F.col("j").alias("id")).agg(F.min(F.struct("root", "i")).alias("o"))
+        moved = written(labels.join(offers, "id", "left").select("id", F.coalesce("o.i", "id").alias("to"), F.least("root", "o.root").alias("root"), (F.col("o.root") < F.col("root")).alias("less")), "pointers")
+        if moved.where("less").isEmpty():
+            discard(links, moved)
+            return parts.join(labels.withColumnRenamed("id", "part"), "part").select("id", "root")
+        at = moved.select("id", "to", "root")
+        for _ in range(steps):
+            ahead = at.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("root").alias("_root"))
+            jumped = written(at.join(ahead, "to").select("id", F.col("_to").alias("to"), F.least("root", "_root").alias("root"), ((F.col("_to") != F.col("to")) | (F.col("_root") < F.col("root"))).alias("moved")), "pointers")
+            discard(moved)
+            moved, at = jumped, jumped.select("id", "to", "root")
+            if jumped.where("moved").isEmpty():
+                break
+        before, labels = labels, written(at.select("id", "root"), "roots")
+        discard(before, moved)
 
 
 def _numbered(roots: DataFrame) -> DataFrame:
@@ -90,16 +114,17 @@ def density_peaks(points: DataFrame, k: int, rho: str = "rho") -> DataFrame:
     linked = written(linked, "linked")
     if k <= 1:
         return linked.withColumn("cluster", F.lit(0))
-    threshold = linked.agg(F.percentile("delta", F.lit(1 - k / n))).first()[0]
+    threshold = quantiles(linked, [], "delta", {"q": 1 - k / n}).first().q
     centres = linked.where(F.col("delta") > threshold).select("id")
     up = linked.join(centres.withColumn("_c", F.lit(True)), "id", "left").select("id", F.when(F.col("_c") | F.col("higher").isNull(), F.col("id")).otherwise(F.col("higher")).alias("root"))
-    up = written(up, "pointers")
+    pointers = up = written(up, "pointers")
     while True:
         jumped = written(up.join(up.select(F.col("id").alias("root"), F.col("root").alias("next")), "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "pointers")
-        up = jumped.select("id", "root")
+        discard(pointers)
+        pointers, up = jumped, jumped.select("id", "root")
         if jumped.where("moved").isEmpty():
             break
-    numbers = centres.withColumn("cluster", (F.row_number().over(Window.orderBy("id")) - 1).cast("int")).withColumnRenamed("id", "root")
+    numbers = numbered(written(centres, "centres"), "id", out="cluster").withColumn("cluster", F.col("cluster").cast("int")).withColumnRenamed("id", "root")
     return linked.join(up, "id").join(numbers, "root", "left").select("id", "rho", "delta", "higher", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 

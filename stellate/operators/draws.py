@@ -9,9 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def uniform(seed: int, *cols: str) -> Column:
+def uniform(seed: int | Column, *cols: str) -> Column:
     """A number above 0, at most 1, from the first 40 bits of the md5 of the columns and the seed, joined by colons."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in cols], F.lit(str(seed))).cast("binary")), 1, 10), 16, 10)
+    salt = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in cols], salt).cast("binary")), 1, 10), 16, 10)
     return (bits.cast("long") + 1) / float(1 << 40)
 
 

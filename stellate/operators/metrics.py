@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import written
+
 
 def contingency(rows: DataFrame, true: str = "label_true", pred: str = "label_pred") -> DataFrame:
     return rows.groupBy(F.col(pred).alias("pred"), F.col(true).alias("true")).agg(F.count(F.lit(1)).alias("n"))
@@ -158,3 +160,29 @@ def top_k_agreement(points: DataFrame, k: int, score: str = "score", eps: float
     weights[: apart.shape[0], : apart.shape[1]] = apart.max() + 1 - apart
     hits = sum(bool(apart[a, b] <= eps) for a, b in matched(weights) if a < apart.shape[0] and b < apart.shape[1])
     return accuracy(nearest_centre(rows, top).select("label_true", F.col("centre").alias("label_pred"))).select(F.lit(hits / k).alias("hit_ratio"), "accuracy")
+
+
+def grouped_ranking(rows: DataFrame, by: list[str], z: int, positive: str = "positive", score: str = "score") -> DataFrame:
+    """by, precision, recall, f1 (of the z highest scores, ties to the higher id), auc, average_precision of each group of rows (with id).
+
+    Scores are counted first; sums run over ranges of (group, score), so neither a group nor a score that many rows share has to fit in a task."""
+    from .order import running
+
+    rows = written(rows.select(*by, "id", F.col(positive).alias("_p"), F.col(score).alias("_s")), "scored")
+    p, n = F.col("_p").cast("long"), 1 - F.col("_p").cast("long")
+    counts = rows.groupBy(*by, "_s").agg(F.sum(p).alias("p"), F.sum(n).alias("n"))
+    sums = written(running(counts, [*by, F.desc("_s")], {"tp": F.col("p"), "fp": F.col("n")}), "sums")
+    first = sums.groupBy(*by).agg(F.min("tp").alias("_tp"), F.min("fp").alias("_fp"), F.sum("p").alias("all"), F.sum("n").alias("none"))
+    sums = sums.join(first, by).withColumns({"tp": F.col("tp") - F.col("_tp"), "fp": F.col("fp") - F.col("_fp")})  # of all higher scores
+    before, size = F.col("tp") + F.col("fp"), F.col("p") + F.col("n")
+    wins = F.sum(F.col("n") * F.col("tp") + F.col("n") * F.col("p") / 2.0)
+    steps = F.sum(F.when(F.col("p") > 0, F.col("p") * (F.col("tp") + F.col("p")) / (before + size)).otherwise(0.0))
+    ranking = sums.groupBy(*by, "all", "none").agg(F.try_divide(wins, (F.col("all") * F.col("none")).cast("double")).alias("auc"), F.try_divide(steps, F.col("all").cast("double")).alias("average_precision"), F.sum(F.when(before + size <= z, F.col("p")).otherwise(0)).alias("hit"))
+    border = sums.where((before < z) & (before + size > z)).select(*by, "_s", (z - before).alias("need"))
+    tied = running(rows.join(border, [*by, "_s"]), [*by, F.desc("id")], {"at": F.lit(1)})
+    tied = written(tied, "tied")
+    start = tied.groupBy(*by).agg(F.min("at").alias("_at"))
+    more = tied.join(start, by).where(F.col("at") - F.col("_at") < F.col("need")).groupBy(*by).agg(F.sum(p).alias("more"))
+    found = ranking.join(more, by, "left").withColumn("hit", F.col("hit") + F.coalesce("more", F.lit(0)))
+    a, r = F.col("hit") / F.lit(float(z)), F.coalesce(F.try_divide(F.col("hit").cast("double"), F.col("all").cast("double")), F.lit(0.0))
+    return found.select(*by, a.alias("precision"), r.alias("recall"), F.when(a + r > 0, 2 * a * r / (a + r)).otherwise(0.0).alias("f1"), "auc", "average_precision")

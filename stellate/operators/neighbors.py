@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import written
-from .scaling import bounds
+from ..plans.storage import discard, written
 
 #: Points that a cell should hold, for a first guess at its size.
 PER_CELL = 8
@@ -56,36 +55,48 @@ def within_own(points: DataFrame, radius: str, mutual: bool = False) -> DataFram
     return out
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int, condition: str = "q.id <> c.id") -> DataFrame:
+def _sizes(candidates: DataFrame, k: int, by: str | None) -> DataFrame:
+    """The first size of cells, and the extent, of each group (one row without by)."""
+    of = {"x1": F.min("x"), "x2": F.max("x"), "y1": F.min("y"), "y2": F.max("y"), "n": F.count(F.lit(1))}
+    stats = candidates.groupBy(*([by] if by else [])).agg(*[v.alias(c) for c, v in of.items()]).where("x1 is not null")
+    wide = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    extent = F.when(wide > 0, wide).otherwise(1.0)
+    return stats.select(*([by] if by else []), extent.alias("_extent"), (extent * F.greatest(F.sqrt(PER_CELL * F.lit(float(k)) / F.col("n")), F.lit(1e-9)) / 3).alias("_size"))
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, k: int, condition: str = "q.id <> c.id", by: str | None = None) -> DataFrame:
     """i, j, d, rank (from 1): of each query its k nearest candidates that meet the condition, ties to the smaller id.
 
     Rounds of growing cells: a query is done once its k-th distance is inside the border of the cells it has seen; those
-    left (ever fewer) go on with cells four times the size, and the last round's cells hold all there is."""
-    b = bounds(candidates, ["x", "y"])
-    n = candidates.count()
-    if not n or b["x"][0] is None:
-        return queries.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d"), F.lit(0).alias("rank")).limit(0)
-    extent = max(b["x"][1] - b["x"][0], b["y"][1] - b["y"][0]) or 1.0
-    size = extent * max((PER_CELL * k / n) ** 0.5, 1e-9) / 3
-    left, out = queries, None
-    w = Window.partitionBy("i").orderBy("d", "j")
+    left (ever fewer) go on with cells four times the size, until one cell holds all there is. by: a column within whose groups
+    candidates are sought; it is a key of the join, and each group has cells of its own size."""
+    keys = [by] if by else []
+    sizes = written(_sizes(candidates, k, by), "sizes")
+    on = (lambda df: df.join(sizes, by)) if by else (lambda df: df.join(F.broadcast(sizes)))  # a row, or one for each group
+    cols = list(dict.fromkeys([*queries.columns]))
+    left, c_all, out, times = queries, on(candidates), None, 1.0
+    w = Window.partitionBy("i", *[f"_{b}" for b in keys]).orderBy("d", "j")
     while True:
-        last = size >= 2 * extent
-        fx, fy = F.col("q.x") - F.floor(F.col("q.x") / size) * size, F.col("q.y") - F.floor(F.col("q.y") / size) * size
-        inside = F.lit(size) + F.least(fx, size - fx, fy, size - fy)
-        pairs = _around(left, size).alias("q").join(_cells(candidates, size).alias("c"), ["cx", "cy"]).where(F.expr(condition))
-        found = pairs.select(F.col("q.id").alias("i"), F.col("c.id").alias("j"), distance("q", "c").alias("d"), inside.alias("inside")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        if last:
-            done = found.drop("inside")
-            return done if out is None else out.union(done)
-        found = written(found, "nearest")
-        sure = written(found.where((F.col("rank") == k) & (F.col("d") < F.col("inside"))).select("i"), "sure")
-        done = found.join(sure, "i", "left_semi").drop("inside")
+        size = F.col("_size") * times
+        q, c = _around(on(left), size).withColumn("_cell", size), _cells(c_all, size)
+        fx, fy = F.col("q.x") - F.floor(F.col("q.x") / F.col("q._cell")) * F.col("q._cell"), F.col("q.y") - F.floor(F.col("q.y") / F.col("q._cell")) * F.col("q._cell")
+        inside = F.col("q._cell") + F.least(fx, F.col("q._cell") - fx, fy, F.col("q._cell") - fy)
+        pairs = q.alias("q").join(c.drop("_size", "_extent").alias("c"), ["cx", "cy", *keys]).where(F.expr(condition))
+        found = pairs.select(F.col("q.id").alias("i"), F.col("c.id").alias("j"), distance("q", "c").alias("d"), inside.alias("inside"), (F.col("q._cell") >= 2 * F.col("q._extent")).alias("last"), *[F.col(b).alias(f"_{b}") for b in keys])
+        found = written(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "nearest")
+        ended = on(left).where(size >= 2 * F.col("_extent")).select(F.col("id").alias("i"), *[F.col(b).alias(f"_{b}") for b in keys])  # all there is has been seen
+        sure = found.where(((F.col("rank") == k) & (F.col("d") < F.col("inside"))) | F.col("last")).select("i", *[f"_{b}" for b in keys]).union(ended)
+        sure = written(sure.distinct(), "sure")
+        done = found.join(sure, ["i", *[f"_{b}" for b in keys]], "left_semi").select("i", "j", "d", "rank")
         out = done if out is None else out.union(done)
-        left = written(left.join(sure, left["id"] == sure["i"], "left_anti"), "left")
-        if left.isEmpty():
+        match = left["id"] == sure["i"]
+        for b in keys:
+            match &= left[b] == sure[f"_{b}"]
+        before, left = left, written(left.join(sure, match, "left_anti").select(*cols), "left")
+        discard(before if times > 1 else None)
+        if left.isEmpty() or sizes.isEmpty():
             return out
-        size *= 4
+        times *= 4
 
 
 def knn_graph(points: DataFrame, k: int = 20, by: str | None = None) -> DataFrame:
@@ -94,7 +105,7 @@ def knn_graph(points: DataFrame, k: int = 20, by: str | None = None) -> DataFram
     by: a column within whose groups neighbours are sought. Of points at one place only the k + 1 smallest ids can be anyone's neighbour, so larger stacks are cut to those."""
     place = Window.partitionBy("x", "y", *([by] if by else [])).orderBy("id")
     kept = points.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k + 1).drop("_n")
-    return nearest(points, kept, min(k, max(1, points.count() - 1)), f"q.id <> c.id and q.{by} = c.{by}" if by else "q.id <> c.id")
+    return nearest(points, kept, min(k, max(1, points.count() - 1)), by=by)
 
 
 def inverse_edges(knn: DataFrame, k: int) -> DataFrame:
@@ -154,10 +165,9 @@ def outer_layers(points: DataFrame, k: int) -> DataFrame:
 
 def k_farthest(points: DataFrame, ne: int, threshold: float) -> DataFrame:
     """i, j, w both ways: of each point's ne farthest points those at the threshold or beyond."""
-    outer = outer_layers(points.select(F.lit(0).cast("long").alias("g"), "id", "x", "y"), ne + 1).drop("g")
-    pairs = points.select("id", "x", "y").alias("q").join(outer.alias("c"), F.expr("q.id <> c.id")).select(F.col("q.id").alias("i"), F.col("c.id").alias("j"), distance("q", "c").alias("d"))
-    w = Window.partitionBy("i").orderBy(F.desc("d"), "j")
-    return symmetric(pairs.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= ne) & (F.col("d") >= threshold)))
+    from .cells import farthest
+
+    return symmetric(farthest(points, ne).where(F.col("d") >= threshold))
 
 
 def nearest_centre(points: DataFrame, centres: list[tuple[int, float, float]]) -> DataFrame:

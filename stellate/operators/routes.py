@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import written
+from .neighbors import nearest
+from .order import quantiles
+
 
 def route_distances(stops: DataFrame, depot: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """route, distance: the legs of each route in order, from the depot and back to it."""
@@ -38,8 +42,10 @@ def subproblem_features(stops: DataFrame, depot: tuple[float, float] = (0.0, 0.0
     centre = stops.groupBy("route").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     d = lambda x, y: F.sqrt((F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y))
     rows = stops.join(centre, "route").withColumns({"dd": d(F.lit(depot[0]), F.lit(depot[1])), "dc": d(F.col("cx"), F.col("cy"))})
-    tenths = F.array(*[F.lit(n / 10) for n in range(11)])
-    return rows.groupBy("route").agg(F.count(F.lit(1)).alias("size"), F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.stddev_pop("x").alias("std_x"), F.stddev_pop("y").alias("std_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"), F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.avg("dd").alias("depot_mean"), F.stddev_pop("dd").alias("depot_std"), F.percentile("dd", tenths).alias("depot_deciles"), F.percentile("dc", tenths).alias("centre_deciles"), F.avg("demand").alias("demand_mean"), F.stddev_pop("demand").alias("demand_std"))
+    rows = written(rows.select("route", "x", "y", "cx", "cy", "dd", "dc", "demand"), "stops")
+    deciles = lambda c, out: quantiles(rows, ["route"], c, {f"_{n}": n / 10 for n in range(11)}).select("route", F.array(*[f"_{n}" for n in range(11)]).alias(out))
+    found = rows.groupBy("route").agg(F.count(F.lit(1)).alias("size"), F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.stddev_pop("x").alias("std_x"), F.stddev_pop("y").alias("std_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"), F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.avg("dd").alias("depot_mean"), F.stddev_pop("dd").alias("depot_std"), F.avg("demand").alias("demand_mean"), F.stddev_pop("demand").alias("demand_std"))
+    return found.join(deciles("dd", "depot_deciles"), "route").join(deciles("dc", "centre_deciles"), "route")
 
 
 def city_block(a: str, b: str, cols: list[str]) -> Column:
@@ -47,8 +53,13 @@ def city_block(a: str, b: str, cols: list[str]) -> Column:
     return sum((F.abs(F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in cols), F.lit(0.0))
 
 
+def route_centroids(stops: DataFrame) -> DataFrame:
+    """id (the route), x, y, n: the mean and the number of its stops."""
+    return stops.groupBy(F.col("route").alias("id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
+
+
 def route_neighbors(stops: DataFrame, window: list[str] | None = None, window_scale: float = 0.0) -> DataFrame:
-    """route, other, rank (from 0, a route itself first): routes by the distance of their centroids. Routes, not stops, are paired.
+    """route, other, rank (from 0, a route itself first): all routes by the distance of their centroids. The rows asked for are all pairs of routes (not stops).
 
     With time windows (two columns) and a scale, the scaled city-block distance of the routes' mean windows is added."""
     window = (window or []) if window_scale > 0 else []
@@ -61,8 +72,11 @@ def route_neighbors(stops: DataFrame, window: list[str] | None = None, window_sc
 
 def route_clusters(stops: DataFrame, nodes: int = 200) -> DataFrame:
     """route, other: the nearest routes of each one, as many as hold no more than so many nodes together."""
-    w = Window.partitionBy("route").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return route_neighbors(stops).withColumn("held", F.sum("n").over(w)).where(F.col("held") <= nodes).select("route", "other", "rank")
+    c = written(route_centroids(stops), "routes")
+    # a route holds one node at least, so no more than `nodes` routes are near enough
+    near = nearest(c, c, nodes, "true").join(c.select(F.col("id").alias("j"), "n"), "j")
+    w = Window.partitionBy("i").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return near.withColumn("held", F.sum("n").over(w)).where(F.col("held") <= nodes).select(F.col("i").alias("route"), F.col("j").alias("other"), (F.col("rank") - 1).alias("rank"))
 
 
 def angular_split(stops: DataFrame, parts: int, anchor: float = 0.0, depot: tuple[float, float] = (0.0, 0.0)) -> DataFrame:

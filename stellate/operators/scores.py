@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .clusterstats import interpolated
-from .neighbors import nearest_centre, within
+from ..plans.storage import written
+from .cells import counts_within
+from .neighbors import nearest_centre
+from .order import quantiles
 from .scaling import bounds
 
 
 def density(points: DataFrame) -> DataFrame:
     """id, score: neighbours (a point itself included) within R/4, R/8 and R/16, summed, over the number of points; R is
-    half the diagonal of the square over the coordinates' common range. One range join serves the three radii."""
+    half the diagonal of the square over the coordinates' common range. Cells inside a radius are counted whole."""
     b = bounds(points, ["x", "y"])
     lo, hi = min(b["x"][0], b["y"][0]), max(b["x"][1], b["y"][1])
     full = ((hi - lo) ** 2 * 2) ** 0.5 / 2
-    near = within(points, full / 4)
-    counts = near.groupBy(F.col("i").alias("id")).agg(sum((F.sum((F.col("d") <= full / s).cast("long")) for s in (8, 16)), F.count(F.lit(1))).alias("n"))
-    return counts.select("id", (F.col("n") / points.count()).alias("score"))
+    counts = counts_within(points, [full / 4, full / 8, full / 16])
+    return counts.select("id", ((F.col("n0") + F.col("n1") + F.col("n2")) / points.count()).alias("score"))
 
 
 def projection_overlap(points: DataFrame, centres: list[tuple[int, float, float]]) -> DataFrame:
@@ -49,8 +50,10 @@ def core_points(points: DataFrame, centres: list[tuple[int, float, float]], q_co
     Clusters are the points' labels; a single centre counts as its own second, with a margin of 0."""
     eps = 1e-8
     rows = nearest_centre(points, centres).withColumn("margin", F.coalesce(F.col("d2"), F.col("d1")) - F.col("d1"))
-    positive = F.when(F.col("margin") > 0, F.col("margin"))
-    stats = rows.groupBy("label").agg((interpolated("d1", q_core) + eps).alias("core"), (F.coalesce(F.percentile(positive, F.lit(0.5)), interpolated("d1", 0.5)) + eps).alias("scale"))
+    rows = written(rows.select("id", "label", "d1", "margin"), "margins")
+    inner = quantiles(rows, ["label"], "d1", {"core": q_core, "middle": 0.5})
+    apart = quantiles(rows.where("margin > 0"), ["label"], "margin", {"margin": 0.5})
+    stats = inner.join(apart, "label", "left").select("label", (F.col("core") + eps).alias("core"), (F.coalesce("margin", "middle") + eps).alias("scale"))
     sigmoid = lambda v: 1.0 / (1.0 + F.exp(-v))
     raw = rows.join(stats, "label").select("id", (sigmoid(-alpha * (F.col("d1") / F.col("core") - 1.0)) * sigmoid(beta * F.greatest(F.col("margin"), F.lit(0.0)) / F.col("scale"))).alias("score"))
     lo, hi = bounds(raw, ["score"])["score"]

@@ -1,8 +1,8 @@
 """Encoding trees of weighted graphs, and structural entropy.
 
 Measures over a given tree (tree_nodes: graph_id, node_id, parent_id, height, vol, g; members: graph_id, node_id,
-point_id) are joins and sums. Building a tree is greedy and sequential, so it runs for one graph in one group, and graphs in
-parallel; the caller divides a large point set into blocks first (`divided_trees`) or takes a coreset."""
+point_id) are joins and sums. Building a tree is greedy and sequential, so encoding_trees() runs for one bounded graph in one group, and graphs in
+parallel; division.joined_trees() makes trees of graphs of any size from those of bounded groups."""
 
 from __future__ import annotations
 
@@ -73,21 +73,28 @@ def compress_delta(child_cut: Column, vol: Column, parent_vol: Column) -> Column
     return child_cut * F.log(parent_vol / vol)
 
 
-def build(edges: list[tuple[int, int, float]], points: list[int], depth: int) -> list[dict]:
+def build(edges: list[tuple[int, int, float]], points: list[int], depth: int, extra: dict[int, float] | None = None) -> list[dict]:
     """The tree of one graph: nodes with id, parent, height, vol, g and, of leaves, the point.
 
     Children of the root are merged in the order of combine_delta until none share an edge; then nodes give their
     children to their parents in the order of compress_delta until the tree is no deeper than depth; at last shallow leaves get
-    parents of one child. Ties go to the smaller ids, so that the tree is fixed by its graph."""
+    parents of one child. Ties go to the smaller ids, so that the tree is fixed by its graph. Where the two weights of an edge differ, the
+    cut between its ends is their mean. extra: weight that leaves for elsewhere, which counts in a node's volume and boundary."""
     n, tiny = len(points), 1e-15
     at = {p: k for k, p in enumerate(points)}
     near: dict[int, dict[int, float]] = defaultdict(dict)
     vol, g = [tiny] * n, [0.0] * n
+    halves: dict[tuple[int, int], float] = defaultdict(float)
     for i, j, w in edges:
         vol[at[i]] += w
         if i != j:
             g[at[i]] += w
-            near[at[i]][at[j]] = near[at[j]][at[i]] = w
+            halves[min(at[i], at[j]), max(at[i], at[j])] += w / 2
+    for (a, b), w in halves.items():
+        near[a][b] = near[b][a] = w
+    for p, w in (extra or {}).items():
+        vol[at[p]] += w
+        g[at[p]] += w
     total = sum(vol) or tiny
     parent: list[int | None] = [None] * n
     children: list[list[int]] = [[] for _ in range(n)]
@@ -247,19 +254,21 @@ def block_edges(edges: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFra
     return inner.unionByName(extra), both.groupBy(F.col("a").alias("i"), F.col("b").alias("j")).agg(F.sum("w").alias("w"))
 
 
-def level_entropy(tree: DataFrame, depth: int) -> DataFrame:
-    """graph_id, point_id, level (of the parent, 1 to depth), entropy of each leaf's ancestors below the root; one join a level."""
+def level_entropy(tree: DataFrame, depth: int | None = None) -> DataFrame:
+    """graph_id, point_id, level (of the parent, from 1 to depth or the root), entropy of each leaf's ancestors below the root; one join a level."""
     up = tree.select("graph_id", F.col("node_id").alias("parent_id"), F.col("vol").alias("vol_p"))
     total = tree.where("parent_id is null").select("graph_id", F.col("vol").alias("total"))
-    own = tree.join(up, ["graph_id", "parent_id"]).join(total, "graph_id").select("graph_id", "node_id", "parent_id", (-F.col("g") / F.col("total") * F.log2(F.col("vol") / F.col("vol_p"))).alias("entropy"))
+    own = written(tree.join(up, ["graph_id", "parent_id"]).join(total, "graph_id").select("graph_id", "node_id", "parent_id", (-F.col("g") / F.col("total") * F.log2(F.col("vol") / F.col("vol_p"))).alias("entropy")), "own")
     at = tree.where("point_id is not null").select("graph_id", "point_id", "node_id")
-    out = None
-    for level in range(1, depth + 1):
-        at = at.join(own, ["graph_id", "node_id"])
+    out, level = None, 0
+    while True:
+        level += 1
+        at = written(at.join(own, ["graph_id", "node_id"]), "ancestors")
         one = at.select("graph_id", "point_id", F.lit(level).alias("level"), "entropy")
         out = one if out is None else out.union(one)
+        if level == depth or at.isEmpty():
+            return out
         at = at.select("graph_id", "point_id", F.col("parent_id").alias("node_id"))
-    return out
 
 
 def graph_edges(points: DataFrame, ne: int = 5, gap: float = 0.2, by: str | None = None) -> DataFrame:
@@ -268,31 +277,27 @@ def graph_edges(points: DataFrame, ne: int = 5, gap: float = 0.2, by: str | None
     return gap_adjacency(points, ne, gap * (both.agg(F.stddev_pop("v")).first()[0] or 0.0), by)
 
 
-def structural_entropy(points: DataFrame, ne: int = 5, gap: float = 0.2, depth: int = 3, threshold: float | None = None) -> DataFrame:
-    """graph_id, id, score: the sum over levels of each point's entropy; one tree for each graph_id of points.
+def as_vectors(points: DataFrame) -> DataFrame:
+    """graph_id (0 if there is none), id, v of points (id, x, y)."""
+    graph = F.col("graph_id") if "graph_id" in points.columns else F.lit(0)
+    return points.select(graph.cast("long").alias("graph_id"), "id", F.array(F.col("x").cast("double"), F.col("y").cast("double")).alias("v"))
 
-    threshold: the gap itself, in place of gap times the deviation of all coordinates."""
-    if "graph_id" not in points.columns:
-        points = points.withColumn("graph_id", F.lit(0).cast("long"))
-    ids = points.select("graph_id", F.col("id").alias("i"))
-    adjacent = graph_edges(points, ne, gap, "graph_id") if threshold is None else gap_adjacency(points, ne, threshold, "graph_id")
-    edges = adjacent.join(ids, "i")
-    return level_entropy(encoding_trees(edges, depth), depth).groupBy("graph_id", F.col("point_id").alias("id")).agg(F.sum("entropy").alias("score"))
 
+def structural_entropy(points: DataFrame, ne: int = 5, gap: float = 0.2, depth: int = 3, threshold: float | None = None, block: int | None = None) -> DataFrame:
+    """graph_id, id, score: the sum over levels of each point's entropy; one tree for each graph_id of points, divided where it is large.
 
-def divided_trees(points: DataFrame, edges: DataFrame, block: int, depth: int = 2, seed: int = 0) -> DataFrame:
-    """tree_nodes of blocks of about `block` points (graph_id 0 and up) and of the graph of blocks (graph_id -1).
-
-    Blocks are k-means clusters; the weight between two blocks is the sum of their edges. Blocks are built in parallel, and each needs its own points and edges only."""
-    from .centres import k_means
+    threshold: the gap itself, in place of gap times the deviation of all coordinates."""
+    from .division import BLOCK, joined_trees
 
-    k = max(2, -(-points.count() // block))
-    of = written(k_means(points, ["x", "y"], k, seed)[0].select("id", F.col("cluster").cast("long").alias("block")), "blocks")
-    inner, outer = block_edges(edges, of.select(F.col("id").alias("point_id"), F.col("block").alias("part")))
-    return encoding_trees(inner.unionByName(outer.select(F.lit(-1).cast("long").alias("graph_id"), "i", "j", "w")), depth)
+    rows = as_vectors(points)
+    points = points.withColumn("graph_id", F.lit(0).cast("long")) if "graph_id" not in points.columns else points
+    adjacent = graph_edges(points, ne, gap, "graph_id") if threshold is None else gap_adjacency(points, ne, threshold, "graph_id")
+    edges = adjacent.join(points.select("graph_id", F.col("id").alias("i")), "i")
+    tree = written(joined_trees(rows, edges, depth, block or BLOCK), "tree")
+    return level_entropy(tree).groupBy("graph_id", F.col("point_id").alias("id")).agg(F.sum("entropy").alias("score"))
 
 
-def up_dimension(points: DataFrame, k: int, ne: int = 5, gap: float = 0.2, depth: int = 3) -> DataFrame:
+def up_dimension(points: DataFrame, k: int, ne: int = 5, gap: float = 0.2, depth: int = 3, block: int | None = None) -> DataFrame:
     """id, x, y, z: the points with their structural entropy as a third coordinate, all scaled to 0..1.
 
     The gap is in units of the root of the mean squared distance to the nearest of k k-means centres."""
@@ -301,7 +306,7 @@ def up_dimension(points: DataFrame, k: int, ne: int = 5, gap: float = 0.2, depth
 
     _, model = k_means(points, ["x", "y"], k)
     threshold = gap * math.sqrt(model.summary.trainingCost / max(1, points.count()))
-    score = structural_entropy(points, ne, gap, depth, threshold).select("id", F.col("score").alias("z"))
+    score = structural_entropy(points, ne, gap, depth, threshold, block).select("id", F.col("score").alias("z"))
     return min_max(written(points.join(score, "id").select("id", "x", "y", "z"), "dimension"), ["x", "y", "z"])
 
 

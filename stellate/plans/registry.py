@@ -13,20 +13,27 @@ from ..functions import generators
 from ..operators import centres as ce
 from ..operators import clusterstats as cs
 from ..operators import density_clustering as dc
+from ..operators import division as dv
 from ..operators import graph_network as gn
 from ..operators import metrics as me
 from ..operators import neighbors as nb
+from ..operators import order as od
 from ..operators import outliers as ol
 from ..operators import routes as ro
 from ..operators import sampling as sa
 from ..operators import scaling as sc
 from ..operators import scores as so
 from ..operators import search as sr
+from ..operators import spaces as sp
+from ..operators import swaps as sw
 from ..operators import trees as tr
 from ..sources import points as sources
 from ..sources import sinks
 from .sql import ORACLE  # noqa: F401
-from .storage import importable, shared_folder
+from .storage import importable, shared_folder, written
+
+#: Points from which the registered trees divide a group.
+BLOCK = 128
 
 
 def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,8 +198,7 @@ def smallest_gap(s: SparkSession, d: str) -> DataFrame:
 
 
 def distance_quantiles(s: SparkSession, d: str) -> DataFrame:
-    q = [cs.interpolated("r", v).alias(n) for n, v in (("q30", 0.3), ("q50", 0.5), ("q90", 0.9))]
-    return r6(cs.to_centre(points(s, d)).groupBy("label").agg(*q), "q30", "q50", "q90")
+    return r6(od.quantiles(cs.to_centre(points(s, d)), ["label"], "r", {"q30": 0.3, "q50": 0.5, "q90": 0.9}), "q30", "q50", "q90")
 
 
 def density_score(s: SparkSession, d: str) -> DataFrame:
@@ -287,18 +293,27 @@ def combine_deltas(s: SparkSession, d: str) -> DataFrame:
 
 def structural_entropy(s: SparkSession, d: str) -> DataFrame:
     p = points(s, d).withColumn("graph_id", F.col("label").cast("long"))
-    return r6(tr.structural_entropy(p), "score")
+    return r6(tr.structural_entropy(p, block=BLOCK), "score")
 
 
 def outlier_score(s: SparkSession, d: str) -> DataFrame:
     p = points(s, d)
     edges = tr.graph_edges(p, 5, 0.2).withColumn("graph_id", F.lit(0).cast("long"))
-    return r6(tr.outlier_scores(tr.level_entropy(tr.encoding_trees(edges, 3), 3)), "score")
+    return r6(tr.outlier_scores(tr.level_entropy(written(dv.joined_trees(tr.as_vectors(p), edges, 3, BLOCK), "tree"))), "score")
 
 
 def encoding_tree(s: SparkSession, d: str) -> DataFrame:
-    edges = _graph(points(s, d)).withColumn("graph_id", F.lit(0).cast("long"))
-    return r6(tr.encoding_trees(edges, 3), "vol", "g")
+    p = points(s, d)
+    edges = _graph(p).withColumn("graph_id", F.lit(0).cast("long"))
+    return r6(dv.joined_trees(tr.as_vectors(p), edges, 3, BLOCK), "vol", "g")
+
+
+def weighted_tree(s: SparkSession, d: str) -> DataFrame:
+    """The tree of a coreset whose edges count by their first node's weight."""
+    reps, _ = ol.coreset_vectors(vectors_64d(s, d), 100)
+    reps = written(reps, "reps")
+    edges = tr.weighted_edges(sp.gap_adjacency(reps, 5, 1.0), reps).withColumn("graph_id", F.lit(0).cast("long"))
+    return r6(dv.joined_trees(reps.select(F.lit(0).cast("long").alias("graph_id"), "id", "v"), edges, 2, 32), "vol", "g")
 
 
 def dbscan(s: SparkSession, d: str) -> DataFrame:
@@ -332,7 +347,7 @@ def coverage(s: SparkSession, d: str) -> DataFrame:
 
 
 def k_medoids(s: SparkSession, d: str) -> DataFrame:
-    found, _ = ce.k_medoids(points(s, d).withColumn("score", F.col("x")), 3, steps=1)
+    found, _ = ce.k_medoids(points(s, d).withColumn("score", F.col("x")), 3)
     return found
 
 
@@ -351,13 +366,29 @@ def swap_costs(s: SparkSession, d: str) -> DataFrame:
     return r6(ce.swap_costs(p, _centres(p, 4), (0.5, 0.5)), "cost")
 
 
+def _places(s: SparkSession, d: str) -> DataFrame:
+    """Parts as weighted places of size and price, each scaled to 0..1."""
+    o = importable(s).read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").cast("double").alias("y"))
+    return cs.duplicates(sc.min_max(o, ["x", "y"]))
+
+
+def swap_costs_pairs(s: SparkSession, d: str) -> DataFrame:
+    """The cost of giving up each pair of four centres for two new points, over weighted places."""
+    p = written(_places(s, d), "places")
+    centres = ce.first_points(p, 4)
+    new = [(0.5, 0.5), (0.25, 0.75)]
+    base, by = sw.swap_sums(sw.near_lists(p, centres, 3), [new])[0]
+    rows = [(a, b, base + by.get((a,), 0.0) + by.get((b,), 0.0) + by.get((a, b), 0.0)) for a in range(4) for b in range(a + 1, 4)]
+    return r6(s.createDataFrame(rows, "a int, b int, cost double"), "cost")
+
+
 def local_search(s: SparkSession, d: str) -> DataFrame:
-    found, cost = ce.local_search(points(s, d), 5, rounds=4)
+    found, cost = sw.local_search(points(s, d).withColumn("weight", F.lit(1)), 5)
     return s.createDataFrame([(int(c), x, y, cost) for c, x, y in found], "centre int, x double, y double, cost double")
 
 
 def multi_swap_search(s: SparkSession, d: str) -> DataFrame:
-    found, cost = ce.multi_swap_search(points(s, d), 5, rounds=2, candidates=2)
+    found, cost = sw.multi_swap_search(_places(s, d), 5)
     return s.createDataFrame([(int(c), x, y, cost) for c, x, y in found], "centre int, x double, y double, cost double")
 
 
@@ -389,7 +420,47 @@ def coreset(s: SparkSession, d: str) -> DataFrame:
 
 
 def outlier_pipeline(s: SparkSession, d: str) -> DataFrame:
-    return ol.outlier_pipeline(points(s, d), 50)
+    return ol.outlier_pipeline(vectors_64d(s, d), 50)
+
+
+def outlier_grid(s: SparkSession, d: str) -> DataFrame:
+    """Label 0 as outliers among all 64 components: a row for each cell of neighbours, depth and gap."""
+    rows = importable(s).read.parquet(f"{d}/embeddings.parquet")
+    p = sp.vectors(rows, "vec_id", "embedding").join(rows.select(F.col("vec_id").alias("id"), (F.col("label") == 0).alias("is_outlier")), "id")
+    found = ol.outlier_grid(p, 50, [4, 5], [2, 3], [0.5, 1.0], block=BLOCK)
+    return r6(found, "precision", "recall", "f1", "auc", "average_precision")
+
+
+def ranking_grid(s: SparkSession, d: str) -> DataFrame:
+    """The grid's metrics for scores in coarser and finer steps."""
+    p = points(s, d).withColumn("cell", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    rows = p.select("cell", "id", (F.col("label") == 0).alias("positive"), F.floor(F.col("x") * 5 * F.col("cell")).cast("double").alias("score"))
+    return r6(me.grouped_ranking(rows, ["cell"], 50), "precision", "recall", "f1", "auc", "average_precision")
+
+
+def vectors_64d(s: SparkSession, d: str) -> DataFrame:
+    """id, v of all valid embeddings, all components."""
+    return sp.vectors(importable(s).read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding")
+
+
+def knn_64d(s: SparkSession, d: str) -> DataFrame:
+    return r6(sp.knn_graph(vectors_64d(s, d), 5), "d").select("i", "rank", "j", "d")
+
+
+def range_counts_64d(s: SparkSession, d: str) -> DataFrame:
+    return sp.within(vectors_64d(s, d), 1.25).groupBy(F.col("i").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def nearest_centre_64d(s: SparkSession, d: str) -> DataFrame:
+    """The nearest of the first ten vectors."""
+    v = vectors_64d(s, d)
+    centres = [(n, list(r.v)) for n, r in enumerate(v.orderBy("id").limit(10).collect())]
+    return r6(sp.nearest_centre(v, centres), "d1", "d2").select("id", "centre", "d1", "d2")
+
+
+def coreset_64d(s: SparkSession, d: str) -> DataFrame:
+    reps, _ = ol.coreset_vectors(vectors_64d(s, d), 50)
+    return reps.select("id", "round", "weight")
 
 
 def noisy_points(s: SparkSession, d: str) -> DataFrame:
@@ -470,12 +541,14 @@ def d2_seeding(s: SparkSession, d: str) -> DataFrame:
 
 
 def divided_trees(s: SparkSession, d: str) -> DataFrame:
-    p = points(s, d)
-    return tr.divided_trees(p, _graph(p), 100)
+    """Entropy of each label's tree, divided into groups of fewer than 16 points."""
+    p = points(s, d).withColumn("graph_id", F.col("label").cast("long"))
+    edges = nb.gap_adjacency(p, 5, 0.05, "graph_id").join(p.select(F.col("id").alias("i"), "graph_id"), "i")
+    return r6(tr.tree_entropy(written(dv.joined_trees(tr.as_vectors(p), edges, 2, 16), "tree")), "entropy")
 
 
 def up_dimension(s: SparkSession, d: str) -> DataFrame:
-    return r6(tr.up_dimension(points(s, d), 10), "x", "y", "z")
+    return r6(tr.up_dimension(points(s, d), 10, block=BLOCK), "x", "y", "z")
 
 
 def generated_points(s: SparkSession, d: str) -> DataFrame:
@@ -605,5 +678,5 @@ QUERIES = {f.__name__: f for f in (
     variable_eps_dbscan, density_peaks, k_center_greedy, top_score_farthest, coverage, k_medoids, lloyd, k_means_cost, swap_costs, local_search, multi_swap_search, regularised_k_means, feature_grid,
     best_features, coreset, outlier_pipeline, noisy_points, route_distances, route_features, subproblem_features, route_neighbors, route_clusters, angular_split, capacity_split, packed_routes,
     cyclic_neighbors, rotated_stops, edge_rank, batch_ids, swap_tuples, weighted_sample, poisson_sample, d2_seeding, divided_trees, up_dimension, generated_points, generated_instances, graph_network,
-    city_block_routes, node_features, padded_routes, beam_top, search_replay, action_labels, trial_comparison, renumbered_tree, level_order, weighted_graph, block_graph, top_k_agreement, generated_tours, problem_files,
+    city_block_routes, node_features, padded_routes, weighted_tree, swap_costs_pairs, outlier_grid, ranking_grid, knn_64d, range_counts_64d, nearest_centre_64d, coreset_64d, beam_top, search_replay, action_labels, trial_comparison, renumbered_tree, level_order, weighted_graph, block_graph, top_k_agreement, generated_tours, problem_files,
 )}

@@ -58,6 +58,32 @@ def _draw(cols: str, seed: int) -> str:
 
 _SPLIT = "f(route, seq, n, part, held) AS (SELECT route, seq, n, 0, demand FROM o WHERE n = 1 UNION ALL SELECT o.route, o.seq, o.n, CASE WHEN f.held + o.demand > 12 THEN f.part + 1 ELSE f.part END, CASE WHEN f.held + o.demand > 12 THEN o.demand ELSE f.held + o.demand END FROM f JOIN o ON o.route = f.route AND o.n = f.n + 1)"
 
+_V = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
+_DV = "d AS (SELECT a.id AS i, c.id AS j, sqrt(list_sum(list_transform(list_zip(a.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d FROM v a, v c)"
+_PLACES = "pr AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y FROM part), pb AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM pr), pl AS (SELECT min(id) AS id, (x - x0) / (x1 - x0) AS x, (y - y0) / (y1 - y0) AS y, count(*) AS w FROM pr, pb GROUP BY x, y, x0, x1, y0, y1)"
+
+
+def _coreset(rounds: int, z: int) -> str:
+    """Rounds of the summary; those after the last that is due have no rows."""
+    out, last = [_V, _DV, "l0 AS (SELECT id FROM v)"], rounds - 1
+    for n in range(rounds):
+        out += [f"n{n} AS (SELECT count(*) AS n FROM l{n})", f"s{n} AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY {_draw('id', n)}, id) AS k FROM l{n}), n{n} WHERE n > {z} AND k <= greatest(1, floor(ln(n))))",
+                f"a{n} AS (SELECT i AS id, j AS rep, d FROM (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM d WHERE i IN (SELECT id FROM l{n}) AND j IN (SELECT id FROM s{n})) WHERE k = 1)",
+                f"r{n} AS (SELECT d AS r FROM (SELECT d, row_number() OVER (ORDER BY d) - 1 AS k FROM a{n}), n{n} WHERE k = CAST(ceil((n - 1) * 0.4) AS BIGINT))", f"c{n} AS (SELECT id, rep FROM a{n}, r{n} WHERE d <= r + 1e-12)",
+                f"l{n + 1} AS (SELECT id FROM l{n} WHERE id NOT IN (SELECT id FROM c{n}))"]
+    rows = [f"SELECT rep AS id, {n} AS round, count(*) AS weight FROM c{n} GROUP BY rep" for n in range(rounds)]
+    turn = " + ".join(f"(SELECT CAST(n > {z} AS INTEGER) FROM n{n})" for n in range(rounds))
+    return _q(*out, " UNION ALL ".join([*rows, f"SELECT id, CAST({turn} AS INTEGER) AS round, 1 AS weight FROM l{last + 1}"]))
+
+
+def _medoids(steps: int) -> str:
+    near = lambda n: f"(SELECT * FROM (SELECT p.id, p.x, p.y, c, row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.x - k.x) * (p.x - k.x) + (p.y - k.y) * (p.y - k.y)), c) AS n FROM p, c{n} k) WHERE n = 1)"
+    out = ["c0 AS (SELECT row_number() OVER (ORDER BY x DESC, id DESC) - 1 AS c, x, y FROM (SELECT * FROM p ORDER BY p.x DESC, id DESC LIMIT 3))"]
+    for n in range(steps):
+        out += [f"a{n} AS {near(n)}", f"s{n} AS (SELECT a.c, a.id, a.x, a.y, sum(sqrt((a.x - o.x) * (a.x - o.x) + (a.y - o.y) * (a.y - o.y))) AS s FROM a{n} a JOIN a{n} o ON o.c = a.c GROUP BY ALL)",
+                f"c{n + 1} AS (SELECT c, x, y FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(s, 9), id) AS n FROM s{n}) WHERE n = 1)"]
+    return _p(*out, f"SELECT id, CAST(c AS INTEGER) AS cluster FROM {near(steps)}")
+
 
 def _greedy(rows: str, k: int, body: str) -> str:
     """Farthest-first: g holds each row's distance to the chosen ones; of step n the farthest row is centre n + 1."""
@@ -136,9 +162,16 @@ ORACLE: dict[str, str] = {
     "k_center_greedy": _greedy("SELECT id, x, y FROM p", 5, "SELECT CAST(s AS INTEGER) AS step, id, (SELECT round(max(d), 6) FROM g WHERE step = 4) AS radius FROM (SELECT 0 AS s, min(id) AS id FROM t UNION ALL SELECT step + 1, arg_max(id, (d, -id)) FROM g WHERE step < 4 GROUP BY step)"),
     "top_score_farthest": _greedy("SELECT id, x, y FROM p ORDER BY p.x DESC, id DESC LIMIT 15", 5, "SELECT CAST(s AS INTEGER) AS step, id FROM (SELECT 0 AS s, min(id) AS id FROM t UNION ALL SELECT step + 1, arg_max(id, (d, -id)) FROM g WHERE step < 4 GROUP BY step)"),
     "coverage": _q(*_BASE, "g(step, id, x, y, r, cluster) AS (SELECT 0, id, x, y, 0.1 + x / 10, -1 FROM p UNION ALL SELECT step + 1, id, x, y, r, CASE WHEN cluster = -1 AND free AND (x - fx) * (x - fx) + (y - fy) * (y - fy) <= fr * fr THEN step ELSE cluster END FROM (SELECT *, first_value(x) OVER o AS fx, first_value(y) OVER o AS fy, first_value(r) OVER o AS fr, first_value(cluster) OVER o = -1 AS free FROM g WHERE step < 4 WINDOW o AS (ORDER BY CASE WHEN cluster = -1 THEN 0 ELSE 1 END, r DESC, id)))", "SELECT id, cluster FROM g WHERE step = 4", recursive=True),
-    "k_medoids": _p("c0 AS (SELECT row_number() OVER (ORDER BY x DESC, id DESC) - 1 AS c, x, y FROM (SELECT * FROM p ORDER BY p.x DESC, id DESC LIMIT 3))", "a0 AS (SELECT * FROM (SELECT p.id, p.x, p.y, c, row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.x - k.x) * (p.x - k.x) + (p.y - k.y) * (p.y - k.y)), c) AS n FROM p, c0 k) WHERE n = 1)",
-        "s AS (SELECT a.c, a.id, a.x, a.y, sum(sqrt((a.x - o.x) * (a.x - o.x) + (a.y - o.y) * (a.y - o.y))) AS s FROM a0 a JOIN a0 o ON o.c = a.c GROUP BY ALL)", "c1 AS (SELECT c, x, y FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(s, 9), id) AS n FROM s) WHERE n = 1)",
-        "SELECT id, CAST(c AS INTEGER) AS cluster FROM (SELECT p.id, c, row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.x - k.x) * (p.x - k.x) + (p.y - k.y) * (p.y - k.y)), c) AS n FROM p, c1 k) WHERE n = 1"),
+    "k_medoids": _medoids(10),
+    "knn_64d": _q(_V, _DV, "SELECT i, j, round(d, 6) AS d, CAST(rank AS INTEGER) AS rank FROM (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM d WHERE i <> j) WHERE rank <= 5"),
+    "range_counts_64d": _q(_V, _DV, "SELECT i AS id, count(*) AS n FROM d WHERE d <= 1.25 GROUP BY i"),
+    "nearest_centre_64d": _q(_V, _DV, "t AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS c FROM (SELECT id FROM v ORDER BY id LIMIT 10))", "o AS (SELECT i AS id, c, d, row_number() OVER (PARTITION BY i ORDER BY d, c) AS n FROM d JOIN t ON t.id = d.j)", "SELECT a.id, a.c AS centre, round(a.d, 6) AS d1, round(b.d, 6) AS d2 FROM o a JOIN o b ON b.id = a.id AND b.n = 2 WHERE a.n = 1"),
+    "coreset_64d": _coreset(12, 50),
+    "swap_costs_pairs": _q(_PLACES, "t AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS c, x, y FROM (SELECT * FROM pl ORDER BY id LIMIT 4))", "n AS (SELECT a.c AS a, b.c AS b, t.x, t.y FROM t a JOIN t b ON b.c > a.c JOIN t ON t.c <> a.c AND t.c <> b.c UNION ALL SELECT a.c, b.c, m.x, m.y FROM t a JOIN t b ON b.c > a.c, (VALUES (0.5, 0.5), (0.25, 0.75)) m(x, y))",
+        "SELECT a, b, round(sum(w * m), 6) AS cost FROM (SELECT n.a, n.b, pl.id, pl.w, min((pl.x - n.x) * (pl.x - n.x) + (pl.y - n.y) * (pl.y - n.y)) AS m FROM pl, n GROUP BY n.a, n.b, pl.id, pl.w) GROUP BY a, b"),
+    "ranking_grid": _p("s AS (SELECT c AS cell, id, label = 0 AS pos, floor(x * 5 * c) AS score FROM p, (VALUES (1), (2), (3), (4)) g(c))", "o AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY score DESC, id DESC) AS k FROM s)", "a AS (SELECT cell, sum(CASE WHEN pos AND k <= 50 THEN 1 ELSE 0 END) AS hit, sum(CASE WHEN pos THEN 1 ELSE 0 END) AS np, sum(CASE WHEN pos THEN 0 ELSE 1 END) AS nn FROM o GROUP BY cell)",
+        "g AS (SELECT cell, score, sum(CASE WHEN pos THEN 1 ELSE 0 END) AS p, count(*) AS n FROM s GROUP BY cell, score)", "h AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM g WINDOW w AS (PARTITION BY cell ORDER BY score DESC ROWS UNBOUNDED PRECEDING))", "ap AS (SELECT cell, sum(p * tp / seen) AS ap FROM h GROUP BY cell)", "u AS (SELECT a.cell, sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS wins FROM s a JOIN s b ON a.cell = b.cell AND a.pos AND NOT b.pos GROUP BY a.cell)",
+        "SELECT CAST(a.cell AS INTEGER) AS cell, round(hit / 50.0, 6) AS precision, round(hit / np, 6) AS recall, round(CASE WHEN hit > 0 THEN 2 * (hit / 50.0) * (hit / np) / (hit / 50.0 + hit / np) ELSE 0 END, 6) AS f1, round(wins / (np * nn), 6) AS auc, round(ap / np, 6) AS average_precision FROM a JOIN ap ON ap.cell = a.cell JOIN u ON u.cell = a.cell"),
     "lloyd": _p(*_lloyd(2), "SELECT c AS centre, round(x, 6) AS x, round(y, 6) AS y FROM c2"),
     "k_means_cost": _p(*_near(10), "SELECT round(sum(dc * dc), 6) AS cost FROM near WHERE n = 1"),
     "swap_costs": _p(*_near(4), "SELECT o.centre AS out, round(sum(least(CASE WHEN a.centre = o.centre THEN s.dc * s.dc ELSE a.dc * a.dc END, (a.x - 0.5) * (a.x - 0.5) + (a.y - 0.5) * (a.y - 0.5))), 6) AS cost FROM near a JOIN near s ON s.id = a.id AND s.n = 2, ten o WHERE a.n = 1 GROUP BY o.centre"),
