@@ -388,7 +388,7 @@ def local_search(s: SparkSession, d: str) -> DataFrame:
 
 
 def multi_swap_search(s: SparkSession, d: str) -> DataFrame:
-    found, cost = sw.multi_swap_search(_places(s, d), 5)
+    found, cost = sw.multi_swap_search(cs.duplicates(points(s, d)), 5)
     return s.createDataFrame([(int(c), x, y, cost) for c, x, y in found], "centre int, x double, y double, cost double")
 
 
