@@ -19,14 +19,16 @@ def beam(candidates: DataFrame, width: int, cost: str = "cost", by: str | None =
 def replay(transitions: DataFrame, depth: int) -> DataFrame:
     """problem, parent, action, depth of the problems that transitions (problem, action, next) reach from problem 0 in so many steps.
 
-    One join a step; each step's problems are written, so plans stay short. A problem is reached once."""
+    One join a step; each step's problems are written, so plans stay short. A problem is reached once, by the fewest steps and then from the
+    smallest parent and action; logs with several ways to a problem, or with cycles, end like others."""
     spark = transitions.sparkSession
     moves = written(transitions.select(F.col("problem").cast("long").alias("parent"), F.col("action").cast("long").alias("action"), F.col("next").cast("long").alias("problem")), "moves")
     last = spark.range(1).select(F.col("id").alias("problem"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("action"), F.lit(0).alias("depth"))
     out = last
     for n in range(1, depth + 1):
         step = moves.join(last.select(F.col("problem").alias("parent")), "parent").select("problem", "parent", "action", F.lit(n).alias("depth"))
-        last = written(step, "reached")
+        first = step.groupBy("problem").agg(F.min(F.struct("parent", "action")).alias("m")).select("problem", "m.parent", "m.action", F.lit(n).alias("depth"))
+        last = written(first.join(out.select("problem"), "problem", "left_anti"), "reached")
         if last.isEmpty():
             discard(last)
             break

@@ -318,3 +318,11 @@ def test_no_percentile_buffers():
 
     assert not [p for p in pathlib.Path(order.__file__).parent.glob("*.py") if "F.percentile" in p.read_text()]
     assert routes.quantiles is order.quantiles
+
+
+def test_replay_of_logs_with_cycles_and_several_ways(spark):
+    from stellate.operators import search
+
+    moves = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 0, 3), (2, 0, 3), (3, 5, 0), (3, 6, 4), (0, 2, 1), (3, 7, 3)], "problem long, action long, next long")
+    got = sorted((r.problem, r.parent, r.action, r.depth) for r in search.replay(moves, 50).fillna(-1).collect())
+    assert got == [(0, -1, -1, 0), (1, 0, 0, 1), (2, 0, 1, 1), (3, 1, 0, 2), (4, 3, 6, 3)]
