@@ -210,3 +210,11 @@ def test_collocations_edges(spark):
     big = spark.createDataFrame([("en", "one two " * 100_000)], "lang string, text string")
     got = collocations.collocations(big, max_n=2, least=5).collect()
     assert [(x.phrase, x.a, x.l, x.r, x.score) for x in got] == [("one two", 100_000, 100_000, 100_000, 1_000_000), ("two one", 99_999, 100_000, 100_000, 999_990)]
+
+
+def test_every_licence_template_is_found(spark):
+    from stellate.llm import licenses
+
+    rows = [(n, f"some words before\n\n{text.upper()}\n\nand after") for n, (_, text) in enumerate(licenses.TEMPLATES)]
+    got = {(r.doc_id, r.license): r.dice for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[n, name] == 1.0 for n, (name, _) in enumerate(licenses.TEMPLATES))
