@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import fields
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +39,32 @@ def read_shards(spark: SparkSession, path: str, pattern: str = "*_part_*.parquet
 
 
 def read_bvecs(spark: SparkSession, path: str) -> DataFrame:
-    """file, row, v of vectors of bytes, each behind its length as four bytes."""
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                raw = np.frombuffer(content, np.uint8)
-                if len(raw) < 4:
-                    continue
-                dim = int(raw[:4].view("<i4")[0])
-                rows = raw[: len(raw) // (dim + 4) * (dim + 4)].reshape(-1, dim + 4)[:, 4:]
-                yield pd.DataFrame({"file": name, "row": np.arange(len(rows)), "v": list(rows.astype(np.int32))})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "file string, row long, v array<int>")
+    """file, row, v of vectors of bytes, each behind its length as four bytes; all vectors of a file have the length of its first.
+
+    Files are read as records of a fixed length, in as many splits as Spark's file size for a partition asks for, so a file may be of any size. The
+    driver looks at the first four bytes of each file only; an empty file has no rows, and one that ends within a record is an error."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f for top in (fs.globStatus(at) or []) for f in (fs.listStatus(top.getPath()) if top.isDirectory() else [top]) if f.isFile()]
+    files = [f for f in found if not f.getPath().getName().startswith(("_", "."))]
+    size = jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    out = spark.createDataFrame([], "file string, row long, v array<int>")
+    for f in files:
+        if f.getLen() < 4:
+            continue
+        stream = fs.open(f.getPath())
+        try:
+            dim = int.from_bytes(bytes(stream.read() for _ in range(4)), "little")
+        finally:
+            stream.close()
+        if f.getLen() % (dim + 4):
+            raise ValueError(f"{f.getPath()}: {f.getLen()} bytes are no whole number of records of {dim + 4}")
+        name = f.getPath().toString()
+        conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(dim + 4), "mapreduce.input.fileinputformat.split.maxsize": str(max(size, dim + 4))}
+        records = spark.sparkContext.newAPIHadoopFile(name, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+        out = out.unionByName(records.map(lambda r, name=name: (name, int(r[0]), list(r[1][4:]))).toDF("file string, row long, v array<int>"))
+    return out
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:

@@ -20,6 +20,25 @@ def test_vectors_of_bytes(spark, tmp_path):
     assert [r.v for r in points.read_bvecs(spark, str(tmp_path / "x.bvecs")).orderBy("row").collect()] == [[1, 2, 3], [255, 0, 7]]
 
 
+def test_vectors_of_bytes_in_splits(spark, tmp_path):
+    import pytest
+
+    rows = [[(n * 7 + k) % 256 for k in range(8)] for n in range(500)]
+    (tmp_path / "a.bvecs").write_bytes(b"".join(struct.pack("<i8B", 8, *v) for v in rows))
+    (tmp_path / "empty.bvecs").write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = points.read_bvecs(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() >= 5
+        assert [(r.row, r.v) for r in got.orderBy("row").collect()] == list(enumerate(rows))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "cut.bvecs").write_bytes(struct.pack("<i3B", 4, 1, 2, 3))
+    with pytest.raises(ValueError):
+        points.read_bvecs(spark, str(tmp_path / "cut.bvecs"))
+
+
 def test_problem_round_trip(spark, tmp_path):
     stops = "array(named_struct('node', 0, 'x', 0.5D, 'y', 0.5D, 'demand', 0), named_struct('node', 1, 'x', 0.25D, 'y', 0.75D, 'demand', 3))"
     sinks.write_problems(spark.sql(f"SELECT 'p' AS name, 20 AS capacity, {stops} AS stops"), str(tmp_path / "out"))
