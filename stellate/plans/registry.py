@@ -400,7 +400,7 @@ def regularised_k_means(s: SparkSession, d: str) -> DataFrame:
 def feature_grid(s: SparkSession, d: str) -> DataFrame:
     """Accuracy and mutual information of k-means over feature sets with and without the density score."""
     p = points(s, d)
-    rows = sc.min_max(p.join(so.density(p), "id"), ["score"]).withColumns({"twice": F.col("score") * 2, "logged": sc.guarded_log(F.col("score"))})
+    rows = sc.min_max(p.join(written(so.density(p), "density"), "id"), ["score"]).withColumns({"twice": F.col("score") * 2, "logged": sc.guarded_log(F.col("score"))})
     rows = sc.quantise(sc.min_max(rows, ["logged"]), "score", 0.0, 1.0)
     out = None
     for name, cols in (("score", ["score"]), ("data", ["x", "y"]), ("data+score", ["x", "y", "score"]), ("data+twice", ["x", "y", "twice"]), ("data+log", ["x", "y", "logged"]), ("data+level", ["x", "y", "level"])):
