@@ -609,6 +609,37 @@ def search_replay(s: SparkSession, d: str) -> DataFrame:
     return sr.replay(moves, 4).fillna(-1, ["parent", "action"])
 
 
+def _search_log(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Moves, actions, results and first routes: order n + 1 came from order n // 3, with one of eleven results; results are cluster nodes in a
+    scattered order, eight a route, and the first routes are points by id % 30."""
+    o = _orders(s, d).where("o_orderkey > 0")
+    moves = o.select(F.floor(F.col("o_orderkey") / 3).alias("problem"), (F.col("o_orderkey") * 7 % 20).alias("action"), F.col("o_orderkey").alias("next"), (F.col("o_orderkey") % 11).alias("result"))
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(210)), lambda k: (k * (F.col("result") + 3) % 211).cast("int"))
+    routes = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(26)), lambda b: F.concat(F.slice(F.col("numbers"), b * 8 + 1, F.lit(8)), F.array(F.lit(0)))))
+    results = moves.groupBy("result").agg(F.max("next").cast("double").alias("distance")).withColumn("numbers", numbers).select("result", "distance", routes.alias("nodes"))
+    stops = points(s, d).select((F.col("id") % 30).alias("route"), F.col("id").alias("seq"), F.col("id").alias("node"), "x", "y")
+    return moves.select("problem", "action", "next"), moves.select(F.col("next").alias("seq"), "problem", "action", "result"), results, stops
+
+
+def replayed_routes(s: SparkSession, d: str) -> DataFrame:
+    """Routes of all problems within three steps of a log."""
+    return sr.replay_routes(*_search_log(s, d), 3).select("problem", "depth", "route", "seq", "node", "visits")
+
+
+def replayed_labels(s: SparkSession, d: str) -> DataFrame:
+    """Labels of the logged actions of problems within two steps."""
+    moves, actions, results, stops = _search_log(s, d)
+    state = sr.replay_routes(moves, actions, results, stops, 2)
+    return r6(sr.replay_labels(state, actions, results), "label").select("problem", "action", "result", "label", "is_first")
+
+
+def sampled_clusters(s: SparkSession, d: str) -> DataFrame:
+    """Routes drawn near each route, the nearer the likelier."""
+    state = _search_log(s, d)[3].withColumn("problem", F.lit(0).cast("long"))
+    picks = state.select("problem", F.col("route").alias("action"))
+    return sr.clusters(sr.route_stats(state), picks, temperature=0.1, seed=1).select("action", "route", "rank")
+
+
 def action_labels(s: SparkSession, d: str) -> DataFrame:
     """Orders as logged actions: problem by customer, action by order, a result for each clerk."""
     o = _orders(s, d).select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 50).alias("problem"), (F.col("o_orderkey") % 7).alias("action"), (F.col("o_orderkey") % 11).alias("result"), F.col("o_totalprice").cast("double").alias("price"))
@@ -678,5 +709,5 @@ QUERIES = {f.__name__: f for f in (
     variable_eps_dbscan, density_peaks, k_center_greedy, top_score_farthest, coverage, k_medoids, lloyd, k_means_cost, swap_costs, local_search, multi_swap_search, regularised_k_means, feature_grid,
     best_features, coreset, outlier_pipeline, noisy_points, route_distances, route_features, subproblem_features, route_neighbors, route_clusters, angular_split, capacity_split, packed_routes,
     cyclic_neighbors, rotated_stops, edge_rank, batch_ids, swap_tuples, weighted_sample, poisson_sample, d2_seeding, divided_trees, up_dimension, generated_points, generated_instances, graph_network,
-    city_block_routes, node_features, padded_routes, weighted_tree, swap_costs_pairs, outlier_grid, ranking_grid, knn_64d, range_counts_64d, nearest_centre_64d, coreset_64d, beam_top, search_replay, action_labels, trial_comparison, renumbered_tree, level_order, weighted_graph, block_graph, top_k_agreement, generated_tours, problem_files,
+    city_block_routes, node_features, padded_routes, weighted_tree, swap_costs_pairs, outlier_grid, ranking_grid, knn_64d, range_counts_64d, nearest_centre_64d, coreset_64d, beam_top, search_replay, replayed_routes, replayed_labels, sampled_clusters, action_labels, trial_comparison, renumbered_tree, level_order, weighted_graph, block_graph, top_k_agreement, generated_tours, problem_files,
 )}

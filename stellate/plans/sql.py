@@ -99,6 +99,30 @@ def _lloyd(steps: int) -> tuple[str, ...]:
     return tuple(out)
 
 
+_LOG = "mv AS (SELECT o_orderkey AS problem, o_orderkey // 3 AS parent, o_orderkey * 7 % 20 AS action, o_orderkey % 11 AS result FROM orders WHERE o_orderkey > 0)"
+_FIRST = "s0 AS (SELECT CAST(0 AS BIGINT) AS problem, 0 AS depth, id % 30 AS route, id AS seq, id AS node, x, y, 0 AS visits FROM p)"
+
+
+def _picked(name: str, state: str, picks: str, key: str = "sqrt((c.cx - o.cx) * (c.cx - o.cx) + (c.cy - o.cy) * (c.cy - o.cy))") -> tuple[str, str]:
+    """CTEs of the routes of a state near each of its picks (problem, action): 15 at most, with 200 nodes at most."""
+    return (f"{name}c AS (SELECT problem, route, avg(x) AS cx, avg(y) AS cy, count(*) AS n FROM {state} GROUP BY problem, route)",
+            f"{name} AS (SELECT problem, action, route, k FROM (SELECT *, sum(n) OVER (PARTITION BY problem, action ORDER BY k) AS held FROM (SELECT c.problem, q.action, c.route, c.n, row_number() OVER (PARTITION BY c.problem, q.action ORDER BY {key}, c.route) AS k "
+            f"FROM ({picks}) q JOIN {name}c o ON o.problem = q.problem AND o.route = q.action JOIN {name}c c ON c.problem = q.problem) WHERE k <= 15) WHERE held <= 200)")
+
+
+def _replayed(depth: int) -> tuple[str, ...]:
+    """States s0 to s(depth) of the log, in which no problem is reached twice."""
+    out = [_LOG, _FIRST, "nr AS (SELECT r AS result, (k - 1) // 8 AS part, k + (k - 1) // 8 - 1 AS pos, k * (r + 3) % 211 AS number FROM range(1, 211) g(k), (SELECT DISTINCT result AS r FROM mv))"]
+    for n in range(1, depth + 1):
+        b = n - 1
+        out += [*_picked(f"u{n}", f"s{b}", f"SELECT DISTINCT parent AS problem, action FROM mv WHERE parent IN (SELECT problem FROM s{b})"),
+                f"h{n} AS (SELECT m.problem, m.result, s.route, s.seq, s.node, s.x, s.y, s.visits, u.route IS NOT NULL AS gone FROM mv m JOIN u{n}c e ON e.problem = m.parent AND e.route = m.action JOIN s{b} s ON s.problem = m.parent LEFT JOIN u{n} u ON u.problem = m.parent AND u.action = m.action AND u.route = s.route)",
+                f"l{n} AS (SELECT *, row_number() OVER (PARTITION BY problem ORDER BY node) AS number FROM h{n} WHERE gone)",
+                f"a{n} AS (SELECT problem, 0 AS side, route, seq, node, x, y, visits FROM h{n} WHERE NOT gone UNION ALL SELECT l.problem, 1, nr.part, nr.pos, l.node, l.x, l.y, l.visits + 1 FROM l{n} l JOIN nr ON nr.result = l.result AND nr.number = l.number)",
+                f"s{n} AS (SELECT problem, {n} AS depth, dense_rank() OVER (PARTITION BY problem ORDER BY side, route) - 1 AS route, seq, node, x, y, visits FROM a{n})"]
+    return tuple(out)
+
+
 _R6 = lambda *cs: ", ".join(f"round({c}, 6) AS {c}" for c in cs)
 
 ORACLE: dict[str, str] = {
@@ -196,6 +220,12 @@ ORACLE: dict[str, str] = {
     "padded_routes": _p(_STOPS, "o AS (SELECT route, seq, demand, row_number() OVER (PARTITION BY route ORDER BY seq) AS n FROM s)", _SPLIT, "g AS (SELECT route AS problem, part, list(seq ORDER BY seq) AS v FROM f GROUP BY route, part), m AS (SELECT max(len(v)) AS most FROM g) SELECT problem, CAST(part AS INTEGER) AS route, array_to_string(list_resize(v, most, 0), ',') AS nodes FROM g, m", recursive=True),
     "beam_top": _p("SELECT id, round(x, 6) AS cost FROM (SELECT * FROM p ORDER BY p.x, id LIMIT 3)"),
     "search_replay": "WITH RECURSIVE m AS (SELECT CAST(floor(o_orderkey / 3) AS BIGINT) AS p, CAST(o_orderkey % 3 AS BIGINT) AS a, CAST(o_orderkey AS BIGINT) AS n FROM orders WHERE o_orderkey > 0), t(problem, parent, action, depth) AS (SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), 0 UNION ALL SELECT n, p, a, depth + 1 FROM t JOIN m ON m.p = t.problem WHERE depth < 4) SELECT * FROM t",
+    "replayed_routes": _p(*_replayed(3), " UNION ALL ".join(f"SELECT problem, depth, CAST(route AS BIGINT) AS route, seq, node, visits FROM s{n}" for n in range(4))),
+    "replayed_labels": _p(*_replayed(2), "st AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2)", *_picked("z", "st", "SELECT DISTINCT parent AS problem, action FROM mv"),
+        "lg AS (SELECT problem, route, sum(sqrt((x - px) * (x - px) + (y - py) * (y - py)) + CASE WHEN last THEN sqrt(x * x + y * y) ELSE 0 END) AS d FROM (SELECT *, lag(x, 1, 0.0) OVER w AS px, lag(y, 1, 0.0) OVER w AS py, lead(seq) OVER w IS NULL AS last FROM st WINDOW w AS (PARTITION BY problem, route ORDER BY seq)) GROUP BY problem, route)",
+        "be AS (SELECT z.problem, z.action, sum(d) AS d FROM z JOIN lg ON lg.problem = z.problem AND lg.route = z.route GROUP BY z.problem, z.action)", "af AS (SELECT result, CAST(max(problem) AS DOUBLE) AS d FROM mv GROUP BY result)",
+        "SELECT mv.parent AS problem, mv.action, mv.result, round(af.d - be.d, 6) AS label, mv.action = min(mv.action) OVER (PARTITION BY mv.parent, mv.result) AS is_first FROM mv JOIN be ON be.problem = mv.parent AND be.action = mv.action JOIN af ON af.result = mv.result"),
+    "sampled_clusters": _p(_FIRST, *_picked("z", "s0", "SELECT DISTINCT problem, route AS action FROM s0", f"sqrt((c.cx - o.cx) * (c.cx - o.cx) + (c.cy - o.cy) * (c.cy - o.cy)) / 0.1 + ln(greatest(-ln({_draw('c.problem, q.action, c.route', 1)}), 1e-300))"), "SELECT action, route, CAST(k AS INTEGER) AS rank FROM z"),
     "action_labels": "WITH o AS (SELECT o_orderkey AS seq, o_custkey % 50 AS problem, o_orderkey % 7 AS action, o_orderkey % 11 AS result, CAST(o_totalprice AS DOUBLE) AS price FROM orders), r AS (SELECT result, min(price) AS f FROM o GROUP BY result), b AS (SELECT problem, action, max(price) AS g, arg_max(result, seq) AS result FROM o GROUP BY problem, action) SELECT problem, action, result, round(f - g, 6) AS label, action = min(action) OVER (PARTITION BY problem, result) AS is_first FROM b JOIN r USING (result)",
     "trial_comparison": "WITH o AS (SELECT o_orderkey % 120 + 1 AS trial, CAST(o_totalprice AS DOUBLE) AS v FROM orders), a AS (SELECT trial, avg(v) AS objective, sum(CAST(trial AS DOUBLE)) AS seconds FROM o GROUP BY trial), c AS (SELECT trial AS other_trial, avg(v * 0.5) AS other_objective, sum(trial * 2.0) + 5 AS other_seconds FROM o WHERE trial <= 60 GROUP BY trial), k AS (SELECT * FROM a WHERE trial IN (1, 10, 100)), z AS (SELECT max(other_trial) AS most FROM c), "
         "y AS (SELECT 'trial' AS rule, k.*, least(trial, most) AS other_trial FROM k, z UNION ALL SELECT 'time', k.*, coalesce((SELECT min(other_trial) FROM c WHERE other_seconds >= k.seconds), most) FROM k, z) SELECT rule, trial, round(objective, 6) AS objective, round(seconds, 6) AS seconds, y.other_trial, round(other_objective, 6) AS other_objective, round(other_seconds, 6) AS other_seconds FROM y JOIN c ON c.other_trial = y.other_trial",
