@@ -80,6 +80,17 @@ def true_zones(points: DataFrame, centres: DataFrame | None = None, bins: int =
     return _share(points, centres).select("id", "label", F.least(F.greatest(F.ceil(F.col("t") * bins), F.lit(1)), F.lit(bins)).cast("int").alias("zone"))
 
 
+def centre_zones(points: DataFrame, centres: list[tuple[int, float, float]], bins: int = 10) -> DataFrame:
+    """id, centre, zone: true_zones() of the clusters that a few centres (id, x, y), as k-means finds them, make of the points: a point belongs
+    to its nearest centre, whose radius is the distance of its farthest point."""
+    from .neighbors import nearest_centre
+
+    own = nearest_centre(points, centres)
+    radii = own.groupBy("centre").agg(F.max("d1").alias("_radius"))  # a row a centre
+    t = F.least(F.col("d1") / F.greatest(F.col("_radius"), F.lit(EPS)), F.lit(1.0))
+    return own.join(F.broadcast(radii), "centre").select("id", "centre", F.least(F.greatest(F.ceil(t * bins), F.lit(1)), F.lit(bins)).cast("int").alias("zone"))
+
+
 def duplicates(points: DataFrame) -> DataFrame:
     """x, y, id (the smallest), weight of each distinct place."""
     return points.groupBy("x", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))

@@ -14,6 +14,7 @@ from ..operators import centres as ce
 from ..operators import clusterstats as cs
 from ..operators import density_clustering as dc
 from ..operators import division as dv
+from ..operators import feature_grid as fg
 from ..operators import graph_network as gn
 from ..operators import metrics as me
 from ..operators import neighbors as nb
@@ -410,6 +411,24 @@ def feature_grid(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    """Points with two scores, their density and their overlap with other clusters."""
+    p = points(s, d)
+    return p.join(written(so.density(p), "density").withColumnRenamed("score", "dense"), "id").join(written(so.projection_overlap(p, _centres(p, 5)), "overlap").withColumnRenamed("score", "overlap"), "id")
+
+
+def feature_table(s: SparkSession, d: str) -> DataFrame:
+    """The columns of all nine feature sets."""
+    f, sets = fg.feature_sets(_scored(s, d), ["x", "y"], ["dense", "overlap"])
+    cols = sorted({c for v in sets.values() for c in v})
+    return r6(f, *cols).select("id", *cols)
+
+
+def full_feature_grid(s: SparkSession, d: str) -> DataFrame:
+    """Nine feature sets, each with its regularised twin."""
+    return fg.grid(_scored(s, d), ["x", "y"], ["dense", "overlap"], 10)
+
+
 def best_features(s: SparkSession, d: str) -> DataFrame:
     return me.best_of_grid(feature_grid(s, d), "accuracy", ["features"])
 
@@ -701,6 +720,41 @@ def problem_files(s: SparkSession, d: str) -> DataFrame:
     return sources.read_problem(s, path).groupBy("capacity", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("demand").alias("demand"))
 
 
+def _full_problems(s: SparkSession, d: str, kind: str) -> DataFrame:
+    """A problem a label with windows [x, x + y] and pickups at every third point, written as text and read again."""
+    ordered = _stops(s, d).withColumn("node", (F.row_number().over(Window.partitionBy("route").orderBy("seq")) - 1).cast("int"))
+    more = [F.col("x").alias("window_start"), (F.col("x") + F.col("y")).alias("window_end")] if kind == "CVRPTW" else [(F.col("seq") % 3 == 0).cast("int").alias("is_pickup")]
+    stops = ordered.groupBy("route").agg(F.collect_list(F.struct("node", "x", "y", "demand", *more)).alias("stops")).select(F.concat(F.lit("p"), F.col("route").cast("string")).alias("name"), F.lit(20).alias("capacity"), "stops")
+    path = f"{shared_folder(importable(s))}/problems-{uuid.uuid4().hex}"
+    stops.select("name", sinks.problem_text("name", "capacity", "stops", kind=kind, service=0.25).alias("value")).write.partitionBy("name").text(path)
+    return sources.read_full_problem(s, path).withColumn("label", F.regexp_extract("file", "name=p([0-9]+)", 1).cast("int"))
+
+
+def window_problem_files(s: SparkSession, d: str) -> DataFrame:
+    return _full_problems(s, d, "CVRPTW").select("label", "node", "type", "capacity", "service_time", "x", "y", "demand", "window_start", "window_end")
+
+
+def pickup_problem_files(s: SparkSession, d: str) -> DataFrame:
+    return _full_problems(s, d, "VRPMPD").select("label", "node", "type", "capacity", "x", "y", "demand", "is_pickup")
+
+
+def _lloyd_centres(p: DataFrame, k: int) -> list[ce.Centre]:
+    """Centres after five Lloyd steps from the first points."""
+    return ce.lloyd(p, _centres(p, k), 5)
+
+
+def fringe_score_lloyd(s: SparkSession, d: str) -> DataFrame:
+    """The fringe score with k-means centres."""
+    p = points(s, d)
+    return r6(so.fringe(p, [_lloyd_centres(p, k) for k in (3, 5, 10)]), "score")
+
+
+def true_zones_lloyd(s: SparkSession, d: str) -> DataFrame:
+    """Zones around k-means centres: a point's cluster is that of its nearest centre, and the radius is that of the cluster's farthest point."""
+    p = points(s, d)
+    return cs.centre_zones(p, _lloyd_centres(p, 10)).select("id", "centre", "zone")
+
+
 QUERIES = {f.__name__: f for f in (
     zone_histogram, min_max_scale, standard_scale, block_scale, guarded_log, softmax_by_label, knn_graph, inverse_edges, gap_adjacency, k_farthest, range_counts, own_range_counts, mutual_range_counts,
     nearest_centre, snapped_centroids, nearest_higher, centroids, radius_all, radius_at_centre, size_density_diameter, zones, true_zones, score_deciles, uniform_quantise, marked_points, top_per_label,
@@ -709,5 +763,5 @@ QUERIES = {f.__name__: f for f in (
     variable_eps_dbscan, density_peaks, k_center_greedy, top_score_farthest, coverage, k_medoids, lloyd, k_means_cost, swap_costs, local_search, multi_swap_search, regularised_k_means, feature_grid,
     best_features, coreset, outlier_pipeline, noisy_points, route_distances, route_features, subproblem_features, route_neighbors, route_clusters, angular_split, capacity_split, packed_routes,
     cyclic_neighbors, rotated_stops, edge_rank, batch_ids, swap_tuples, weighted_sample, poisson_sample, d2_seeding, divided_trees, up_dimension, generated_points, generated_instances, graph_network,
-    city_block_routes, node_features, padded_routes, weighted_tree, swap_costs_pairs, outlier_grid, ranking_grid, knn_64d, range_counts_64d, nearest_centre_64d, coreset_64d, beam_top, search_replay, replayed_routes, replayed_labels, sampled_clusters, action_labels, trial_comparison, renumbered_tree, level_order, weighted_graph, block_graph, top_k_agreement, generated_tours, problem_files,
+    city_block_routes, node_features, padded_routes, weighted_tree, swap_costs_pairs, outlier_grid, ranking_grid, knn_64d, range_counts_64d, nearest_centre_64d, coreset_64d, beam_top, search_replay, replayed_routes, replayed_labels, sampled_clusters, action_labels, trial_comparison, renumbered_tree, level_order, weighted_graph, block_graph, top_k_agreement, generated_tours, problem_files, window_problem_files, pickup_problem_files, fringe_score_lloyd, true_zones_lloyd, feature_table, full_feature_grid,
 )}

@@ -36,9 +36,10 @@ def _near(k: int) -> tuple[str, str]:
     return _TEN.format(k=k), _NEAR
 
 
-def _overlap(k: int, name: str) -> str:
-    """A CTE `name` (id, score) of projection overlap with the first k points as centres."""
-    return f"""{name}t AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS centre, x AS cx, y AS cy FROM (SELECT * FROM p ORDER BY id LIMIT {k})),
+def _overlap(k: int, name: str, centres: str | None = None) -> str:
+    """A CTE `name` (id, score) of projection overlap with the first k points as centres, or with those of a table (c, x, y)."""
+    rows = f"SELECT c AS centre, x AS cx, y AS cy FROM {centres}" if centres else f"SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS centre, x AS cx, y AS cy FROM (SELECT * FROM p ORDER BY id LIMIT {k})"
+    return f"""{name}t AS ({rows}),
       {name}n AS (SELECT * FROM (SELECT id, x, y, centre, cx, cy, row_number() OVER (PARTITION BY id ORDER BY sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)), centre) AS n FROM p, {name}t) WHERE n = 1),
       {name} AS (SELECT a.id, greatest(0.0, max(2.0 * ((a.cx - a.x) * (a.cx - o.cx) + (a.cy - a.y) * (a.cy - o.cy)) / ((a.cx - o.cx) * (a.cx - o.cx) + (a.cy - o.cy) * (a.cy - o.cy)))) AS score FROM {name}n a JOIN {name}t o ON o.centre <> a.centre GROUP BY a.id)"""
 
@@ -91,11 +92,11 @@ def _greedy(rows: str, k: int, body: str) -> str:
               f"UNION ALL SELECT step + 1, id, x, y, least(d, sqrt((x - fx) * (x - fx) + (y - fy) * (y - fy))) FROM (SELECT *, first_value(x) OVER o AS fx, first_value(y) OVER o AS fy FROM g WHERE step < {k - 1} WINDOW o AS (ORDER BY d DESC, id)))", body, recursive=True)
 
 
-def _lloyd(steps: int) -> tuple[str, ...]:
-    out = [f"c0 AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS c, x, y FROM (SELECT * FROM p ORDER BY id LIMIT 4))"]  # noqa: F541
+def _lloyd(steps: int, k: int = 4, c: str = "c") -> tuple[str, ...]:
+    out = [f"{c}0 AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS c, x, y FROM (SELECT * FROM p ORDER BY id LIMIT {k}))"]
     for n in range(steps):
-        out.append(f"a{n} AS (SELECT id, x, y, c FROM (SELECT p.id, p.x, p.y, c, row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.x - k.x) * (p.x - k.x) + (p.y - k.y) * (p.y - k.y)), c) AS n FROM p, c{n} k) WHERE n = 1)")
-        out.append(f"c{n + 1} AS (SELECT k.c, coalesce(avg(a.x), any_value(k.x)) AS x, coalesce(avg(a.y), any_value(k.y)) AS y FROM c{n} k LEFT JOIN a{n} a ON a.c = k.c GROUP BY k.c)")
+        out.append(f"{c}a{n} AS (SELECT id, x, y, c FROM (SELECT p.id, p.x, p.y, c, row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.x - k.x) * (p.x - k.x) + (p.y - k.y) * (p.y - k.y)), c) AS n FROM p, {c}{n} k) WHERE n = 1)")
+        out.append(f"{c}{n + 1} AS (SELECT k.c, coalesce(avg(a.x), any_value(k.x)) AS x, coalesce(avg(a.y), any_value(k.y)) AS y FROM {c}{n} k LEFT JOIN {c}a{n} a ON a.c = k.c GROUP BY k.c)")
     return tuple(out)
 
 
@@ -235,6 +236,14 @@ ORACLE: dict[str, str] = {
     "block_graph": _p(_D, _KNN, _E, _PART, "SELECT CAST(pa AS BIGINT) AS graph_id, i, j, round(w, 6) AS w FROM ep WHERE pa = pb UNION ALL SELECT pa, i, i, round(sum(w), 6) FROM ep WHERE pa <> pb GROUP BY pa, i UNION ALL SELECT -1, pa, pb, round(sum(w), 6) FROM ep GROUP BY pa, pb"),
     "generated_tours": f"WITH r AS (SELECT CAST(floor(id / 51) AS BIGINT) AS sample, CAST(id % 51 AS INTEGER) AS i FROM range(0, 1020) t(id)) SELECT sample, i, round({_draw('sample, i', 2)}, 6) AS x, round({_draw('sample, i', 3)}, 6) AS y FROM r",
     "problem_files": _p(_STOPS, "f AS (SELECT row_number() OVER (PARTITION BY route ORDER BY seq) - 1 AS node, floor(x * 10000 + 0.5) AS x, floor(y * 10000 + 0.5) AS y, demand FROM s) SELECT 20 AS capacity, CAST(node AS INTEGER) AS node, count(*) AS n, sum(x) AS x, sum(y) AS y, CAST(sum(demand) AS BIGINT) AS demand FROM f GROUP BY node"),
+    "window_problem_files": _p(_STOPS, "SELECT CAST(route AS INTEGER) AS label, CAST(row_number() OVER (PARTITION BY route ORDER BY seq) - 1 AS INTEGER) AS node, 'CVRPTW' AS type, 20 AS capacity, 2500.0::DOUBLE AS service_time, floor(x * 10000 + 0.5) AS x, floor(y * 10000 + 0.5) AS y, demand, floor(x * 10000 + 0.5) AS window_start, floor((x + y) * 10000 + 0.5) AS window_end FROM s"),
+    "pickup_problem_files": _p(_STOPS, "SELECT CAST(route AS INTEGER) AS label, CAST(row_number() OVER (PARTITION BY route ORDER BY seq) - 1 AS INTEGER) AS node, 'VRPMPD' AS type, 20 AS capacity, floor(x * 10000 + 0.5) AS x, floor(y * 10000 + 0.5) AS y, demand, CAST(seq % 3 = 0 AS INTEGER) AS is_pickup FROM s"),
+    "fringe_score_lloyd": _p(*_lloyd(5, 3, "ka"), *_lloyd(5, 5, "kb"), *_lloyd(5, 10, "kc"), _overlap(3, "oa", "ka5"), _overlap(5, "ob", "kb5"), _overlap(10, "oc", "kc5"), "SELECT oa.id, round((oa.score + ob.score + oc.score) / 3, 6) AS score FROM oa JOIN ob ON ob.id = oa.id JOIN oc ON oc.id = oa.id"),
+    "true_zones_lloyd": _p(*_lloyd(5, 10), "q AS (SELECT id, c, r, max(r) OVER (PARTITION BY c) AS radius FROM (SELECT p.id, k.c, sqrt((p.x - k.x) * (p.x - k.x) + (p.y - k.y) * (p.y - k.y)) AS r, row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.x - k.x) * (p.x - k.x) + (p.y - k.y) * (p.y - k.y)), c) AS n FROM p, c5 k) WHERE n = 1)", "SELECT id, c AS centre, CAST(least(greatest(ceil(least(r / greatest(radius, 1e-12), 1.0) * 10), 1), 10) AS INTEGER) AS zone FROM q"),
+    "feature_table": _p(_D, "z AS (SELECT sqrt(pow(greatest(max(x), max(y)) - least(min(x), min(y)), 2) * 2) / 2 AS f, count(*) AS n FROM p), de AS (SELECT i AS id, sum(CAST(d <= f / 4 AS INTEGER) + CAST(d <= f / 8 AS INTEGER) + CAST(d <= f / 16 AS INTEGER)) / max(n) AS dense FROM d, z GROUP BY i)", _overlap(5, "o5"),
+        "t AS (SELECT p.id, x, y, dense, o5.score AS overlap, 0.0 + dense + o5.score AS total FROM p JOIN de ON de.id = p.id JOIN o5 ON o5.id = p.id)", "u AS (SELECT *, (dense - min(dense) OVER ()) / (max(dense) OVER () - min(dense) OVER ()) AS s_dense, (overlap - min(overlap) OVER ()) / (max(overlap) OVER () - min(overlap) OVER ()) AS s_overlap, (total - min(total) OVER ()) / (max(total) OVER () - min(total) OVER ()) AS s_total FROM t)",
+        "v AS (SELECT *, ln(s_total + 1e-15) AS lt FROM u)", "w AS (SELECT u.id, arg_min(g.t / 18.0, (abs(s_total - g.t * (1.0 / 18.0)), g.t)) AS level FROM u, range(0, 19) g(t) GROUP BY u.id)",
+        "SELECT v.id, round(x, 6) AS d_x, round(y, 6) AS d_y, round(dense, 6) AS dense, round(overlap, 6) AS overlap, round(total, 6) AS total, round(s_dense, 6) AS s_dense, round(s_overlap, 6) AS s_overlap, round(s_total, 6) AS s_total, round((lt - min(lt) OVER ()) / (max(lt) OVER () - min(lt) OVER ()), 6) AS log_total, round(2 * s_overlap, 6) AS twice, round(w.level, 6) AS level FROM v JOIN w ON w.id = v.id"),
     "weighted_sample": _p(f"SELECT id FROM (SELECT id, -ln({_draw('id', 1)}) / x AS k FROM p WHERE x > 0) ORDER BY k, id LIMIT 20"),
     "poisson_sample": _p(f"SELECT id FROM p WHERE {_draw('id', 1)} <= least(30 * x / (SELECT sum(x) FROM p), 1.0)"),
     "d2_seeding": _p(f"c0 AS (SELECT 0 AS c, x, y FROM p ORDER BY -ln({_draw('id', 1)}), id LIMIT 1)", *[f"c{n} AS (SELECT * FROM c{n - 1} UNION ALL (SELECT {n}, x, y FROM (SELECT p.id, p.x, p.y, min((p.x - k.x) * (p.x - k.x) + (p.y - k.y) * (p.y - k.y)) AS m FROM p, c{n - 1} k GROUP BY ALL) WHERE m > 0 ORDER BY -ln({_draw('id', 1 + n)}) / m, id LIMIT 1))" for n in range(1, 5)], "SELECT c AS centre, round(x, 6) AS x, round(y, 6) AS y FROM c4"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,9 +34,21 @@ def read_outlier_points(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(rows.groupBy("dataset").agg(F.max("label").alias("_m")), "dataset").withColumn("is_outlier", F.col("label") == F.col("_m")).drop("_m")
 
 
-def read_shards(spark: SparkSession, path: str, pattern: str = "*_part_*.parquet") -> DataFrame:
-    """All shards of a folder as one; unreadable files are left out."""
-    return spark.read.option("pathGlobFilter", pattern).option("ignoreCorruptFiles", "true").parquet(path)
+def read_shards(spark: SparkSession, path: str, pattern: str = "*_part_*.parquet", lenient: bool = False) -> DataFrame:
+    """All shards of a folder as one, with the columns of a first shard by name. An unreadable shard is an error; if lenient, it is left out, and
+    shard_report() names it."""
+    return spark.read.option("pathGlobFilter", pattern).option("ignoreCorruptFiles", str(lenient).lower()).parquet(path)
+
+
+def shard_report(spark: SparkSession, path: str, pattern: str = "*_part_*.parquet") -> DataFrame:
+    """file, rows, lacking of every shard of a folder: its rows that can be read, and the columns without a value in any of them.
+
+    A shard that can't be read at all, or is empty, has 0 rows; one with other keys lacks all columns that it hasn't. One aggregation over the shards."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.col("_metadata.file_path").alias("file"))
+    rows = read_shards(spark, path, pattern, lenient=True)
+    counts = rows.select(F.col("_metadata.file_path").alias("file"), *[F.col(f"`{c}`").isNotNull().alias(f"_{n}") for n, c in enumerate(rows.columns)]).groupBy("file")
+    counts = counts.agg(F.count(F.lit(1)).alias("rows"), F.array_compact(F.array(*[F.when(~F.bool_or(f"_{n}"), F.lit(c)) for n, c in enumerate(rows.columns)])).alias("lacking"))
+    return listed.join(counts, "file", "left").select("file", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), F.coalesce("lacking", F.array(*map(F.lit, rows.columns))).alias("lacking"))
 
 
 def read_bvecs(spark: SparkSession, path: str) -> DataFrame:
@@ -73,17 +86,45 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
 
 
-def read_problem(spark: SparkSession, path: str) -> DataFrame:
-    """file, capacity, node (from 0), x, y, demand of routing problems with coordinate and demand sections."""
+def _sections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Callable]:
+    """Lines of routing problems, those that begin with a number as file, section, node (from 0), p (their words), and a function for word k as a type."""
     lines = _lines(spark, path)
     heads = F.when(F.trim("value").rlike("^[A-Z_]+_SECTION|^EOF"), F.regexp_extract(F.trim("value"), "^[A-Z_]+", 0))
     rows = lines.withColumn("section", F.last(heads, ignorenulls=True).over(Window.partitionBy("file").orderBy("n"))).withColumn("p", F.split(F.trim("value"), r"\s+"))
     number = lambda k, t: F.try_element_at("p", F.lit(k)).try_cast(t)
-    inside = rows.where(F.trim("value").rlike("^[0-9]"))
-    xy = inside.where("section = 'NODE_COORD_SECTION'").select("file", (number(1, "int") - 1).alias("node"), number(2, "double").alias("x"), number(3, "double").alias("y"))
-    demand = inside.where("section = 'DEMAND_SECTION'").select("file", (number(1, "int") - 1).alias("node"), number(2, "int").alias("demand"))
-    capacity = lines.where(F.trim("value").startswith("CAPACITY")).select("file", F.regexp_extract("value", "([0-9]+)", 1).cast("int").alias("capacity"))
-    return xy.join(demand, ["file", "node"], "left").join(capacity, "file", "left").select("file", "capacity", "node", "x", "y", "demand")
+    return lines, rows.where(F.trim("value").rlike("^[0-9]")).select("file", "section", (number(1, "int") - 1).alias("node"), "p"), number
+
+
+def _header(lines: DataFrame, name: str, pattern: str, kind: str) -> DataFrame:
+    """file and the value of a header line, as a column of the name in lower case; of repeated lines the first counts."""
+    found = lines.where(F.trim("value").startswith(name)).groupBy("file").agg(F.min_by("value", "n").alias("value"))
+    return found.select("file", F.regexp_extract("value", pattern, 1).try_cast(kind).alias(name.lower()))
+
+
+def read_problem(spark: SparkSession, path: str) -> DataFrame:
+    """file, capacity, node (from 0), x, y, demand of routing problems with coordinate and demand sections."""
+    lines, inside, number = _sections(spark, path)
+    xy = inside.where("section = 'NODE_COORD_SECTION'").select("file", "node", number(2, "double").alias("x"), number(3, "double").alias("y"))
+    demand = inside.where("section = 'DEMAND_SECTION'").select("file", "node", number(2, "int").alias("demand"))
+    return xy.join(demand, ["file", "node"], "left").join(_header(lines, "CAPACITY", "([0-9]+)", "int"), "file", "left").select("file", "capacity", "node", "x", "y", "demand")
+
+
+def read_full_problem(spark: SparkSession, path: str) -> DataFrame:
+    """read_problem() with type, service_time, window_start, window_end and is_pickup (0 or 1); what a file doesn't have is null.
+
+    The demand of a problem with pickups is what is picked up or delivered at the node. Lines of a section come together by file and node; of
+    a node that a section lists twice, the largest values count."""
+    lines, inside, number = _sections(spark, path)
+    at = lambda section, value: F.max(F.when(F.col("section") == section, value))
+    picked, brought = number(6, "int"), number(7, "int")
+    rows = inside.where("section IN ('NODE_COORD_SECTION', 'DEMAND_SECTION', 'TIME_WINDOW_SECTION', 'PICKUP_AND_DELIVERY_SECTION')").groupBy("file", "node").agg(
+        at("NODE_COORD_SECTION", number(2, "double")).alias("x"), at("NODE_COORD_SECTION", number(3, "double")).alias("y"),
+        F.coalesce(at("DEMAND_SECTION", number(2, "int")), at("PICKUP_AND_DELIVERY_SECTION", F.greatest(picked, brought))).alias("demand"),
+        at("TIME_WINDOW_SECTION", number(2, "double")).alias("window_start"), at("TIME_WINDOW_SECTION", number(3, "double")).alias("window_end"),
+        at("PICKUP_AND_DELIVERY_SECTION", (picked > 0).cast("int")).alias("is_pickup"))
+    for one in (_header(lines, "CAPACITY", "([0-9]+)", "int"), _header(lines, "TYPE", r":\s*(\w+)", "string"), _header(lines, "SERVICE_TIME", r":\s*([0-9.]+)", "double")):
+        rows = rows.join(one, "file", "left")
+    return rows.select("file", "type", "capacity", "service_time", "node", "x", "y", "demand", "window_start", "window_end", "is_pickup")
 
 
 def read_tour(spark: SparkSession, path: str, n: int) -> DataFrame:
@@ -117,6 +158,12 @@ def read_candidates(spark: SparkSession, path: str, scale: float = 1e6) -> DataF
     return lines.select("file", F.col("n").alias("i"), F.explode(triple).alias("t")).select("file", "i", "t.*")
 
 
+def read_candidate_runtime(spark: SparkSession, path: str) -> DataFrame:
+    """file, seconds: the runtime line (a single number) of files of candidates; null where there is none."""
+    rows = _lines(spark, path).withColumn("one", F.regexp_extract(F.trim("value"), r"^([0-9]+(?:\.[0-9]+)?)$", 1))
+    return rows.groupBy("file").agg(F.max_by("one", F.when(F.col("one") != "", F.col("n"))).cast("double").alias("seconds"))
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """file, id, score: one number on each line."""
     return _lines(spark, path).where(F.trim("value") != "").select("file", F.col("n").cast("long").alias("id"), F.trim("value").cast("double").alias("score"))

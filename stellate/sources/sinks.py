@@ -25,20 +25,33 @@ def write_grid(grid: DataFrame, path: str) -> None:
     grid.write.mode("overwrite").csv(path, header=True)
 
 
-def problem_text(name: Column | str, capacity: Column | str, stops: Column | str, scale: float = 1e4) -> Column:
-    """The text of a routing problem from an array of struct(node, x, y, demand), coordinates rounded to whole numbers."""
-    ordered = F.array_sort(stops)
-    whole = lambda v: F.floor(v * scale + 0.5).cast("long").cast("string")
-    number = lambda s: (s["node"] + 1).cast("string")
-    xy = F.array_join(F.transform(ordered, lambda s: F.concat_ws(" ", number(s), whole(s["x"]), whole(s["y"]))), "\n")
-    demand = F.array_join(F.transform(ordered, lambda s: F.concat_ws(" ", number(s), s["demand"].cast("string"))), "\n")
-    head = F.concat(F.lit("NAME : "), F.col(name) if isinstance(name, str) else name, F.lit("\nTYPE : CVRP\nDIMENSION : "), F.size(stops).cast("string"), F.lit("\nEDGE_WEIGHT_TYPE : EUC_2D\nCAPACITY : "), (F.col(capacity) if isinstance(capacity, str) else capacity).cast("string"))
-    return F.concat(head, F.lit("\nNODE_COORD_SECTION\n"), xy, F.lit("\nDEMAND_SECTION\n"), demand, F.lit("\nDEPOT_SECTION\n1\n-1\nEOF"))
-
+def problem_text(name: Column | str, capacity: Column | str, stops: Column | str, scale: float = 1e4, kind: str = "CVRP", service: Column | float = 0.0) -> Column:
+    """The text of a routing problem from an array of struct(node, x, y, demand), coordinates rounded to whole numbers; node 0 is the depot.
 
-def write_problems(problems: DataFrame, path: str) -> None:
+    Of the kind CVRPTW the structs go on with window_start and window_end, which get a section of whole numbers in the same scale, as the service time gets a line; of
+    VRPMPD they go on with is_pickup (0 or 1), and a section tells what is picked up and what is delivered in place of the demand. Null demands count as 0."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    ordered = F.array_sort(col(stops))
+    whole = lambda v: F.floor(v * scale + 0.5).cast("long").cast("string")
+    text = lambda v: F.coalesce(v, F.lit(0)).cast("string")
+    section = lambda title, *values: F.concat(F.lit(f"\n{title}\n"), F.array_join(F.transform(ordered, lambda s: F.concat_ws(" ", (s["node"] + 1).cast("string"), *[v(s) for v in values])), "\n"))
+    zero = lambda s: F.lit("0")
+    lines = [F.lit("NAME : "), col(name), F.lit(f"\nTYPE : {kind}\nDIMENSION : "), F.size(ordered).cast("string"), F.lit("\nEDGE_WEIGHT_TYPE : EUC_2D\nCAPACITY : "), col(capacity).cast("string")]
+    if kind == "CVRPTW":
+        lines += [F.lit("\nSERVICE_TIME : "), whole(service if isinstance(service, Column) else F.lit(service))]
+    body = [section("NODE_COORD_SECTION", lambda s: whole(s["x"]), lambda s: whole(s["y"]))]
+    if kind == "VRPMPD":  # no window: from 0 to the format's largest time, without service time
+        body.append(section("PICKUP_AND_DELIVERY_SECTION", zero, zero, lambda s: F.lit("10000000"), zero, lambda s: F.when(s["is_pickup"] == 1, text(s["demand"])).otherwise("0"), lambda s: F.when(s["is_pickup"] == 1, F.lit("0")).otherwise(text(s["demand"]))))
+    else:
+        body.append(section("DEMAND_SECTION", lambda s: text(s["demand"])))
+    if kind == "CVRPTW":
+        body.append(section("TIME_WINDOW_SECTION", lambda s: whole(s["window_start"]), lambda s: whole(s["window_end"])))
+    return F.concat(*lines, *body, F.lit("\nDEPOT_SECTION\n1\n-1\nEOF"))
+
+
+def write_problems(problems: DataFrame, path: str, kind: str = "CVRP") -> None:
     """One text file part for each task, a problem (name, capacity, stops) after the other."""
-    problems.select(problem_text("name", "capacity", "stops").alias("value")).write.mode("overwrite").text(path)
+    problems.select(problem_text("name", "capacity", "stops", kind=kind).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_search_log(transitions: DataFrame, actions: DataFrame, results: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from stellate.operators.graph_network import Layer
@@ -94,3 +95,35 @@ def test_solver_texts(spark, tmp_path):
     (tmp_path / "r.sol").write_text(text.routes)
     assert [r.node for r in points.read_tour(spark, str(tmp_path / "t.tour"), 9).orderBy("pos").collect()] == [0, 2, 1]
     assert [r.nodes for r in points.read_routes(spark, str(tmp_path / "r.sol")).orderBy("route").collect()] == [[3, 1], [2]] and text.p == "RUNS = 1"
+
+
+def test_problem_kinds(spark, tmp_path):
+    stop = "named_struct('node', {n}, 'x', {x}, 'y', 0.5D, 'demand', {d}, {more})"
+    timed = "array(" + ", ".join(stop.format(n=n, x=f"{n / 10}D", d=n, more=f"'window_start', {n}D, 'window_end', {n + 2}D") for n in (1, 0, 2)) + ")"
+    mixed = "array(" + ", ".join(stop.format(n=n, x=f"{n / 10}D", d=d, more=f"'is_pickup', {n % 2}") for n, d in ((0, "0"), (1, "7"), (2, "5"), (3, "CAST(NULL AS INT)"))) + ")"
+    for kind, stops in (("CVRPTW", timed), ("VRPMPD", mixed)):
+        sinks.write_problems(spark.sql(f"SELECT 'a' AS name, 9 AS capacity, {stops} AS stops"), str(tmp_path / kind), kind)
+    rows = points.read_full_problem(spark, str(tmp_path / "CVRPTW")).orderBy("node").collect()
+    assert [(r.type, r.capacity, r.service_time, r.node, r.x, r.demand, r.window_start, r.window_end, r.is_pickup) for r in rows] == [("CVRPTW", 9, 0.0, n, n * 1000.0, n, n * 1e4, (n + 2) * 1e4, None) for n in range(3)]
+    rows = points.read_full_problem(spark, str(tmp_path / "VRPMPD")).orderBy("node").collect()
+    assert [(r.type, r.service_time, r.demand, r.is_pickup, r.window_start) for r in rows] == [("VRPMPD", None, d, p, None) for d, p in ((0, 0), (7, 1), (5, 0), (0, 0))]
+
+
+def test_shards_that_cannot_be_read(spark, tmp_path):
+    spark.sql("SELECT id, id AS a FROM range(3)").coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.sql("SELECT id FROM range(2)").coalesce(1).write.parquet(str(tmp_path / "two"))
+    (tmp_path / "s").mkdir()
+    for n, name in enumerate(("one", "two")):
+        next((tmp_path / name).glob("part*")).rename(tmp_path / "s" / f"100_u_part_{n}.parquet")
+    (tmp_path / "s" / "100_u_part_2.parquet").write_bytes(b"no parquet at all, but long enough for a footer")
+    report = {r.file.rsplit("_", 1)[1]: (r.rows, r.lacking) for r in points.shard_report(spark, str(tmp_path / "s")).collect()}
+    assert report["2.parquet"][0] == 0 and report["0.parquet"] == (3, []) and report["1.parquet"] in ((2, ["a"]), (2, []))
+    assert points.read_shards(spark, str(tmp_path / "s"), lenient=True).count() == 5
+    with pytest.raises(Exception, match="(?i)parquet"):
+        points.read_shards(spark, str(tmp_path / "s")).count()
+
+
+def test_candidates_with_their_runtime(spark, tmp_path):
+    (tmp_path / "c").write_text("1 2000000 0 2 500000 1\n0 2000000 3\n12.5\n")
+    assert [(r.i, r["rank"], r.j, r.d, r.inverse) for r in points.read_candidates(spark, str(tmp_path / "c")).orderBy("i", "rank").collect()] == [(0, 0, 1, 2.0, 0), (0, 1, 2, 0.5, 1), (1, 0, 0, 2.0, 3)]
+    assert points.read_candidate_runtime(spark, str(tmp_path / "c")).first().seconds == 12.5
