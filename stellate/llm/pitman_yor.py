@@ -36,13 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, lean, parallelism, release, table, written
+from .common import held_out, lean, release, table, written
 
 #: Classes of contexts, restaurants of each class, tokens of a chunk, words that a task remembers.
 CLASSES, SLOTS, CHUNK, REMEMBERED = 64, 1024, 750_000, 150_000
 CONTEXTS = CLASSES * SLOTS
 #: Sweeps that are thrown away, sweeps that are averaged, groups of a sweep; concentration of every restaurant.
 BURN_IN, KEPT, GROUPS, THETA, SEED = 1, 3, 4, 1.0, 11
+#: Bytes of text for each bucket. The number of buckets is part of the model (a bucket knows the others' last totals only), so it follows from the data alone.
+BUCKET_BYTES = 4 << 20
 END = 0
 _PUNCTUATION = b".,;:!?*#$%&|\"'()[]"
 
@@ -492,11 +494,14 @@ def _scored(docs: pd.DataFrame, answers: pd.DataFrame, p: Settings) -> pd.DataFr
     return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in RESULT.split(", ")])
 
 
-def score(docs: DataFrame, folds: int = 5) -> DataFrame:
-    """The columns of RESULT for each row of docs (doc_id, text); rows of fold 1 of `folds` are held out."""
+def score(docs: DataFrame, folds: int = 5, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The columns of RESULT for each row of docs (doc_id, text); rows of fold 1 of `folds` are held out.
+
+    There is a bucket for each `bucket_bytes` of all texts, whatever the session's partitions, so the same table gets the same scores on any cluster."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), held_out("doc_id", folds).alias("held"))
-    buckets = 2 * parallelism(spark)  # a task holds one at a time
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, -(-size // bucket_bytes))  # a task holds one at a time
     requests = rows.mapInArrow(lambda b: _requests(b, buckets), "bucket int, chunk long, words binary, spread binary, contexts binary, counts binary")
     merged = written(requests.groupBy("bucket").applyInPandas(_merge, MERGED), "merged")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))

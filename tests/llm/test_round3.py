@@ -218,3 +218,18 @@ def test_every_licence_template_is_found(spark):
     rows = [(n, f"some words before\n\n{text.upper()}\n\nand after") for n, (_, text) in enumerate(licenses.TEMPLATES)]
     got = {(r.doc_id, r.license): r.dice for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[n, name] == 1.0 for n, (name, _) in enumerate(licenses.TEMPLATES))
+
+
+def test_pitman_yor_scores_do_not_depend_on_partitions(spark, data):
+    from stellate.llm import pitman_yor
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for partitions in ("4", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            found.append({r.doc_id: (r.score, r.base_score) for r in pitman_yor.score(docs, bucket_bytes=1 << 14).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0].keys() == found[1].keys() and all(v == pytest.approx(found[1][k], rel=1e-9) for k, v in found[0].items())
