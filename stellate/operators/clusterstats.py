@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import written
 from .neighbors import outer_layers
 
 EPS = 1e-12
@@ -98,7 +99,7 @@ def duplicates(points: DataFrame) -> DataFrame:
 
 def smallest_gap(df: DataFrame, col: str) -> DataFrame:
     """The smallest difference above 0 between neighbouring values: sorted by range, with each range's last value carried on."""
-    values = df.select(F.col(col).cast("double").alias("v")).distinct().repartitionByRange("v").select("v", F.spark_partition_id().alias("part"))
+    values = written(df.select(F.col(col).cast("double").alias("v")).distinct().repartitionByRange("v").select("v", F.spark_partition_id().alias("part")), "ranges")  # planned twice, ranges may differ
     inner = values.withColumn("prev", F.lag("v").over(Window.partitionBy("part").orderBy("v"))).where("prev is not null").select((F.col("v") - F.col("prev")).alias("gap"))
     edges = values.groupBy("part").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))  # a row for each range
     between = edges.withColumn("gap", F.col("lo") - F.lag("hi").over(Window.orderBy("part"))).where("gap is not null").select("gap")

@@ -93,7 +93,7 @@ def ari(rows: DataFrame, true: str = "label_true", pred: str = "label_pred") ->
 def _by_score(rows: DataFrame, positive: str, score: str) -> DataFrame:
     """Positives and negatives of each score, and of all higher ones; sums run over distinct scores, ranges first."""
     grouped = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive).cast("boolean")).cast("long")).alias("n"))
-    ranged = grouped.repartitionByRange(F.desc("s")).withColumn("part", F.spark_partition_id())
+    ranged = written(grouped.repartitionByRange(F.desc("s")).withColumn("part", F.spark_partition_id()), "ranges")  # planned twice, ranges may differ
     inner = Window.partitionBy("part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = ranged.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("pn"))  # a row for each range
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

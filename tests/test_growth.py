@@ -326,3 +326,27 @@ def test_replay_of_logs_with_cycles_and_several_ways(spark):
     moves = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 0, 3), (2, 0, 3), (3, 5, 0), (3, 6, 4), (0, 2, 1), (3, 7, 3)], "problem long, action long, next long")
     got = sorted((r.problem, r.parent, r.action, r.depth) for r in search.replay(moves, 50).fillna(-1).collect())
     assert got == [(0, -1, -1, 0), (1, 0, 0, 1), (2, 0, 1, 1), (3, 1, 0, 2), (4, 3, 6, 3)]
+
+
+def test_numbers_of_wide_rows(spark):
+    """The ranges of a table of wide rows and those of its keys alone are merged in different ways."""
+    from stellate.operators import sampling
+
+    key = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(key, "64k")
+    try:
+        wide = spark.range(4000).select("id", F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.md5(F.concat(k.cast("string"), F.lit("-"), F.col("id").cast("string")))).alias("v"))
+        got = sampling.numbered(wide, "id").toPandas()
+    finally:
+        spark.conf.unset(key)
+    assert len(got) == 4000 and (got.id == got.n).all()
+
+
+def test_distances_are_summed_in_order():
+    """Component by component, as SQL's list_sum() does: a distance on the border is the same everywhere, and copies have one distance."""
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(50, 64)), rng.normal(size=(40, 64))
+    want = np.sqrt(np.cumsum(np.square(a[:, None, :] - b[None, :, :]), axis=2)[:, :, -1])
+    assert (spaces.distances(a, b) == want).all()
+    r, c, d = spaces._near(a, b, np.full(50, np.inf))
+    assert len(r) == 2000 and (d == want[r, c]).all()
