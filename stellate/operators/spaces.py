@@ -41,13 +41,24 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), d)
 
 
+def _summed(columns: Iterator[np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """Roots of sums of squared differences, added component by component in their order.
+
+    So a distance depends on its two points only, not on where a block starts, copies have one and the same distance, and SQL's sums are repeated to the last bit."""
+    out = np.zeros(shape)
+    for diff in columns:
+        diff *= diff
+        out += diff
+    return np.sqrt(out, out=out)
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All distances between the rows of two matrices, from differences (sums of squares apart lose digits of near points)."""
     out = np.empty((len(a), len(b)))
-    step = max(1, (1 << 20) // max(1, b.size))
+    step = max(1, (1 << 16) // max(1, len(b)))
     for at in range(0, len(a), step):
-        diff = a[at : at + step, None, :] - b[None, :, :]
-        out[at : at + step] = np.sqrt(np.einsum("abd,abd->ab", diff, diff))
+        some = a[at : at + step]
+        out[at : at + step] = _summed((some[:, n, None] - b[None, :, n] for n in range(b.shape[1])), (len(some), len(b)))
     return out
 
 
@@ -57,8 +68,8 @@ def _near(a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray,
     slack = 1e-9 * (float(aa.max(initial=0)) + float(bb.max(initial=0)) + 1e-300)
     rough = aa[:, None] + bb[None, :] - 2 * (a @ b.T)
     r, c = np.nonzero(rough <= np.square(limit)[:, None] * (1 + 1e-9) + slack)
-    diff = a[r] - b[c]
-    d = np.sqrt(np.einsum("nd,nd->n", diff, diff))
+    at, bt = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    d = _summed((at[n][r] - bt[n][c] for n in range(len(at))), r.shape)
     keep = d <= limit[r]
     return r[keep], c[keep], d[keep]
 
@@ -102,7 +113,7 @@ def part_pairs(queries: DataFrame, candidates: DataFrame, k: int | None, radius:
         def pairs(frames: Iterator[pa.RecordBatch], part=part, n=n, low=low, high=high) -> Iterator[pa.RecordBatch]:
             for frame in frames:
                 for q, q_low, q_high in zip(frame["part"].to_numpy(), frame["low"].to_pylist(), frame["high"].to_pylist(), strict=True):
-                    least = np.maximum(np.maximum(low - np.array(q_high), np.array(q_low) - high).max(1), 0.0) * (1 - 1e-12)
+                    least = np.maximum((np.maximum(low - np.array(q_high), np.array(q_low) - high) - 1e-12 * (high + np.array(q_high))).max(1), 0.0)
                     most = (high + np.array(q_high)).min(1)
                     order = np.argsort(most, kind="stable")
                     sure = np.searchsorted(np.cumsum(n[order]), (k or 0) + 1)
