@@ -4,8 +4,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stellate.operators import search
+from stellate.plans.storage import written
 
 NEAR, NODES = 3, 9
 
@@ -111,3 +113,15 @@ def test_drawn_clusters_follow_the_softmax(spark):
     assert all(abs(g - w) < 0.08 for g, w in zip(share, want, strict=True))
     again = search.clusters(stats.repartition(7), picks, near=2, temperature=1.0, seed=5).collect()
     assert sorted(drawn) == sorted(again)
+
+
+def test_lists_of_results_are_made_once_a_result(spark, monkeypatch):
+    """A filter on the lists' size, inferred from their explosion, must not be made below the grouping of results, for each of its rows."""
+    plans = []
+    monkeypatch.setattr(search, "written", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), written(df, name))[1])
+    rows = spark.range(1, 30).select((F.col("id") % 3).alias("result"), "id")
+    results = rows.groupBy("result").agg(F.max("id").alias("distance")).select("result", F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: (k * (F.col("result") + 3) % 5).cast("int")).alias("nodes"))
+    stops = spark.range(8).select((F.col("id") % 2).alias("route"), F.col("id").alias("seq"), F.col("id").alias("node"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    moves = spark.createDataFrame([(0, 0, 1)], "problem long, action long, next long")
+    search.replay_routes(moves, spark.createDataFrame([(1, 0, 0, 1)], "seq long, problem long, action long, result long"), results, stops, 1)
+    assert plans and not any("size(transform" in p for p in plans)
