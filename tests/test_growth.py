@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from stellate.plans.storage import written
 from stellate.operators import cells, centres, density_clustering, division, metrics, neighbors, order, outliers, routes, spaces, swaps, trees
 
 
@@ -350,3 +351,14 @@ def test_distances_are_summed_in_order():
     assert (spaces.distances(a, b) == want).all()
     r, c, d = spaces._near(a, b, np.full(50, np.inf))
     assert len(r) == 2000 and (d == want[r, c]).all()
+
+
+def test_density_clustering_writes_no_pairs(spark, monkeypatch):
+    """200 points within one radius have 40,000 pairs; far fewer rows may be written, and all are one cluster, with the same labels for all three kinds."""
+    rows = []
+    monkeypatch.setattr(density_clustering, "written", lambda df, name: (lambda out: (rows.append(out.count()), out)[1])(written(df, name)))
+    points = spark.range(200).select("id", (F.col("id") % 20 / 1000).alias("x"), (F.floor(F.col("id") / 20) / 1000).alias("y"), F.lit(0.05).alias("radius"), F.lit(0.5).alias("density"))
+    points = points.union(spark.createDataFrame([(500, 0.9, 0.9, 0.05, 0.5)], points.schema))
+    for found in (density_clustering.dbscan(points, 0.05, 4), density_clustering.adaptive_dbscan(points, 0.04, 0.06, 4), density_clustering.variable_eps_dbscan(points, 4)):
+        assert {(r.id, r.cluster) for r in found.collect()} == {(n, 0) for n in range(200)} | {(500, -1)}
+    assert max(rows) <= 201
