@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import written
-from .centres import k_means, regularised_k_means
+from .clusterings import clusterings, counted
 from .metrics import assignment
 from .scaling import guarded_log, min_max, quantise
 
@@ -41,9 +41,9 @@ def _measured(table: pd.DataFrame) -> tuple[float, float]:
     return assignment(square) / m.sum(), 1.0 if mean <= 0 else mutual / mean
 
 
-def grouped_agreement(found: DataFrame, by: list[str]) -> DataFrame:
-    """by, accuracy, nmi of clusterings (by, label_true, label_pred): counts come together before a group, which holds labels squared."""
-    counts = found.groupBy(*by, F.col("label_true").cast("long").alias("true"), F.col("label_pred").cast("long").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+def grouped_agreement(found: DataFrame, by: list[str], n: str | None = None) -> DataFrame:
+    """by, accuracy, nmi of clusterings (by, label_true, label_pred): counts come together before a group, which holds labels squared. n: a column of counts."""
+    counts = found.groupBy(*by, F.col("label_true").cast("long").alias("true"), F.col("label_pred").cast("long").alias("pred")).agg((F.sum(n) if n else F.count(F.lit(1))).alias("n"))
 
     def measure(frame: pd.DataFrame) -> pd.DataFrame:
         accuracy, nmi = _measured(frame)
@@ -53,14 +53,13 @@ def grouped_agreement(found: DataFrame, by: list[str]) -> DataFrame:
     return counts.groupBy(*by).applyInPandas(measure, f"{keys}, accuracy double, nmi double")
 
 
+def agreements(rows: DataFrame, sets: dict[tuple, tuple[list[str], bool]], by: list[str], k: int, label: str = "label", rounds: int = 20, seed: int = 0) -> DataFrame:
+    """by, accuracy, nmi of clusterings(): sets are {values of by: (columns, regularised)}, rows have an id."""
+    f = written(rows, "features")
+    return grouped_agreement(counted(f, clusterings(f, sets, k, rounds=rounds, seed=seed), by, label), by, "n")
+
+
 def grid(rows: DataFrame, data: list[str], scores: list[str], k: int, label: str = "label", rounds: int = 300, seed: int = 0) -> DataFrame:
-    """features, regularised, accuracy, nmi: k-means and regularised k-means over each of feature_sets(), against the label."""
+    """features, regularised, accuracy, nmi: k-means and regularised k-means over each of feature_sets(), against the label. All 18 go on together, a job a pass."""
     f, sets = feature_sets(rows, data, scores)
-    f = written(f, "features")
-    out = None
-    for name, cols in sets.items():
-        for regularised in (False, True):
-            found = (regularised_k_means(f, cols, k, rounds=rounds, seed=seed) if regularised else k_means(f, cols, k, seed))[0]
-            one = found.select(F.lit(name).alias("features"), F.lit(regularised).alias("regularised"), F.col(label).alias("label_true"), F.col("cluster").alias("label_pred"))
-            out = one if out is None else out.unionByName(one)
-    return grouped_agreement(out, ["features", "regularised"])
+    return agreements(f, {(name, regularised): (cols, regularised) for name, cols in sets.items() for regularised in (False, True)}, ["features", "regularised"], k, label, rounds, seed)

@@ -31,3 +31,30 @@ def test_grid_finds_clusters_that_only_the_score_tells(spark):
     rows = spark.createDataFrame([(n, rng.random(), rng.random(), float(n % 2) + rng.random() / 100, n % 2) for n in range(80)], "id long, x double, y double, score double, label int")
     got = {(r.features, r.regularised): r.accuracy for r in feature_grid.grid(rows, ["x", "y"], ["score"], 2, rounds=3).collect()}
     assert len(got) == 18 and got["scores", False] == got["scaled sum", True] == 1.0
+
+
+def test_clusterings_go_on_together_and_reruns_agree(spark):
+    """One job a pass, not some thirty for each round of each clustering; groups far apart are found by every run that has their feature."""
+    from stellate.operators.clusterings import clusterings
+
+    rng = random.Random(7)
+    rows = spark.createDataFrame([(n, n % 3 + rng.random() / 50, rng.random(), n % 3) for n in range(300)], "id long, x double, y double, label int")
+    sets = {(name, reg): (cols, reg) for name, cols in (("x", ["x"]), ("y", ["y"]), ("xy", ["x", "y"])) for reg in (False, True)}
+    spark.sparkContext.setJobGroup("passes", "passes")
+    found = clusterings(rows, sets, 3, rounds=40)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("passes"))
+    spark.sparkContext.setJobGroup("others", "others")
+    assert jobs < 250  # 40 rounds of 30 jobs for 3 clusterings otherwise
+    again = clusterings(rows.repartition(5), sets, 3, rounds=40)
+    assert all((found[key][4] == again[key][4]).all() and (found[key][3] == again[key][3]).all() for key in sets)
+    got = {r["set"]: r.accuracy for r in feature_grid.agreements(rows, {("x",): (["x"], False), ("y",): (["y"], False)}, ["set"], 3).collect()}
+    assert got["x"] == 1.0 and got["y"] < 0.6
+
+
+def test_a_start_with_fewer_places_than_clusters_and_a_round_seen_before(spark):
+    from stellate.operators.clusterings import clusterings
+
+    rows = spark.createDataFrame([(n, float(n % 2), 5.0) for n in range(40)], "id long, x double, flat double")
+    found = clusterings(rows, {"few": (["x", "flat"], False), "flat": (["flat"], True)}, 6, rounds=30)
+    assert sorted(found["few"][4].tolist()) == [[0.0, 5.0], [1.0, 5.0]]
+    assert found["flat"][3].tolist() == [0.0] and found["flat"][4].tolist() == [[0.0]]  # a constant feature loses its weight
