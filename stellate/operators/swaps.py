@@ -11,10 +11,12 @@ import itertools
 import json
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import discard, written
+from . import blocks as bl
 from .centres import Centre, k_center_greedy
 from .draws import uniform
 
@@ -153,6 +155,127 @@ def local_search(points: DataFrame, k: int, rounds: int = 400, seed: int = 0, ah
     return snapped_steps(rows, centres, list_cost(near_lists(rows, centres, 1)))
 
 
+def _nearest(at: np.ndarray, centres: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances and places of each point's nearest centres, nearest first, ties to the earlier one."""
+    d = _apart(at, centres)
+    near = np.argsort(d, 1, kind="stable")[:, :kept]
+    return np.take_along_axis(d, near, 1), near
+
+
+def _apart(at: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (at[:, 0, None] - places[:, 0]) ** 2 + (at[:, 1, None] - places[:, 1]) ** 2
+
+
+def _at(centres: list[Centre]) -> np.ndarray:
+    return np.array([(x, y) for _, x, y in centres], float)
+
+
+#: Numbers of a trial's distances that a task holds at a time.
+HELD = 1 << 20
+
+
+def block_sums(points: bl.Blocks, centres: list[Centre], trials: list[list[tuple[float, float]]]) -> list[tuple[float, dict[tuple[int, ...], float]]]:
+    """swap_sums() of blocks (x, y, weight): one pass for all trials. Centres are numbered by their place in the list."""
+    at, k, most = _at(centres), len(centres), max(map(len, trials))
+    places = sorted({p for t in trials for p in t})
+    new, index = np.array(places, float), {p: n for n, p in enumerate(places)}
+    of = [[index[p] for p in t] for t in trials]
+
+    def task(ids: np.ndarray, v: np.ndarray) -> list:
+        d, near = _nearest(v, at, most + 1)
+        d = np.concatenate([d, np.full((len(d), most + 1 - d.shape[1]), np.inf)], 1)
+        near = np.concatenate([near, np.full((len(d), most + 1 - near.shape[1]), 0)], 1)
+        groups = []  # for m centres gone: which groups of centres there are, and of each point its group
+        for m in range(1, most + 1):
+            code = np.zeros(len(d), np.int64)
+            for c in np.sort(near[:, :m], 1).T:
+                code = code * k + c
+            groups.append(np.unique(code, return_inverse=True))
+        out, step = [], max(1, HELD // max(1, len(v)))
+        for first in range(0, len(of), step):
+            some = of[first : first + step]
+            used = sorted({p for t in some for p in t})
+            to = dict(zip(used, _apart(v, new[used]).T, strict=True))
+            for t in some:
+                least = to[t[0]] if len(t) == 1 else np.minimum.reduce([to[p] for p in t])
+                pay = np.minimum(d[:, 0], least)
+                base, by = float((v[:, 2] * pay).sum()), []
+                for m in range(1, len(t) + 1):
+                    before, pay = pay, np.minimum(d[:, m], least)
+                    codes, inverse = groups[m - 1]
+                    by.append((codes, np.bincount(inverse, v[:, 2] * (pay - before), len(codes))))
+                out.append((base, by))
+        return out
+
+    found = points.each(task)
+    sums: list[tuple[float, dict]] = []
+    for n, t in enumerate(of):
+        by: dict[tuple[int, ...], float] = {}
+        for m in range(1, len(t) + 1):
+            for part in found:
+                codes, added = part[n][1][m - 1]
+                for code, cost in zip(codes.tolist(), added.tolist(), strict=True):
+                    out = tuple(code // k**e % k for e in range(m - 1, -1, -1))
+                    by[out] = by.get(out, 0.0) + cost
+        sums.append((sum(part[n][0] for part in found), by))
+    return sums
+
+
+def block_cost(points: bl.Blocks, centres: list[Centre]) -> float:
+    at = _at(centres)
+    return float(sum(points.each(lambda ids, v: float((v[:, 2] * _nearest(v, at, 1)[0][:, 0]).sum()))))
+
+
+def block_near(points: bl.Blocks, places: np.ndarray, size: int) -> list[list[tuple[float, int, float, float]]]:
+    """Of each place its `size` nearest points as (squared distance, id, x, y), ties to the smaller id."""
+
+    def task(ids: np.ndarray, v: np.ndarray) -> list:
+        out = []
+        for d in _apart(v, places).T:
+            first = np.argsort(d, kind="stable")[:size]  # a block is sorted by id
+            out.append(list(zip(d[first].tolist(), ids[first].tolist(), v[first, 0].tolist(), v[first, 1].tolist(), strict=True)))
+        return out
+
+    found = points.each(task)
+    return [sorted(p for part in found for p in part[n])[:size] for n in range(len(places))]
+
+
+def block_steps(points: bl.Blocks, centres: list[Centre], now: float) -> tuple[list[Centre], float]:
+    """snapped_steps() of blocks."""
+    while True:
+        at, k = _at(centres), len(centres)
+
+        def task(ids: np.ndarray, v: np.ndarray, at: np.ndarray = at, k: int = k) -> np.ndarray:
+            near = _nearest(v, at, 1)[1][:, 0]
+            return np.stack([np.bincount(near, x, k) for x in (v[:, 2], v[:, 2] * v[:, 0], v[:, 2] * v[:, 1])], 1)
+
+        total = sum(points.each(task))
+        full = np.flatnonzero(total[:, 0] > 0)
+        moved = block_near(points, total[full, 1:] / total[full, :1], 1)
+        found = {int(n): p[0][2:] for n, p in zip(full, moved, strict=True)}
+        after = [(c, *found.get(n, (x, y))) for n, (c, x, y) in enumerate(centres)]
+        cost = block_cost(points, after)
+        if cost >= now:
+            return centres, now
+        centres, now = after, cost
+
+
+def _drawn_by_share(points: bl.Blocks, centres: list[Centre], boost: float, now: float, seeds: list[int]) -> list[list[tuple[int, float, float]]]:
+    """For each seed the points (id, x, y) whose hash of id and seed is at most boost times their share of the cost; about `boost` rows a seed reach the driver."""
+    at = _at(centres)
+
+    def task(ids: np.ndarray, v: np.ndarray) -> list:
+        share = boost * _nearest(v, at, 1)[0][:, 0] * v[:, 2] / now
+        out = []
+        for u in bl.uniform(seeds, ids):
+            hit = np.flatnonzero(u <= share)
+            out.append(list(zip(ids[hit].tolist(), v[hit, 0].tolist(), v[hit, 1].tolist(), strict=True)))
+        return out
+
+    found = points.each(task)
+    return [sorted(p for part in found for p in part[n]) for n in range(len(seeds))]
+
+
 def multi_swap_search(points: DataFrame, k: int, rounds: int = 400, seed: int = 0, most: int = 2, boost: float = 1.5, patience: int = 5, neighbours: tuple[int, ...] = (10, 30, 50), ahead: int = 128) -> tuple[list[Centre], float]:
     """Centres (points of the data) and their cost. points: id, x, y, weight (distinct places with their number).
 
@@ -165,36 +288,39 @@ def multi_swap_search(points: DataFrame, k: int, rounds: int = 400, seed: int =
     centres = [(n, x, y) for n, (_, x, y) in enumerate(k_center_greedy(rows, k)[0])]
     if not centres:
         return [], 0.0
+    blocks = bl.Blocks(rows, ["x", "y", "weight"])
+    try:
+        return _passes(blocks, centres, rounds, seed, most, boost, patience, neighbours, ahead)
+    finally:
+        blocks.close()
+        discard(rows)
+
+
+def _passes(points: bl.Blocks, centres: list[Centre], rounds: int, seed: int, most: int, boost: float, patience: int, neighbours: tuple[int, ...], ahead: int) -> tuple[list[Centre], float]:
     numbers, best, least, failed, passes = [c for c, _, _ in centres], centres, math.inf, 0, 0
     while True:
-        lists = written(near_lists(rows, centres, most + 1), "lists")
-        now, turn, step = list_cost(lists), 0, 4
+        now, turn, step = block_cost(points, centres), 0, 4
         while turn < rounds and now > 0:
             turns = range(turn, min(turn + step, rounds))
             step = min(ahead, 2 * step)
-            share = boost * F.get("near", F.lit(0))["d"] * F.col("weight") / now
-            asked = _with(lists.withColumn("_share", share), "_turns", list(turns), "array<long>").select("id", "x", "y", "_share", F.explode("_turns").alias("t"))
-            found = asked.where(uniform(F.col("t") + (seed * 7_919 + passes * rounds), "id") <= F.col("_share")).collect()  # boost rows a round on average
+            found = dict(zip(turns, _drawn_by_share(points, centres, boost, now, [t + seed * 7_919 + passes * rounds for t in turns]), strict=True))
             trials, of = [], []
             for t in turns:
-                new = sorted((r.id, r.x, r.y) for r in found if r.t == t)
+                new = found[t]
                 if 1 <= len(new) <= most:
                     subsets = [s for m in range(1, len(new) + 1) for s in itertools.combinations([p[1:] for p in new], m) if m <= len(numbers)]
                     trials += map(list, subsets)
                     of += [t] * len(subsets)
-            sums = swap_sums(lists, trials) if trials else {}
+            sums = block_sums(points, centres, trials) if trials else []
             costed = {t: min((*best_swap(numbers, len(trials[n]), *sums[n]), n) for n in range(len(trials)) if of[n] == t) for t in dict.fromkeys(of)}
             swap = next((t for t in turns if t in costed and costed[t][0] < (1 - 1 / (100 * len(centres))) * now), None)
             turn = turns[-1] + 1 if swap is None else swap + 1
             if swap is not None:
                 now, out, n = costed[swap]
                 centres = replaced(centres, out, trials[n])
-                before, lists = lists, written(renewed(lists, centres, set(out), most + 1), "lists")
-                discard(before)
                 step = 4
-        discard(lists)
-        centres, now = snapped_steps(rows, centres, list_cost(near_lists(rows, centres, 1)))
-        centres, now = neighbour_swaps(rows, centres, now, neighbours)
+        centres, now = block_steps(points, centres, block_cost(points, centres))
+        centres, now = neighbour_swaps(points, centres, now, neighbours)
         if now < least:
             best, least, failed = centres, now, 0
         else:
@@ -202,39 +328,46 @@ def multi_swap_search(points: DataFrame, k: int, rounds: int = 400, seed: int =
         if failed >= patience or now == 0:
             return best, least
         passes += 1
-        centres = mutated(rows, centres, seed * 104_729 + passes)
+        centres = mutated(points, centres, seed * 104_729 + passes)
 
 
-def neighbour_swaps(rows: DataFrame, centres: list[Centre], now: float, sizes: tuple[int, ...]) -> tuple[list[Centre], float]:
+def neighbour_swaps(points: bl.Blocks, centres: list[Centre], now: float, sizes: tuple[int, ...]) -> tuple[list[Centre], float]:
     """Each centre tried at each of its nearest points (those of a size, then of the next), the best trial made as long as it saves."""
     at = 0
     while at < len(sizes):
-        tried = _near_points(rows, centres, sizes[at])
-        lists = near_lists(rows, centres, 2)
-        places = sorted({(r.x, r.y) for r in tried})
-        costs: dict[tuple[float, float], tuple[float, dict]] = {}
-        for n in range(0, len(places), 512):
-            part = places[n : n + 512]
-            costs |= dict(zip(part, swap_sums(lists, [[p] for p in part]).values(), strict=True))
-        trials = [(costs[r.x, r.y][0] + costs[r.x, r.y][1].get((r.c,), 0.0), r.c, r.id, (r.x, r.y)) for r in tried]
-        cost, c, _, place = min(trials)
+        tried = [(n, *p[1:]) for n, near in enumerate(block_near(points, _at(centres), sizes[at])) for p in near]
+        places = sorted({(x, y) for _, _, x, y in tried})
+        costs = dict(zip(places, block_sums(points, centres, [[p] for p in places]), strict=True))
+        cost, n, _, place = min((costs[x, y][0] + costs[x, y][1].get((n,), 0.0), n, i, (x, y)) for n, i, x, y in tried)
         if cost < now * (1 - 1e-12):
-            centres, now = replaced(centres, (c,), [place]), cost
+            centres, now = replaced(centres, (centres[n][0],), [place]), cost
         else:
             at += 1
     return centres, now
 
 
-def mutated(rows: DataFrame, centres: list[Centre], seed: int) -> list[Centre]:
+def mutated(points: bl.Blocks, centres: list[Centre], seed: int) -> list[Centre]:
     """The len(centres) places of most score: of centres their share of the cost, and of 2 k drawn points three times the share of the cost if they were the centres."""
     k = len(centres)
-    drawn = [(n, r.x, r.y) for n, r in enumerate(rows.orderBy(uniform(seed, "id"), "id").limit(2 * k).select("x", "y").collect())]
+
+    def first(ids: np.ndarray, v: np.ndarray) -> list:
+        u = next(bl.uniform([seed], ids))
+        least = np.argsort(u, kind="stable")[: 2 * k]
+        return list(zip(u[least].tolist(), ids[least].tolist(), v[least, 0].tolist(), v[least, 1].tolist(), strict=True))
+
+    drawn = [(n, x, y) for n, (_, _, x, y) in enumerate(sorted(p for part in points.each(first) for p in part)[: 2 * k])]
+    own = [_at(centres), _at(drawn)]
+
+    def shares(ids: np.ndarray, v: np.ndarray) -> list:
+        near = [_nearest(v, at, 1) for at in own]
+        return [np.bincount(c[:, 0], v[:, 2] * d[:, 0], len(at)) for (d, c), at in zip(near, own, strict=True)]
+
+    found = points.each(shares)
     scores: dict[tuple[float, float], float] = {}
-    for own, times in ((centres, 1.0), (drawn, 3.0)):
-        near = near_lists(rows, own, 1).select("weight", F.get("near", F.lit(0)).alias("n"))
-        by = {r.c: r.s for r in near.groupBy("n.c").agg(F.sum(F.col("weight") * F.col("n.d")).alias("s")).collect()}
-        total = sum(by.values()) or 1.0
-        for c, x, y in own:
-            scores[x, y] = scores.get((x, y), 0.0) + times * by.get(c, 0.0) / total
+    for n, (places, times) in enumerate(((centres, 1.0), (drawn, 3.0))):
+        by = sum(part[n] for part in found)
+        total = float(by.sum()) or 1.0
+        for (_, x, y), cost in zip(places, by.tolist(), strict=True):
+            scores[x, y] = scores.get((x, y), 0.0) + times * cost / total
     order = sorted(scores, key=lambda p: (-scores[p], p))[:k]
     return [(n, x, y) for n, (x, y) in enumerate(order)]

@@ -362,3 +362,26 @@ def test_density_clustering_writes_no_pairs(spark, monkeypatch):
     for found in (density_clustering.dbscan(points, 0.05, 4), density_clustering.adaptive_dbscan(points, 0.04, 0.06, 4), density_clustering.variable_eps_dbscan(points, 4)):
         assert {(r.id, r.cluster) for r in found.collect()} == {(n, 0) for n in range(200)} | {(500, -1)}
     assert max(rows) <= 201
+
+
+def test_blocks_draw_and_cost_as_spark_does(spark):
+    """What multi_swap_search does in blocks equals the same steps as aggregations."""
+    from stellate.operators import blocks, draws
+
+    rows = _places(70, 12, 50)
+    points = spark.createDataFrame(rows, "id long, x double, y double, weight long").repartition(3)
+    held = blocks.Blocks(points, ["x", "y", "weight"])
+    ids = np.array([r[0] for r in rows])
+    assert dict(zip(ids.tolist(), next(blocks.uniform([77], ids)).tolist(), strict=True)) == {r.id: r.u for r in points.select("id", draws.uniform(77, "id").alias("u")).collect()}
+    current = [(c, x, y) for c, (_, x, y, _) in enumerate(rows[:5])]
+    trials = [[(0.5, 0.5)], [(0.1, 0.2), (0.8, 0.7)], [(0.1, 0.2), (0.8, 0.7), (0.3, 0.9)]]
+    want, got = swaps.swap_sums(swaps.near_lists(points, current, 4), trials), swaps.block_sums(held, current, trials)
+    for n, (base, by) in enumerate(got):
+        assert base == pytest.approx(want[n][0]) and by == pytest.approx(want[n][1], abs=1e-12)
+    got_steps, want_steps = swaps.block_steps(held, current, math.inf), swaps.snapped_steps(points, current, math.inf)
+    assert got_steps[0] == want_steps[0] and got_steps[1] == pytest.approx(want_steps[1])
+    near = swaps.block_near(held, np.array([(x, y) for _, x, y in current]), 6)
+    assert sorted((c, p[1]) for c, some in enumerate(near) for p in some) == sorted((r.c, r.id) for r in swaps._near_points(points, current, 6))
+    few = swaps.block_sums(held, current[:1], [[(0.5, 0.5)]])[0]
+    assert few[0] + few[1][0,] == pytest.approx(_cost(rows, [(0, 0.5, 0.5)]))
+    held.close()
