@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import discard, written
+from .cells import counts_within
 from .neighbors import nearest, within, within_own
 from .order import quantiles
 from .sampling import numbered
@@ -161,6 +162,6 @@ def density_peaks(points: DataFrame, k: int, rho: str = "rho") -> DataFrame:
 
 
 def cutoff_density(points: DataFrame, cutoff: float) -> DataFrame:
-    """points with rho: the other points within the cutoff."""
-    counts = within(points, cutoff).groupBy(F.col("i").alias("id")).agg((F.count(F.lit(1)) - 1).alias("rho"))
+    """points with rho: the other points within the cutoff, by a descent over cells and not by pairs of points."""
+    counts = written(counts_within(points, [cutoff]).select("id", (F.col("n0") - 1).alias("rho")), "rho")
     return points.join(counts, "id")

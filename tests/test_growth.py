@@ -385,3 +385,10 @@ def test_blocks_draw_and_cost_as_spark_does(spark):
     few = swaps.block_sums(held, current[:1], [[(0.5, 0.5)]])[0]
     assert few[0] + few[1][0,] == pytest.approx(_cost(rows, [(0, 0.5, 0.5)]))
     held.close()
+
+
+def test_cutoff_density_makes_no_pairs_of_points(spark):
+    rows = spark.range(6000).select("id", (F.col("id") % 2).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    found = density_clustering.cutoff_density(rows, 0.5)
+    assert "cx" not in found._jdf.queryExecution().optimizedPlan().toString()  # pairs of points in neighbouring cells: 18 million here
+    assert [tuple(r) for r in found.groupBy("rho").count().collect()] == [(2999, 6000)]
