@@ -392,3 +392,17 @@ def test_cutoff_density_makes_no_pairs_of_points(spark):
     found = density_clustering.cutoff_density(rows, 0.5)
     assert "cx" not in found._jdf.queryExecution().optimizedPlan().toString()  # pairs of points in neighbouring cells: 18 million here
     assert [tuple(r) for r in found.groupBy("rho").count().collect()] == [(2999, 6000)]
+
+
+def test_counts_meet_as_arrays_also_where_a_smallest_cell_holds_many_places(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(n, rng.random() * 1e-9, rng.random() * 1e-9) for n in range(300)] + [(300 + n, rng.random(), rng.random()) for n in range(300)] + [(600, 1.0, 1.0)]
+    monkeypatch.setattr(cells, "NEAR", 40)
+    packed = []
+    real = cells._near_counts
+    monkeypatch.setattr(cells, "_near_counts", lambda *a: packed.append(1) or real(*a))
+    radii = [5e-10, 0.2]
+    got = {r.id: (r.n0, r.n1) for r in cells.counts_within(spark.createDataFrame(rows, "id long, x double, y double"), radii).collect()}
+    x, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    d = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2)
+    assert packed and got == {n: tuple(int((d[n] <= r).sum()) for r in radii) for n in range(601)}
