@@ -11,7 +11,7 @@ Counting, sampling and scoring are three shuffles. Tasks read chunks of texts an
 pairs with training counts, packed, to buckets of the hash space (1: counts). A bucket holds all pairs of its words at every level, so it
 samples their seating alone, given the numbers of customers and tables in the other buckets' restaurants; those
 totals (a few numbers a restaurant, so at most a few MB) are exchanged between the buckets through the driver, once before and once
-after the kept sweeps. The buckets answer each chunk's pairs (2: answers), and meet the chunk's
+after the kept sweeps. These sweeps run once: a bucket's tables after each are written beside its pairs. The buckets answer each chunk's pairs (2: answers), and meet the chunk's
 tokens again (3). Chunks are made twice, by the same code from the same scan: docs must be a deterministic read,
 such as a table (a mismatch in a chunk's documents or pairs raises an error).
 
@@ -23,9 +23,11 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, lean, release, table, written
+from .common import discard, held_out, lean, release, table, written
 
 #: Classes of contexts, restaurants of each class, tokens of a chunk, words that a task remembers.
 CLASSES, SLOTS, CHUNK, REMEMBERED = 64, 1024, 750_000, 150_000
@@ -45,25 +47,43 @@ CONTEXTS = CLASSES * SLOTS
 BURN_IN, KEPT, GROUPS, THETA, SEED = 1, 3, 4, 1.0, 11
 #: Bytes of text for each bucket. The number of buckets is part of the model (a bucket knows the others' last totals only), so it follows from the data alone.
 BUCKET_BYTES = 4 << 20
+#: Rows of a frame that a task sends.
+ROWS = 512
 END = 0
 _PUNCTUATION = b".,;:!?*#$%&|\"'()[]"
 
 
-class Words(dict):
-    """Places of words (bytes) in `hashes` and `contexts` (slot * CLASSES + class); place 0 is the end token."""
+class Words:
+    """`places` of words (bytes) in `hashes` and `contexts` (slot * CLASSES + class); place 0 is the end token."""
 
     def __init__(self):
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        self.hashes, self.contexts = [END], [0]
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self.hashes)
-        self.hashes.append(h := max(1, xxhash.xxh3_64_intdigest(word)))
-        self.contexts.append((h >> 20) % SLOTS * CLASSES + 1 + zlib.crc32((word.rstrip(_PUNCTUATION) or word)[-2:]) % (CLASSES - 1))
-        return at
+        self.places = defaultdict(count(1).__next__)
+        self.hashes, self.contexts = np.array([END], np.uint64), np.zeros(1, np.int64)
+
+    def known(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and contexts of all places, after those of new words were added."""
+        new = list(islice(self.places, len(self.hashes) - 1, None))
+        hashes = np.maximum(np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)), np.uint64(1))
+        endings = np.fromiter(map(zlib.crc32, [(w.rstrip(_PUNCTUATION) or w)[-2:] for w in new]), np.int64, len(new))
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.contexts = np.concatenate([self.contexts, (hashes >> np.uint64(20)).astype(np.int64) % SLOTS * CLASSES + 1 + endings % (CLASSES - 1)])
+        return self.hashes, self.contexts
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(keys, return_inverse=True) of keys of at least 0: a plain sort of keys with their places, where both fit into 63 bits."""
+    bits = max(1, len(keys).bit_length())
+    if not len(keys) or int(keys.max()).bit_length() + bits > 63:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort(keys.astype(np.int64) << bits | np.arange(len(keys)))
+    ordered, at = both >> bits, both & ((1 << bits) - 1)
+    new = np.diff(ordered, prepend=-1) != 0
+    inverse = np.empty(len(keys), np.int64)
+    inverse[at] = np.cumsum(new) - 1
+    return ordered[new], inverse
 
 
 @dataclass
@@ -96,16 +116,16 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         nonlocal made, ids, held, parts, size
         tokens = np.concatenate(parts)
         lengths = np.array([len(p) for p in parts], np.int64)
-        hashes, contexts = np.array(words.hashes, np.uint64), np.array(words.contexts, np.int64)
+        hashes, contexts = words.known()
         context = np.concatenate([[0], contexts[tokens[:-1]]])  # the end token before each first one has context 0
-        places, local = np.unique(tokens, return_inverse=True)
+        places = np.flatnonzero(np.bincount(tokens))
         order = np.argsort(hashes[places], kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        keys, token_pair = np.unique(rank[local] * CONTEXTS + context, return_inverse=True)
+        rank = np.zeros(len(hashes), np.int64)
+        rank[places[order]] = np.arange(len(order))
+        keys, token_pair = _distinct(rank[tokens] * CONTEXTS + context)
         out = Chunk(first + made, ids, np.array(held, bool), lengths, hashes[places][order], keys // CONTEXTS, keys % CONTEXTS, token_pair)
         ids, held, parts, size, made = [], [], [], 0, made + 1
-        if len(words) > REMEMBERED:
+        if len(words.places) > REMEMBERED:
             words.reset()
         return out
 
@@ -113,7 +133,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         for doc_id, text, is_held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             split = text.as_py().lower().split() if text.is_valid else []
             own = np.empty(len(split) + 1, np.int64)
-            own[:-1] = np.fromiter(map(words.__getitem__, split), np.int64, len(split))
+            own[:-1] = np.fromiter(map(words.places.__getitem__, split), np.int64, len(split))
             own[-1] = 0
             ids.append(doc_id)
             held.append(is_held)
@@ -151,10 +171,10 @@ def _merge(frame: pd.DataFrame) -> pd.DataFrame:
     keys = []
     for w, spread, contexts in zip(words, frame["spread"], frame["contexts"], strict=True):
         keys.append(np.repeat(np.searchsorted(all_words, w), np.frombuffer(spread, "<u4")) * CONTEXTS + np.frombuffer(contexts, "<u2"))
-    pairs = np.unique(np.concatenate(keys))
+    ends = np.cumsum([len(k) for k in keys])
+    pairs, inverse = _distinct(np.concatenate(keys))
     counts, places = np.zeros(len(pairs), np.int64), []
-    for k, c in zip(keys, frame["counts"], strict=True):
-        at = np.searchsorted(pairs, k)
+    for at, c in zip(np.split(inverse, ends[:-1]), frame["counts"], strict=True):
         counts[at] += np.frombuffer(c, "<u4")  # a chunk names a pair once
         places.append(np.diff(at, prepend=0).astype("<u4").tobytes())
     by_word = np.bincount(pairs // CONTEXTS, counts, len(all_words))
@@ -180,17 +200,17 @@ def sit(seated: np.ndarray, tables: np.ndarray, more: np.ndarray, offset: np.nda
         x[first] += 1
     left[first] -= 1
     active = np.flatnonzero(left > 0)
+    t, n, left, o, offset, below, gain, weight = (x[active] for x in (tables, n, left, opened, offset, below * weight, gain, weight))  # of those who still come
     while len(active):
-        m = np.minimum(np.maximum(n[active] // 16 * (n[active] >= 64), 1), left[active])
-        o = opened[active]
-        new = (offset[active] + discount * o) * (below[active] * weight[active] + gain[active] * o) / (weight[active] + o)
-        p = new / (new + n[active] - discount * tables[active])
+        m = np.minimum(np.maximum(n // 16 * (n >= 64), 1), left)
+        new = (offset + discount * o) * (below + gain * o) / (weight + o)
+        p = new / (new + n - discount * t)
         drawn = rng.random(len(active)) < p if (m == 1).all() else rng.binomial(m, p)
-        tables[active] += drawn
-        opened[active] += drawn
-        n[active] += m
-        left[active] -= m
-        active = active[left[active] > 0]
+        t, o, n, left = t + drawn, o + drawn, n + m, left - m
+        stay = left > 0
+        if not stay.all():
+            tables[active] = t
+            active, t, n, left, o, offset, below, gain, weight = (x[stay] for x in (active, t, n, left, o, offset, below, gain, weight))
     return tables
 
 
@@ -212,20 +232,22 @@ def leave(seated: np.ndarray, tables: np.ndarray, fewer: np.ndarray, discount: f
     """Tables of each dish after `fewer` of its customers, drawn at random, have left one by one (in groups of a sixteenth beyond 64, as they come).
 
     About `discount` of many tables have a single customer, and 2 * tables - customers of them at least."""
-    t, n, left = np.where(fewer < seated, tables, 0), seated.copy(), np.where(fewer < seated, fewer, 0)
+    out, left = np.where(fewer < seated, tables, 0), np.where(fewer < seated, fewer, 0)
     alone = closing(discount)
     active = np.flatnonzero(left > 0)
+    own, c, left = out[active], seated[active], left[active]
     while len(active):
-        c, own = n[active], t[active]
         few = c < len(alone)
         p = np.where(few, alone[np.where(few, c, 0), np.where(few, own, 0)], np.maximum(discount * own, 2 * own - c) / np.maximum(c, 1))
-        m = np.minimum(np.maximum(c // 16 * ~few, 1), left[active])
+        m = np.minimum(np.maximum(c // 16 * ~few, 1), left)
         gone = rng.random(len(active)) < p if (m == 1).all() else rng.binomial(m, p)
-        t[active] = np.minimum(np.maximum(own - gone, 1), c - m)
-        n[active] -= m
-        left[active] -= m
-        active = active[left[active] > 0]
-    return t
+        own = np.minimum(np.maximum(own - gone, 1), c - m)
+        c, left = c - m, left - m
+        stay = left > 0
+        if not stay.all():
+            out[active] = own
+            active, own, c, left = (x[stay] for x in (active, own, c, left))
+    return out
 
 
 @dataclass
@@ -298,6 +320,17 @@ class Seating:
     def of(cls, row) -> Seating:
         return cls(np.frombuffer(row.spread, "<u4"), np.frombuffer(row.contexts, "<u2"), np.frombuffer(row.counts, "<u8"))
 
+    def packed(self) -> bytes:
+        """The tables at all levels, as restored() takes them; pairs of one customer at most have as many tables."""
+        return _packed(np.concatenate([self.tables[self.counts > 1], self.class_tables, self.root_tables]))
+
+    def restored(self, packed: bytes) -> None:
+        movable, tables = self.counts > 1, _unpacked(packed)
+        ends = np.cumsum([movable.sum(), len(self.class_tables)])
+        self.tables[movable], self.class_tables, self.root_tables = np.split(tables, ends)
+        self.up()
+        self.root_customers = np.bincount(self.at_root, self.class_tables, self.n_words).astype(np.int64)
+
     def up(self) -> None:
         self.class_customers = np.bincount(self.at_class, self.tables, len(self.at_root)).astype(np.int64)
 
@@ -389,6 +422,15 @@ class Seating:
             yield k
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers, their bytes of one weight together: nearly all are small."""
+    return zstandard.compress(values.astype("<i8").view("u1").reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), "u1").reshape(8, -1).T).view("<i8").ravel()
+
+
 @dataclass
 class Settings:
     vocabulary: int
@@ -412,13 +454,41 @@ def _customers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 @lean
-def _totals(frames: Iterator[pd.DataFrame], p: Settings, totals: Totals | None, n: int) -> Iterator[pd.DataFrame]:
+def _first(frames: Iterator[pd.DataFrame], p: Settings) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for row in frame.itertuples():
-            own = Seating.of(row)
-            others = None if totals is None else totals - _first_totals(row, p)
-            out = [x for k in own.sweeps(row.bucket, p, others, n) if totals is not None or k == n - 1 for t in [own.totals()] for x in _packed_totals(k, t.contexts, t.classes, t.root)]
-            yield pd.DataFrame(out, columns=["sweep", "class", "tables"])
+            t = _first_totals(row, p)
+            yield pd.DataFrame(_packed_totals(BURN_IN - 1, t.contexts, t.classes, t.root), columns=["sweep", "class", "tables"])
+
+
+#: A bucket with what it had after each kept sweep: its tables, and its totals (contexts, classes, root).
+SEATED = "bucket int, spread binary, contexts binary, counts binary, chunks array<long>, places array<binary>, seats array<binary>, totals array<binary>"
+
+
+@lean
+def _seated(frames: Iterator[pd.DataFrame], p: Settings, start: Totals) -> Iterator[pd.DataFrame]:
+    """The only run of the kept sweeps: probabilities need all buckets' totals, so they are taken later, from the tables as written."""
+    for frame in frames:
+        for row in frame.itertuples():
+            own, seats, totals = Seating.of(row), [], []
+            for k in own.sweeps(row.bucket, p, start - _first_totals(row, p), BURN_IN + KEPT):
+                if k >= BURN_IN:
+                    t = own.totals()
+                    seats.append(own.packed())
+                    totals.append(_packed(np.concatenate([t.contexts, t.classes, [t.root]])))
+            yield pd.DataFrame([(row.bucket, row.spread, row.contexts, row.counts, row.chunks, row.places, seats, totals)], columns=[c.split()[0] for c in SEATED.split(", ")])
+
+
+@lean
+def _kept_totals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A task's sums of its buckets' totals."""
+    sums = np.zeros((KEPT, CONTEXTS + CLASSES + 1))
+    for frame in frames:
+        for totals in frame["totals"]:
+            for k, t in enumerate(totals):
+                sums[k] += _unpacked(t)
+    for k, t in enumerate(sums):
+        yield pd.DataFrame(_packed_totals(BURN_IN + k, t[:CONTEXTS], t[CONTEXTS:-1], t[-1]), columns=["sweep", "class", "tables"])
 
 
 def _first_totals(row, p: Settings) -> Totals:
@@ -448,20 +518,23 @@ def _collected(parts: DataFrame) -> dict[int, Totals]:
 
 
 @lean
-def _answers(frames: Iterator[pd.DataFrame], p: Settings, start: Totals, totals: dict[int, Totals]) -> Iterator[pd.DataFrame]:
+def _answers(frames: Iterator[pd.DataFrame], p: Settings, totals: dict[int, Totals]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for row in frame.itertuples():
-            own, others = Seating.of(row), start - _first_totals(row, p)
+            own = Seating.of(row)
             mean = np.zeros(len(own.counts))
-            for k in own.sweeps(row.bucket, p, others, BURN_IN + KEPT):
-                if k >= BURN_IN:
-                    mean += own.probability(totals[k], p) / KEPT
+            for k, seats in enumerate(row.seats, BURN_IN):
+                own.restored(seats)
+                mean += own.probability(totals[k], p) / KEPT
             logs = np.log10(np.maximum(mean, 1e-300)).astype("<f4")
             known = np.bincount(own.word_of, own.counts, own.n_words).astype("<u8")[own.word_of]
+            out = []
             for chunk, steps in zip(row.chunks, row.places, strict=True):
                 at = np.cumsum(np.frombuffer(steps, "<u4"))
                 new = np.flatnonzero(np.diff(own.word_of[at], prepend=-1))  # a word's count is sent once
-                yield pd.DataFrame([(chunk, row.bucket, logs[at].tobytes(), known[at][new].astype("<u8").tobytes(), np.diff(new, append=len(at)).astype("<u4").tobytes())], columns=["chunk", "bucket", "logs", "known", "spread"])
+                out.append((chunk, row.bucket, logs[at].tobytes(), known[at[new]].tobytes(), np.diff(new, append=len(at)).astype("<u4").tobytes()))
+            for k in range(0, len(out), ROWS):
+                yield pd.DataFrame(out[k : k + ROWS], columns=["chunk", "bucket", "logs", "known", "spread"])
 
 
 @lean
@@ -509,11 +582,13 @@ def score(docs: DataFrame, folds: int = 5, bucket_bytes: int = BUCKET_BYTES) ->
     discount = min(0.95, max(0.1, sums["once"] / max(1, sums["once"] + 2 * sums["twice"])))
     pairs, none = merged.select("bucket", "spread", "contexts", "counts"), Totals(np.zeros(CONTEXTS), np.zeros(CLASSES), 0.0)
     p = Settings(sums["n_words"], sums["n_tokens"], _collected(pairs.mapInPandas(_customers, SUMS)).get(-1, none).contexts, discount)
-    start = _collected(pairs.mapInPandas(lambda f: _totals(f, p, None, BURN_IN), SUMS)).get(BURN_IN - 1, none)
+    start = _collected(pairs.mapInPandas(lambda f: _first(f, p), SUMS)).get(BURN_IN - 1, none)
     sent = spark.sparkContext.broadcast((p, start))
-    totals = _collected(pairs.mapInPandas(lambda f: _totals(f, *sent.value, BURN_IN + KEPT), SUMS))
-    all_totals = spark.sparkContext.broadcast(totals)
-    answers = merged.mapInPandas(lambda f: _answers(f, *sent.value, all_totals.value), "chunk long, bucket int, logs binary, known binary, spread binary")
+    seated = written(merged.select("bucket", "spread", "contexts", "counts", "chunks", "places").mapInPandas(lambda f: _seated(f, *sent.value), SEATED), "seated")
+    discard(merged)
+    totals = _collected(seated.select("totals").mapInPandas(_kept_totals, SUMS))
+    all_totals = spark.sparkContext.broadcast((p, totals))
+    answers = seated.drop("totals").mapInPandas(lambda f: _answers(f, *all_totals.value), "chunk long, bucket int, logs binary, known binary, spread binary")
     tokens = rows.mapInArrow(_tokens, "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, low binary, high binary, pairs long")
     return tokens.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda d, a: _scored(d, a, p), RESULT)
 

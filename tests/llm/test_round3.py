@@ -233,3 +233,38 @@ def test_pitman_yor_scores_do_not_depend_on_partitions(spark, data):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0].keys() == found[1].keys() and all(v == pytest.approx(found[1][k], rel=1e-9) for k, v in found[0].items())
+
+
+def test_pitman_yor_sweeps_once_for_totals_and_answers(monkeypatch):
+    import pandas as pd
+
+    from stellate.llm import pitman_yor as py
+
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 300, 6_000) * py.CONTEXTS + rng.integers(0, 400, 6_000))
+    spread, contexts, counts = np.bincount(keys // py.CONTEXTS, minlength=300), keys % py.CONTEXTS, rng.zipf(1.6, len(keys)).clip(max=5_000) - 1
+    row = pd.DataFrame([(0, spread.astype("<u4").tobytes(), contexts.astype("<u2").tobytes(), counts.astype("<u8").tobytes(), [5], [np.diff(np.arange(len(keys)), prepend=0).astype("<u4").tobytes()])], columns=["bucket", "spread", "contexts", "counts", "chunks", "places"])
+    p = py.Settings(400, int(counts.sum()), np.bincount(contexts, counts, py.CONTEXTS), 0.6)
+    own = py.Seating.of(next(row.itertuples()))
+    start = py._first_totals(next(row.itertuples()), p)
+    others = start - start
+    kept = [(own.totals(), own.probability(own.totals(), p)) for k in own.sweeps(0, p, others, py.BURN_IN + py.KEPT) if k >= py.BURN_IN]
+
+    seated = pd.concat(py._seated(iter([row]), p, start))
+    monkeypatch.setattr(py.Seating, "sweep", None)  # answers take the written tables
+    sums = pd.concat(py._kept_totals(iter([seated, seated])))
+    assert sorted(set(sums["sweep"])) == list(range(py.BURN_IN, py.BURN_IN + py.KEPT))
+    first = sums[(sums["sweep"] == py.BURN_IN) & (sums["class"] == 7)]["tables"].iloc[0]
+    assert (np.frombuffer(first, "<f8")[: py.SLOTS] == 2 * kept[0][0].contexts.reshape(py.SLOTS, py.CLASSES)[:, 7]).all()
+    answers = pd.concat(py._answers(iter([seated]), p, {py.BURN_IN + k: t for k, (t, _) in enumerate(kept)}))
+    mean = sum(x / py.KEPT for _, x in kept)
+    assert (np.frombuffer(answers["logs"].iloc[0], "<f4") == np.log10(mean).astype("<f4")).all()
+
+
+def test_pitman_yor_distinct_keys():
+    from stellate.llm.pitman_yor import _distinct
+
+    for keys in ([], [0], [4, 1, 4, 0, 1 << 36], [1 << 62, 3, 1 << 62]):  # the last ones leave no room for places
+        keys = np.array(keys, np.int64)
+        for got, want in zip(_distinct(keys), np.unique(keys, return_inverse=True), strict=True):
+            assert (got == want).all() and len(got) == len(want)
