@@ -39,6 +39,18 @@ class Blocks:
         found = self.rdd.map(lambda b: (int(b[0][0]), task(*b))).collect()
         return [v for _, v in sorted(found, key=lambda t: t[0])]
 
+    def summed(self, task: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
+        """The sum of task(ids, values) over all blocks, of which the driver gets PARTS parts at most; None without blocks."""
+
+        def added(blocks: Iterator) -> list[np.ndarray]:
+            found = None
+            for b in blocks:
+                found = task(*b) if found is None else found + task(*b)
+            return [] if found is None else [found]
+
+        parts = self.rdd.coalesce(PARTS).mapPartitions(added).collect()
+        return sum(parts[1:], parts[0]) if parts else None
+
     def close(self) -> None:
         self.rdd.unpersist()
         discard(self.table)

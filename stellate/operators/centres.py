@@ -3,14 +3,18 @@ the driver over a number of centres that is a parameter; every step is an aggreg
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import discard, written
+from ..plans.storage import written
+from .blocks import Blocks
 from .neighbors import nearest_centre
 from .scaling import min_max
 
@@ -98,57 +102,163 @@ def k_medoids(points: DataFrame, k: int, score: str = "score", steps: int = 10)
     """id, cluster and the medoids: from the k highest scores, every step moves each medoid to its cluster's point of the
     least summed distance, until none moves."""
     centres = [(n, r.x, r.y) for n, r in enumerate(points.orderBy(F.desc(score), F.desc("id")).limit(k).collect())]
+    rows = Blocks(_finite(points), ["x", "y"])
     for _ in range(steps):
-        own = written(nearest_centre(points, centres).select("id", "x", "y", "centre"), "medoids")
-        moved = medoids(own)
+        moved = _medoids(rows, len(centres), functools.partial(_nearest, [(x, y) for _, x, y in centres]))
         after = [(c, *moved.get(c, (x, y))) for c, x, y in centres]
-        discard(own)
         if after == centres:
             break
         centres = after
+    rows.close()
     return nearest_centre(points, centres).select("id", F.col("centre").alias("cluster")), centres
 
 
-#: Candidates of a cluster whose distances are summed exactly, and cells of a cluster's grid at most (a power of 4).
-CANDIDATES, GRID = 256, 4096
+#: Candidates of a cluster in one pass, and columns and rows of a cluster's grid.
+CANDIDATES, GRID = 256, 48
 
 
 def medoids(own: DataFrame) -> dict[int, tuple[float, float]]:
-    """Of each cluster (own: id, x, y, centre) the point of the least summed distance to all (to 9 digits, ties to the smaller id).
-
-    A cell's points are together at least as far away as their number times the distance to their mean, and at most the sum of
-    their own distances to the mean farther. Points whose lower bound exceeds the least upper bound go, on ever finer grids; the sums of those left are
-    exact, candidates in turns of a bounded number against all points of their cluster."""
-    b = own.groupBy("centre").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side"))
-    boxes = F.broadcast(written(b.withColumn("side", F.when(F.col("side") > 0, F.col("side")).otherwise(1.0)), "boxes"))  # a row a centre
-    left, per = own, 8
+    """Of each cluster (own: id, x, y, centre) the point of the least summed distance to all (to 9 digits, ties to the smaller id)."""
+    names = sorted(r.centre for r in own.select("centre").distinct().collect())
+    rows = Blocks(_finite(own), ["x", "y", "centre"])
+    found = _medoids(rows, len(names), lambda v: np.searchsorted(names, v[:, 2]))
+    rows.close()
+    return {names[c]: place for c, place in found.items()}
+
+
+def _finite(points: DataFrame) -> DataFrame:
+    return points.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('inf')" for c in "xy"))
+
+
+def _nearest(centres: list[tuple[float, float]], v: np.ndarray) -> np.ndarray:
+    return np.argmin([np.sqrt((v[:, 0] - x) * (v[:, 0] - x) + (v[:, 1] - y) * (v[:, 1] - y)) for x, y in centres], axis=0)
+
+
+def _sums(places: np.ndarray, others: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Of each place the (weighted) distances to all others."""
+    out, some = np.zeros(len(places)), max(1, (1 << 19) // max(1, len(others)))
+    for n in range(0, len(places), some):
+        dx, dy = places[n : n + some, :1] - others[:, 0], places[n : n + some, 1:2] - others[:, 1]
+        d = np.sqrt(dx * dx + dy * dy)
+        out[n : n + some] = (d if weights is None else d * weights).sum(1)  # a row's sum doesn't depend on the other rows
+    return out
+
+
+def _medoids(rows: Blocks, k: int, label: Callable[[np.ndarray], np.ndarray]) -> dict[int, tuple[float, float]]:
+    """medoids() of the clusters 0 to k - 1 that have points; label gives the cluster of each row.
+
+    A cluster's grid has about as many points in each column and each row. A cell's points are together at least as far from a place as their number times the distance of
+    their mean, and little farther, so that a place's sum has a close bound from below; the bound is convex, so its slope at a cell's mean bounds it for all of the
+    cell. The points of the best cell are summed exactly. What is bounded by more than the least sum goes, cells at the driver (their number is fixed) and points in tasks; those that
+    are left are summed in the order of their bounds, a bounded number a pass, until the next bound exceeds the least sum."""
+    shares, cells = np.arange(1, GRID) / GRID, GRID * GRID
+
+    def borders(ids: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out, at = np.zeros((k, 2 * GRID)), label(v)
+        for c in np.unique(at):
+            own = v[at == c, :2]
+            out[c] = [len(own), np.abs(own).max() * len(own), *len(own) * np.quantile(own, shares, axis=0, method="lower").T.ravel()]
+        return out
+
+    found = rows.summed(borders)
+    if found is None:
+        return {}
+    sizes = found[:, 0]
+    lines = (found[:, 2:] / np.maximum(sizes, 1)[:, None]).reshape(k, 2, GRID - 1)
+
+    def parts(v: np.ndarray):
+        """Of each cluster its rows and their cells."""
+        at = label(v)
+        for c in np.unique(at):
+            own = np.flatnonzero(at == c)
+            yield c, own, np.searchsorted(lines[c, 0], v[own, 0]) * GRID + np.searchsorted(lines[c, 1], v[own, 1])
+
+    def filled(ids: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = np.zeros((k, 3, cells))
+        for c, own, cell in parts(v):
+            out[c] = [np.bincount(cell, w, cells) for w in (None, v[own, 0], v[own, 1])]
+        return out
+
+    grids = rows.summed(filled)
+    means, weights, used, bounds, slopes = [], [], [], [], []
+    for c in range(k):
+        on = np.flatnonzero(grids[c, 0])
+        n = grids[c, 0, on]
+        m = np.stack([grids[c, 1, on] / n, grids[c, 2, on] / n], 1)
+        low, slope = np.zeros(len(on)), np.zeros((len(on), 2))
+        for i in range(0, len(on), 256):
+            dx, dy = m[i : i + 256, :1] - m[:, 0], m[i : i + 256, 1:] - m[:, 1]
+            r = np.sqrt(dx * dx + dy * dy)
+            w = n / np.where(r > 0, r, np.inf)
+            low[i : i + 256], slope[i : i + 256, 0], slope[i : i + 256, 1] = (r * n).sum(1), (dx * w).sum(1), (dy * w).sum(1)
+        for held, value in ((means, m), (weights, n), (used, on), (bounds, low), (slopes, slope)):
+            held.append(value)
+    slack = 1e-9 + 1e-12 * found[:, 1]  # rounding of means
+    limit, best = np.full(k, np.inf), [None] * k
+    done: list[tuple[float, float, float] | None] = [None] * k
+
+    def picked(chosen: list[np.ndarray | None]) -> Callable:
+        """Of each block and cluster the first CANDIDATES places after `done`, by bound, x and y, within the limit; their smallest ids."""
+
+        def task(ids: np.ndarray, v: np.ndarray) -> list[tuple]:
+            out = []
+            for c, own, cell in parts(v):
+                if (first := chosen[c]) is None:
+                    continue
+                place = np.searchsorted(used[c], cell)
+                own, place = own[first[place]], place[first[place]]
+                most = limit[c] * (1 + 1e-9) + slack[c]
+                step = v[own, :2] - means[c][place]
+                own = own[bounds[c][place] + (slopes[c][place] * step).sum(1) <= most + 1e-9 * bounds[c][place]]
+                if not len(own):
+                    continue
+                xy, at = np.unique(v[own, :2], axis=0, return_inverse=True)
+                low = _sums(xy, means[c], weights[c])
+                least = np.full(len(xy), np.iinfo(np.int64).max)
+                np.minimum.at(least, at.ravel(), ids[own])
+                keep = low <= most
+                if done[c] is not None:
+                    b, x, y = done[c]
+                    keep &= (low > b) | (low == b) & ((xy[:, 0] > x) | (xy[:, 0] == x) & (xy[:, 1] > y))
+                order = np.lexsort((xy[:, 1], xy[:, 0], low))
+                order = order[keep[order]]
+                out.append((int(c), len(order) > CANDIDATES, [(float(low[o]), float(xy[o, 0]), float(xy[o, 1]), int(least[o])) for o in order[:CANDIDATES]]))
+            return out
+
+        return task
+
+    chosen = [bounds[c] == bounds[c].min() if len(bounds[c]) else None for c in range(k)]
     while True:
-        most = left.groupBy("centre").count().agg(F.max("count")).first()[0] or 0
-        if most <= CANDIDATES or per * per > GRID:
-            break
-        cell = lambda c, lo, per=per: F.least(F.floor((F.col(c) - F.col(lo)) / F.col("side") * per), F.lit(per - 1))
-        inner = own.join(boxes, "centre").withColumns({"cx": cell("x", "x1"), "cy": cell("y", "y1")})
-        means = written(inner.groupBy("centre", "cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my")), "means")
-        far = F.sqrt((F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx")) + (F.col("y") - F.col("my")) * (F.col("y") - F.col("my")))
-        spread = inner.join(means, ["centre", "cx", "cy"]).groupBy("centre").agg(F.sum(far).alias("spread"))
-        grids = means.groupBy("centre").agg(F.collect_list(F.struct("n", "mx", "my")).alias("grid")).join(spread, "centre")  # per * per cells a centre
-        to = lambda g: g["n"] * F.sqrt((F.col("x") - g["mx"]) * (F.col("x") - g["mx"]) + (F.col("y") - g["my"]) * (F.col("y") - g["my"]))
-        bounded = written(left.join(F.broadcast(written(grids, "grids")), "centre").select("id", "x", "y", "centre", "spread", F.aggregate("grid", F.lit(0.0), lambda a, g: a + to(g)).alias("least")), "bounded")
-        limit = bounded.groupBy("centre").agg((F.min("least") + F.first("spread")).alias("limit"))
-        left = written(bounded.join(F.broadcast(limit), "centre").where(F.col("least") <= F.col("limit") * (1 + 1e-9) + 1e-9).select("id", "x", "y", "centre"), "candidates")
-        per *= 2
-    turn = F.row_number().over(Window.partitionBy("centre", F.pmod(F.xxhash64("id"), F.lit(max(1, most // CANDIDATES)))).orderBy("id"))
-    groups = written(left.withColumn("_g", F.pmod(F.xxhash64("id"), F.lit(max(1, most // CANDIDATES)))).withColumn("_t", F.floor((turn - 1) / CANDIDATES)), "turns")
-    best: dict[int, tuple] = {}
-    for g, t in groups.select("_g", "_t").distinct().orderBy("_g", "_t").collect():
-        some = groups.where((F.col("_g") == g) & (F.col("_t") == t)).groupBy("centre").agg(F.collect_list(F.struct("id", F.col("x").alias("px"), F.col("y").alias("py"))).alias("c"))
-        pairs = own.select("x", "y", "centre").join(F.broadcast(some), "centre").select("centre", "x", "y", F.explode("c").alias("c"))
-        sums = pairs.groupBy("centre", "c").agg(F.sum(F.sqrt((F.col("x") - F.col("c.px")) * (F.col("x") - F.col("c.px")) + (F.col("y") - F.col("c.py")) * (F.col("y") - F.col("c.py")))).alias("s"))
-        for r in sums.groupBy("centre").agg(F.min(F.struct(F.round("s", 9).alias("s"), "c")).alias("m")).collect():
-            key = (r.m.s, r.m.c.id)
-            if r.centre not in best or key < best[r.centre][0]:
-                best[r.centre] = key, (r.m.c.px, r.m.c.py)
-    return {c: place for c, (_, place) in best.items()}
+        some, cut = [{} for _ in range(k)], [None] * k
+        for block in rows.each(picked(chosen)):
+            for c, more, places in block:
+                if more and (cut[c] is None or places[-1][:3] < cut[c]):
+                    cut[c] = places[-1][:3]
+                for b, x, y, i in places:
+                    some[c][b, x, y] = min(i, some[c].get((b, x, y), i))
+        opening = not np.isfinite(limit).any()
+        now = [sorted(p for p in some[c] if cut[c] is None or p <= cut[c])[:CANDIDATES] for c in range(k)]
+        if any(now):
+            places = [np.array([p[1:] for p in ps]) if ps else np.empty((0, 2)) for ps in now]
+
+            def exact(ids: np.ndarray, v: np.ndarray, places=places) -> list[np.ndarray]:
+                at = label(v)
+                return [_sums(ps, v[at == c, :2]) if len(ps) else np.empty(0) for c, ps in enumerate(places)]
+
+            sums = rows.each(exact)
+            for c, ps in enumerate(now):
+                for n, p in enumerate(ps):
+                    s = round(math.fsum(found[c][n] for found in sums), 9)
+                    if best[c] is None or (s, some[c][p]) < best[c][0]:
+                        best[c], limit[c] = ((s, some[c][p]), p[1:]), s
+        if opening:  # the best cells' first places only gave limits
+            done, chosen = [None] * k, [np.ones(len(b), bool) for b in bounds]
+        else:
+            left = [bool(now[c]) and (cut[c] is not None or len(now[c]) < len(some[c])) for c in range(k)]
+            done = [now[c][-1] if now[c] else done[c] for c in range(k)]
+            chosen = [chosen[c] if left[c] else None for c in range(k)]
+        if all(c is None for c in chosen):
+            return {c: b[1] for c, b in enumerate(best) if b is not None}
 
 
 def swap_costs(points: DataFrame, centres: list[Centre], new: tuple[float, float]) -> DataFrame:

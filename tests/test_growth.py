@@ -406,3 +406,27 @@ def test_counts_meet_as_arrays_also_where_a_smallest_cell_holds_many_places(spar
     x, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     d = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2)
     assert packed and got == {n: tuple(int((d[n] <= r).sum()) for r in radii) for n in range(601)}
+
+
+def test_medoids_of_copies_rings_and_far_points(spark, monkeypatch):
+    """Equal sums, more candidates than a pass takes, and points so far away that all others share a few cells."""
+    monkeypatch.setattr(centres, "CANDIDATES", 4)
+    rng = np.random.default_rng(12)
+    angle = 2 * np.pi * np.arange(40) / 40
+    parts = [np.stack([np.cos(angle), np.sin(angle)], 1), np.repeat(rng.uniform(0, 1, (7, 2)), 30, axis=0), np.concatenate([rng.normal(0, 1e-3, (300, 2)), [[1e6, 1e6], [-1e6, 3e5]]])]
+    frame = pd.DataFrame(np.concatenate(parts), columns=["x", "y"])
+    frame["centre"] = np.repeat([2, 5, 9], [len(p) for p in parts])
+    frame["id"] = rng.permutation(len(frame))
+    got = centres.medoids(spark.createDataFrame(frame))
+    for c, part in frame.groupby("centre"):
+        d, ids = _brute(part, ["x", "y"])
+        assert got[c] == tuple(part[part.id == min(zip(np.round(d.sum(1), 9), ids, strict=True))[1]][["x", "y"]].iloc[0])
+
+
+def test_medoids_take_few_jobs(spark, cloud):
+    _, points = cloud
+    spark.sparkContext.setJobGroup("medoids", "medoids")
+    centres.k_medoids(points.withColumn("score", F.col("x")), 3, steps=4)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("medoids")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 10 + 8 * 4
