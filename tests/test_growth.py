@@ -430,3 +430,20 @@ def test_medoids_take_few_jobs(spark, cloud):
     jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("medoids")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(jobs) <= 10 + 8 * 4
+
+
+def test_clusters_of_parts_take_tasks_by_their_points(spark):
+    points = spark.range(20_000, numPartitions=1).select(F.lit(1).cast("long").alias("part"), "id", F.array(F.rand(1), F.rand(2)).alias("v"))
+    spark.sparkContext.setJobGroup("clusters", "clusters")
+    found = division.grouped_clusters(points, 20, steps=1).toPandas()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("clusters") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(found) == 20_000 and found["label"].nunique() == 20
+    assert max(i.numTasks for s in stages if (i := tracker.getStageInfo(s))) >= 9
+
+
+def test_flat_parts_are_summed(spark):
+    rows = [(7, 1, 2, 0.5, False), (7, 2, 1, 0.5, False), (7, 1, 1, 2.0, False), (7, 1, 1, 0.25, True), (7, 2, 2, 0.0, False), (8, 5, 5, 0.0, False)]
+    got = sorted(map(tuple, division.flat_trees(spark.createDataFrame(rows, "part long, a long, b long, w double, leaves boolean")).select("part", "n", "up", "vol", "g", "label").collect()))
+    assert got == [(7, 0, None, 3.25, 0.25, None), (7, 1, 0, 2.75, 0.75, 1), (7, 2, 0, 0.5, 0.5, 2), (8, 0, None, 0.0, 0.0, None), (8, 1, 0, 0.0, 0.0, 5)]
