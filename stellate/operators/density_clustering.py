@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import discard, written
+from . import squares
 from .cells import counts_within
-from .neighbors import nearest, within, within_own
+from .neighbors import nearest, within_own
 from .order import quantiles
 from .sampling import numbered
 
@@ -68,55 +67,26 @@ def _numbered(roots: DataFrame) -> DataFrame:
     return roots.join(numbers, "root", "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
-#: A square of this share of a radius as its side lies within the radius of each of its points.
-SQUARE = 0.7
-
-
-def _cores(points: DataFrame, near: DataFrame, min_samples: int) -> tuple[DataFrame, DataFrame]:
-    """Core points (id, rep, x, y, r) and the others (id, x, y, r), written, by the pairs of near.
-
-    Core points in one square whose radii (column r) have one power of two are near one another, so they are one node of the graph, rep, the smallest id of
-    them: pairs of points become distinct pairs of squares in the tasks that make them, and none is written or shuffled."""
-    counts = near.groupBy("i").agg(F.count(F.lit(1)).alias("_n"))
-    rows = written(points.join(counts, points["id"] == counts["i"], "left").select("id", "x", "y", "r", F.coalesce(F.col("_n") >= min_samples, F.lit(False)).alias("core")), "cores")
-    level = F.floor(F.log2(F.greatest(F.col("r"), F.lit(1e-12))))
-    side = F.pow(F.lit(2.0), F.col("_l")) * SQUARE
-    squares = rows.where("core").withColumn("_l", level).withColumns({"_cx": F.floor(F.col("x") / side), "_cy": F.floor(F.col("y") / side)})
-    squares = squares.withColumn("_at", F.when(F.col("r") < 1e-12, F.struct("x", "y")))  # below the least square only copies are near for sure
-    squares = squares.withColumn("_at", F.coalesce(F.col("_at").cast("string"), F.lit("")))
-    square = ["_l", "_cx", "_cy", "_at"]
-    reps = squares.groupBy(*square).agg(F.min("id").alias("rep"))
-    return written(squares.join(reps, square).select("id", "rep", "x", "y", "r"), "squares"), rows.where("not core").drop("core")
-
-
-def _as(rows: DataFrame, column: str) -> DataFrame:
-    """rows with another column's values for ids."""
-    return rows.drop("id").withColumnRenamed(column, "id").select("id", "x", "y", "r")
-
-
 def _rooted(cores: DataFrame, roots: DataFrame) -> DataFrame:
     """cores with the root of their square."""
     return written(cores.join(roots.select(F.col("id").alias("rep"), "root"), "rep"), "rooted")
 
 
-def _symmetric_dbscan(points: DataFrame, near: Callable[[DataFrame, DataFrame | None], DataFrame], min_samples: int) -> DataFrame:
-    """points: id, x, y, r; near(points, others) has the pairs i, j."""
-    cores, rest = _cores(points, near(points, None), min_samples)
-    squares = _as(cores, "rep")
-    found = _rooted(cores, components(squares.select("id").distinct(), near(squares, None).select("i", "j")))
-    border = near(rest, _as(found, "root")).groupBy(F.col("i").alias("id")).agg(F.min("j").alias("root"))
-    return _numbered(points.select("id").join(found.select("id", "root").union(border), "id", "left"))
+def _symmetric_dbscan(points: DataFrame, min_samples: int) -> DataFrame:
+    """points: id, x, y, r; neighbours are within both radii."""
+    cores, rest = squares.cores(squares.rows_of(points), min_samples, True)
+    found = _rooted(cores, components(cores.select(F.col("rep").alias("id")).distinct(), squares.near_squares(cores, True)))
+    return _numbered(points.select("id").join(found.select("id", "root").union(squares.border(found, rest, True)), "id", "left"))
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """id, cluster (-1: noise). A border point goes to the cluster of the smallest root among its core neighbours."""
-    return _symmetric_dbscan(points.select("id", "x", "y", F.lit(float(eps)).alias("r")), lambda q, c: within(q, eps, c), min_samples)
+    return _symmetric_dbscan(points.select("id", "x", "y", F.lit(max(float(eps), 0.0)).alias("r")), min_samples)
 
 
 def adaptive_dbscan(points: DataFrame, eps_min: float = 0.05, eps_max: float = 0.3, min_samples: int = 5) -> DataFrame:
     """dbscan() with a radius for each point, eps_max - density * (eps_max - eps_min); neighbours are within both radii."""
-    rows = points.select("id", "x", "y", (eps_max - F.col("density") * (eps_max - eps_min)).alias("r"))
-    return _symmetric_dbscan(rows, lambda q, c: within_own(q, "r", True, c), min_samples)
+    return _symmetric_dbscan(points.select("id", "x", "y", (eps_max - F.col("density") * (eps_max - eps_min)).alias("r")), min_samples)
 
 
 def variable_eps_dbscan(points: DataFrame, min_samples: int = 5) -> DataFrame:
@@ -124,14 +94,11 @@ def variable_eps_dbscan(points: DataFrame, min_samples: int = 5) -> DataFrame:
 
     Clusters start at core points in id order and take in what core points reach. A point that isn't core and was seen as noise before
     is only taken in by the start of a cluster that has it for a neighbour, not by the cluster's later points."""
-    rows = points.select("id", "x", "y", F.col("radius").alias("r"))
-    cores, rest = _cores(rows, within_own(rows, "r"), min_samples)
-    squares = _as(cores, "rep")
-    found = _rooted(cores, reachable_min(squares.select("id").distinct(), within_own(squares, "r").select("i", "j")))
-    later = within_own(_as(found, "root"), "r", others=rest).where(F.col("i") < F.col("j"))
-    starts = within_own(found.where("id = root").select("id", "x", "y", "r"), "r", others=rest)
-    border = later.union(starts).groupBy(F.col("j").alias("id")).agg(F.min("i").alias("root"))
-    return _numbered(points.select("id").join(found.select("id", "root").union(border), "id", "left"))
+    cores, rest = squares.cores(squares.rows_of(points.select("id", "x", "y", F.col("radius").alias("r"))), min_samples, False)
+    found = _rooted(cores, reachable_min(cores.select(F.col("rep").alias("id")).distinct(), squares.near_squares(cores, False)))
+    starts = within_own(found.where("id = root").select("id", "x", "y", "r"), "r", others=rest).groupBy(F.col("j").alias("id")).agg(F.min("i").alias("root"))
+    taken = written(squares.border(found, rest, False).union(starts).groupBy("id").agg(F.min("root").alias("root")), "border")
+    return _numbered(points.select("id").join(found.select("id", "root").union(taken), "id", "left"))
 
 
 def density_peaks(points: DataFrame, k: int, rho: str = "rho") -> DataFrame:

@@ -364,6 +364,68 @@ def test_density_clustering_writes_no_pairs(spark, monkeypatch):
     assert max(rows) <= 201
 
 
+def _joined_rows(spark, since):
+    """The most rows that came out of a join since so many executions."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    for n in range(since, store.executionsCount()):
+        number = store.executionsList().apply(n).executionId()
+        found, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for at in range(nodes.size()):
+            node = nodes.apply(at)
+            for m in range(node.metrics().size() if "Join" in node.name() else 0):
+                metric = node.metrics().apply(m)
+                if metric.name() == "number of output rows" and found.contains(metric.accumulatorId()):
+                    most = max(most, int(found.apply(metric.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_density_clustering_makes_no_pairs_of_near_points(spark):
+    """2,000 points within one radius have 4 million pairs, and as many points of no radius of their own lie in reach of each: joins give far fewer rows."""
+    points = spark.range(4000).select("id", (F.pmod(F.xxhash64("id"), F.lit(1000)) / 10000).alias("x"), (F.col("id") / 40000).alias("y"), F.when(F.col("id") % 2 == 0, 0.2).otherwise(0.0).alias("radius"))
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    found = density_clustering.variable_eps_dbscan(points, 5)
+    assert [tuple(r) for r in found.groupBy("cluster").count().collect()] == [(0, 4000)]
+    assert 0 < _joined_rows(spark, since) <= 400_000
+
+
+def test_clusters_by_squares_equal_the_definitions(spark, monkeypatch):
+    """Copies, distances on the border, radii of 0 and below, of many levels or beyond all, places that are none; squares are cut down to single places."""
+    from stellate.operators import squares
+
+    monkeypatch.setattr(squares, "SMALL", 1)
+    rng = np.random.default_rng(1)
+    parts = [
+        (rng.random((60, 2)), rng.choice([0.0, 0.02, 0.1, 0.5, 1.5], 60)),
+        (np.round(rng.random((50, 2)), 1), rng.choice([0.0, 0.1, 0.2, -1.0], 50)),
+        (rng.normal(size=(60, 2)) * 0.01, np.exp(rng.normal(size=60) * 1.5 - 4)),
+        (rng.random((40, 2)) * 1e-9, rng.choice([1e-13, 1e-11, 2e-10, 1e-9], 40)),
+        (rng.random((40, 2)), rng.choice([0.03, 3.0], 40, p=[0.95, 0.05])),
+        (np.repeat(rng.random((10, 2)), 4, 0), rng.choice([0, 0.3], 40)),
+    ]
+    rows = np.concatenate([np.c_[xy + [100.0 * n, 0], r] for n, (xy, r) in enumerate(parts)])[rng.permutation(290)]
+    nowhere = [(290, None, 0.5, 0.1, 0.5), (291, math.nan, 0.5, 0.1, 0.5), (292, 0.5, math.inf, 0.1, 0.5)]
+    points = spark.createDataFrame([(n, *map(float, row), float(1 - row[2])) for n, row in enumerate(rows)] + nowhere, "id long, x double, y double, radius double, density double")
+    d = np.sqrt(np.square(rows[:, None, :2] - rows[None, :, :2]).sum(2))
+    clusters = lambda df: [r.cluster for r in df.orderBy("id").collect()]
+
+    near = d <= rows[:, 2][:, None]  # j is near i
+    core, root = near.sum(1) >= 4, np.arange(290)
+    for _ in range(290):
+        root = np.array([min([root[j], *root[core & near[:, j]]]) if core[j] else j for j in range(290)])
+    takers = [[root[i] for i in np.flatnonzero(core & near[:, j]) if root[i] < j or root[i] == i] for j in range(290)]
+    of = {r: n for n, r in enumerate(sorted(set(root[core].tolist())))}
+    assert clusters(density_clustering.variable_eps_dbscan(points, 4)) == [of[root[j]] if core[j] else of[min(takers[j])] if takers[j] else -1 for j in range(290)] + [-1] * 3
+
+    r = 1 - (1 - rows[:, 2])
+    near = d <= np.minimum(r[:, None], r)
+    core, root = near.sum(1) >= 4, np.arange(290)
+    for _ in range(290):
+        root = np.array([root[core & near[j]].min() if core[j] else j for j in range(290)])
+    of = {n: k for k, n in enumerate(sorted(set(root[core].tolist())))}
+    want = [of[root[core & near[j]].min()] if (core & near[j]).any() else -1 for j in range(290)]
+    assert clusters(density_clustering.adaptive_dbscan(points, 0.0, 1.0, 4)) == want + [-1] * 3
+
+
 def test_blocks_draw_and_cost_as_spark_does(spark):
     """What multi_swap_search does in blocks equals the same steps as aggregations."""
     from stellate.operators import blocks, draws
