@@ -1,9 +1,11 @@
 """Phrase collocation mining: n-grams exploded into rows and counted per language, scored by their best-known cut, freed of parts of longer phrases.
 
 Tasks cut texts into pieces and words as arrays of bytes and emit (lang, phrase, n) rows of a batch's n-grams; Spark adds them up by
-language and phrase. Words are counted first, then pairs, then all longer phrases: a phrase can't be more frequent than any part of
-it, so n-grams with a word or a pair below the least count can never become candidates nor a candidate's part, and aren't exploded.
-Which words and pairs are frequent travels as a bitmap of their hashes, of a fixed size whatever the corpus: a false hit makes a row that the exact
+language and phrase. A phrase can't be more frequent than any part of it, so n-grams with a word, a pair or a triple below the least count can
+never become candidates nor a candidate's part, and aren't exploded. Words are counted by their text first. Pairs and then triples, most of them
+rare, are counted by a bucket of their hash, which is a short number and not a text; a phrase isn't more frequent than its bucket. Then pairs and all
+longer phrases that may still be frequent are counted by their text.
+Which words, pairs and triples may be frequent travels as a bitmap of their hashes, of a fixed size whatever the corpus: a false hit makes a row that the exact
 count drops again, so a bitmap that fills up costs rows and changes no result. Candidates then meet the counts of their first and last
 words by joins, are scored in Decimal, lose those that a one word longer phrase explains (a longer explanation always
 has one of those inside), and are ranked by a window per language.
@@ -15,7 +17,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,8 @@ from .common import discard, importable, lean, release, table, written
 MAX_N, LEAST, EXPLAINED, KEPT = 4, 30, 80, 2000
 #: Bits of a bitmap (8 MB), and bytes of the texts that a task cuts up at a time.
 BITS, TEXT_BYTES = 1 << 26, 2 << 20
+#: Buckets that pairs and triples are counted in.
+BUCKETS = 1 << 31
 #: Bits of one row of Spark's bitmap functions.
 ROW_BITS = 1 << 15
 GRAMS = "lang string, phrase string, size int, n long"
@@ -47,12 +51,17 @@ def _mixed(state: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _places(lang: np.ndarray, words: list[np.ndarray], bits: int) -> np.ndarray:
-    """Where a phrase is in a bitmap of so many bits."""
+def _buckets(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """Which bucket a phrase is counted in."""
     x = lang
     for w in words:
         x = _mixed(x, w)
-    return (x >> np.uint64(7)) % np.uint64(bits)
+    return (x >> np.uint64(7)) % np.uint64(BUCKETS)
+
+
+def _places(lang: np.ndarray, words: list[np.ndarray], bits: int) -> np.ndarray:
+    """Where a phrase is in a bitmap of so many bits: where its bucket is."""
+    return _buckets(lang, words) % np.uint64(bits)
 
 
 def _held(bitmap: np.ndarray, lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
@@ -99,9 +108,9 @@ def _batches(frames: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.A
             at = to
 
 
-@lean
-def _exploded(frames: Iterator[pa.RecordBatch], sizes: range, words_known: np.ndarray | None, pairs_known: np.ndarray | None, size: int) -> Iterator[pa.RecordBatch]:
-    """n-grams of the sizes with their number in a batch of texts, but for those that hold an infrequent word or pair."""
+def _grams(frames: Iterator[pa.RecordBatch], sizes: range, known: Sequence[np.ndarray | None], size: int) -> Iterator[tuple]:
+    """n, the languages, each word's language, the words, their hashes, their languages' hashes, and where n-grams begin, for each batch of texts and each of the sizes;
+    without n-grams that hold a phrase of k words that the k-th bitmap in known doesn't hold."""
     for lang, text in _batches(frames, size):
         words, piece, of = words_of(text)
         if not len(words):
@@ -109,33 +118,54 @@ def _exploded(frames: Iterator[pa.RecordBatch], sizes: range, words_known: np.nd
         langs = lang.dictionary_encode()
         lang_of = langs.indices.to_numpy()[of]
         h, seed = _hashes(words), _hashes(langs.dictionary)[lang_of]
-        one = np.ones(len(words), bool) if words_known is None else _held(words_known, seed, [h])
-        follows = np.zeros(len(words), bool)  # word n + 1 is in the same piece, and the pair may be frequent
-        follows[:-1] = (piece[1:] == piece[:-1]) & one[1:] & one[:-1]
-        if pairs_known is not None:
-            at = np.flatnonzero(follows)
-            follows[at] = _held(pairs_known, seed[at], [h[at], h[at + 1]])
-        for n in sizes:
-            ok = one.copy()
-            for k in range(n - 1):
-                ok[: len(ok) - k] &= follows[k:]
-                ok[len(ok) - k :] = False
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            phrase = words.take(pa.array(at)) if n == 1 else pc.binary_join_element_wise(*[words.take(pa.array(at + k)) for k in range(n)], pa.scalar(" ", words.type))
-            counted = pa.table({"lang": pa.array(lang_of[at]), "phrase": phrase}).group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")])
-            counted = pa.table({"lang": langs.dictionary.take(counted["lang"].combine_chunks()), "phrase": counted["phrase"].cast(pa.string()), "size": pa.array(np.full(len(counted), n, np.int32)), "n": counted["count_all"]})
-            yield from counted.to_batches(max_chunksize=1 << 16)
-        del words, piece, of, h, seed, one, follows, lang_of
+        may = np.ones(len(words), bool)  # an n-gram of n words begins here, and may be frequent
+        for n in range(1, sizes.stop):
+            if n > 1:
+                may[:-1] &= may[1:] if n > 2 else may[1:] & (piece[1:] == piece[:-1])
+                may[-1] = False
+            at = np.flatnonzero(may)
+            if n <= len(known) and known[n - 1] is not None:
+                may[at] = _held(known[n - 1], seed[at], [h[at + k] for k in range(n)])
+                at = at[may[at]]
+            if n in sizes and len(at):
+                yield n, langs, lang_of, words, h, seed, at
+        del words, piece, of, h, seed, may, at, lang_of
         release()
 
 
-def counts(docs: DataFrame, sizes: range, words_known: np.ndarray | None = None, pairs_known: np.ndarray | None = None, text_bytes: int = TEXT_BYTES) -> DataFrame:
+@lean
+def _exploded(frames: Iterator[pa.RecordBatch], sizes: range, words_known: np.ndarray | None, pairs_known: np.ndarray | None, size: int, triples_known: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """n-grams of the sizes with their number in a batch of texts, but for those that hold an infrequent word, pair or triple."""
+    for n, langs, lang_of, words, _, _, at in _grams(frames, sizes, (words_known, pairs_known, triples_known), size):
+        phrase = words.take(pa.array(at)) if n == 1 else pc.binary_join_element_wise(*[words.take(pa.array(at + k)) for k in range(n)], pa.scalar(" ", words.type))
+        counted = pa.table({"lang": pa.array(lang_of[at]), "phrase": phrase}).group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")])
+        counted = pa.table({"lang": langs.dictionary.take(counted["lang"].combine_chunks()), "phrase": counted["phrase"].cast(pa.string()), "size": pa.array(np.full(len(counted), n, np.int32)), "n": counted["count_all"]})
+        yield from counted.to_batches(max_chunksize=1 << 16)
+
+
+def counts(docs: DataFrame, sizes: range, words_known: np.ndarray | None = None, pairs_known: np.ndarray | None = None, text_bytes: int = TEXT_BYTES, triples_known: np.ndarray | None = None) -> DataFrame:
     """lang, phrase, size, n: occurrences of the n-grams of some sizes; docs: lang, text."""
-    sent = docs.sparkSession.sparkContext.broadcast((words_known, pairs_known))
-    rows = docs.select("lang", "text").mapInArrow(lambda f: _exploded(f, sizes, *sent.value, text_bytes), GRAMS)
-    return rows.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    sent = docs.sparkSession.sparkContext.broadcast((words_known, pairs_known, triples_known))
+
+    def exploded(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs, triples = sent.value
+        return _exploded(frames, sizes, words, pairs, text_bytes, triples)
+
+    return docs.select("lang", "text").mapInArrow(exploded, GRAMS).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+
+
+@lean
+def _counted_buckets(frames: Iterator[pa.RecordBatch], n: int, known: Sequence[np.ndarray | None], size: int) -> Iterator[pa.RecordBatch]:
+    for _, _, _, _, h, seed, at in _grams(frames, range(n, n + 1), known, size):
+        buckets, times = np.unique(_buckets(seed[at], [h[at + k] for k in range(n)]).astype(np.int32), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(times)], ["at", "n"])
+
+
+def buckets(docs: DataFrame, n: int, least: int, known: Sequence[np.ndarray | None] = (), text_bytes: int = TEXT_BYTES) -> DataFrame:
+    """at: the buckets with so many n-grams at least, by bitmaps in known of words, pairs and so on."""
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(known))
+    rows = docs.select("lang", "text").mapInArrow(lambda f: _counted_buckets(f, n, sent.value, text_bytes), "at int, n long")
+    return rows.groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("at")
 
 
 @lean
@@ -149,8 +179,8 @@ def _placed(frames: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
 
 
 def bitmap(grams: DataFrame, bits: int = BITS) -> np.ndarray:
-    """The bitmap of phrases of one size (lang, phrase): a byte for each 8 bits."""
-    at = grams.select("lang", "phrase").mapInArrow(lambda f: _placed(f, bits), "at long")
+    """The bitmap of phrases of one size (lang, phrase), or of their buckets (at): a byte for each 8 bits."""
+    at = grams.select((F.col("at") % bits).alias("at")) if "at" in grams.columns else grams.select("lang", "phrase").mapInArrow(lambda f: _placed(f, bits), "at long")
     row, bit = F.floor(F.col("at") / ROW_BITS), (F.col("at") % ROW_BITS).cast("long")
     out = np.zeros(bits // 8, np.uint8)
     for r in at.groupBy(row.alias("row")).agg(F.bitmap_construct_agg(bit).alias("bits")).toLocalIterator():  # at most bits / ROW_BITS rows
@@ -178,10 +208,14 @@ def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, explai
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))  # a row for each language
     frequent = words.where(F.col("n") >= least)
     words_known = bitmap(frequent, bits)
-    pairs = written(counts(docs, range(2, 3), words_known).where(F.col("n") >= least), "pairs")
-    longer = counts(docs, range(3, max_n + 1), words_known, bitmap(pairs, bits)).where(F.col("n") >= least)
-    known = written(frequent.unionByName(pairs).unionByName(longer) if max_n > 2 else frequent.unionByName(pairs), "phrases")
-    discard(pairs)
+    pairs = written(buckets(docs, 2, least), "pairs")  # of all words: with more data nearly all pairs are of frequent words, and passing over the others saves little
+    pairs_known, triples, triples_known = bitmap(pairs, bits), None, None
+    if max_n > 2:
+        triples = written(buckets(docs, 3, least, (words_known, pairs_known)), "triples")
+        triples_known = bitmap(triples, bits)
+    discard(pairs, triples)
+    longer = counts(docs, range(2, max_n + 1), None, pairs_known, triples_known=triples_known).where(F.col("n") >= least)
+    known = written(frequent.unionByName(longer), "phrases")
     scored = _scored(known)
     wide = known.where("size > 2").withColumn("words", F.split("phrase", " "))
     inner = F.array(*[F.array_join(F.slice("words", F.lit(s), F.col("size") - 1), " ") for s in (1, 2)])

@@ -203,6 +203,17 @@ def test_collocations_equal_sql(spark, data):
     assert sorted(got) == sorted(duckdb.sql(collocations.SQL).df()[cols].astype(str).values.tolist())
 
 
+def test_collocations_count_rare_pairs_by_number(spark, monkeypatch):
+    """Of 40 frequent words in random order few pairs are frequent: only those, their triples and so on are counted by their text."""
+    r = random.Random(5)
+    texts = [" ".join(r.choices([f"w{n}" for n in range(40)], k=300)) + ". one two three four" for _ in range(30)]
+    docs, seen, counts = spark.createDataFrame([("en", t) for t in texts], "lang string, text string"), [], collocations.counts
+    monkeypatch.setattr(collocations, "counts", lambda *args, **named: seen.append(counts(*args, **named)) or seen[-1])
+    got = {x.phrase for x in collocations.collocations(docs, least=20, explained=101).collect()}
+    assert {"one two", "one two three", "two three four", "one two three four"} <= got
+    assert sum(c.where("size > 1").count() for c in seen) <= 60  # there are 1,600 pairs
+
+
 def test_collocations_edges(spark):
     none = spark.createDataFrame([], "lang string, text string")
     assert collocations.collocations(none).count() == 0
