@@ -165,6 +165,24 @@ def test_capacity_and_packing(spark):
     assert [r.nodes for r in routes.unpacked(row).orderBy("route").collect()] == [[1, 2], [3]]
 
 
+def test_capacity_split_keeps_no_list_of_a_problem(spark):
+    """A long problem, null problems, seqs and demands, repeated rows, and demands above the capacity and below 0."""
+    rows = [(1, n * 7 % 3001, n % 5 + 1) for n in range(3001)] + [(None, 2, 3), (None, 1, 4), (None, None, 2), (2, 5, 9), (2, 5, 9), (2, 6, -8), (2, 7, 6), (3, 1, 4), (3, 2, None), (3, 3, 6), (3, 4, 6), (3, None, None)]
+    stops = spark.createDataFrame([*rows, (4, 1, None), (4, 2, 8), (5, 1, 4), (5, 2, 4), (5, 2, 3)], "problem int, seq int, demand int").repartition(3)
+    split = routes.capacity_split(stops, 6)
+    assert split.dtypes == [("problem", "int"), ("seq", "bigint"), ("route", "int")]
+    assert "collect_list" not in split._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in split.collect():
+        got.setdefault(r.problem, []).append((-1 if r.seq is None else r.seq, r.route))
+    assert {p: sorted(v) for p, v in got.items() if p != 1} == {None: [(-1, 0), (1, 0), (2, 1)], 2: [(5, 1), (5, 2), (6, 2), (7, 3)], 3: [(-1, 0), (1, 0), (2, 0), (3, 0), (4, 0)], 4: [(1, 0), (2, 0)], 5: [(1, 0), (2, 1), (2, 2)]}
+    expected, held, route = [], 0, 0
+    for _, seq, demand in sorted(r for r in rows if r[0] == 1):
+        held, route = (demand, route + 1) if held + demand > 6 else (held + demand, route)
+        expected.append((seq, route))
+    assert sorted(got[1]) == expected
+
+
 def test_search_does_not_get_worse(spark):
     p = generators.mixture(spark, 200, 4, 0.02, seed=3)
     first = centres.cost(p, [(n, x, y) for n, (_, x, y) in enumerate(centres.k_center_greedy(p, 4)[0])]).first()[0]
